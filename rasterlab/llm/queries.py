@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rasterlab.llm.chat import format_chat, read_chat
 from rasterlab.llm.decontaminate import contaminated
+from rasterlab.llm.html_text import extract_text
 from rasterlab.llm.line_dedup import dedup_lines
 from rasterlab.llm.near_dedup import near_duplicates
 from rasterlab.llm.toxicity import held_out, labelled, score, train
+from rasterlab.llm.warc import archive_pages, read_archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,13 +29,30 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return read_chat(format_chat(turns.union(extra)))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, names = archive_pages(table(spark, sf_dir, "pages"))
+    records = read_archives(spark, folder, names).where("kind = 'record'")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = train(labelled(docs, table(spark, sf_dir, "labels")))
     return score(docs, weights).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op5_benchmark_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op4_html_extraction, op5_benchmark_decontamination, op6_chat_formatting, op8_warc, op10_toxicity)}
 
 _SHINGLES = """
     {name}_w AS (
@@ -49,6 +69,23 @@ _SHINGLES = """
     {name}_n AS (SELECT {key}, count(*) AS n FROM {name}_s GROUP BY 1)"""
 
 ORACLES = {
+    "op6_chat_formatting": """
+    WITH t AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ),
+    e AS (SELECT *, regexp_replace(text, '([<\\[])(\\\\*)(\\|im_start\\|>|\\|im_end\\|>|\\|endoftext\\|>|\\|system\\|>|\\|user\\|>|\\|assistant\\|>|s>|/s>|<SYS>>|</SYS>>|INST\\]|/INST\\])', '\\1\\\\\\2\\3', 'g') AS escaped FROM t)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(length(role) + length(escaped) + 24) AS BIGINT) AS formatted_chars
+    FROM e GROUP BY 1""",
+    "op8_warc": """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS d FROM pages),
+    k AS (SELECT *, strlen(html) AS n, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+    SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n < 100 OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+    FROM k""",
     "op2_minhash_near_dedup": f"""
     WITH RECURSIVE {_SHINGLES.format(name="documents", key="doc_id")},
     shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM documents_s a JOIN documents_s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
