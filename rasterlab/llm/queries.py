@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rasterlab.llm.chat import format_chat, read_chat
 from rasterlab.llm.decontaminate import contaminated
+from rasterlab.llm.fingerprint import compare_with_edits
 from rasterlab.llm.html_text import extract_text
 from rasterlab.llm.line_dedup import dedup_lines
 from rasterlab.llm.near_dedup import near_duplicates
+from rasterlab.llm.secrets import hidden, scan
 from rasterlab.llm.toxicity import held_out, labelled, score, train
 from rasterlab.llm.warc import archive_pages, read_archives
 
@@ -29,6 +31,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -40,6 +46,11 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_chat(format_chat(turns.union(extra)))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents"), path_col="source")
+    return found.select("doc_id", "start", F.length("candidate").alias("length"), hidden("candidate").alias("candidate_sha256"), "score", "is_secret")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, names = archive_pages(table(spark, sf_dir, "pages"))
     records = read_archives(spark, folder, names).where("kind = 'record'")
@@ -52,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, weights).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op4_html_extraction, op5_benchmark_decontamination, op6_chat_formatting, op8_warc, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_document_fingerprints, op4_html_extraction, op5_benchmark_decontamination, op6_chat_formatting, op7_secret_scan, op8_warc, op10_toxicity)}
 
 _SHINGLES = """
     {name}_w AS (
