@@ -15,8 +15,11 @@ AGAINST = "example|sample|dummy|placeholder|changeme|commit|checksum|digest|sha(
 PATHS_AGAINST = "test|example|sample|fixture|mock|doc|readme|vendor|node_modules"
 # Fixed values. Frequent English letter groups and words, for the share of a candidate that reads as language.
 DICTIONARY = "tion|ther|with|that|this|have|from|ment|able|ness|there|which|would|user|name|file|data|test|config|value|class|main|index|http|www|com|the|and|ing|ent|ion|for|ate|ers|all|not|are|was|one|you|ver|est|out|her|his|our|ous|ble|ly|er|in|on|at|or|an|re|ed|he|es|th"
-#: Strings of at least 16 characters with a digit, and values of at least 6 assigned to a word that speaks for a secret.
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_-]{{16,}}={{0,2}}|(?<=(?i:{FOR.replace('(?:or)?', 'o?r?').replace('(?:orization)?', '')})[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?)[^\s\"',;<>]{{6,}}"
+#: Values of at least 6 characters assigned to a word that speaks for a secret, and strings of at least 16 with a digit.
+#: A candidate is the end of a match, behind the word and sign that PREFIX finds. No lookbehind is longer than one
+#: character, so a text is searched in time proportional to its length.
+PREFIX = rf"(?i:{FOR})[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?"
+CANDIDATE = rf"{PREFIX}[^\s\"',;<>]{{6,}}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{{16}})(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{{16,}}={{0,2}}"
 #: Characters of context on each side; labelled findings that are learnt from.
 CONTEXT, TRAIN_ROWS = 60, 20_000
 FEATURES = ("length", "digits", "upper", "lower", "others", "turns", "cases", "distinct", "vowels", "hexadecimal", "words", "path", "before_for", "assigned", "quoted", "near_against", "near_words")
@@ -30,11 +33,13 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")).alias("path"))
     base = base.where(F.col("text").rlike(CANDIDATE))
     base = base.select("doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("between"))
-    one = base.select("doc_id", "path", "between", "found", F.posexplode("found").alias("i", "candidate"))
+    one = base.select("doc_id", "path", "between", "found", F.posexplode("found").alias("i", "match"))
     earlier = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + F.length(x))
-    start = earlier(F.col("between"), F.col("i") + 1) + earlier(F.col("found"), F.col("i"))
-    before, after = F.get("between", F.col("i")), F.get("between", F.col("i") + 1)
-    return one.select("doc_id", start.cast("long").alias("start"), "candidate", F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"), "path")
+    one = one.withColumn("prefix", F.regexp_extract("match", rf"^{PREFIX}(?=[^\s\"',;<>]{{6,}}$)", 0))
+    start = earlier(F.col("between"), F.col("i") + 1) + earlier(F.col("found"), F.col("i")) + F.length("prefix")
+    before, after = F.concat(F.get("between", F.col("i")), "prefix"), F.get("between", F.col("i") + 1)
+    candidate = F.expr("substring(match, length(prefix) + 1)").alias("candidate")
+    return one.select("doc_id", start.cast("long").alias("start"), candidate, F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"), "path")
 
 
 def with_features(found: DataFrame) -> DataFrame:
