@@ -10,6 +10,7 @@ from rasterlab.llm.fingerprint import compare_with_edits
 from rasterlab.llm.html_text import extract_text
 from rasterlab.llm.line_dedup import dedup_lines
 from rasterlab.llm.near_dedup import near_duplicates
+from rasterlab.llm.packing import pack
 from rasterlab.llm.secrets import hidden, scan
 from rasterlab.llm.toxicity import held_out, labelled, score, train
 from rasterlab.llm.warc import archive_pages, read_archives
@@ -57,13 +58,18 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = train(labelled(docs, table(spark, sf_dir, "labels")))
     return score(docs, weights).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_document_fingerprints, op4_html_extraction, op5_benchmark_decontamination, op6_chat_formatting, op7_secret_scan, op8_warc, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_document_fingerprints, op4_html_extraction, op5_benchmark_decontamination, op6_chat_formatting, op7_secret_scan, op8_warc, op9_packing, op10_toxicity)}
 
 _SHINGLES = """
     {name}_w AS (
