@@ -8,6 +8,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from rasterlab.config import EvalConfig
 from rasterlab.functions import kernels
@@ -100,7 +101,7 @@ def reverse_variant(scored: DataFrame, column: str = "logits") -> DataFrame:
 
 def predict_images(images: DataFrame, make_predict: Callable[[], Predict], batch_size: int = 16) -> DataFrame:
     """``images`` with ``logits``: the callable gets (N, H, W, 1) and gives (N, H, W, C). It is built once per task."""
-    schema = images.select([c for c in images.columns if c != "logits"]).schema.add("logits", "binary")
+    schema = StructType([*images.drop("logits").schema, StructField("logits", BinaryType())])
     names = schema.names
 
     def run(batches):
@@ -200,7 +201,7 @@ def multi_scale_predict(images: DataFrame, make_predict: Callable[[], Predict],
 
 def argmax_labels(scored: DataFrame, column: str = "probs", out: str = "preds") -> DataFrame:
     """Packed scores as one byte per pixel; the scores are dropped."""
-    schema = scored.drop(column).schema.add(out, "binary")
+    schema = StructType([*scored.drop(column).schema, StructField(out, BinaryType())])
 
     def one(row: dict) -> dict:
         scores = row.pop(column)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from rasterlab.config import LOOKALIKE, NUM_CLASSES, SHIP, EvalConfig
 from rasterlab.functions import kernels
@@ -42,7 +43,7 @@ def connected_components(masks: DataFrame) -> DataFrame:
     def one(row: dict) -> dict:
         return row | {"components": packed(kernels.components(unpack(row, "mask", "u1").astype(bool)), "<i8")}
 
-    return map_rows(masks, one, masks.schema.add("components", "binary"))
+    return map_rows(masks, one, StructType([*masks.schema, StructField("components", BinaryType())]))
 
 
 def component_pixels(labelled: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rasterlab.config import NUM_CLASSES
 from rasterlab.sources.packed import map_rows
@@ -62,7 +63,7 @@ def scan_masks(spark: SparkSession, folder: str, pattern: str = "*.png", num_cla
 def position(df: DataFrame, order: str = "path") -> DataFrame:
     """``df`` with ``position``: the 0-based place in ascending byte order of ``order``, without a window over all rows."""
     rows = df.sort(F.encode(F.col(order).cast("string"), "UTF-8")).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(rows, df.schema.add("position", "long"))
+    return df.sparkSession.createDataFrame(rows, StructType([*df.schema, StructField("position", LongType())]))
 
 
 def pair_samples(images: DataFrame, masks: DataFrame, pair: str = "stem") -> DataFrame:
