@@ -90,13 +90,14 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
             at = np.append(at[:-1].reshape(n, 5), np.full((1, 5), len(data)), axis=0)
             learnt = pc.fill_null(pc.equal(batch["role"], learn), False).to_numpy(zero_copy_only=False)
             ids = batch["conv_id"].to_pylist()
-            cuts = [0, *(i for i in range(1, n) if ids[i] != ids[i - 1]), n]
+            size = at[:, 0] // max(1, piece_chars)  # long runs are cut where they could fill a piece
+            cuts = [0, *(i for i in range(1, n) if ids[i] != ids[i - 1] or size[i] != size[i - 1]), n]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if held and held["id"] != ids[a]:
                     yield row(held)
                     held = None
                 held = held or {"id": ids[a], "piece": 0, "bytes": [], "size": 0, "chars": 0, "turns": 0, "loss": []}
-                if held["size"] > piece_chars:
+                if held["size"] >= piece_chars:
                     yield row(held)
                     held = {"id": ids[a], "piece": held["piece"] + 1, "bytes": [], "size": 0, "chars": 0, "turns": 0, "loss": []}
                 lo, hi = int(at[a, 0]), int(at[b, 0])

@@ -35,7 +35,7 @@ STOP_LOW, STOP_HIGH, MAX_LINKS = 0.10, 0.20, 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")  # of sideBar: side, Bar; the whole is looked up too
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -50,7 +50,7 @@ def _marked(tag: str, attributes: str, in_article: bool) -> bool:
     for name, *values in _ATTRIBUTE.findall(attributes):
         value, name = next((v for v in values if v), ""), name.lower()
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            if NAMES.intersection(x.lower() for x in _NAME_PART.findall(value)):
+            if NAMES.intersection(x.lower() for x in [*_NAME_PART.findall(value), *re.findall("[A-Za-z]+", value)]):
                 return True
         elif name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
             return True
