@@ -10,7 +10,7 @@ from rasterlab.llm import kernels as K
 from rasterlab.llm.shared import materialise
 
 #: A line of so many words stands alone; a chunk has no more than so many lines; a removed run has so many words.
-HEAVY, LONGEST, MIN_WORDS = 16, 64, 50
+HEAVY, LONGEST, MIN_WORDS = 8, 64, 50
 
 
 def line_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -23,8 +23,10 @@ def line_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _chunks(docs: DataFrame) -> DataFrame:
     """``(id, k, start, n, chunk, prev, next)``: the chunks of each text, with the line hashes of both neighbours.
 
-    A chunk ends after a line when the rolling hash over that line's and the line before's hash is even, before and
-    after a line of ``HEAVY`` words, at the end of the text, or at ``LONGEST`` lines.
+    A chunk ends after a line when the rolling hash over that line's and the line before's hash isn't divisible by 4,
+    before and after a line of ``HEAVY`` words, at the end of the text, or at ``LONGEST`` lines. Boundaries are that
+    dense so that a passage of MIN_WORDS holds a whole chunk, wherever it stands: with longer chunks, one passage in
+    nine of seven short lines had none.
     """
 
     def run(batches):
@@ -38,7 +40,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
             doc = np.searchsorted(first, np.arange(m), "right") - 1
             before = np.concatenate([[K.U(0)], h[:-1]])
             before[first[:-1][first[:-1] < first[1:]]] = 0
-            cut = (K.mix(before * K.U(3) + h) & K.U(1)) == 0
+            cut = (K.mix(before * K.U(3) + h) & K.U(3)) != 0
             heavy = count >= HEAVY
             cut |= heavy
             cut[:-1] |= heavy[1:] | (doc[1:] != doc[:-1])
