@@ -13,9 +13,11 @@ from rasterlab.llm.graph import components
 from rasterlab.llm.shared import materialise
 
 BANDS, ROWS, SHINGLE = 32, 4, 5
-#: How many of the 256 sketch bits must agree before texts are compared. At the threshold of 0.75, 224 do on average,
-#: with a deviation of 6.3: fewer than 190 is more than five deviations off, one pair in 30 million.
-AGREE = 190
+#: Sketch bits that are compared before texts are: 256 of every document, 2048 of those in buckets of several components.
+BITS, MORE_BITS = 256, 2048
+#: How many deviations from what pairs at the threshold show on average is still compared: one pair in 20 million, or in
+#: a million, falls below.
+SLACK, MORE_SLACK = 5.3, 4.8
 #: Members of one bucket that are compared in one block.
 BLOCK = 1000
 
@@ -51,12 +53,37 @@ def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def _alike(x: str, y: str, percent: int) -> Column:
     """What pairs at the threshold meet: sizes within it, and enough equal sketch bits."""
-    equal = sum((F.bit_count(F.col(f"{x}b{i}").bitwiseXOR(F.col(f"{y}b{i}"))) for i in range(4)), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"{x}b{i}").bitwiseXOR(F.col(f"{y}b{i}"))) for i in range(4)), F.lit(0))
     sizes = F.least(f"{x}n", f"{y}n") * 100 >= F.greatest(f"{x}n", f"{y}n") * percent
-    return sizes & (equal <= 256 - AGREE)
+    s, half = percent / 100, BITS / 2
+    deviation = (half * ((1 - s) / 2 + s * (1 - s))) ** 0.5  # two bits of each of 128 coordinates
+    return sizes & (differ <= half * (1 - s) + SLACK * deviation)
 
 
-def verify_pairs(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _more_alike(x: str, y: str, percent: int) -> Column:
+    n = MORE_BITS // 64
+    differ = sum((F.bit_count(F.col(f"{x}m{i}").bitwiseXOR(F.col(f"{y}m{i}"))) for i in range(n)), F.lit(0))
+    p = (1 - percent / 100) / 2
+    return differ <= MORE_BITS * p + MORE_SLACK * (MORE_BITS * p * (1 - p)) ** 0.5
+
+
+def more_bits(texts: DataFrame, k: int) -> DataFrame:
+    """``(id, m0, m1, ...)``: one bit of each of MORE_BITS sketch coordinates."""
+    n = MORE_BITS // 64
+
+    def run(batches):
+        for batch in K.parts(batches, "text", 1 << 20):
+            value, offs = K.shingles(*K.words(*K.text_buffer(batch["text"])), k)
+            for a in range(0, batch.num_rows, 512):
+                b = min(batch.num_rows, a + 512)
+                sketch = K.fast_sketch(value[offs[a] : offs[b]], offs[a : b + 1] - offs[a], MORE_BITS)
+                word = np.packbits((K.mix(sketch) & K.U(1)).astype(np.uint8), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), *(pa.array(np.ascontiguousarray(word[:, i])) for i in range(n))], names=["id", *(f"m{i}" for i in range(n))])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "id long, " + ", ".join(f"m{i} long" for i in range(n)))
+
+
+def verify_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those ``(a, b)`` whose full shingle sets have 100 * intersection >= percent * union."""
 
     def run(batches):
@@ -72,10 +99,8 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> Dat
                 keep[i] = 100 * shared >= percent * (len(both) - shared) and shared > 0
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep))
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).hint("merge")
+    tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")).hint("merge")
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -98,8 +123,8 @@ def near_duplicates(
     3. representatives that share a band meet in a bucket. Each is first paired with the bucket's smallest and largest
        id only (a star, not all pairs); pairs whose sketches allow it are verified on the full sets of their texts and
        give first components. Only in buckets that still hold several components are members of different components
-       compared, in blocks, and verified too. So a large bucket of copies costs one pair for each member, and links
-       between different texts of the same bucket are not lost;
+       compared, in blocks and by longer sketches, and verified too. So a large bucket of copies costs one pair for
+       each member, and links between different texts of the same bucket are not lost;
     4. components of the verified links give ``component_id``, the smallest reachable id.
 
     A pair at similarity s shares a band with probability ``1 - (1 - s**rows)**bands``: all but 5 in a million at 0.75.
@@ -115,7 +140,7 @@ def near_duplicates(
     reps = materialise(
         known.join(classes, (known.set_key == classes.set_key) & (known.doc_id == classes.class_id), "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")
     )
-    entries = reps.select("id", F.explode("bands").alias("bucket"))
+    entries = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
     hubs = entries.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low < high")
     members = materialise(entries.join(hubs, "bucket"))
     marks = reps.select("id", F.col("n_shingles").alias("n"), "b0", "b1", "b2", "b3")
@@ -123,7 +148,8 @@ def near_duplicates(
     star = star.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).groupBy("a", "b").agg(F.count("*").alias("votes"))
     star = star.join(marks.toDF("a", *(f"x{c}" for c in marks.columns[1:])), "a").join(marks.toDF("b", *(f"y{c}" for c in marks.columns[1:])), "b")
     star = materialise(star.where(_alike("x", "y", percent)).select("a", "b", "votes"))
-    texts = docs.where("doc_id is not null")
+    near = members.select(F.col("id").alias("doc_id")).distinct().hint("merge")  # grows with the documents: no broadcast
+    texts = materialise(docs.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     first = star.groupBy("a").agg(F.max_by("b", "votes").alias("b"))
     links = materialise(verify_pairs(first, texts, k, percent))
     found = components(links)
@@ -140,13 +166,17 @@ def near_duplicates(
     found = components(links)
     named = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("bucket")
-    left = named.join(mixed, "bucket", "left_semi").join(marks, "id")
-    left = materialise(left.select("id", "bucket", "component", "n", "b0", "b1", "b2", "b3", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    left = named.join(mixed, "bucket", "left_semi").join(reps.select("id", "bands", *(F.col(c) for c in marks.columns[2:]), F.col("n_shingles").alias("n")), "id")
+    left = materialise(left.select("id", "band", "bands", "bucket", "component", "n", "b0", "b1", "b2", "b3", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    near = left.select(F.col("id").alias("doc_id")).distinct().hint("merge")
+    left = left.join(more_bits(texts.join(near, "doc_id", "left_semi"), k), "id")
     x = left.select(*(F.col(c).alias(f"x{c}") for c in left.columns), F.pmod(F.hash("id"), F.col("blocks")).alias("xblock"))
     x = x.withColumn("yblock", F.explode(F.sequence(F.lit(0), F.col("xblocks") - 1)))
     y = left.select(*(F.col(c).alias(f"y{c}") for c in left.columns), F.pmod(F.hash("id"), F.col("blocks")).alias("block"))
     meet = (F.col("xbucket") == F.col("ybucket")) & (F.col("yblock") == F.col("block"))
-    rest = x.join(y, meet & (F.col("xcomponent") < F.col("ycomponent")) & _alike("x", "y", percent))
+    earlier = lambda side: F.slice(f"{side}bands", F.lit(1), F.col(f"{side}band"))
+    first_met = ~F.arrays_overlap(earlier("x"), earlier("y"))  # a pair comes out of the first of its common buckets
+    rest = x.join(y, meet & (F.col("xcomponent") < F.col("ycomponent")) & _alike("x", "y", percent) & _more_alike("x", "y", percent) & first_met)
     rest = materialise(rest.select(F.greatest("xid", "yid").alias("a"), F.least("xid", "yid").alias("b")).distinct())
     last = materialise(verify_pairs(rest, texts, k, percent))
     found = components(found.where("node <> component").toDF("a", "b").union(last))
