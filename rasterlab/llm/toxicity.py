@@ -76,14 +76,15 @@ def train(examples: DataFrame, rows: int = TRAIN_ROWS, shard_rows: int = SHARD_R
     def fit(group: pa.Table) -> pa.Table:
         group = group.sort_by([("h", "ascending"), ("text", "ascending")])
         label = group["label"].to_numpy()
-        place, row = features(group["text"].combine_chunks(), bits)
-        order = np.lexsort((place, row))
-        place, row = place[order], row[order]
-        new = np.ones(len(place), bool)
-        new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
-        new &= np.bincount(place[new], minlength=size)[place] >= min(MIN_DOCS, len(label))
-        place, row = place[new], row[new]
-        bounds = np.searchsorted(row, np.arange(len(label) + 1))
+        places, counts = [], []
+        for batch in K.parts(group.select(["text"]).combine_chunks().to_batches(), "text", 1 << 20):
+            place, row = features(batch["text"], bits)
+            pairs = np.unique((row << bits) | place)
+            places.append((pairs & (size - 1)).astype(np.int32))
+            counts.append(np.bincount(pairs >> bits, minlength=batch.num_rows))
+        place, row = np.concatenate(places), np.repeat(np.arange(len(label)), np.concatenate(counts))
+        common = np.bincount(place, minlength=size)[place] >= min(MIN_DOCS, len(label))
+        place, bounds = place[common], np.searchsorted(row[common], np.arange(len(label) + 1))
         rare = max(1, int((label == 1).sum()))
         weight = 2 * math.sqrt(max(0.25, (len(label) - rare) / rare))
         model = Ftrl(size + 1, L1_SCALE * math.sqrt(len(label)))
@@ -132,7 +133,14 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, text, label)`` of the labelled documents outside the held-out fold; toxic wins where labels differ."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    return docs.where(~held_out()).select("doc_id", "text").join(known, "doc_id")
+def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """``(doc_id, text, label)`` of labelled documents outside the held-out fold; toxic wins where labels differ.
+
+    About ``rows`` labels at most, by the hash of their id, are drawn before any text is read: the draw is bounded and
+    broadcast, and the texts of the other documents don't move.
+    """
+    known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    n = known.count()
+    if n > rows:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < rows)
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
