@@ -197,7 +197,7 @@ def test_metrics_by_hand(spark):
 def test_published_means_agree():
     from rasterlab.config import BASELINE_IOU
 
-    assert round(sum(BASELINE_IOU) / 5, 2) == 65.05 or abs(sum(BASELINE_IOU) / 5 - 65.06) < 0.03
+    assert abs(sum(BASELINE_IOU) / 5 - 65.06) < 0.03  # the published mean; the class values are rounded
     assert len(CLASS_NAMES) == 5
 
 
