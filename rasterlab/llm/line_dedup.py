@@ -132,11 +132,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sorts first and is a document of its own for each text. Columns named ``removed_lines`` or ``removed_words`` are
     replaced, all others pass through.
     """
-    base = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    others = [c for c in docs.columns if c != text_col]
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     base = base.withColumn("k", F.xxhash64(F.col("text")))
     chunks = materialise(_chunks(base))
-    place = F.struct("id", "k", "start", "prev", "next")
-    kept = chunks.groupBy("chunk", "n").agg(F.count("*").alias("places"), F.min(place).alias("keep")).where("places > 1").drop("places")
+    repeated = chunks.groupBy("chunk", "n").agg(F.count("*").alias("places")).where("places > 1").select("chunk", "n").hint("merge")
+    chunks = materialise(chunks.join(repeated, ["chunk", "n"], "left_semi"))
+    kept = chunks.groupBy("chunk", "n").agg(F.min(F.struct("id", "k", "start", "prev", "next")).alias("keep"))
     marked = chunks.join(kept, ["chunk", "n"]).where(~(F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("k") == F.col("keep.k")) & (F.col("start") == F.col("keep.start"))))
     left = _alike(F.reverse("prev"), F.reverse("keep.prev"))
     marked = marked.withColumn("left", left).withColumn("right", _alike(F.col("next"), F.col("keep.next")))
