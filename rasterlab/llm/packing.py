@@ -18,8 +18,6 @@ from rasterlab.llm import kernels as K
 WINDOW, END_ID, SHARD_BYTES = 2048, 1, 8 << 20
 #: Terms are hashed into 2**TERM_BITS places, so the document frequencies have a fixed size (1 MB).
 TERM_BITS, K1, B = 18, 1.2, 0.75
-#: A term in more than this share of a shard's documents tells them apart too little to be looked up.
-COMMON = 0.25
 #: Pieces whose ids are remembered in a worker.
 REMEMBERED = 1 << 20
 
@@ -226,7 +224,6 @@ class Shard:
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with ``seed``, best first; equal scores in the shard's order."""
         terms = self.of[self.bounds[seed] : self.bounds[seed + 1]]
-        terms = terms[self.size[terms] <= max(2, COMMON * self.n)]
         size = self.size[terms]
         at = np.repeat(self.begin[terms] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         score = np.bincount(self.doc[at], self.weight[at], self.n)
@@ -261,7 +258,7 @@ def _windows(shard: Shard, bounds: np.ndarray, room: int) -> Iterator[tuple[int,
             if room == 0:
                 room, cut = WINDOW, True
         if cut or not queue:  # the window holds the end of this document first: it is the seed
-            queue = shard.neighbours(doc, unused)[:256][::-1].tolist() if room < WINDOW else []
+            queue = shard.neighbours(doc, unused)[::-1].tolist() if room < WINDOW else []
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:

@@ -303,3 +303,18 @@ def test_neighbours_are_ranked_by_bm25():
     idf = np.log1p((5 - df + 0.5) / (df + 0.5)).astype(np.float32)
     found = PK.Shard(first, place, idf, 2.6).neighbours(0, np.array([False, True, True, True, True]))
     assert found.tolist()[:1] == [1] and 2 not in found
+
+
+def test_frequent_terms_and_late_neighbours_count():
+    texts = ["shared"] * 300 + ["other"] * 100
+    _, first, place = PK._terms(pa.array(texts))
+    shard = PK.Shard(first, place, np.ones(1 << PK.TERM_BITS, np.float32), 1.0)
+    unused = np.ones(400, bool)
+    unused[0] = False
+    assert shard.neighbours(0, unused).tolist() == list(range(1, 300))
+    order = [d for d, *_ in PK._windows(shard, np.arange(401), 2048)]
+    assert order == list(range(400))
+    mixed = PK._terms(pa.array(["shared"] + ["other", "shared"] * 299 + ["other"]))
+    shard = PK.Shard(mixed[1], mixed[2], np.ones(1 << PK.TERM_BITS, np.float32), 1.0)
+    order = [d for d, *_ in PK._windows(shard, np.arange(601), 2048)]
+    assert order[:300] == [0, *range(2, 600, 2)]
