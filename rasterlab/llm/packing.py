@@ -9,15 +9,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from rasterlab.llm import kernels as K
+from rasterlab.llm.shared import materialise, shared_dir
 
 #: Tokens of a window; the id that ends a document; text bytes of a shard of the index, which bounds a task's memory.
 WINDOW, END_ID, SHARD_BYTES = 2048, 1, 8 << 20
 #: Terms are hashed into 2**TERM_BITS places, so the document frequencies have a fixed size (1 MB).
 TERM_BITS, K1, B = 18, 1.2, 0.75
+#: Seeds of a search task, documents of its step, terms that it multiplies as a matrix; neighbours a lookup asks for, and at most.
+SEEDS, DOCS, FREQUENT, BEST, MOST = 1024, 2048, 512, 64, 4096
 #: Pieces whose ids are remembered in a worker.
 REMEMBERED = 1 << 20
 
@@ -210,9 +214,18 @@ class Shard:
     """An inverted index over the documents of one shard, with BM25 weights from the statistics of all."""
 
     def __init__(self, first: np.ndarray, place: np.ndarray, idf: np.ndarray, mean: float):
-        self.n = len(first) - 1
-        row, term, tf = _grouped(place, first)
-        length = np.diff(first)[row]
+        self._build(np.diff(first), *_grouped(place, first), idf, mean)
+
+    @classmethod
+    def of_counts(cls, words: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, mean: float) -> Shard:
+        """The index of documents whose terms are counted already."""
+        out = cls.__new__(cls)
+        out._build(words, row, term, tf, idf, mean)
+        return out
+
+    def _build(self, words: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, mean: float) -> None:
+        self.n = len(words)
+        length = words[row]
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-9)))
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = row[order], weight[order]
@@ -265,17 +278,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     """``(doc_id, start, length, ids, doc_tokens, sequence_id, offset)``: the pieces of all documents in windows.
 
     ``ids`` are the piece's token ids as little-endian 32-bit words. Documents are ordered by MinHashes of their words,
-    which brings alike ones together, and dealt out by ranges of that order and the id, so that a large group of copies
-    is spread over tasks. A task streams through its range in shards of ``shard_bytes`` of text. Each shard is an
-    inverted index with BM25 weights whose document frequencies come from all documents. A window's seed is the
-    document that runs over from the window before, or the shard's next; the unused documents that score best for it
-    follow until the window is full, and the last is cut there. When nothing unused shares a term with the seed, the
-    next document becomes the seed.
-
-    So only the last window of a task is not full. It is cut at powers of two from the largest down, which need no
-    padding: every sequence holds 2048 tokens or a smaller power of two. Each id is in exactly one piece, and a
-    document's pieces come in order. Null and empty texts are the end id alone. Repeated rows are packed as often as
-    they occur; a null id stays null. Other columns are ignored.
+    encoded once, and written with their terms. Windows are then filled in rounds (``_rounds``): each seed is scored by
+    BM25 against every unused document of the corpus, with document frequencies of all. A document goes to the seed
+    that scores it best, a seed takes its documents best first until its window is full, and the last is cut there;
+    what is left of it is preferred as a seed of the next round. A document longer than a window fills windows of its
+    own first, and its rest is a seed.
+
+    When the rest is a shard of ``shard_bytes`` at most, one task packs it by the same scores, one seed after another.
+    Where no seed's window can be filled any more, the rest is packed in shards in the order of the MinHashes, and so
+    are texts without a word. Only the last window of such a task is not full. It is cut at powers of two from the
+    largest down, which need no padding: every sequence holds 2048 tokens or a smaller power of two. Each id is in
+    exactly one piece, and a document's pieces come in order. Null and empty texts are the end id alone. Repeated rows
+    are packed as often as they occur; a null id stays null. Other columns are ignored.
     """
     spark = docs.sparkSession
     path = tokenizer or default_tokenizer()
@@ -293,48 +307,295 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 out.append(np.where(np.diff(first) > 0, low, K.U(0)).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], *map(pa.array, out)], names=["doc_id", "text", "m1", "m2"])
 
-    def run(batches):
-        encoder = _encoder(path)
-        base = TaskContext.get().partitionId() << 32
-        sequence, room = 0, WINDOW
-        held: list[list] = []  # pieces of the window that is being filled
-
-        def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            nonlocal sequence, room, held
-            table = pa.Table.from_batches(parts)
-            ids_of, text = table["doc_id"].to_pylist(), table["text"].combine_chunks()
-            tokens, bounds = encoder.encode_all(text)
-            _, first, place = _terms(text)
-            shard, out = Shard(first, place, idf.value, mean), []
-            for doc, a, b, full in _windows(shard, bounds, room):
-                piece = tokens[bounds[doc] + a : bounds[doc] + b]
-                held.append([ids_of[doc], a, b - a, piece.astype("<u4").tobytes(), int(bounds[doc + 1] - bounds[doc]), base + sequence, WINDOW - room])
-                room -= b - a
-                if full:
-                    out += held
-                    held, room, sequence = [], WINDOW, sequence + 1
-                if len(out) >= 2000:
-                    yield _pieces(out)
-                    out = []
-            if out:
-                yield _pieces(out)
-
-        waiting, size = [], 0
-        for batch in K.parts(batches, "text", shard_bytes // 4):
-            waiting.append(batch.select(["doc_id", "text"]))
-            size += batch["text"].nbytes
-            if size >= shard_bytes:
-                yield from flush(waiting)
-                waiting, size = [], 0
-        if waiting:
-            yield from flush(waiting)
-        if held:
-            yield _pieces(_cut_last(held, base + sequence))
+    def encode(batches):
+        encoder, part, at = _encoder(path), TaskContext.get().partitionId(), 0
+        for batch in K.parts(batches, "text", 1 << 20):
+            tokens, bounds = encoder.encode(batch["text"].to_pylist())
+            _, first, place = _terms(batch["text"])
+            row, term, tf = _grouped(place, first)
+            terms = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            m = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(m, part, np.int64)), pa.array(np.arange(at, at + m)), batch["doc_id"], pa.array(np.diff(bounds)), pa.array(np.diff(first).astype(np.int64)), _blobs(term, terms), _blobs(tf, terms), _blobs(tokens, bounds)],
+                names=["part", "at", "doc_id", "size", "words", "terms", "tf", "ids"],
+            )
+            at += m
 
     rows = docs.mapInArrow(keys, "doc_id long, text string, m1 long, m2 long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, "m1", "m2", "doc_id").sortWithinPartitions("m1", "m2", "doc_id")
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    folder = shared_dir(spark)
+    rows.select("doc_id", "text").mapInArrow(encode, "part long, at long, doc_id long, size long, words long, terms binary, tf binary, ids binary").write.parquet(folder)
+    table = spark.read.parquet(folder)
+    counts = {r.part: r.n for r in table.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    base = np.zeros(max(counts, default=-1) + 2, np.int64)
+    for p, c in counts.items():
+        base[p + 1] = c
+    base = np.cumsum(base)
+    uid = F.element_at(F.lit(base.tolist()), (F.col("part") + 1).cast("int")) + F.col("at")
+    table = table.withColumn("uid", uid)
+    frequent = np.sort(np.argsort(-df, kind="stable")[:FREQUENT])
+    placed, left, alone = _rounds(table, folder, base, idf, frequent, mean, shard_bytes)
+
+    def rest(kind):
+        def run(batches):
+            origin = (kind << 54) | (TaskContext.get().partitionId() << 32)
+            sequence, room = 0, WINDOW
+            held: list[list] = []  # pieces of the window that is being filled
+
+            def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                nonlocal sequence, room, held
+                x = pa.Table.from_batches(parts).combine_chunks()
+                uids, start = x["uid"].to_numpy(), x["start"].to_numpy()
+                words, terms = x["words"].to_numpy(), x["terms"].combine_chunks()
+                size = np.concatenate([[0], np.cumsum(x["size"].to_numpy())])
+                shard, out = Shard.of_counts(words, *_unblob(terms, x["tf"].combine_chunks()), idf.value, mean), []
+                for doc, a, b, full in _windows(shard, size, room):
+                    held.append([int(uids[doc]), int(start[doc]) + a, b - a, origin + sequence, WINDOW - room])
+                    room -= b - a
+                    if full:
+                        out += held
+                        held, room, sequence = [], WINDOW, sequence + 1
+                if out:
+                    yield _placements(out)
+
+            waiting, held_bytes = [], 0
+            for batch in K.parts(batches, "terms", shard_bytes // 4):
+                waiting.append(batch)
+                held_bytes += batch["terms"].nbytes
+                if held_bytes >= shard_bytes:
+                    yield from flush(waiting)
+                    waiting, held_bytes = [], 0
+            if waiting:
+                yield from flush(waiting)
+            if held:
+                yield _placements(_cut_last(held, origin + sequence))
+
+        return run
+
+    narrow = table.select("uid", "words", "terms", "tf")
+    some = left.where("words > 0").select("uid", "start", "size").join(narrow, "uid")
+    some = some.coalesce(1).sortWithinPartitions("uid") if alone else some.repartitionByRange(parts, "uid").sortWithinPartitions("uid")
+    none = left.where("words = 0").select("uid", "start", "size").join(narrow, "uid").repartitionByRange(parts, "uid").sortWithinPartitions("uid")
+    for kind, x in ((510, some), (511, none)):
+        placed = placed.union(x.select("uid", "start", "size", "words", "terms", "tf").mapInArrow(rest(kind), _PLACED))
+    pieces = materialise(placed).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "length", "sequence_id", "offset"))).alias("pieces"))
+
+    def cut(batches):
+        for batch in K.parts(batches, "ids"):
+            out = []
+            for i in range(batch.num_rows):
+                ids, doc, size = batch["ids"][i].as_buffer(), batch["doc_id"][i].as_py(), batch["size"][i].as_py()
+                for p in batch["pieces"][i].as_py():
+                    out.append([doc, p["start"], p["length"], ids.slice(4 * p["start"], 4 * p["length"]).to_pybytes(), size, p["sequence_id"], p["offset"]])
+                    if len(out) >= 2000:
+                        yield _pieces(out)
+                        out = []
+            if out:
+                yield _pieces(out)
+
+    whole = table.select("uid", "doc_id", "size", "ids").join(pieces, "uid").select("doc_id", "size", "ids", "pieces")
+    return whole.mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+
+
+_PLACED = "uid long, start long, length long, sequence_id long, offset long"
+
+
+def _placements(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*rows, strict=True)], names=["uid", "start", "length", "sequence_id", "offset"])
+
+
+def _blobs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Each row's values as little-endian 32-bit words."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(values.astype("<i4"))])
+
+
+def _unblob(*columns: pa.Array) -> tuple[np.ndarray, ...]:
+    """Row numbers of the values, and the values of each column."""
+    size = np.array([len(x) // 4 for x in columns[0].to_pylist()], np.int64)
+    values = [np.frombuffer(b"".join(x.to_pylist()), "<i4").astype(np.int64) for x in columns]
+    return np.repeat(np.arange(len(size)), size), *values
+
+
+def _bits(left: DataFrame, n: int) -> np.ndarray:
+    """What each document is in this round: 0 used, 1 unused, 2 a seed; 64 documents arrive as a row of two words."""
+    bit = F.expr("shiftleft(1L, cast(pmod(uid, 64) as int))")
+    words = left.where("words > 0").groupBy(F.expr("uid div 64").alias("w")).agg(F.bit_or(bit).alias("a"), F.bit_or(F.when(F.col("seed"), bit).otherwise(F.lit(0).cast("long"))).alias("s"))
+    out = np.zeros((2, n // 64 + 1), np.int64)
+    for r in words.toLocalIterator():
+        out[:, r.w] = r.a, r.s
+    a, s = np.unpackbits(out.view(np.uint8), axis=1, bitorder="little")
+    return a + s
+
+
+def search(table: DataFrame, folder: str, state: np.ndarray, base: np.ndarray, idf, frequent: np.ndarray, mean: float, best: int) -> DataFrame:
+    """``(seed, doc, score)``: for each seed the ``best`` unused documents of the whole corpus by BM25.
+
+    A task holds a block of seeds and streams the terms of all documents past it, so its memory is bounded and the
+    rows it makes are ``best`` times its seeds; the work is seeds times documents. The most frequent terms are
+    multiplied as a matrix, the others through an index of the block's seeds; all of them count. Equal scores are
+    parted by noise of a hundred-thousandth, so that seeds of one group of copies don't all ask for the same ones.
+    """
+    spark = table.sparkSession
+    shared = spark.sparkContext.broadcast(state)
+    column = np.full(1 << TERM_BITS, -1, np.int64)
+    column[frequent] = np.arange(len(frequent))
+    columns = spark.sparkContext.broadcast(column)
+
+    def seeds_of(batches):
+        for batch in batches:
+            u = base[batch["part"].to_numpy()] + batch["at"].to_numpy()
+            on = pa.array(np.flatnonzero(shared.value[u] == 2))
+            yield pa.RecordBatch.from_arrays([pa.array(u).take(on), batch["terms"].take(on)], names=["uid", "terms"])
+
+    def run(batches):
+        for block in batches:
+            for at in range(0, block.num_rows, SEEDS):
+                x = block.slice(at, SEEDS)
+                yield from _best(x["uid"].to_numpy(), x["terms"], folder, shared.value, base, idf.value, columns.value, mean, best)
+
+    blocks = max(1, -(-int((state == 2).sum()) // SEEDS))
+    seeds = table.select("part", "at", "terms").mapInArrow(seeds_of, "uid long, terms binary").repartition(blocks)
+    gathered = lambda batches: run([x.to_batches()[0]] if (x := pa.Table.from_batches(list(batches), pa.schema([("uid", pa.int64()), ("terms", pa.binary())])).combine_chunks()).num_rows else [])
+    return materialise(seeds.mapInArrow(gathered, "seed long, doc long, score float"))
+
+
+def _best(uids: np.ndarray, terms: pa.Array, folder: str, state: np.ndarray, base: np.ndarray, idf: np.ndarray, column: np.ndarray, mean: float, best: int) -> Iterator[pa.RecordBatch]:
+    import pyarrow.parquet as pq
+
+    b = len(uids)
+    row, term = _unblob(terms)
+    dense = column[term] >= 0
+    wide = int(column.max()) + 1
+    query = np.zeros((b, wide), np.float32)
+    query[row[dense], column[term[dense]]] = 1
+    row, term = row[~dense], term[~dense]
+    order = np.argsort(term, kind="stable")
+    row, count = row[order], np.bincount(term, minlength=1 << TERM_BITS)
+    begin = np.cumsum(count) - count
+    noise = 1 + np.random.Generator(np.random.PCG64(int(uids[0]))).random((b, DOCS), np.float32) * np.float32(1e-5)
+    limit = np.zeros(b, np.float32)
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    waiting = 0
+
+    def trim():
+        nonlocal kept, waiting
+        s, d, v = (np.concatenate(x) for x in zip(*kept, strict=True))
+        order = np.lexsort((d, -v, s))
+        s, d, v = s[order], d[order], v[order]
+        rank = np.arange(len(s)) - np.searchsorted(s, s)
+        on = rank < best
+        limit[s[rank == best - 1]] = v[rank == best - 1]
+        kept = [(s[on], d[on], v[on])]
+        waiting = 0
+
+    fs, root = pafs.FileSystem.from_uri(folder)
+    for info in fs.get_file_info(pafs.FileSelector(root)):
+        if not info.path.endswith(".parquet"):
+            continue
+        with fs.open_input_file(info.path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(DOCS, columns=["part", "at", "words", "terms", "tf"]):
+                u = base[batch["part"].to_numpy()] + batch["at"].to_numpy()
+                on = pa.array(np.flatnonzero(state[u] == 1))
+                if not len(on):
+                    continue
+                u, m = u[on.to_numpy()], len(on)
+                doc, t, tf = _unblob(batch["terms"].take(on), batch["tf"].take(on))
+                length = batch["words"].take(on).to_numpy()[doc]
+                w = (idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-9)))).astype(np.float32)
+                c = column[t]
+                d = c >= 0
+                matrix = np.zeros((wide, m), np.float32)
+                matrix[c[d], doc[d]] = w[d]
+                score = query @ matrix
+                on = ~d & (count[t] > 0)
+                doc, t, w = doc[on], t[on], w[on]
+                total = np.cumsum(count[t])
+                a = 0
+                while a < len(t):  # in steps of bounded size
+                    z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + (1 << 21), "right")))
+                    n = count[t[a:z]]
+                    at = np.arange(n.sum()) + np.repeat(begin[t[a:z]] - (np.cumsum(n) - n), n)
+                    flat = row[at] * m + np.repeat(doc[a:z], n)
+                    score += np.bincount(flat, np.repeat(w[a:z], n), b * m).reshape(b, m).astype(np.float32)
+                    a = z
+                score *= noise[:, :m]
+                if best < m and (score > limit[:, None]).sum() > 2 * b * best:
+                    top = np.argpartition(-score, best, axis=1)[:, :best]
+                    s = np.repeat(np.arange(b), best)
+                    hit = top.ravel()
+                    on = score[s, hit] > limit[s]
+                    s, hit = s[on], hit[on]
+                else:
+                    s, hit = np.nonzero(score > limit[:, None])
+                kept.append((s, u[hit], score[s, hit]))
+                waiting += len(s)
+                if waiting > b * best:
+                    trim()
+    if kept:
+        trim()
+        s, d, v = kept[0]
+        for a in range(0, len(s), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(uids[s[a : a + (1 << 16)]]), pa.array(d[a : a + (1 << 16)]), pa.array(v[a : a + (1 << 16)])], names=["seed", "doc", "score"])
+
+
+def _rounds(table: DataFrame, folder: str, base: np.ndarray, idf, frequent: np.ndarray, mean: float, shard_bytes: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Full windows' pieces, what is left ``(uid, start, size, words)``, and whether that fits one shard.
+
+    Seeds are about half as many as windows are left, so each finds several documents. Only full windows count; the
+    documents of a seed whose window isn't full are free again for the others and for the next round. Where few
+    windows fill up, the next lookup asks for more neighbours.
+    """
+    sizes = table.select("uid", "size", "words")
+    own = F.expr(f"size div {WINDOW}")
+    k = sizes.where(own > 0).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), own - 1)))
+    placed = materialise(k.select("uid", (F.col("k") * WINDOW).alias("start"), F.lit(WINDOW).cast("long").alias("length"), (F.shiftleft("uid", 20) + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+    left = sizes.select("uid", (own * WINDOW).alias("start"), (F.col("size") - own * WINDOW).alias("size"), "words").where("size > 0")
+    best = BEST
+    for number in range(1, 500):
+        # the state of a round is written, so that its lineage doesn't grow
+        left = materialise(left)
+        tokens, docs, tails = left.where("words > 0").agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*"), F.count_if(F.col("start") > 0)).first()
+        if 4 * tokens <= shard_bytes:
+            return placed, left, True
+        wanted = max(1.0, tokens / WINDOW / 2)
+        from_tails = min(1.0, wanted / max(1, tails))
+        others = max(0.0, wanted - tails) / max(1, docs - tails)
+        draw = F.pmod(F.xxhash64("uid", F.lit(number)), F.lit(1 << 30)) / float(1 << 30)
+        now = left.withColumn("seed", (F.col("words") > 0) & (draw < F.when(F.col("start") > 0, from_tails).otherwise(others)))
+        state = _bits(now, int(base[-1]))
+        found = search(table, folder, state, base, idf, frequent, mean, best)
+        room = now.where("seed").select(F.col("uid").alias("seed"), (WINDOW - F.col("size")).alias("room"))
+        size = now.where("not seed").select(F.col("uid").alias("doc"), "start", "size")
+        free = found.join(size, "doc").join(room, "seed")
+        taken = []
+        for _ in range(3):
+            mine = free.withColumn("best", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("score"), "seed"))).where("best = 1")
+            before = F.coalesce(F.sum("size").over(Window.partitionBy("seed").orderBy(F.desc("score"), "doc").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            mine = mine.withColumn("before", before).where("before < room")
+            full = mine.withColumn("all", F.sum("size").over(Window.partitionBy("seed"))).where("all >= room")
+            full = materialise(full.select("seed", "doc", "start", "size", "room", "before"))
+            taken.append(full)
+            free = free.join(full.select("doc"), "doc", "left_anti").join(full.select("seed").distinct(), "seed", "left_anti")
+        full = taken[0].union(taken[1]).union(taken[2])
+        sequence = F.lit(number << 54) + F.col("seed")
+        length = F.least("size", F.col("room") - F.col("before"))
+        pieces = full.select(F.col("doc").alias("uid"), "start", length.alias("length"), sequence.alias("sequence_id"), (WINDOW - F.col("room") + F.col("before")).alias("offset"))
+        opened = full.select(F.col("seed").alias("uid"), "room").distinct()
+        heads = opened.join(now, "uid").select("uid", "start", F.col("size").alias("length"), F.lit(0).cast("long").alias("offset"))
+        heads = heads.select("uid", "start", "length", (F.lit(number << 54) + F.col("uid")).alias("sequence_id"), "offset")
+        done = materialise(pieces.union(heads))
+        used = done.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        if not used and best >= docs:
+            return placed, left, False
+        best = min(MOST, 4 * best) if not used else min(MOST, 2 * best) if 8 * used < tokens else best
+        if not used and best == MOST and best < docs:
+            return placed, left, False
+        placed = placed.union(done)
+        took = done.select("uid", F.col("length").alias("taken"))
+        left = left.join(took, "uid", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+        left = left.select("uid", (F.col("start") + F.col("taken")).alias("start"), (F.col("size") - F.col("taken")).alias("size"), "words").where("size > 0")
+    return placed, left, False
 
 
 def _encoder(path: str) -> Encoder:
@@ -348,11 +609,11 @@ def _cut_last(held: list[list], sequence: int) -> list[list]:
     """The pieces of a window that isn't full, in sequences of falling powers of two."""
     left = sum(x[2] for x in held)
     out, room, offset = [], 1 << (left.bit_length() - 1), 0
-    for doc, start, length, ids, tokens, *_ in held:
+    for doc, start, length, *_ in held:
         at = 0
         while at < length:
             take = min(length - at, room)
-            out.append([doc, start + at, take, ids[4 * at : 4 * (at + take)], tokens, sequence, offset])
+            out.append([doc, start + at, take, sequence, offset])
             at, room, offset, left = at + take, room - take, offset + take, left - take
             if room == 0 and left:
                 room, offset, sequence = 1 << (left.bit_length() - 1), 0, sequence + 1

@@ -318,3 +318,36 @@ def test_frequent_terms_and_late_neighbours_count():
     shard = PK.Shard(mixed[1], mixed[2], np.ones(1 << PK.TERM_BITS, np.float32), 1.0)
     order = [d for d, *_ in PK._windows(shard, np.arange(601), 2048)]
     assert order[:300] == [0, *range(2, 600, 2)]
+
+
+def test_packing_searches_the_whole_corpus(spark, prose, monkeypatch):
+    monkeypatch.setattr(PK, "SEEDS", 7)
+    monkeypatch.setattr(PK, "DOCS", 16)
+    monkeypatch.setattr(PK, "FREQUENT", 20)
+    texts = [" ".join(prose.words(prose.random.randrange(120, 300))) for _ in range(150)] + ["one"]
+    lookups, original = [], PK.search
+
+    def watched(table, folder, state, *rest):
+        out = original(table, folder, state, *rest)
+        lookups.append((table.collect(), state, out.collect(), rest))
+        return out
+
+    monkeypatch.setattr(PK, "search", watched)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rows = PK.pack(df, shard_bytes=4000).collect()
+    check_pieces(rows, texts)
+    assert len(lookups) > 1
+    _, first, place = PK._terms(pa.array(texts))
+    row, term, tf = PK._grouped(place, first)
+    df = np.bincount(term, minlength=1 << PK.TERM_BITS)
+    idf = np.log1p((len(texts) - df + 0.5) / (df + 0.5))
+    shard = PK.Shard(first, place, idf, len(place) / len(texts))
+    table, state, found, _ = lookups[0]
+    doc_of = {r.uid: r.doc_id for r in table}
+    seeds = [r.uid for r in table if state[r.uid] == 2]
+    unused = np.zeros(len(texts), bool)
+    unused[[doc_of[u] for u in doc_of if state[u] == 1]] = True
+    for s in seeds:
+        wanted = shard.neighbours(doc_of[s], unused)[:10]
+        got = sorted((r for r in found if r.seed == s), key=lambda r: -r.score)[:10]
+        assert len({doc_of[r.doc] for r in got} & set(wanted.tolist())) >= len(wanted) - 1
