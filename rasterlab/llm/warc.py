@@ -98,9 +98,11 @@ def _head(lines: bytes) -> dict[str, str]:
 
 def _one(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     """The record at ``at`` of an uncompressed archive: its head, block and end; or what is wrong with it."""
-    stop = data.find(b"\r\n\r\n", at, at + (1 << 16))
-    if not data.startswith(_VERSION, at) or stop < 0:
-        return "no version line" if stop >= 0 else "no end of the head"
+    if not data.startswith(_VERSION, at):
+        return "no version line"
+    stop = data.find(b"\r\n\r\n", at)
+    if stop < 0:
+        return "no end of the head"
     head = _head(data[at:stop])
     if not head.get("content-length", "").isdigit():
         return "no content length"

@@ -153,3 +153,11 @@ def test_damaged_archives_in_spark(spark, tmp_path):
     (tmp_path / "b.warc").write_bytes(b"".join(records(2)))
     out = W.read_archives(spark, f"file://{tmp_path}")
     assert out.where("kind = 'record'").count() == 7 and out.where("kind = 'gap'").first().reason
+
+
+def test_warc_keeps_a_page_with_a_long_url(spark):
+    url = "data:text/html," + "x" * 100_000
+    df = spark.createDataFrame([(1, url, "<p>a</p>"), (2, "u", "<p>b</p>")], "page_id long, url string, html string")
+    folder, names = W.archive_pages(df)
+    got = {r.page_id: r for r in W.read_archives(spark, folder, names).collect()}
+    assert got.keys() == {1, 2} and got[1].kind == "record" and got[1].url == url
