@@ -116,42 +116,75 @@ def _one(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     return head, block, begin + size + 4
 
 
-def _member(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
-    """The gzip member at ``at`` and its end; it is fed in slices, so that what follows it is not copied."""
+def _member(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, str | None]:
+    """The gzip member at ``at`` as far as it reads, its end (0 where it fails) and what is wrong with it.
+
+    It is fed in slices, so that what follows it is not copied; a slice that fails is fed again byte by byte.
+    """
     unzip, plain = zlib.decompressobj(31), []
     while not unzip.eof:
         if at >= len(data):
-            raise EOFError("the member is cut off")
-        plain.append(unzip.decompress(data[at : at + step]))
+            return b"".join(plain) + unzip.flush(), 0, "the member is cut off"
+        before = unzip.copy()
+        try:
+            plain.append(unzip.decompress(data[at : at + step]))
+        except zlib.error as e:
+            try:
+                for i in range(at, min(at + step, len(data))):
+                    plain.append(before.decompress(data[i : i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(plain), 0, str(e)
         at += step
-    return b"".join(plain), min(at, len(data)) - len(unzip.unused_data)
+    return b"".join(plain), min(at, len(data)) - len(unzip.unused_data), None
+
+
+def _inside(plain: bytes) -> tuple[list[tuple], list[str], bool]:
+    """The records of decompressed bytes, what is wrong between them, and whether the last bytes are such a gap."""
+    found, wrong, place, lost = [], [], 0, False
+    while place < len(plain):
+        one = _one(plain, place)
+        if isinstance(one, str):
+            if not lost:
+                wrong.append(one)
+            lost = True
+            following = plain.find(_VERSION, place + 1)
+            place = following if following >= 0 else len(plain)
+        else:
+            found.append(one[:2])
+            place, lost = one[2], False
+    return found, wrong, lost
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
     """``("record", start, end, head, block)`` and ``("gap", start, end, reason)`` over a whole archive, in order.
 
     Members are checked by gzip's own checksum, records by their length, end and block digest. After a failed check
-    the reader searches for the next member or version line that reads well; what lies between is a gap.
+    the reader searches for the next member or version line that reads well; what lies between is a gap. Where a
+    member fails, or a record in it, the version lines of what could be decompressed are searched too: records that
+    check out are kept, with the member's place, and each stretch between them is a gap of the same place. Of a member
+    that fails, only records with a block digest count, as no checksum covers the others.
     """
     at, gap, reason = 0, None, ""
     mark = _GZIP if data.startswith(_GZIP) or data.find(_GZIP) >= 0 and not data.startswith(_VERSION) else _VERSION
     while at < len(data):
-        found = None
+        found, wrong = None, []
         if mark == _VERSION:
             found = _one(data, at)
             found = found if isinstance(found, str) else ([found[:2]], found[2])
         elif not data.startswith(_GZIP, at):
             found = "no member"
         else:
-            try:
-                plain, after = _member(data, at)
-                inside, place, one = [], 0, "an empty member"
-                while place < len(plain) and not isinstance(one := _one(plain, place), str):
-                    inside.append(one[:2])
-                    place = one[2]
-                found = (inside, after) if inside and place == len(plain) else one
-            except (zlib.error, EOFError) as e:
-                found = str(e)
+            plain, after, failed = _member(data, at)
+            inside, wrong, lost = _inside(plain)
+            if failed is not None:
+                inside = [x for x in inside if x[0].get("warc-block-digest", "").startswith("sha256:")]
+                wrong = [*(wrong[:-1] if lost else wrong), failed]
+                following = data.find(mark, at + 1)
+                while 0 <= following < len(data) and not _member(data, following)[0].startswith(_VERSION):
+                    following = data.find(mark, following + 1)
+                after = following if following >= 0 else len(data)
+            found = (inside, after) if inside else wrong[0] if wrong else "an empty member"
         if isinstance(found, str):
             if gap is None:
                 gap, reason = at, found
@@ -163,13 +196,13 @@ def salvage(data: bytes) -> Iterator[tuple]:
             gap = None
         for head, block in found[0]:
             yield "record", at, found[1], head, block
+        for x in wrong:
+            yield "gap", at, found[1], x
         at = found[1]
     if gap is not None:
         yield "gap", gap, len(data), reason
 
 
-
-
 def read_archives(spark: SparkSession, folder: str, names: DataFrame | None = None) -> DataFrame:
     """All records and gaps of the archives in ``folder``: ``kind`` is ``record`` or ``gap``.
 

@@ -161,3 +161,20 @@ def test_warc_keeps_a_page_with_a_long_url(spark):
     folder, names = W.archive_pages(df)
     got = {r.page_id: r for r in W.read_archives(spark, folder, names).collect()}
     assert got.keys() == {1, 2} and got[1].kind == "record" and got[1].url == url
+
+
+def test_salvage_inside_gzip_members():
+    parts = records(200)
+    bad = bytearray(b"".join(parts[:6]))
+    bad[len(parts[0]) + len(parts[1]) - 60] ^= 1  # a record inside a member that reads well
+    found, gaps = ids(gzip.compress(bytes(bad), mtime=0) + gzip.compress(parts[7], mtime=0))
+    assert found == [0, 2, 3, 4, 5, 7] and [g[2] for g in gaps] == ["wrong block digest"]
+    one = gzip.compress(b"".join(parts), mtime=0)
+    found, gaps = ids(one[: len(one) * 3 // 4])  # one stream, cut off
+    assert found == list(range(len(found))) and 100 < len(found) < 200 and gaps[0][2] == "the member is cut off"
+    found, gaps = ids(one[:-8] + bytes(4) + one[-4:])  # its checksum is wrong
+    assert found == list(range(200)) and len(gaps) == 1
+    hurt = bytearray(one)
+    hurt[len(one) // 2] ^= 0xFF
+    found, gaps = ids(bytes(hurt) + gzip.compress(parts[0], mtime=0))
+    assert found[-1] == 0 and found[:50] == list(range(50)) and gaps
