@@ -8,7 +8,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterlab.config import CLASS_NAMES, BASELINE_IOU, LossConfig
+from rasterlab.config import CLASS_NAMES, BASELINE_IOU, EvalConfig, LossConfig
 from rasterlab.functions import arrays as A, keyed
 from rasterlab.functions.arrays import r6
 from rasterlab.operators import augment as AU, infer as IN, losses as L, metrics as M, postproc as PP, prep as P
@@ -674,7 +674,7 @@ def cohens_kappa(spark, sf):
     return M.cohens_kappa(_confusion(spark, sf)).select(r6(F.col("kappa")).alias("kappa"))
 
 
-_REPLICATES = 10
+_REPLICATES = EvalConfig.bootstrap
 _BOOT = f""", n AS (SELECT count(DISTINCT image_id) AS n FROM tiles), draws AS (SELECT CAST(b AS INTEGER) AS replicate, CAST(floor({keyed.uniform_sql("bootstrap", "concat_ws('_', b, i)")} * n) AS BIGINT) AS position FROM n, range({_REPLICATES}) t(b), LATERAL (SELECT unnest(range(n)) AS i)),
     named AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS position FROM (SELECT DISTINCT image_id FROM tiles)),
     pi AS (SELECT image_id, true_class, pred_class, count(*) AS n FROM scored GROUP BY 1, 2, 3),
@@ -690,7 +690,7 @@ def bootstrap_replicates(spark, sf):
 
 @query()
 def bootstrap_replicates_poisson(spark, sf):
-    return M.bootstrap_replicates(_per_image(spark, sf), 200, "poisson")
+    return M.bootstrap_replicates(_per_image(spark, sf), _REPLICATES, "poisson")
 
 
 @query(f"{_BOOT} SELECT {R('quantile_cont(miou, 0.025)')} AS ci_low, {R('quantile_cont(miou, 0.975)')} AS ci_high FROM boot")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterlab.config import CLASS_NAMES, AugmentConfig, LossConfig
+from rasterlab.config import CLASS_NAMES, AugmentConfig, EvalConfig, LossConfig
 from rasterlab.functions import arrays as A, keyed
 from rasterlab.operators import augment as AU, infer as IN, losses as L, metrics as M, postproc as PP, prep as P
 from rasterlab.plans import queries as Q
@@ -249,3 +249,14 @@ def test_log_input_equals_probabilities(spark):
 
 def test_every_inventory_group_has_queries():
     assert len(Q.QUERIES) > 100 and set(Q.ORACLES) <= set(Q.QUERIES)
+
+
+def test_registered_bootstrap_has_the_production_size(spark, monkeypatch):
+    rows = [(i, t, p, int(n)) for i in range(6) for t, p, n in zip((0, 0, 1, 1), (0, 1, 1, 0), RNG.integers(1, 50, 4), strict=True)]
+    per = spark.createDataFrame(rows, "image_id long, true_class int, pred_class int, n long").persist()
+    monkeypatch.setattr(Q, "_per_image", lambda spark, sf: per)
+    assert Q.bootstrap_replicates(spark, "").count() == EvalConfig.bootstrap
+    assert Q.bootstrap_replicates_poisson(spark, "").count() > 0.98 * EvalConfig.bootstrap  # a replicate without an image has no row
+    values = [r.miou for r in Q.bootstrap_replicates(spark, "").collect()]
+    ci = Q.bootstrap_ci(spark, "").first()
+    assert np.allclose((ci.ci_low, ci.ci_high), np.percentile(values, (2.5, 97.5)), atol=2e-6)
