@@ -60,16 +60,19 @@ def contaminated(
     shingle = materialise(item_shingles(items.where(F.col(item_col).isNotNull()), item_col, item_text_col, k, coordinates))
     spark = docs.sparkSession
     width = 1 << int(min(28, max(22, np.ceil(np.log2(64 * max(1, shingle.count()))))))
-    places = [r[0] for r in shingle.select(F.col("h").bitwiseAND(width - 1).alias("p")).distinct().toLocalIterator()]
-    bits = np.zeros(width, bool)
-    bits[np.array(places, np.int64)] = True
-    bitmap = spark.sparkContext.broadcast(np.packbits(bits))
+    place = F.col("h").bitwiseAND(width - 1)
+    words = shingle.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    bits = np.zeros(width // 64, np.int64)
+    for r in words.toLocalIterator():
+        bits[r.w] = r.bits
+    bitmap = spark.sparkContext.broadcast(bits.view(K.U))
 
     def run(batches):
-        table = np.unpackbits(bitmap.value).view(bool)
+        table = bitmap.value
         for batch in K.parts(batches, "text"):
             value, offs = K.shingles(*K.words(*K.text_buffer(batch["text"])), k)
-            hit = np.flatnonzero(table[(value & K.U(width - 1)).astype(np.int64)])
+            at = value & K.U(width - 1)
+            hit = np.flatnonzero(table[(at >> K.U(6)).astype(np.int64)] >> (at & K.U(63)) & K.U(1))
             row = np.searchsorted(offs, hit, "right") - 1
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(row)), pa.array(np.diff(offs)[row]), K.longs(value[hit])], names=["doc_id", "n_doc", "h"])
 

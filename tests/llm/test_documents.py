@@ -351,3 +351,19 @@ def test_packing_searches_the_whole_corpus(spark, prose, monkeypatch):
         wanted = shard.neighbours(doc_of[s], unused)[:10]
         got = sorted((r for r in found if r.seed == s), key=lambda r: -r.score)[:10]
         assert len({doc_of[r.doc] for r in got} & set(wanted.tolist())) >= len(wanted) - 1
+
+
+def test_driver_gets_words_of_the_bitmap_only(spark, prose, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    item = prose.text(200)
+    gathered, original = [], DataFrame.toLocalIterator
+
+    def watched(self, *a, **k):
+        gathered.append(self.columns)
+        return original(self, *a, **k)
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", watched)
+    docs = spark.createDataFrame([(1, prose.text(50) + "\n" + item), (2, prose.text(300))], "doc_id long, text string")
+    out = contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.containment) for r in out] == [(1, 7, 1.0)] and gathered == [["w", "bits"]]
