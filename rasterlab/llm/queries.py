@@ -55,8 +55,9 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, names = archive_pages(table(spark, sf_dir, "pages"))
-    records = read_archives(spark, folder, names).where("kind = 'record'")
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = read_archives(spark, folder, names)
+    whole = F.when(F.col("kind") == "record", True).otherwise(F.raise_error(F.concat_ws(": ", F.lit("a gap in an archive"), "archive", "reason")).cast("boolean"))
+    return records.where(whole).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

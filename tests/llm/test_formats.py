@@ -178,3 +178,59 @@ def test_salvage_inside_gzip_members():
     hurt[len(one) // 2] ^= 0xFF
     found, gaps = ids(bytes(hurt) + gzip.compress(parts[0], mtime=0))
     assert found[-1] == 0 and found[:50] == list(range(50)) and gaps
+
+
+def intact(data, parts):
+    """Which of the records stand unharmed in the bytes or in a member of their own."""
+    return [i for i, r in enumerate(parts) if r in data or gzip.compress(r, mtime=0) in data]
+
+
+def test_salvage_looks_for_both_marks():
+    parts = records()
+    zipped = [gzip.compress(r, mtime=0) for r in parts]
+    inner = gzip.compress(b"no archive" * 50)
+    with_gzip = W.record("response", "http://z", 9, inner, hashlib.sha256(inner).hexdigest(), None)
+    hurt_first = bytearray(b"".join([with_gzip, *parts]))  # a plain archive, its first byte hurt, gzip bytes in a payload
+    hurt_first[0] ^= 1
+    mixed = b"".join([*zipped[:3], *parts[3:]])  # members, then plain records
+    hurt = bytearray(zipped[1])
+    hurt[len(hurt) // 2] ^= 0xFF
+    hurt_mixed = b"".join([zipped[0], bytes(hurt), *parts[2:4], *zipped[4:]])
+    plain_hurt = bytearray(b"".join([parts[0], parts[1]]))
+    plain_hurt[len(parts[0]) + 3] ^= 1
+    plain_hurt = bytes(plain_hurt) + b"".join(zipped[2:])
+    for data in (bytes(hurt_first), mixed, hurt_mixed, plain_hurt, b"WARC/1." * 300 + mixed, b"\x1f\x8b\x08" * 300 + mixed):
+        assert ids(data)[0] == intact(data, parts), data[:30]
+
+
+def test_salvage_takes_linear_time():
+    import time
+
+    for junk in (b"WARC/1.1\r\n", b"\x1f\x8b\x08", b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03", b"WARC/1.1\r\nContent-Length: 5\r\n\r\n"):
+        began = time.perf_counter()
+        assert ids(junk * ((1 << 18) // len(junk)) + records()[0])[0] == [0]
+        assert time.perf_counter() - began < 4
+
+
+def test_warc_query_over_awkward_pages_and_its_archives_damaged(spark, tmp_path):
+    from rasterlab.llm import queries
+
+    rows, df = pages(spark)
+    rows = [(*r, 1) for r in rows] + [(50, "data:," + "x" * 100_000, "<p>long url</p>" * 20, 1), (None, "u", "a twin without an id " * 20, 1), (None, "u", "a twin without an id " * 20, 1)]
+    spark.createDataFrame(rows, df.schema).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((tuple(r) for r in queries.op8_warc(spark, str(tmp_path)).collect()), key=str)
+    wanted = []
+    for i, _, html, _ in rows:
+        data = (html or "").encode()
+        first = min((j for j, _, h, _ in rows if (h or "").encode() == data and j is not None), default=None)
+        revisit = len(data) >= 100 and first is not None and first != i
+        wanted.append((i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if revisit else "response", first if revisit else None))
+    assert got == sorted(wanted, key=str)
+    folder, names = W.archive_pages(spark.read.parquet(f"{tmp_path}/pages.parquet"))
+    archive = f"{folder}/{names.first().name}".removeprefix("file://")
+    whole = open(archive, "rb").read()
+    hurt = bytearray(whole)
+    hurt[len(hurt) // 3] ^= 0xFF
+    open(archive, "wb").write(bytes(hurt))
+    out = W.read_archives(spark, folder, names)
+    assert out.where("kind = 'gap'").count() > 0 and len(rows) > out.where("kind = 'record'").count() >= len(rows) - 2
