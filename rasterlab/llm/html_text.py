@@ -33,8 +33,9 @@ NAMES = frozenset(
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH, MAX_LINKS = 0.10, 0.20, 0.5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTE_OR_END = re.compile("[\"'>]")
+_ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")  # of sideBar: side, Bar; the whole is looked up too
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -59,41 +60,122 @@ def _marked(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+class _Tokens:
+    """The tokens of a page in one forward pass: ``(kind, name, attributes)`` with kind text, data, open or close.
+
+    The end of a tag is the first ``>`` outside quotes, or, where no such end follows, the first ``>`` at all. Openings
+    of quotes from which no end is reached are remembered, so that no stretch is searched twice in vain. Where no
+    ``>`` follows, the rest is text. ``at`` may be moved ahead by the caller.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.at, self.last = html, 0, html.rfind(">")
+        self.vain: set[int] = set()
+
+    def _tag_end(self, at: int) -> int:
+        opened, place = [], at
+        while m := _QUOTE_OR_END.search(self.html, place):
+            if m[0] == ">":
+                return m.start()
+            close = -1 if m.start() in self.vain else self.html.find(m[0], m.end())
+            opened.append(m.start())
+            if close < 0:
+                break
+            place = close + 1
+        self.vain.update(opened)
+        return self.html.find(">", at)
+
+    def __iter__(self):
+        html = self.html
+        while self.at < len(html):
+            sign = html.find("<", self.at) if self.at <= self.last else -1
+            while 0 <= sign < self.last and not (html[sign + 1] in "!?" or _NAME.match(html, sign + 1) or html[sign + 1] == "/" and _NAME.match(html, sign + 2)):
+                sign = html.find("<", sign + 1)
+            if not 0 <= sign < self.last:
+                # an open comment hides the rest even without an end
+                sign = html.find("<!--", self.at)
+                yield "text", html[self.at : sign if sign >= 0 else len(html)], ""
+                self.at = len(html)
+                return
+            if sign > self.at:
+                yield "text", html[self.at : sign], ""
+            for mark, end in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if html.startswith(mark, sign):
+                    stop = html.find(end, sign + len(mark))
+                    self.at = stop + len(end) if stop >= 0 else len(html)
+                    if mark != "<!--":
+                        yield "data", html[sign + len(mark) : stop if stop >= 0 else len(html)], ""
+                    break
+            else:
+                if html[sign + 1] in "!?":
+                    self.at = html.find(">", sign) + 1
+                    continue
+                closing = html[sign + 1] == "/"
+                name = _NAME.match(html, sign + 1 + closing)
+                stop = self._tag_end(name.end())
+                self.at = stop + 1
+                yield "close" if closing else "open", name[0].lower(), html[name.end() : stop]
+
+
+class _Open:
+    """The open elements, with the places of each tag among them, so that no look-up walks over all."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool]] = []  # tag, outside, in an article
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, outside: bool, article: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, outside, article))
+
+    def pop_to(self, place: int) -> bool:
+        """Close everything from ``place`` on; whether any of that was marked otherwise than what holds it."""
+        above, changed = self.stack[place - 1][1] if place else False, False
+        while len(self.stack) > place:
+            tag, outside, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+            changed |= outside != above
+        return changed
+
+    def last(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    @property
+    def top(self) -> tuple[str, bool, bool]:
+        return self.stack[-1] if self.stack else ("", False, False)
+
+
 def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
     """The blocks in page order: text, characters of it in links, whether marked as outside, whether in an article."""
     out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, outside, in an article
+    open_, tokens = _Open(), _Tokens(html)
     pieces: list[str] = []
-    linked = breaks = links = 0
-    at, end = 0, len(html)
+    linked = breaks = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
-            _, outside, article = stack[-1] if stack else ("", False, False)
-            out.append((text, linked, outside, article))
+            out.append((text, linked, *open_.top[1:]))
         pieces.clear()
         linked = 0
 
-    while at < end:
-        m = _TOKEN.search(html, at)
-        text = html[at : m.start() if m else end]
-        if text:
-            text = unescape(text) if "&" in text else text
+    for kind, tag, attributes in tokens:
+        if kind == "data":
+            pieces.append(tag)
+            continue
+        if kind == "text":
+            text = unescape(tag) if "&" in tag else tag
             pieces.append(text)
             if not text.isspace():
                 breaks = 0
-                linked += len(" ".join(text.split())) if links else 0
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                pieces.append(m[0][9:].removesuffix("]]>"))
+                linked += len(" ".join(text.split())) if open_.places.get("a") else 0
             continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag == "br":
             breaks += 1
             if breaks > 1:
@@ -104,88 +186,102 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
         if tag in BLOCKS:
             flush()
             breaks = 0
-        if closing:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if place is not None:
-                if any(stack[i][1] != stack[place - 1][1] if place else stack[i][1] for i in range(place, len(stack))):
+        if kind == "close":
+            place = open_.last(tag)
+            if place >= 0:
+                above = open_.stack[place - 1][1] if place else False
+                if any(x[1] != above for x in open_.stack[place:]):
                     flush()
-                del stack[place:]
-                links = sum(x[0] == "a" for x in stack)
+                open_.pop_to(place)
             continue
         if tag in RAW:
             if not attributes.endswith("/") or tag in ("script", "style", "title", "textarea"):
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-                at = close.end() if close else end
+                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, tokens.at)
+                stop = html.find(">", close.end()) if close else -1
+                tokens.at = stop + 1 if stop >= 0 else len(html)
             continue
         if tag in VOID:
             continue
-        if tag in BLOCKS and stack and stack[-1][0] == "p":
-            stack.pop()
+        if tag in BLOCKS and open_.top[0] == "p":
+            open_.pop_to(len(open_.stack) - 1)
         if tag in ("li", "a", "option", "dt", "dd", "tr", "td", "th"):  # these end an open one of their kind
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            floor = max((i for i, x in enumerate(stack) if x[0] in ("ul", "ol", "dl", "table", "select", "menu")), default=-1)
-            if place is not None and place > floor:
-                del stack[place:]
-        elif tag == "p":
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCKS), None)
-            if place is not None and stack[place][0] == "p":
-                del stack[place:]
-        above = stack[-1] if stack else ("", False, False)
-        outside = above[1] or _marked(tag, attributes, above[2])
-        if outside != above[1]:
+            place = open_.last(tag)
+            if place > open_.last("ul", "ol", "dl", "table", "select", "menu"):
+                open_.pop_to(place)
+        elif tag == "p" and open_.blocks and open_.stack[open_.blocks[-1]][0] == "p":
+            open_.pop_to(open_.blocks[-1])
+        _, outside, article = open_.top
+        now = outside or _marked(tag, attributes, article)
+        if now != outside:
             flush()
         if not attributes.endswith("/"):
-            stack.append((tag, outside, above[2] or tag in ("article", "main") or 'role="main"' in attributes))
-        links = sum(x[0] == "a" for x in stack)
+            open_.push(tag, now, article or tag in ("article", "main") or 'role="main"' in attributes)
     flush()
     return out
 
 
-def classify(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
-    """First pass: decide blocks by marks, link density, length and stop words. Second pass: the others inherit.
+def _prose(text: str) -> float:
+    """The share of stop words among the words."""
+    words = [w.lower() for w in _WORD.findall(text)]
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def first_pass(found: list[tuple[str, int, bool, bool]]) -> tuple[list[bool | None], bool]:
+    """What marks, link density, length and stop words decide of each block, else None; whether articles hold the text.
 
-    Inside an article, text with few links is only ever good or ambiguous, so that tables and lists stay; elsewhere
-    long blocks without stop words are bad. An ambiguous block takes the label of its nearest decided neighbours of
-    the same region (article or not), good if they differ at equal distance; without any, an article's block and a
-    block of a page without articles is good.
+    Articles hold the page's text if their prose (blocks of SHORT characters with stop words and few links) is at
+    least as long as what stands elsewhere. Then blocks elsewhere are bad, and inside, text with few links is only ever
+    good or ambiguous, so that tables and lists stay. If not, an article is a teaser: its short blocks are bad, and
+    its long ones are judged as those elsewhere, where long blocks without stop words are bad.
     """
+    density = [_prose(x[0]) for x in found]
+    prose = [0, 0]
+    for (text, linked, outside, article), d in zip(found, density, strict=True):
+        if not outside and len(text) >= SHORT and d >= STOP_LOW and linked <= MAX_LINKS * len(text):
+            prose[article] += len(text)
+    holds = prose[1] >= prose[0] and any(x[3] and not x[2] for x in found)
     labels: list[bool | None] = []
-    articles = any(x[3] and not x[2] for x in found)
-    for text, linked, outside, article in found:
-        n = len(text)
-        words = [w.lower() for w in _WORD.findall(text)]
-        density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if outside or linked > MAX_LINKS * n or articles and not article:
+    for (text, linked, outside, article), d in zip(found, density, strict=True):
+        n, trusted = len(text), article and holds
+        if outside or linked > MAX_LINKS * n or holds and not article or article and not holds and n < SHORT:
             labels.append(False)
-        elif "\N{COPYRIGHT SIGN}" in text and not article:
+        elif "\N{COPYRIGHT SIGN}" in text and not trusted:
             labels.append(False)
         elif n < SHORT:
-            labels.append(False if linked and not article else None)
-        elif density >= STOP_HIGH and n > LONG or density >= STOP_LOW and article:
+            labels.append(False if linked and not trusted else None)
+        elif d >= STOP_HIGH and n > LONG or d >= STOP_LOW and trusted:
             labels.append(True)
-        elif density < STOP_LOW and not article:
+        elif d < STOP_LOW and not trusted:
             labels.append(False)
         else:
             labels.append(None)
+    return labels, holds
+
+
+def classify(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
+    """Which blocks are good. ``first_pass`` decides most; in the second pass the ambiguous ones inherit.
+
+    An ambiguous block takes the label of its nearest decided neighbours among the blocks that aren't marked (inside
+    the articles, if these hold the text, and without teasers, if not), good if the two differ at equal distance;
+    without any, it is good.
+    """
+    labels, holds = first_pass(found)
+    places = [i for i, x in enumerate(found) if not x[2] and (x[3] if holds else not x[3] or len(x[0]) >= SHORT)]
+    near: dict[int, list[tuple[int, bool]]] = {}
+    for order in (list(enumerate(places)), list(enumerate(places))[::-1]):
+        last = None
+        for rank, i in order:
+            if labels[i] is not None:
+                last = (rank, labels[i])
+            elif last:
+                near.setdefault(i, []).append((abs(rank - last[0]), last[1]))
     out = []
-    for region in (True, False):
-        places = [i for i, x in enumerate(found) if x[3] == region and not x[2]]
-        before: dict[int, tuple[int, bool]] = {}
-        after: dict[int, tuple[int, bool]] = {}
-        for order, seen in ((enumerate(places), before), (reversed(list(enumerate(places))), after)):
-            last = None
-            for rank, i in order:
-                if labels[i] is not None:
-                    last = (rank, labels[i])
-                elif last:
-                    seen[i] = (abs(rank - last[0]), last[1])
-        for i in places:
-            if labels[i] is None:
-                near = sorted(x for x in (before.get(i), after.get(i)) if x)
-                good = not near or any(x[1] for x in near if x[0] == near[0][0])
-                out.append((i, good if region or near or not articles else False))
-    final = dict(out)
-    return [bool(final.get(i, x)) for i, x in enumerate(labels)]
+    for i, label in enumerate(labels):
+        if label is None:
+            seen = near.get(i, [])
+            label = not seen or any(good for rank, good in seen if rank == min(seen)[0])
+        out.append(label)
+    return out
 
 
 def main_text(html: str) -> str:
@@ -200,8 +296,9 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     a block becomes one space, and the good blocks are joined by newlines. Scripts, styles, forms, menus, page headers
     and footers, sidebars, adverts, notices and comments are marked by element, role or name; the other blocks are
     classified by ``classify``. Broken markup is read as far as it goes: open elements end with their parent, an open
-    script with the page. Null and empty pages give an empty text. Columns ``text`` and ``n_chars`` are replaced, all
-    others pass through; repeated rows stay.
+    script or comment with the page, and a ``<`` behind the last ``>`` is text. A page takes time in proportion to its
+    length, whatever its markup. Null and empty pages give an empty text. Columns ``text`` and ``n_chars`` are
+    replaced, all others pass through; repeated rows stay.
     """
     base = pages.select(F.struct("*").alias("row"), F.col(html_col).cast("string").alias("html"))
     schema = T.StructType([base.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

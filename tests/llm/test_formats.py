@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterlab.llm import secrets as SC, warc as W
 from rasterlab.llm.chat import escape, format_chat, read_chat, turns_of, unescape
+from rasterlab.llm import html_text as HT
 from rasterlab.llm.html_text import extract_text, main_text
 
 PROSE = "The cat is in the house and it was on the mat for all of the day, as it should be in a story of this kind, with more words that follow."
@@ -26,11 +27,82 @@ PROSE = "The cat is in the house and it was on the mat for all of the day, as it
     ("<p title=\"a > b\">ok</p><p class=ad-slot>buy</p><p class=shadow>keep</p>", "ok\nkeep"),
     ("a<br>b<br><br>c", "a b\nc"),
     ("<style>p{}</style><title>t</title>&#x41;&#66;", "AB"),
+    (f"<div><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p></div><article>Three words here</article>", f"T\n{PROSE}\n{PROSE}"),
+    (f"<article><p>{PROSE}</p></article><p>{PROSE[:80]}</p>", PROSE),
+    ("a < b <3 c > d <", "a < b <3 c > d <"),
+    ("<p title='>'>x</p><p title='>y</p>", "x\ny"),
+    ("<p>x <a href=u", "x <a href=u"),
+    ("<SCRIPT>var x = '</scripty>'</SCRIPT >y</ScRiPt>z", "yz"),
 ])
 def test_main_text(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize("html", [
+    "<a ", "<a \"", "<!x", "<div>", "<a '>\" ", '<x ">" ', "<script </script ", "<p a", "<p a=\"b' ", "<li>", "</b></i>", "<p><a>", "<!-- ", "<![CDATA[", "&", "&amp", "< ", "<<", "<ul><li>", "<p =",
+])
+def test_extraction_takes_linear_time(html):
+    import time
+
+    for tail in ("", ">", "</div>", "'>", '">'):
+        page = "<p>" + html * ((1 << 18) // len(html)) + tail
+        began = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - began < 1.5, (html, tail)
+
+
+def test_extraction_equals_a_plain_parser_on_the_given_pages():
+    """The given pages hold their text in one article; html.parser finds its blocks too."""
+    import duckdb
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.skip, self.out, self.now, self.breaks = 0, [], [], "", 0
+
+        def end_block(self):
+            self.out += [x] if (x := " ".join(self.now.split())) else []
+            self.now, self.breaks = "", 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.breaks += 1
+                self.end_block() if self.breaks > 1 else None
+                self.now += " "
+                return
+            if tag in HT.BLOCKS:
+                self.end_block()
+            if self.skip or HT._marked(tag, " ".join(f'{k}="{v}"' for k, v in attrs), self.depth > 0) or tag in ("script", "style"):
+                self.skip += [] if tag in HT.VOID else [tag]
+            self.depth += tag == "article"
+
+        def handle_endtag(self, tag):
+            if tag in HT.BLOCKS:
+                self.end_block()
+            self.depth -= tag == "article"
+            if self.skip and self.skip[-1] == tag:
+                self.skip.pop()
+
+        def handle_data(self, data):
+            if self.depth and not self.skip:
+                self.now += data
+                self.breaks = self.breaks if data.isspace() else 0
+
+    passes = {"marks": 0, "first": 0, "inherited": 0}
+    rows = duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet/*.parquet'" if __import__("os").path.isdir("/root/testdata/sf0.01/pages.parquet") else "SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    for (html,) in rows:
+        plain = Plain()
+        plain.feed(html or "")
+        plain.end_block()
+        assert main_text(html or "").split("\n") == (plain.out or [""])
+        found = HT.blocks(html or "")
+        for x, label in zip(found, HT.first_pass(found)[0], strict=True):
+            passes["marks" if x[2] else "inherited" if label is None else "first"] += 1
+    assert len(rows) > 100 and min(passes.values()) > len(rows) / 4, passes
+    print(passes)
+
+
 def test_extract_text_awkward(spark):
     rows = [(1, "u", None, "old"), (2, None, "", "old"), (3, "u", "<p>x</p>" * 20_000, "old"), (3, "u", "<p>x</p>" * 20_000, "old"), (None, "u", "<" * 2000, "old")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
