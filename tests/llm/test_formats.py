@@ -153,17 +153,89 @@ def test_secrets_are_found_and_placed(spark):
     assert SC.scan(df.limit(0)).count() == 0
 
 
+def test_candidates_equal_brute_force(spark, prose):
+    """Places and contexts against the same pattern in another engine, over texts with up to hundreds of candidates."""
+    import re
+
+    pattern, prefix = re.compile(SC.CANDIDATE), re.compile(SC.PREFIX)
+    bits = ["word", "é😀", "a" * 20, "b1" * 9, "token=abc12345", "Secret: 'x1y2z3w4'", "api_key==q-w-e-r-t", "\n", "4785380592391141,", "=", "password=\"short\"", "9" * 40 + "=="]
+    texts = {i: " ".join(prose.random.choice(bits) for _ in range(n)) for i, n in enumerate((0, 1, 5, 40, 300, 1500))}
+    wanted = []
+    for i, t in texts.items():
+        for m in pattern.finditer(t):
+            lead = prefix.match(m[0])
+            k = lead.end() if lead and re.fullmatch(r"[^\s\"',;<>]{6,}", m[0][lead.end() :]) else 0
+            wanted.append((i, m.start() + k, m[0][k:], t[: m.start() + k], t[m.end() :]))
+    got = SC.candidates(spark.createDataFrame([(*x, "clash", 1) for x in texts.items()], "doc_id long, text string, match string, start int")).collect()
+    assert sorted((r.doc_id, r.start, r.candidate) for r in got) == sorted(x[:3] for x in wanted) and len(wanted) > 500
+    by_place = {x[:2]: x for x in wanted}
+    assert all(by_place[r.doc_id, r.start][3].endswith(r.before) and by_place[r.doc_id, r.start][4].startswith(r.after) for r in got)
+
+
+def test_many_candidates_in_one_text(spark):
+    import time
+
+    text = " ".join(f"{i:016d}x{i % 7}" for i in range(50_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    row = SC.candidates(df).agg(F.count("*").alias("n"), F.max("start").alias("last"), F.sum(F.length("candidate")).alias("chars")).first()
+    assert tuple(row) == (50_000, len(text) - 18, 50_000 * 18) and time.perf_counter() - began < 60
+
+
 def test_forest_from_labelled_findings(spark):
     rows = []
     for i in range(300):
         key = hashlib.sha1(str(i).encode()).hexdigest()
         rows += [(key, 'api token = "', '"', "app.py", 1), (str(10**15 + i * 7919), "order no ", " shipped", "log", 0), (key[:32], "md5 checksum ", " of the file", "test/data", 0)]
     df = spark.createDataFrame([*rows, (None, "", "", "", 1), ("x", "", "", "", None)], "candidate string, before string, after string, path string, label int")
-    forest = SC.train(df.where("pmod(crc32(candidate), 3) <> 1 or candidate is null"))
-    out = SC.score(df.where("pmod(crc32(candidate), 3) = 1"), forest).collect()
+    words = ["the", "order", "file"]
+    forest = SC.train(df.where("pmod(crc32(candidate), 3) <> 1 or candidate is null"), words)
+    out = SC.score(df.where("pmod(crc32(candidate), 3) = 1"), forest, words).collect()
     assert len(out) > 100 and sum(r.is_secret == bool(r.label) for r in out) >= 0.98 * len(out)
-    assert SC.train(df.where("label = 1")) is None
-    assert SC.score(df, None).where("score = 0.5").count() == df.count()
+    assert SC.train(df.where("label = 1"), words) is None
+    assert SC.score(df, None, words).where("score = 0.5").count() == df.count()
+
+
+def test_coverage_is_that_of_the_dictionary(spark):
+    words = ["time", "order", "a", "zebra", "naïve"]
+    df = spark.createDataFrame([("orderTime42",), ("ZEBRA-x",), ("qq",), ("",), ("time" * 3,)], "candidate string").selectExpr("candidate", "'' before", "'' after", "'' path")
+    got = {r.candidate: r.f_words for r in SC.with_features(df, words).collect()}
+    assert got == {"orderTime42": 9 / 11, "ZEBRA-x": 5 / 7, "qq": 0.0, "": 0.0, "timetimetime": 0.0}
+    assert {r.f_words for r in SC.with_features(df, []).collect()} == {0.0}
+
+
+def test_secrets_on_held_out_planted_findings(spark):
+    """Learnt from two thirds of the findings planted into the given documents, judged on the rest and on others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = SC.dictionary(docs)
+    planted = SC.planted_findings(docs, path_col="source").persist()
+    held = F.pmod(F.crc32("candidate"), F.lit(3)) == 1
+    forest = SC.train(planted.where(~held), words)
+    out = SC.score(planted.where(held), forest, words).collect()
+    hits = sum(r.is_secret and r.label for r in out)
+    precision, recall = hits / max(1, sum(r.is_secret for r in out)), hits / max(1, sum(r.label for r in out))
+    assert len(out) > 150 and precision >= 0.9 and recall >= 0.9, (len(out), precision, recall)
+    others = [
+        ("AKIA" + "Q3ZX7PLM2K9VB4TN", "aws_access_key = '", "'", "deploy/main.tf", 1), ("9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", 'token: "', '"', "app.yml", 1), ("hK39dkQ0zPq81LmN", "db_password=", "\n", ".env", 1),
+        ("4929123456781234", "paid with ", " yesterday", "mail", 0), ("internationalization_of_2024", "the ", " of it", "notes", 0), ("e3b0c44298fc1c149afbf4c8996fb924", "md5 checksum: ", " file", "list", 0), ("your_password_here", "password = ", "", "readme", 0),
+    ]
+    df = spark.createDataFrame(others, "candidate string, before string, after string, path string, label int")
+    judged = SC.score(df, forest, words).collect()
+    assert sum(r.is_secret == bool(r.label) for r in judged) >= len(others) - 1, judged
+
+
+def test_secret_scan_over_a_table(spark, tmp_path):
+    from rasterlab.llm import queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 250")
+    docs.selectExpr("*", "'x' AS candidate", "1 AS score").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op7_secret_scan(spark, str(tmp_path)).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in got:
+        value = texts[r.doc_id][r.start : r.start + r.length]
+        assert hashlib.sha256(value.encode()).hexdigest() == r.candidate_sha256
+        assert r.is_secret == ('token = "' + value in texts[r.doc_id])
+    assert sum(r.is_secret for r in got) >= 3 and sum(not r.is_secret for r in got) >= 5
 
 
 def pages(spark):
