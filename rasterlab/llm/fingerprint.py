@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: An anchor is a K-mer of code points whose smallest S-mer stands at its start or end, about 2 in K - S + 1 of all.
@@ -10,6 +13,8 @@ K, S = 16, 12
 SIZE = 128
 #: Code points whose S-mers are held at once.
 PART = 8192
+#: Bytes of text in a range of ids, and ranges at most (their bounds are on the driver; beyond, ranges grow).
+RANGE_BYTES, RANGES = 32 << 20, 20_000
 _INNER = ", ".join(f"h[i + {j}]" for j in range(1, K - S))
 #: SQL: whether the K-mer whose S-mer hashes begin at ``h[i]`` is an anchor.
 _CLOSED = f"least(h[i], h[i + {K - S}]) <= least({_INNER})"
@@ -71,34 +76,51 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), _hex(_or_whole(_sketch(F.col("anchors.hash")), F.col("text"))).alias("fingerprint"), "anchors")
 
 
+def _count_up_to(column: str, bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` are not above ``column``, by halving."""
+    if not bounds:
+        return F.lit(0).cast("long")
+    steps = ", ".join(str(1 << i) for i in reversed(range(len(bounds).bit_length())))
+    found = f"aggregate(array({steps}), 0, (p, s) -> if(p + s <= size(list) AND get(list, p + s - 1) <= {column}, p + s, p))"
+    return F.expr(f"transform(array(cast(split('{' '.join(map(str, bounds))}', ' ') AS array<bigint>)), list -> {found})[0]").cast("long")
+
+
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edit, and how alike they are.
 
     The edit replaces the last ``n_chars // 2`` code points by as many of the next document's first (all, if it has
-    fewer), by descending id; the first follows the last. Ties come in descending order of the text, a null id last.
+    fewer), by descending id; the first follows the last. A null id comes last. Rows of one id come in descending order
+    of a hash of their text; equal rows have equal results. Null text counts as empty. Other columns are ignored.
 
     The anchors of a text are found once. Being free of context, those of an edit are the anchors that lie in the kept
-    part, those in the next document's part, and those of the K-mers across the seam: so only short sketches move
-    between rows. Documents are dealt out by ranges of ids, of which only the bounds and the first ids are on the
-    driver, one for each range; each range also gets a copy of the row that follows it. No window spans all rows.
+    part, at the same places, those in the next document's part, and those of the K-mers across the seam: so only short
+    sketches move between rows. ``anchors`` counts the text's anchors and ``anchors_in_place`` those that stand at
+    their place in the kept part of the edit.
+
+    Documents are dealt out by ranges of ids of about RANGE_BYTES; an id that fills several ranges, or the rows without
+    one, are dealt out further by the hash of the text. The driver holds the bounds and first ids of the ranges; each
+    range also gets a copy of the row that follows it. No window spans all rows.
     """
     spark = docs.sparkSession
     lowest = -(1 << 63)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("key", F.coalesce("doc_id", F.lit(lowest)))
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = sorted({int(x) for x in base.stat.approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.2 / ranges)}) if ranges > 1 else []
-    place = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
-    base = base.withColumn("range", place)
-    firsts = sorted(((r["range"], r["first"]) for r in base.groupBy("range").agg(F.max("key").alias("first")).collect()), reverse=True)
-    if not firsts:
-        firsts = [(0, lowest)]
-    before = {r: firsts[i - 1][0] for i, (r, _) in enumerate(firsts)}  # the range whose last row a range's first row follows
-    heads = base.where(F.col("key").isin([k for _, k in firsts])).groupBy("range").agg(F.max(F.struct("key", "text", "doc_id")).alias("x"))
-    names = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
-    heads = heads.select("x.doc_id", "x.text", "x.key", names[F.col("range")].alias("range"), F.lit(True).alias("copy"))
-    rows = base.withColumn("copy", F.lit(False)).unionByName(heads).repartition(ranges, "range")
-    order = Window.partitionBy("range").orderBy("copy", F.col("key").desc(), F.col("text").desc())
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    base = base.withColumn("key", F.coalesce("doc_id", F.lit(lowest))).withColumn("h", F.xxhash64("text"))
+    size = base.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = min(max(parts, math.ceil(size / RANGE_BYTES)), max(parts, RANGES))
+    bounds = Counter(int(x) for x in base.stat.approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.2 / ranges)) if ranges > 1 else Counter()
+    above = F.lit(1 << 20)  # within its range, what is not an id of several ranges
+    for b, n in bounds.items():
+        if n > 1:
+            above = F.when(F.col("key") == b, F.floor((F.col("h") / float(1 << 64) + 0.5) * n)).otherwise(above)
+    base = base.withColumn("range", _count_up_to("key", sorted(bounds)) * (1 << 21) + above)
+    firsts = sorted(((r["range"], r["first"]) for r in base.groupBy("range").agg(F.max(F.struct("key", "h")).alias("first")).collect()), reverse=True)
+    # by range: the range whose last row is followed by this range's first row
+    heads = spark.createDataFrame([(r, x.key, x.h, firsts[i - 1][0]) for i, (r, x) in enumerate(firsts)], "range long, key long, h long, before long")
+    heads = base.join(F.broadcast(heads), ["range", "key", "h"]).groupBy("before").agg(F.max(F.struct("key", "h", "text", "doc_id")).alias("x"))
+    heads = heads.select("x.doc_id", "x.text", "x.key", "x.h", F.col("before").alias("range"), F.lit(True).alias("copy"))
+    rows = base.withColumn("copy", F.lit(False)).unionByName(heads).repartitionByRange(ranges, "range")
+    order = Window.partitionBy("range").orderBy("copy", F.col("key").desc(), F.col("h").desc(), F.col("text").desc())
     rows = rows.withColumn("n", F.length("text")).withColumn("next_text", F.lead("text").over(order)).withColumn("above", F.lag("n").over(order))
     rows = rows.withColumn("cut", (F.col("n") - F.floor(F.col("n") / 2)).cast("int"))
     new = F.substring(F.col("next_text"), F.lit(1), (F.col("n") - F.col("cut")))
@@ -115,10 +137,12 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     upto = lambda end: F.when(F.col(end) == F.col("low"), F.col("p1")).otherwise(F.concat("p1", "p2"))
     rows = rows.withColumn("seam_anchors", anchor_hashes("seam"))
     rows = rows.select(
-        "range", "copy", "key", "text", "doc_id", "n", "edited_sha256", "edited_n", "edited_key",
+        "range", "copy", "key", "h", "text", "doc_id", "n", "edited_sha256", "edited_n", "edited_key",
         _or_whole(_sketch(F.concat("p1", "p2", "p3")), F.col("text")).alias("whole"),
         _sketch(F.concat(upto("kept_end"), F.col("seam_anchors"))).alias("first_part"),
         _sketch(upto("lent_end")).alias("as_next"),
+        (F.size("p1") + F.size("p2") + F.size("p3")).cast("long").alias("anchors"),
+        F.size(upto("kept_end")).cast("long").alias("anchors_in_place"),
     )
     rows = rows.withColumn("next_part", F.lead("as_next").over(order)).withColumn("next_whole", F.lead("whole").over(order)).where("not copy")
     edited = _sketch(F.concat("first_part", F.coalesce("next_part", F.expr("cast(array() as array<bigint>)"))))
@@ -132,4 +156,6 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         _hex(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("whole"), F.col("edited")).alias("near_edited"),
         likeness(F.col("whole"), F.col("next_whole")).alias("near_next"),
+        "anchors",
+        "anchors_in_place",
     )

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from rasterlab.llm import fingerprint as FP, kernels as K, packing as PK, toxicity as TX
 from rasterlab.llm.decontaminate import contaminated
@@ -207,6 +208,26 @@ def test_edits_equal_brute_force(spark, awkward, nothing):
     assert FP.compare_with_edits(nothing).count() == 0
     alone = FP.compare_with_edits(df.where("doc_id = 6")).first()
     assert alone.near_next == 1.0
+    for i, r in got.items():
+        own, new = syncmers(dict(rows)[i] or ""), set(syncmers(edited[i]))
+        kept = [x for x in own if x in new and x[0] + FP.K <= r.n_chars - r.n_chars // 2]
+        assert (r.anchors, r.anchors_in_place) == (len(own), len(kept))
+
+
+def test_edits_where_one_id_fills_many_ranges(spark, monkeypatch, prose):
+    """Most rows have no id, and a third share one: they are dealt out by the hash of their text, in one order."""
+    monkeypatch.setattr(FP, "RANGE_BYTES", 3000)
+    texts = [prose.text(40) for _ in range(120)]
+    rows = [(None if i % 3 else 7 if i % 2 else i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    got = FP.compare_with_edits(df).collect()
+    order = sorted(rows, key=lambda r: (r[0] if r[0] is not None else -1, hashes[r[1]]), reverse=True)
+    wanted = []
+    for (i, t), (_, following) in zip(order, order[1:] + order[:1], strict=True):
+        m = len(t) // 2
+        wanted.append((str(i), hashlib.sha256((t[: len(t) - m] + following[:m]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in got) == sorted(wanted)
 
 
 def test_toxicity_learns(spark, prose):
