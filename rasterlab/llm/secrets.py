@@ -59,10 +59,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def dictionary(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY_WORDS) -> list[str]:
     """The ``words`` words of 3 to 20 letters that most documents hold, by count, then by name, from the whole corpus.
 
-    Each document counts a word once. The list is short, so it may be on the driver.
+    Each document counts a word once; words that fewer than one document in 20,000 holds are not frequent. The list is
+    short, so it may be on the driver.
     """
     each = F.array_distinct(F.split(F.lower(F.col(f"`{text_col}`").cast("string")), r"[^\p{L}]+"))
     counts = docs.select(F.explode_outer(F.filter(each, lambda w: F.length(w).between(3, 20))).alias("word")).where("word is not null").groupBy("word").count()
+    counts = counts.where(F.col("count") * 20_000 >= docs.count())
     return [r.word for r in counts.orderBy(F.desc("count"), "word").limit(words).collect()]
 
 
