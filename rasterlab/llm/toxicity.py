@@ -14,11 +14,15 @@ from rasterlab.llm.shared import materialise
 
 #: Weights are hashed into 2**BITS places, which bounds what is broadcast (12 bytes a weight that is not zero).
 BITS = 20
-#: Fitting takes at most TRAIN_ROWS labelled documents, in shards of at most SHARD_ROWS.
-TRAIN_ROWS, SHARD_ROWS = 40_000, 10_000
+#: Fitting takes about TRAIN_ROWS labelled documents and TRAIN_BYTES of their texts at most, in shards of about SHARD_ROWS
+#: and SHARD_BYTES at most.
+TRAIN_ROWS, TRAIN_BYTES, SHARD_ROWS, SHARD_BYTES = 40_000, 256 << 20, 10_000, 32 << 20
+#: Bytes of the beginnings of words that are features too, as languages that join words put an insult's stem there.
+STEMS = (3, 5, 7)
 #: A feature is learnt once MIN_DOCS examples of a shard have it. The L1 strength is L1_SCALE times the square root of
 #: the shard's examples, as summed gradients of a feature without meaning grow that way.
-EPOCHS, ALPHA, BETA, L1_SCALE, L2, MIN_DOCS = 6, 1.0, 1.0, 0.5, 0.1, 3
+#: The rare label weighs RARE times the square root of the labels' ratio.
+EPOCHS, ALPHA, BETA, L1_SCALE, L2, MIN_DOCS, RARE = 8, 1.0, 1.0, 0.5, 0.1, 3, 5
 THRESHOLD = 0.7
 #: Bytes of words: ASCII letters and digits, and all of UTF-8's longer sequences.
 _WORD = np.zeros(256, bool)
@@ -26,7 +30,7 @@ _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 
 
 def features(text: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """``(place, row)`` of every word, pair of words and pair with one word between, as often as they occur."""
+    """``(place, row)`` of every word, its stems, pairs of words and pairs with one word between, as often as they occur."""
     buf, offs = K.text_buffer(pc.utf8_lower(text))
     starts, ends, first = K.spans(buf, offs, _WORD[buf])
     h = K.hash_spans(buf, starts, ends, K.EXACT)
@@ -37,6 +41,10 @@ def features(text: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
             on = row[gap:] == row[:-gap]
             out.append(K.mix(h[:-gap] * K.U(2 * gap + 1) + h[gap:])[on])
             rows.append(row[gap:][on])
+    for n in STEMS:
+        on = ends - starts > n
+        out.append(K.mix(K.hash_spans(buf, starts[on], starts[on] + n, K.EXACT) ^ K.U(n)))
+        rows.append(row[on])
     return (np.concatenate(out) >> K.U(64 - bits)).astype(np.int64), np.concatenate(rows)
 
 
@@ -59,34 +67,44 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(examples: DataFrame, rows: int = TRAIN_ROWS, shard_rows: int = SHARD_ROWS, bits: int = BITS) -> DataFrame:
+def train(examples: DataFrame, rows: int = TRAIN_ROWS, shard_rows: int = SHARD_ROWS, bits: int = BITS, train_bytes: int = TRAIN_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``(doc_id, text, label)`` -> ``(place, weight)`` of the weights that are not zero; place 2**bits is the bias.
 
-    At most about ``rows`` examples are taken, chosen by the hash of their id. They are learnt in shards, each a model
-    of its own over several epochs in a fixed order, and the shards' weights are averaged. Null labels and rows with a
-    null id are left out; null text counts as empty. Without examples there are no weights and every score is 0.5.
+    About ``rows`` examples at most are taken, chosen by the hash of their id, and of these about ``train_bytes`` of
+    text. Texts become distinct features before they are dealt to shards, whose rows and bytes are bounded; each shard
+    is a model of its own over several epochs in a fixed order, and the shards' weights are averaged. Null labels and
+    rows with a null id are left out; null text counts as empty. Without examples there are no weights and every score
+    is 0.5.
     """
     use = examples.where("doc_id is not null and label is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("label").cast("int"), F.xxhash64("doc_id").alias("h"))
     n = use.count()
     if n > rows:
         use = use.where(F.pmod("h", F.lit(n)) < rows)
-    shards = max(1, math.ceil(min(n, rows) / shard_rows))
+    use = materialise(use.select("h", "text", "label"))
+    n, total = use.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    if total > train_bytes:
+        use = use.where(F.pmod(F.xxhash64("h"), F.lit(total)) < train_bytes)
+        n, total = math.ceil(n * train_bytes / total), train_bytes
+    shards = max(1, math.ceil(n / shard_rows), math.ceil(total / shard_bytes))
     size = 1 << bits
 
-    def fit(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("h", "ascending"), ("text", "ascending")])
-        label = group["label"].to_numpy()
-        places, counts = [], []
-        for batch in K.parts(group.select(["text"]).combine_chunks().to_batches(), "text", 1 << 20):
+    def encode(batches):
+        for batch in K.parts(batches, "text", 1 << 20):
             place, row = features(batch["text"], bits)
             pairs = np.unique((row << bits) | place)
-            places.append((pairs & (size - 1)).astype(np.int32))
-            counts.append(np.bincount(pairs >> bits, minlength=batch.num_rows))
-        place, row = np.concatenate(places), np.repeat(np.arange(len(label)), np.concatenate(counts))
+            bounds = np.searchsorted(pairs >> bits, np.arange(batch.num_rows + 1))
+            blobs = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer((pairs & (size - 1)).astype("<i4"))])
+            yield pa.RecordBatch.from_arrays([batch["h"], batch["label"], blobs], names=["h", "label", "places"])
+
+    def fit(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("h", "ascending"), ("places", "ascending")])
+        label = group["label"].to_numpy()
+        lists = [np.frombuffer(x, "<i4") for x in group["places"].to_pylist()]
+        place, row = np.concatenate(lists), np.repeat(np.arange(len(label)), [len(x) for x in lists])
         common = np.bincount(place, minlength=size)[place] >= min(MIN_DOCS, len(label))
-        place, bounds = place[common], np.searchsorted(row[common], np.arange(len(label) + 1))
+        place, bounds = place[common].astype(np.int64), np.searchsorted(row[common], np.arange(len(label) + 1))
         rare = max(1, int((label == 1).sum()))
-        weight = 2 * math.sqrt(max(0.25, (len(label) - rare) / rare))
+        weight = RARE * math.sqrt(max(0.25, (len(label) - rare) / rare))
         model = Ftrl(size + 1, L1_SCALE * math.sqrt(len(label)))
         draw = np.random.Generator(np.random.PCG64(5))
         for _ in range(EPOCHS):
@@ -96,7 +114,8 @@ def train(examples: DataFrame, rows: int = TRAIN_ROWS, shard_rows: int = SHARD_R
         on = np.flatnonzero(w)
         return pa.table({"place": on, "weight": w[on]})
 
-    parts = use.withColumn("shard", F.pmod(F.hash("h"), F.lit(shards))).groupBy("shard").applyInArrow(fit, "place long, weight double")
+    encoded = use.mapInArrow(encode, "h long, label int, places binary")
+    parts = encoded.withColumn("shard", F.pmod(F.hash("h"), F.lit(shards))).groupBy("shard").applyInArrow(fit, "place long, weight double")
     return parts.groupBy("place").agg((F.sum("weight") / shards).alias("weight"))
 
 
