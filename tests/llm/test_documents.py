@@ -130,6 +130,45 @@ def test_contaminated_equals_brute_force(spark, awkward, nothing, prose):
     assert contaminated(nothing, bench).count() == 0 and contaminated(awkward, bench.limit(0)).count() == 0
 
 
+def test_contaminated_by_text_and_items_that_share_an_id(spark, prose):
+    """Rows without an id and with a shared one are judged by their texts; of an item's texts, the one contained most."""
+    one, two = " ".join(prose.words(40)), " ".join(prose.words(120))
+    long = prose.text(50) + " " + two
+    docs = [(None, one), (None, "clean " * 30), (5, prose.text(60)), (5, long), (5, long), (6, two[: len(two) // 2] + " " + one)]
+    bench = spark.createDataFrame([(1, one), (1, two), (1, two), (None, one)], "item_id long, text string")
+    df = spark.createDataFrame([(*r, 3, 4) for r in docs], "doc_id long, text string, item_id long, part long").repartition(3)
+    got = {(r.doc_id, r.text_key): r for r in contaminated(df, bench).collect()}
+    keys = {r.text: r.k for r in df.select("text", F.xxhash64("text").alias("k")).collect()}
+    assert got.keys() == {(None, keys[one]), (5, keys[docs[3][1]]), (6, keys[docs[5][1]])}
+    assert [got[None, keys[one]].n_item, got[5, keys[docs[3][1]]].n_item, got[6, keys[docs[5][1]]].n_item] == [36, 116, 36]
+
+
+def test_sketches_find_what_is_contained(spark, prose, monkeypatch):
+    """Recall of the sketches at the threshold, against brute force, over items of several sizes; candidates stay few."""
+    from rasterlab.llm import decontaminate as D
+
+    assert D.needed(75) == 3 and D.needed(100) == 16 and D.needed(1) == 1
+    items = [(i, " ".join(prose.words(12 + 7 * (i % 30)))) for i in range(150)]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        for part in (0.7, 0.8, 0.9, 1.0):
+            docs.append((len(docs), prose.text(400) + " " + " ".join(w[: int(len(w) * part)]) + " " + prose.text(300)))
+    seen, original = [], D.materialise
+
+    def watched(df):
+        out = original(df)
+        seen.append(out)
+        return out
+
+    monkeypatch.setattr(D, "materialise", watched)
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    sets = {i: shingles(t) for i, t in items}
+    wanted = {(d, i) for d, t in docs if (s := shingles(t)) for i, x in sets.items() if 100 * len(x & s) >= 75 * len(x)}
+    assert {(r.doc_id, r.item_id) for r in found} == wanted and len(wanted) > 400
+    assert seen[-1].count() < 2 * len(docs)
+
+
 def test_lines_of_shared_passages(spark, prose):
     passage = prose.text(60, 9)
     single = " ".join(prose.words(70))
@@ -389,7 +428,7 @@ def test_driver_gets_words_of_the_bitmap_only(spark, prose, monkeypatch):
     monkeypatch.setattr(DataFrame, "toLocalIterator", watched)
     docs = spark.createDataFrame([(1, prose.text(50) + "\n" + item), (2, prose.text(300))], "doc_id long, text string")
     out = contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
-    assert [(r.doc_id, r.item_id, r.containment) for r in out] == [(1, 7, 1.0)] and gathered == [["w", "bits"]]
+    assert [(r.doc_id, r.item_id, r.containment) for r in out] == [(1, 7, 1.0)] and gathered == [["part", "w", "bits"]]
 
 
 def test_toxicity_on_the_held_out_fold_of_the_given_labels(spark):
