@@ -15,31 +15,54 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject. It learns from the labelled documents outside the held-out fold."""
+    """Documents that the classifier doesn't reject. It learns from the labelled documents outside the held-out fold.
+
+    A null or empty text is scored by the bias alone and stays; a row without an id is scored as any other. Repeated
+    rows have one score and go or stay together. Columns besides those of documents are dropped, also ones named
+    ``score`` or ``predicted``.
+    """
     weights = train(labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return score(docs, weights).where("predicted = 0").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stand earlier in the corpus; one of which nothing is left goes."""
+    """Documents without the passages that stand earlier in the corpus; one of which nothing is left goes.
+
+    Null and empty texts stay as they are. The first row by id keeps a passage, a null id coming first; rows equal in
+    id and text keep or lose the same lines. ``n_chars`` is counted anew where lines went. Other columns are dropped.
+    """
     cut = dedup_lines(docs).where("removed_lines = 0 or text rlike '[^\\\\s]'")
     return cut.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; of rows that share an id one stays, of those without an id all."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").hint("merge")  # as many as documents
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
+    """One document of each group of near-duplicates, the one with the smallest id.
+
+    Texts that share an id are one document: all stay or all go; of rows equal in id and text one stays. Rows without
+    an id all stay, as do null and empty texts. Other columns are dropped.
+    """
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct().hint("merge")  # as many as documents
+    rows = docs.join(kept, "doc_id", "left_semi").withColumn("text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "text_key"])
+    return rows.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that contain no benchmark item.
+
+    Each text is judged by itself, also where rows have no id or share one. Null and blank texts contain nothing and
+    stay; clean repeated rows stay as often as they occur. Other columns are dropped.
+    """
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
+    bad = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_key"))
+    return docs.join(found, bad, "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows of 2048 tokens."""
+    """The pieces of all documents in windows of 2048 tokens.
+
+    A null or empty text is its end id alone; a row without an id is packed with a null one, a repeated row as often as
+    it occurs. Columns besides id and text are ignored.
+    """
     return pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
