@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from rasterlab.llm import kernels as K
 from rasterlab.llm.shared import materialise, shared_dir
 
-#: Tokens of a window; the id that ends a document; text bytes of a shard of the index, which bounds a task's memory.
-WINDOW, END_ID, SHARD_BYTES = 2048, 1, 8 << 20
+#: Tokens of a window; the id that ends a document; bytes and rows of a shard of the index, which bound a task's memory.
+WINDOW, END_ID, SHARD_BYTES, SHARD_ROWS = 2048, 1, 8 << 20, 1 << 14
 #: Terms are hashed into 2**TERM_BITS places, so the document frequencies have a fixed size (1 MB).
 TERM_BITS, K1, B = 18, 1.2, 0.75
 #: Seeds of a search task, documents of its step, terms that it multiplies as a matrix; neighbours a lookup asks for, and at most.
@@ -166,16 +166,6 @@ class Encoder:
         return out, bounds
 
 
-    def encode_all(self, column: pa.Array, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-        """The same for a column, in steps of about ``step`` bytes: only ids are held for the whole of it."""
-        ids, offs = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-        for batch in K.parts([pa.RecordBatch.from_arrays([column], names=["text"])], "text", step):
-            x, bounds = self.encode(batch["text"].to_pylist())
-            ids.append(x)
-            offs.append(bounds[1:] + offs[-1][-1])
-        return np.concatenate(ids), np.concatenate(offs)
-
-
 def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, first-word numbers of the texts, and the words' places among the hashed terms."""
     word, first = K.words(*K.text_buffer(column))
@@ -237,6 +227,8 @@ class Shard:
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with ``seed``, best first; equal scores in the shard's order."""
         terms = self.of[self.bounds[seed] : self.bounds[seed + 1]]
+        if not len(terms):  # no term, no neighbour: such documents follow in order
+            return terms
         size = self.size[terms]
         at = np.repeat(self.begin[terms] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         score = np.bincount(self.doc[at], self.weight[at], self.n)
@@ -285,8 +277,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     own first, and its rest is a seed.
 
     When the rest is a shard of ``shard_bytes`` at most, one task packs it by the same scores, one seed after another.
-    Where no seed's window can be filled any more, the rest is packed in shards in the order of the MinHashes, and so
-    are texts without a word. Only the last window of such a task is not full. It is cut at powers of two from the
+    Where no seed's window can be filled any more, the rest is packed in shards in the order of the MinHashes. Texts
+    without a word have no neighbours and follow each other in that order, without a search. Only the last window of such a task is not full. It is cut at powers of two from the
     largest down, which need no padding: every sequence holds 2048 tokens or a smaller power of two. Each id is in
     exactly one piece, and a document's pieces come in order. Null and empty texts are the end id alone. Repeated rows
     are packed as often as they occur; a null id stays null. Other columns are ignored.
@@ -359,13 +351,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 if out:
                     yield _placements(out)
 
-            waiting, held_bytes = [], 0
+            waiting, held_bytes, rows = [], 0, 0
             for batch in K.parts(batches, "terms", shard_bytes // 4):
                 waiting.append(batch)
-                held_bytes += batch["terms"].nbytes
-                if held_bytes >= shard_bytes:
+                held_bytes, rows = held_bytes + batch["terms"].nbytes, rows + batch.num_rows
+                if held_bytes >= shard_bytes or rows >= SHARD_ROWS:
                     yield from flush(waiting)
-                    waiting, held_bytes = [], 0
+                    waiting, held_bytes, rows = [], 0, 0
             if waiting:
                 yield from flush(waiting)
             if held:

@@ -440,3 +440,44 @@ def test_toxicity_on_the_held_out_fold_of_the_given_labels(spark):
     clean = [r.predicted for r in out if r.toxic == 0]
     assert len(toxic) > 100 and sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.005 * len(clean), (sum(toxic), len(toxic), sum(clean), len(clean))
     print(sum(toxic), len(toxic), sum(clean), len(clean))
+
+
+def pieces_by_row(rows):
+    """The pieces of each document, by id, put together; documents of one id as a sorted list."""
+    whole: dict = {}
+    for r in rows:
+        whole.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, bytes(r.ids)))
+    return {k: sorted(v) for k, v in whole.items()}
+
+
+def test_packing_of_awkward_rows_piece_by_piece(spark, awkward):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(PK.default_tokenizer())
+    model.encode_special_tokens = True
+    made = pieces_by_row(PK.pack(awkward).collect())
+    wanted: dict = {}
+    for i, t in awkward_rows():
+        ids = [*model.encode(t or "", add_special_tokens=False).ids, 1]
+        wanted.setdefault((i, len(ids)), []).append(np.array(ids, "<u4").tobytes())
+    assert made.keys() == wanted.keys()
+    for key, texts in wanted.items():
+        if len(texts) == 1:
+            at = 0
+            for start, ids in made[key]:
+                assert start * 4 == at and texts[0][at : at + len(ids)] == ids
+                at += len(ids)
+            assert at == len(texts[0])
+        else:  # equal rows: as many pieces at each place
+            assert sum(len(ids) for _, ids in made[key]) == sum(map(len, texts))
+            assert all(any(t[4 * start : 4 * start + len(ids)] == ids for t in texts) for start, ids in made[key])
+
+
+def test_packing_of_many_rows_without_words_and_of_equal_ones(spark):
+    import time
+
+    df = spark.range(60_000).selectExpr("if(id % 3 = 0, null, id) AS doc_id", "CASE WHEN id % 2 = 0 THEN null WHEN id % 4 = 1 THEN '' ELSE 'same word' END AS text")
+    began = time.perf_counter()
+    rows = PK.pack(df).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("pieces")).collect()
+    assert sum(r.pieces for r in rows) >= 60_000 and sum(r.n for r in rows) == 60_000 + 15_000 * 2
+    assert all(r.n & (r.n - 1) == 0 and r.n <= 2048 for r in rows) and time.perf_counter() - began < 90
