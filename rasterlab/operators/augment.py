@@ -110,7 +110,8 @@ def _augmented(image: np.ndarray, mask: np.ndarray, plan: dict, rng: np.random.G
             image, mask = np.flip(image, axis), np.flip(mask, axis)
     if plan["quarter"]:
         image, mask = np.rot90(image, plan["quarter"]), np.rot90(mask, plan["quarter"])
-    image, mask = kernels.rotate(image, plan["angle"]), kernels.rotate(mask, plan["angle"], nearest=True)
+    else:
+        image, mask = kernels.rotate(image, plan["angle"]), kernels.rotate(mask, plan["angle"], nearest=True)
     if plan["speckle"]:
         image = np.clip(image * (1.0 + rng.normal(0.0, cfg.speckle_sigma, image.shape)), 0.0, 1.0)
     if plan["delta"] is not None:
@@ -131,7 +132,7 @@ def _augmented(image: np.ndarray, mask: np.ndarray, plan: dict, rng: np.random.G
 def augment(samples: DataFrame, cfg: AugmentConfig = AugmentConfig(), seed: int = 42, epoch: int = 0, mode: str = "intent", keep_plan: bool = False) -> DataFrame:
     """Packed samples (``pixels`` doubles, ``labels`` bytes) with a plan, augmented in one pass without a shuffle.
 
-    Cutout erases rectangles; ``mode="reference"`` leaves them, as the original implementation's mask of ones does.
+    An image is turned by quarters or rotated by a small angle, never both. Cutout erases rectangles; ``mode="reference"`` leaves them, as the original implementation's mask of ones does.
     Quarter turns need square images.
     """
     planned = augmentation_plan(samples, cfg, seed, epoch)

@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from rasterlab.config import EvalConfig
+from rasterlab.config import NUM_CLASSES, EvalConfig
 from rasterlab.functions import kernels
 from rasterlab.functions.arrays import clip_all
-from rasterlab.sources.packed import map_rows, packed, unpack
+from rasterlab.sources.packed import STEP_BYTES, map_rows, packed, steps, unpack
 
 #: The rotations of the variants, and the scales that are off unless asked for.
 ANGLES = (-math.pi / 12, math.pi / 12, -math.pi / 6, math.pi / 6)
@@ -122,10 +122,13 @@ def predict_images(images: DataFrame, make_predict: Callable[[], Predict], batch
     return images.mapInArrow(run, schema)
 
 
-def fuse(scored: DataFrame, keys: list[str], values: str = "probs") -> DataFrame:
-    """Mean probabilities over all rows of ``keys`` (long form, arrays by class), clipped, as logarithms in ``fused``."""
-    n = scored.select(*keys, F.posexplode(values).alias("class_id", "p")).groupBy(*keys, "class_id").agg(F.avg("p").alias("p"))
-    out = n.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("class_id", "p"))).alias("at")).select(*keys, F.col("at.p").alias("p"))
+def fuse(scored: DataFrame, keys: list[str], values: str = "probs", num_classes: int = NUM_CLASSES) -> DataFrame:
+    """Mean probabilities over all rows of ``keys`` (long form, arrays by class), clipped, as logarithms in ``fused``.
+
+    One shuffle, with a partial mean for each class in the tasks before it.
+    """
+    means = scored.groupBy(*keys).agg(*(F.avg(F.col(values)[c]).alias(f"p{c}") for c in range(num_classes)))
+    out = means.select(*keys, F.array(*(F.col(f"p{c}") for c in range(num_classes))).alias("p"))
     return out.select(*keys, F.transform(clip_all(F.col("p"), LOW, HIGH), lambda v: F.log(v)).alias("fused"))
 
 
@@ -151,50 +154,115 @@ def match_prediction_size(preds: DataFrame, truth: DataFrame, column: str = "pro
     return map_rows(sized, one, sized.schema).drop("true_h", "true_w")
 
 
-def _tta(image: np.ndarray, predict: Predict, variants: list, on_error: str) -> np.ndarray | None:
-    """Logarithm of the mean softmax over the variants: a running sum, so two planes of scores are in memory."""
-    size, total, n = image.shape[:2], None, 0
-    for kind, angle, scale in variants:
+def model_input(images: np.ndarray, channels: int) -> np.ndarray:
+    """(H, W, N, K) images with the model's channels: several are averaged to one, one is repeated; others stay.
+
+    An image whose values exceed 1 is divided by 255; that is decided for each image alone.
+    """
+    if images.shape[-1] != channels and channels == 1:
+        images = images.mean(axis=-1, keepdims=True)
+    elif images.shape[-1] == 1 and channels > 1:
+        images = np.repeat(images, channels, axis=-1)
+    top = images.max(axis=(0, 1, 3), keepdims=True, initial=0.0)
+    return np.where(top > 1.0, images / 255.0, images)
+
+
+def _scores(stack: np.ndarray, predict: Predict, on_error: str) -> tuple[np.ndarray | None, np.ndarray]:
+    """(H, W, N, C) predictions for (H, W, N, K) images in one call, and which succeeded.
+
+    Where the call fails and ``on_error`` isn't ``fail``, each image is tried alone, so one bad image costs no other.
+    """
+    batch, n = np.ascontiguousarray(stack.transpose(2, 0, 1, 3)), stack.shape[2]
+    try:
+        return np.moveaxis(np.asarray(predict(batch), np.float64), 0, 2), np.ones(n, bool)
+    except Exception:
+        if on_error == "fail":
+            raise
+    done: dict[int, np.ndarray] = {}
+    for i in range(n):
         try:
-            scores = backward(predict(forward(image, kind, angle, scale, size)[None, ..., None])[0], kind, angle, size)
+            done[i] = np.asarray(predict(batch[i : i + 1]), np.float64)[0]
         except Exception:
-            if on_error == "fail":
-                raise
             continue
-        p = kernels.softmax(scores)
-        total, n = (p if total is None else total + p), n + 1
-    return None if not n else np.log(np.clip(total / n, LOW, HIGH))
+    good = np.isin(np.arange(n), list(done))
+    return (np.stack([done.get(i, np.zeros_like(next(iter(done.values())))) for i in range(n)], axis=2), good) if done else (None, good)
 
 
-def multi_scale_predict(images: DataFrame, make_predict: Callable[[], Predict], scales: tuple[float, ...] = EvalConfig.scales, tta: bool = True, model_size: tuple[int, int] | None = None, on_error: str = "fail", finish: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def _tta(images: np.ndarray, predict: Predict, variants: list, on_error: str) -> tuple[np.ndarray | None, np.ndarray]:
+    """Logarithms of the mean softmax over the variants for (H, W, N, K) images, and which have any prediction.
+
+    Images of one size lie behind each other as channels, so flips, rotations and resizes run once for all of them.
+    """
+    h, w, n, k = images.shape
+    total, count = None, np.zeros(n)
+    flat = images.reshape(h, w, n * k)
+    for kind, angle, scale in variants:
+        scores, good = _scores(forward(flat, kind, angle, scale, (h, w)).reshape(h, w, n, k), predict, on_error)
+        if scores is None:
+            continue
+        c = scores.shape[-1]
+        p = kernels.softmax(backward(scores.reshape(*scores.shape[:2], n * c), kind, angle, (h, w)).reshape(h, w, n, c)) * good[:, None]
+        total, count = (p if total is None else total + p), count + good
+    return (None if total is None else np.log(np.clip(total / np.maximum(count, 1)[:, None], LOW, HIGH))), count > 0
+
+
+def multi_scale_predict(
+    images: DataFrame,
+    make_predict: Callable[[], Predict],
+    scales: tuple[float, ...] = EvalConfig.scales,
+    tta: bool = True,
+    model_size: tuple[int, int] | None = None,
+    on_error: str = "fail",
+    finish: Callable[[np.ndarray], np.ndarray] | None = None,
+    channels: int = 1,
+    batch_size: int = 64,
+) -> DataFrame:
     """``(image_id, height, width, probs)``: all scales and variants of an image in one task, without a shuffle.
 
-    Each image is resized to the scaled size and on to the model's (its own if not given). With
-    ``on_error="quarantine"`` failed variants are left out of the mean, and an image without any prediction gets null
-    probabilities and a text in ``error``; class 0 is never invented. ``finish`` is applied to the probabilities.
+    Images get the model's ``channels`` and are brought to [0, 1] (``model_input``), then resized to the scaled size
+    and on to the model's (their own if not given). Up to ``batch_size`` images of one size share a call of the model.
+    With ``on_error="quarantine"`` failed variants are left out of the mean, and an image without any prediction gets
+    null probabilities and a text in ``error``; class 0 is never invented. ``finish`` is applied to the probabilities.
     """
     variants = variant_list() if tta else [("original", None, None)]
     kind = images.schema["image_id"].dataType.simpleString()
     schema = f"image_id {kind}, height int, width int, probs binary, error string"
 
+    def together(rows: list[dict], predict: Predict) -> list[np.ndarray | None]:
+        size, n = (rows[0]["height"], rows[0]["width"]), len(rows)
+        stack = model_input(np.stack([unpack(r).reshape(*size, -1) for r in rows], axis=2), channels)
+        flat = stack.reshape(*size, -1)
+        total, count = 0.0, np.zeros(n)
+        for s in scales:
+            scaled = kernels.resize_bilinear(flat, scaled_size(size[0], s), scaled_size(size[1], s))
+            scaled = kernels.resize_bilinear(scaled, *(model_size or size))
+            fused, good = _tta(scaled.reshape(*scaled.shape[:2], n, -1), predict, variants, on_error)
+            if fused is not None:
+                c = fused.shape[-1]
+                back = kernels.resize_bilinear(fused.reshape(*fused.shape[:2], n * c), *size).reshape(*size, n, c)
+                total, count = total + kernels.softmax(back) * good[:, None], count + good
+        return [np.clip(total[:, :, i] / count[i], LOW, HIGH) if count[i] else None for i in range(n)]
+
     def run(batches):
         predict = make_predict()
         for batch in batches:
-            for row in batch.to_pylist():
-                image = unpack(row)
-                size = image.shape[:2]
-                total, n = 0.0, 0
-                for s in scales:
-                    scaled = kernels.resize_bilinear(image, scaled_size(size[0], s), scaled_size(size[1], s))
-                    fused = _tta(kernels.resize_bilinear(scaled, *(model_size or size)), predict, variants, on_error)
-                    if fused is not None:
-                        total, n = total + kernels.softmax(kernels.resize_bilinear(fused, *size)), n + 1
-                probs = None if not n else np.clip(total / n, LOW, HIGH)
-                probs = finish(probs) if finish is not None and probs is not None else probs
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["image_id"]], batch["image_id"].type), pa.array([size[0]], pa.int32()), pa.array([size[1]], pa.int32()), pa.array([None if probs is None else packed(probs)], pa.binary()), pa.array([None if n else "no prediction"], pa.string())],
-                    names=["image_id", "height", "width", "probs", "error"],
-                )
+            for part in steps(batch, STEP_BYTES // 16):  # scores of all classes are held beside the pixels
+                groups: dict[tuple, list[dict]] = {}
+                for row in part.to_pylist():
+                    groups.setdefault((row["height"], row["width"], len(row["pixels"])), []).append(row)
+                for same in groups.values():
+                    for a in range(0, len(same), batch_size):
+                        rows = same[a : a + batch_size]
+                        made = [finish(p) if finish is not None and p is not None else p for p in together(rows, predict)]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([r["image_id"] for r in rows], batch["image_id"].type),
+                                *(pa.array([r[c] for r in rows], pa.int32()) for c in ("height", "width")),
+                                pa.array([None if p is None else packed(p) for p in made], pa.binary()),
+                                pa.array([None if p is not None else "no prediction" for p in made], pa.string()),
+                            ],
+                            names=["image_id", "height", "width", "probs", "error"],
+                        )
 
     return images.select("image_id", "height", "width", "pixels").mapInArrow(run, schema)
 

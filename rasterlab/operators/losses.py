@@ -130,18 +130,19 @@ def boundary_loss(scored: DataFrame, weights: list[float] | None, boost: float =
     return sums.agg((F.sum("total") / F.sum("cells") * (F.sum("weight") / F.sum("pixels"))).alias("loss"))
 
 
-def lovasz_softmax(pixels: DataFrame, probs: str = "probs", by: list[str] | None = None, num_classes: int = NUM_CLASSES, buckets: int = 4096) -> DataFrame:
+def lovasz_softmax(pixels: DataFrame, probs: str = "probs", by: list[str] | None = None, num_classes: int = NUM_CLASSES, buckets: int = 128) -> DataFrame:
     """Lovász-Softmax: mean over the classes in the truth of errors, largest first, times the steps of the Jaccard loss.
 
     Pixels with equal errors telescope to one step, so rows are first aggregated by class and error; ``by=["image_id"]``
-    gives one value per image. Without ``by`` the order is global: errors fall into ``buckets``, whose sums give every
-    bucket its offset, and the running sums stay inside a bucket.
+    gives one value per image. Without ``by`` the order is global: errors fall into ``buckets`` for each
+    halving of the error, whose sums give every bucket its offset, and the running sums stay inside a bucket. The small
+    errors of a good model, which lie close to each other, are parted by their logarithm.
     """
     by = by or []
     rows = pixels.select(*by, "true_class", F.posexplode(probs).alias("class_id", "p"))
     fg = (F.col("true_class") == F.col("class_id")).cast("long")
     steps = rows.withColumn("fg", fg).withColumn("err", F.abs(F.col("fg") - F.col("p"))).groupBy(*by, "class_id", "err").agg(F.count("*").alias("n"), F.sum("fg").alias("fg"))
-    steps = steps.withColumn("bucket", F.lit(0) if by else F.floor((1.0 - F.least(F.col("err"), F.lit(1.0))) * buckets).cast("int"))
+    steps = steps.withColumn("bucket", F.lit(0) if by else F.floor(-F.log2(F.greatest(F.least("err", F.lit(1.0)), F.lit(1e-30))) * buckets).cast("int"))
     sums = steps.groupBy(*by, "class_id", "bucket").agg(F.sum("n").alias("bn"), F.sum("fg").alias("bfg"))
     whole = Window.partitionBy(*by, "class_id")
     earlier = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

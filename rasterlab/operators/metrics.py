@@ -146,13 +146,18 @@ def bootstrap_replicates(per_image: DataFrame, replicates: int = EvalConfig.boot
         def run(batches):
             total: dict[int, np.ndarray] = {}
             for batch in batches:
-                ids = batch[key].to_pylist()
-                cell = batch["true_class"].to_numpy() * 4096 + batch["pred_class"].to_numpy()
-                count = batch["n"].to_numpy()
-                for image in dict.fromkeys(ids):
-                    times = keyed.generator("poisson", image, seed, 0).poisson(1.0, replicates)
-                    for i in [j for j, x in enumerate(ids) if x == image]:
-                        total[int(cell[i])] = total.get(int(cell[i]), 0) + times * count[i]
+                places: dict = {}
+                row = np.array([places.setdefault(x, len(places)) for x in batch[key].to_pylist()], np.int64)
+                cells, column = np.unique(batch["true_class"].to_numpy().astype(np.int64) * 4096 + batch["pred_class"].to_numpy(), return_inverse=True)
+                images = list(places)
+                for a in range(0, len(images), 1024):  # so many rows of draws at once
+                    part = images[a : a + 1024]
+                    on = (row >= a) & (row < a + len(part))
+                    counts = np.zeros((len(part), len(cells)))
+                    np.add.at(counts, (row[on] - a, column[on]), batch["n"].to_numpy()[on])
+                    times = np.stack([keyed.generator("poisson", x, seed, 0).poisson(1.0, replicates) for x in part])
+                    for c, n in zip(cells.tolist(), counts.T @ times, strict=True):
+                        total[c] = total.get(c, 0) + n
             for c, n in total.items():
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates, dtype=np.int32)), pa.array(np.full(replicates, c // 4096, np.int32)), pa.array(np.full(replicates, c % 4096, np.int32)), pa.array(n.astype(np.int64))], names=["replicate", "true_class", "pred_class", "n"])
 
@@ -193,8 +198,12 @@ def summary(confusion: DataFrame) -> DataFrame:
 
 
 def evaluate(per_image: DataFrame, replicates: int = 0, mode: str = "exact", cfg: EvalConfig = EvalConfig()) -> tuple[DataFrame, DataFrame]:
-    """The summary (with the bootstrap interval if ``replicates``) and the class report of per-image counts."""
-    total = total_confusion(per_image)
+    """The summary (with the bootstrap interval if ``replicates``) and the class report of per-image counts.
+
+    The counts are added up once, at the call.
+    """
+    counts = total_confusion(per_image)
+    total = per_image.sparkSession.createDataFrame(counts.collect(), counts.schema)  # a row per pair of classes
     table = summary(total)
     if replicates:
         ci = bootstrap_ci(bootstrap_replicates(per_image, replicates, mode), cfg.confidence)

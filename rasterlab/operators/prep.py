@@ -215,10 +215,13 @@ def parse_resized(images: DataFrame, masks: DataFrame, size: int = DataConfig.si
     return a.join(b.select("image_id", "labels"), "image_id")
 
 
-def load_dataset(spark: SparkSession, folder: str, split: str, cfg: DataConfig = DataConfig(), pair: str = "stem", drop_remainder: bool = True) -> tuple[DataFrame, DataFrame | None, int]:
+def load_dataset(spark: SparkSession, folder: str, split: str, cfg: DataConfig = DataConfig(), pair: str = "stem", drop_remainder: bool = True, seed: int = 42, epoch: int = 0) -> tuple[DataFrame, DataFrame | None, int]:
     """Samples with ``batch_id`` of one split, the class weights (for train only), and the number of batches.
 
-    Only listings are paired, split and numbered; contents join by id afterwards.
+    For train, one patch of ``cfg.size`` is cut from each image in its own resolution, about half of them around a
+    pixel of a rare class, and the batches follow the shuffle of ``seed`` and ``epoch``: so every epoch has other
+    patches and another order, and a repeated run has the same. For val and test, images are resized and batches follow
+    the paths. Only listings are paired, split, shuffled and numbered; contents join by id afterwards.
     """
     if split not in files.SPLITS:
         raise ValueError(f"split: {split}")
@@ -228,11 +231,14 @@ def load_dataset(spark: SparkSession, folder: str, split: str, cfg: DataConfig =
     listing = listing.withColumn("split", F.lit("test")) if split == "test" else split_train_val(listing, cfg.val_split, "image_path")
     listing = files.select_split(listing, split)
     n = listing.count()
-    batches = assign_batches(listing, cfg.batch_size, drop_remainder and split == "train", "image_path")
+    order = "image_path"
+    if split == "train":
+        listing, order = shuffle_epoch(listing, seed, epoch, "image_id").withColumn("u", F.format_string("%.17f", "u")), "u"
+    batches = assign_batches(listing, cfg.batch_size, drop_remainder and split == "train", order)
     chosen = batches.select("image_id", F.col("image_path").alias("path"), "mask_path", "batch_id")
     images = images.drop("image_id").join(chosen.select("path", "image_id"), "path")
     masks = masks.drop("image_id").join(chosen.select(F.col("mask_path").alias("path"), "image_id"), "path")
-    samples = parse_original(images, masks) if split == "train" else parse_resized(images, masks, cfg.size)
+    samples = sample_patches(parse_original(images, masks), cfg.size, seed, epoch) if split == "train" else parse_resized(images, masks, cfg.size)
     weights = class_weights(class_distribution(masks)) if split == "train" else None
     return samples.join(chosen.select("image_id", "batch_id"), "image_id"), weights, -(-n // cfg.batch_size)
 

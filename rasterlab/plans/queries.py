@@ -16,6 +16,7 @@ from rasterlab.plans import fixtures as X
 from rasterlab.plans.fixtures import CTES, SIDE, WEIGHTS, softmax_sql
 from rasterlab.sources import files as S
 from rasterlab.sources.packed import explode_channels, explode_pixels, pack_pixels, tile_image
+from rasterlab.streaming.sinks import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,11 +152,9 @@ def fix_channels(spark, sf):
 def resize_sql(n: int, h: int, w: int, source: str, value: str = "v") -> str:
     """CTEs ``ay, ax`` and a select of the four-neighbour interpolation of ``source``."""
     axis = lambda m: f"(SELECT CAST(i AS INTEGER) AS i, CAST(greatest(floor(p), 0) AS INTEGER) AS lo, CAST(least(ceil(p), {n - 1}) AS INTEGER) AS hi, p - floor(p) AS w FROM (SELECT i, (i + 0.5) * {n} / {m} - CAST(0.5 AS DOUBLE) AS p FROM (SELECT CAST(i AS DOUBLE) AS i FROM range({m}) r(i))))"
-    mix = f"((a.{value} * (1 - ax.w) + b.{value} * ax.w) * (1 - ay.w) + (c.{value} * (1 - ax.w) + d.{value} * ax.w) * ay.w)"
-    return (
-        f"SELECT a.image_id, ay.i AS y, ax.i AS x, {mix} AS v FROM {axis(h)} ay CROSS JOIN {axis(w)} ax JOIN {source} a ON a.y = ay.lo AND a.x = ax.lo "
-        f"JOIN {source} b ON b.image_id = a.image_id AND b.y = ay.lo AND b.x = ax.hi JOIN {source} c ON c.image_id = a.image_id AND c.y = ay.hi AND c.x = ax.lo JOIN {source} d ON d.image_id = a.image_id AND d.y = ay.hi AND d.x = ax.hi"
-    )
+    at = lambda y, x: f"a[CAST(ay.{y} * {n} + ax.{x} + 1 AS BIGINT)]"
+    mix = f"(({at('lo', 'lo')} * (1 - ax.w) + {at('lo', 'hi')} * ax.w) * (1 - ay.w) + ({at('hi', 'lo')} * (1 - ax.w) + {at('hi', 'hi')} * ax.w) * ay.w)"
+    return f"SELECT image_id, CAST(ay.i AS INTEGER) AS y, CAST(ax.i AS INTEGER) AS x, {mix} AS v FROM (SELECT image_id, list({value} ORDER BY y, x) AS a FROM {source} GROUP BY 1) CROSS JOIN {axis(h)} ay CROSS JOIN {axis(w)} ax"
 
 
 @query(f"SELECT image_id, y, x, {R('v')} AS v FROM ({resize_sql(8, 6, 10, 'tiles')})")
@@ -284,11 +283,10 @@ def rotate_sql(angle: float, source: str, value: str, nearest: bool, keys: str =
     at = f"SELECT y, x, {back('u')} AS u, {back('v')} AS v FROM (SELECT y, x, {wrap('u')} AS u, {wrap('v')} AS v FROM (SELECT y, x, {fold('u')} AS u, {fold('v')} AS v FROM ({raw})))"
     if nearest:
         return f"SELECT {keys}, g.y, g.x, t.{value} AS v FROM ({at}) g JOIN {source} t ON t.y = floor(g.v + 0.5) AND t.x = floor(g.u + 0.5)"
-    on = ", ".join(f"t.{k.strip()}" for k in keys.split(","))
-    same = lambda o: " AND ".join(f"{o}.{k.strip()} = t.{k.strip()}" for k in keys.split(","))
     g = f"(SELECT y, x, floor(v) AS y0, floor(u) AS x0, least(floor(v) + 1, 7) AS y1, least(floor(u) + 1, 7) AS x1, u - floor(u) AS fx, v - floor(v) AS fy FROM ({at}))"
-    mix = f"(t.{value} * (1 - fx) + b.{value} * fx) * (1 - fy) + (c.{value} * (1 - fx) + d.{value} * fx) * fy"
-    return f"SELECT {on}, g.y, g.x, {mix} AS v FROM {g} g JOIN {source} t ON t.y = y0 AND t.x = x0 JOIN {source} b ON {same('b')} AND b.y = y0 AND b.x = x1 JOIN {source} c ON {same('c')} AND c.y = y1 AND c.x = x0 JOIN {source} d ON {same('d')} AND d.y = y1 AND d.x = x1"
+    near = lambda y, x: f"a[CAST({y} * 8 + {x} + 1 AS BIGINT)]"
+    mix = f"({near('y0', 'x0')} * (1 - fx) + {near('y0', 'x1')} * fx) * (1 - fy) + ({near('y1', 'x0')} * (1 - fx) + {near('y1', 'x1')} * fx) * fy"
+    return f"SELECT {keys}, g.y, g.x, {mix} AS v FROM {g} g CROSS JOIN (SELECT {keys}, list({value} ORDER BY y, x) AS a FROM {source} GROUP BY ALL)"
 
 
 @query(f"SELECT image_id, y, x, {R('v')} AS v FROM ({rotate_sql(ANGLE, 'tiles', 'v', False)})")
@@ -486,6 +484,24 @@ def multi_scale_predict_plain(spark, sf):
     return by_class(explode_channels(out, "probs", 5), "values")
 
 
+@query("SELECT class_id, CAST(count(*) AS BIGINT) AS pixel_count FROM (SELECT true_class AS class_id FROM scored) GROUP BY 1")
+def write_read_class_weights(spark, sf):
+    """Weights written with what they belong to, and read back."""
+    path = work_folder(spark)
+    weights = P.class_weights(P.class_distribution_long(X.scored_tiles(spark, sf)))
+    S.write_class_weights(weights, path, 1, 1)
+    return S.read_class_weights(spark, path, 1, 1).select("class_id", "pixel_count")
+
+
+@query("SELECT image_id, y, x, true_class FROM scored")
+def write_read_samples(spark, sf):
+    """Packed samples written by batch, and read back in the long form."""
+    path = work_folder(spark)
+    rows = X.packed_tiles(spark, sf).select("image_id", "height", "width", "pixels", "labels", F.lit("train").alias("split"), (F.col("image_id") % 7).cast("int").alias("batch_id"))
+    S.write_samples(rows, path, 4)
+    return explode_pixels(spark.read.parquet(path).select("image_id", "height", "width", F.col("labels").alias("true_class")), {"true_class": "u1"})
+
+
 @query()
 def multi_scale_predict(spark, sf):
     out = IN.multi_scale_predict(X.packed_tiles(spark, sf), toy_model)
@@ -570,7 +586,14 @@ def _boost_sql(mask: str, touched: str) -> str:
     return f"SELECT image_id, y, x, CAST(k AS INTEGER) AS class_id, {R('CASE WHEN touched THEN q[k + 1] / list_sum(q) ELSE p[k + 1] END')} AS p FROM (SELECT a.image_id, a.y, a.x, p, {new} AS q, a.image_id IN ({touched}) AS touched FROM probs a JOIN {mask} b USING (image_id, y, x)), range(5) t(k)"
 
 
-@query(_boost_sql("mask", "SELECT image_id FROM mask WHERE m = 1"))
+def _boost_all_sql(mask: str) -> str:
+    """The same where the mask itself says which images it touches, without a second look at it."""
+    rows = f"SELECT a.image_id, a.y, a.x, p, b.m, max(b.m) OVER (PARTITION BY a.image_id) = 1 AS touched FROM probs a JOIN {mask} b ON b.image_id = a.image_id AND b.y = a.y AND b.x = a.x"
+    new = "CASE WHEN m = 1 THEN [p[1], p[2], p[3] * 0.7, least(greatest(p[4] * 1.35, 0.0), 1.0), p[5]] ELSE p END"
+    return f"SELECT image_id, y, x, CAST(k AS INTEGER) AS class_id, {R('CASE WHEN touched THEN q[k + 1] / list_sum(q) ELSE p[k + 1] END')} AS p FROM (SELECT *, {new} AS q FROM ({rows})), range(5) t(k)"
+
+
+@query(_boost_all_sql("mask"))
 def boost_and_suppress(spark, sf):
     on = X.tiles(spark, sf).where("v >= 0.5").select("image_id", "y", "x")
     return by_class(PP.boost_and_suppress(probs_long(spark, sf).select("image_id", "y", "x", "probs"), on), "probs")
@@ -737,7 +760,9 @@ def compare_runs(spark, sf):
 
 @query(f"SELECT class_name AS \"Class\", {R('a.iou')} AS \"IoU_TTA\", {R('l.iou')} AS \"IoU_baseline\", {R('a.iou - l.iou')} AS \"Improvement\" FROM iou a JOIN {_LINE_IOU} l USING (class_id) JOIN {_NAMES} USING (class_id)")
 def write_class_iou_csv(spark, sf):
-    out = S.class_iou_table(_runs(spark, sf))
+    path = work_folder(spark)
+    S.write_class_iou_csv(_runs(spark, sf), path)
+    out = spark.read.csv(path, header=True, schema="Class string, IoU_TTA double, IoU_baseline double, Improvement double")
     return out.select("Class", *(r6(F.col(c)).alias(c) for c in ("IoU_TTA", "IoU_baseline", "Improvement")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,18 +10,30 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Bytes of a batch that become Python objects at once.
+STEP_BYTES = 32 << 20
+
+
+def steps(batch: pa.RecordBatch, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in parts of about ``limit`` bytes, one row at least."""
+    rows = max(1, batch.num_rows * limit // max(1, batch.nbytes))
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
 def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: str | T.StructType) -> DataFrame:
-    """Apply ``fn`` to every row inside Arrow batches: no shuffle, one image in memory at a time besides its batch.
+    """Apply ``fn`` to every row inside Arrow batches, without a shuffle.
 
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` bounds a batch; 16 to 64 suits large images.
+    About STEP_BYTES of a batch become Python objects at once. ``spark.sql.execution.arrow.maxRecordsPerBatch`` bounds
+    the batches that Spark sends; 16 to 64 suits large images.
     """
     types = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     arrow = to_arrow_schema(types)
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pylist([fn(row) for row in batch.to_pylist()], arrow)
+            for part in steps(batch):
+                yield pa.RecordBatch.from_pylist([fn(row) for row in part.to_pylist()], arrow)
 
     return df.mapInArrow(run, types)
 

@@ -49,10 +49,15 @@ def dataset(tmp_path_factory):
 
 
 def test_load_dataset(spark, dataset):
-    data, weights, batches = P.load_dataset(spark, str(dataset), "train", P.DataConfig(batch_size=4))
+    data, weights, batches = P.load_dataset(spark, str(dataset), "train", P.DataConfig(batch_size=4, size=5))
     rows = data.collect()
+    assert {(r.height, r.width, len(r.pixels), len(r.labels)) for r in rows} == {(5, 5, 200, 25)}  # patches of one size
+    order = lambda **k: {r.image_id: (r.batch_id, r.top, r.left) for r in P.load_dataset(spark, str(dataset), "train", P.DataConfig(batch_size=4, size=5), drop_remainder=False, **k)[0].collect()}
+    first = order()
+    assert len(first) == 17 and first == order() and first != order(epoch=1)
+    assert [first[k][0] for k in sorted(first)] != sorted(x[0] for x in first.values())  # shuffled
     assert batches == 5 and len(rows) == 16 and sorted({r.batch_id for r in rows}) == [0, 1, 2, 3]
-    assert max(max(r.labels) for r in rows) == 4
+    assert max(max(r.labels) for r in rows) <= 4
     assert abs(weights.agg(F.sum("weight")).first()[0] - 1) < 1e-9
     val, none, batches = P.load_dataset(spark, str(dataset), "val", P.DataConfig(size=8))
     assert none is None and batches == 1 and [r.height for r in val.collect()] == [8, 8, 8]
@@ -155,6 +160,89 @@ def test_augment(spark):
     assert sorted(r["count"] for r in batches) == [16, 16, 16]
 
 
+def test_augment_equals_its_plan_step_by_step(spark):
+    """Without noise, every image follows from its plan by plain array operations; turned images aren't rotated too."""
+    from rasterlab.functions import kernels
+
+    df = samples(spark, 80)
+    cfg = AugmentConfig(p_speckle=0.0)
+    before = {r.image_id: r for r in df.collect()}
+    turned = 0
+    for r in AU.augment(df, cfg, keep_plan=True).collect():
+        image, mask = np.frombuffer(before[r.image_id].pixels).reshape(16, 16), np.frombuffer(before[r.image_id].labels, np.uint8).reshape(16, 16)
+        if r.flip_h:
+            image, mask = image[:, ::-1], mask[:, ::-1]
+        if r.flip_v:
+            image, mask = image[::-1], mask[::-1]
+        if r.quarter:
+            turned += 1
+            image, mask = np.rot90(image, r.quarter), np.rot90(mask, r.quarter)
+        else:
+            image, mask = kernels.rotate(image, r.angle), kernels.rotate(mask, r.angle, nearest=True)
+        image = image + (r.delta or 0.0)
+        image = np.clip((image - image.mean()) * (1.0 if r.factor is None else r.factor) + image.mean(), 0, 1)
+        image = image if r.gamma is None else np.maximum(image, 1e-7) ** r.gamma
+        image = image if r.sigma is None else kernels.blur(image, r.sigma)
+        image = image.copy()
+        for p in r.patches or []:
+            image[p.top : p.top + p.h, p.left : p.left + p.w] = 0
+        assert np.allclose(np.frombuffer(r.pixels).reshape(16, 16), np.clip(image, 0, 1), atol=1e-9)
+        assert np.array_equal(np.frombuffer(r.labels, np.uint8).reshape(16, 16), mask)
+    assert 5 < turned < 40
+
+
+def test_multi_scale_predict_equals_one_image_at_a_time(spark):
+    """Batched calls, against a plain loop over scales and variants; channels are averaged, bytes brought to [0, 1]."""
+    from rasterlab.functions import kernels
+
+    shapes = []
+
+    def predict(batch):
+        shapes.append(batch.shape)
+        assert batch.shape[-1] == 1
+        x = batch[..., 0]
+        return np.stack([x, 1 - x, x * x, x.mean(axis=(1, 2), keepdims=True) + 0 * x, np.sqrt(np.abs(x))], axis=-1)
+
+    images = {0: RNG.random((8, 8)), 1: RNG.random((8, 8)), 2: RNG.random((12, 9)), 3: RNG.random((8, 8)) * 255, 4: RNG.random((8, 8, 3))}
+    rows = [(i, x.shape[0], x.shape[1], packed(x)) for i, x in images.items()]
+    df = spark.createDataFrame(rows, "image_id long, height int, width int, pixels binary")
+    got = {r.image_id: np.frombuffer(r.probs).reshape(r.height, r.width, 5) for r in IN.multi_scale_predict(df, lambda: predict, (0.5, 1.0)).collect()}
+    for i, x in images.items():
+        x = x.mean(axis=-1) if x.ndim == 3 else x
+        x = x / 255 if x.max() > 1 else x
+        total = 0
+        for s in (0.5, 1.0):
+            small = kernels.resize_bilinear(kernels.resize_bilinear(x, IN.scaled_size(x.shape[0], s), IN.scaled_size(x.shape[1], s)), *x.shape)
+            p = [kernels.softmax(IN.backward(predict(IN.forward(small, k, a, z, x.shape)[None, ..., None])[0], k, a, x.shape)) for k, a, z in IN.variant_list()]
+            total = total + kernels.softmax(np.log(np.clip(np.mean(p, axis=0), IN.LOW, IN.HIGH)))
+        assert np.allclose(got[i], np.clip(total / 2, IN.LOW, IN.HIGH), atol=1e-9), i
+    assert IN.model_input(np.ones((2, 2, 3, 1)), 3).shape == (2, 2, 3, 3)
+
+
+def test_one_bad_image_costs_no_other(spark):
+    def predict(batch):
+        if (batch > 0.99).any():
+            raise RuntimeError("bad")
+        return np.repeat(batch, 5, axis=-1)
+
+    bright = np.zeros((8, 8))
+    bright[2:6, 2:6] = 1.0
+    rows = [(0, 8, 8, packed(np.full((8, 8), 0.3))), (1, 8, 8, packed(bright))]
+    df = spark.createDataFrame(rows, "image_id long, height int, width int, pixels binary").coalesce(1)
+    got = {r.image_id: r for r in IN.multi_scale_predict(df, lambda: predict, (1.0,), tta=False, on_error="quarantine").collect()}
+    assert got[0].probs is not None and got[0].error is None and got[1].probs is None and got[1].error
+
+
+def test_lovasz_with_nearly_all_errors_in_one_place(spark):
+    """A good model's errors are tiny and alike; the global order must hold whatever the buckets."""
+    p = 1e-7 + RNG.random(4000) ** 8 * 1e-3
+    rows = [(int(t), [float(1 - 4 * x) if c == t else float(x) for c in range(5)]) for t, x in zip(RNG.integers(0, 5, 4000), p, strict=True)]
+    df = spark.createDataFrame(rows, "true_class int, probs array<double>").withColumn("image_id", F.lit(1)).repartition(4)
+    one = L.lovasz_softmax(df, by=["image_id"]).first().loss
+    for buckets in (1, 16, 128):
+        assert L.lovasz_softmax(df, buckets=buckets).first().loss == pytest.approx(one, abs=1e-12)
+
+
 def test_variants():
     assert [v[0] for v in IN.variant_list()] == ["original", "h_flip", "v_flip", "h_flip_v_flip", "rotate", "rotate", "rotate", "rotate"]
     assert len(IN.variant_list(8, scales=True)) == 8 and IN.variant_list(1) == [("original", None, None)]
@@ -248,7 +336,19 @@ def test_log_input_equals_probabilities(spark):
 
 
 def test_every_inventory_group_has_queries():
-    assert len(Q.QUERIES) > 100 and set(Q.ORACLES) <= set(Q.QUERIES)
+    assert set(Q.ORACLES) <= set(Q.QUERIES)
+    groups = {
+        "sources": "pair_samples_stem pair_samples_position orphans select_split explode_pixels pack_pixels tile_image write_class_iou_csv write_read_class_weights write_read_samples",
+        "preparation": "split_train_val clip_labels class_distribution class_distribution_long class_weights normalise_pixels auto_rescale fix_channels resize_bilinear resize_nearest pad_to_patch class_presence sample_target_pixel class_centred_crop random_crop patch_plan sample_patches assign_batches shuffle_epoch",
+        "augmentation": "flip_h flip_v rotate_bilinear rotate_nearest speckle brightness contrast gamma gaussian_blur cutout augmentation_plan augment apply_augmentation map_samples",
+        "inference": "tta_variants scale_variants augment_variant reverse_variant predict_images softmax fuse_tta fuse_scales argmax_class argmax_labels match_prediction_size multi_scale_predict",
+        "post-processing": "class_mask morph_open morph_close connected_components component_stats filter_components dilate_small boost_and_suppress ship_enhancement scene_components",
+        "metrics": "confusion_matrix confusion_packed confusion_per_image class_iou mean_iou_truth mean_iou_union precision_recall_f1 pixel_accuracy frequency_weighted_iou cohens_kappa bootstrap_replicates bootstrap_ci evaluate class_report compare_to_baseline compare_runs",
+        "losses": "one_hot smooth_labels pixel_weight weighted_cross_entropy focal_loss dice_loss sobel_edges boundary_loss hybrid_ce hybrid_focal hybrid_dice lovasz_softmax lovasz_softmax_global hybrid_loss",
+        "streaming": "stream_confusion stream_windowed_iou stream_class_distribution",
+    }
+    for group, names in groups.items():
+        assert not set(names.split()) - set(Q.QUERIES), group
 
 
 def test_registered_bootstrap_has_the_production_size(spark, monkeypatch):
