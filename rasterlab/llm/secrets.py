@@ -57,15 +57,22 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY_WORDS) -> list[str]:
-    """The ``words`` words of 3 to 20 letters that most documents hold, by count, then by name, from the whole corpus.
+    """The words of 3 to 20 letters that most documents hold, ``words`` at most, from the whole corpus.
 
-    Each document counts a word once; words that fewer than one document in 20,000 holds are not frequent. The list is
-    short, so it may be on the driver.
+    Each document counts a word once, and words of a single document are none of the language. Counts are compared by
+    steps of a hundredth: those above the step that would exceed ``words`` are taken, so that only a histogram of steps
+    and the words themselves reach the driver.
     """
     each = F.array_distinct(F.split(F.lower(F.col(f"`{text_col}`").cast("string")), r"[^\p{L}]+"))
     counts = docs.select(F.explode_outer(F.filter(each, lambda w: F.length(w).between(3, 20))).alias("word")).where("word is not null").groupBy("word").count()
-    counts = counts.where(F.col("count") * 20_000 >= docs.count())
-    return [r.word for r in counts.orderBy(F.desc("count"), "word").limit(words).collect()]
+    counts = materialise(counts.where("count > 1").withColumn("step", F.floor(F.log2("count") * 64).cast("int")))
+    least, total = None, 0
+    for r in sorted(counts.groupBy("step").agg(F.count("*").alias("n")).collect(), reverse=True):
+        total += r.n
+        if total > words:
+            break
+        least = r.step
+    return [] if least is None else sorted(r.word for r in counts.where(F.col("step") >= least).select("word").collect())
 
 
 def _known(words: list[str]) -> str:

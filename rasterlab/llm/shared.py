@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """A new folder name under ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that driver and executors share")
         if not hasattr(shared_dir, "own"):
             shared_dir.own = tempfile.mkdtemp(prefix="spark-")
         root = f"file://{shared_dir.own}"

@@ -196,6 +196,13 @@ def test_forest_from_labelled_findings(spark):
     assert SC.score(df, None, words).where("score = 0.5").count() == df.count()
 
 
+def test_dictionary_holds_the_most_frequent_words(spark):
+    texts = ["Common words here and there", "common WORDS and more", "common and rare", "and", None, "", "x" * 30 + " of"]
+    df = spark.createDataFrame([(t, "clash") for t in texts], "text string, word string")
+    assert SC.dictionary(df) == ["and", "common", "words"]
+    assert SC.dictionary(df, words=2) == ["and", "common"] and SC.dictionary(df, words=0) == [] == SC.dictionary(df.limit(0))
+
+
 def test_coverage_is_that_of_the_dictionary(spark):
     words = ["time", "order", "a", "zebra", "naïve"]
     df = spark.createDataFrame([("orderTime42",), ("ZEBRA-x",), ("qq",), ("",), ("time" * 3,)], "candidate string").selectExpr("candidate", "'' before", "'' after", "'' path")
