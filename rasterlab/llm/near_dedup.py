@@ -123,13 +123,15 @@ def near_duplicates(
     3. representatives that share a band meet in a bucket. Each is first paired with the bucket's smallest and largest
        id only (a star, not all pairs); pairs whose sketches allow it are verified on the full sets of their texts and
        give first components. Only in buckets that still hold several components are members of different components
-       compared, in blocks and by longer sketches, and verified too. So a large bucket of copies costs one pair for
-       each member, and links between different texts of the same bucket are not lost;
+       compared, in blocks and by longer sketches, and verified too: members outside the bucket's largest component with
+       all others, so that a large group of copies is never compared within itself. So a large bucket of copies costs
+       one pair for each member, and links between different texts of the same bucket are not lost;
     4. components of the verified links give ``component_id``, the smallest reachable id.
 
     A pair at similarity s shares a band with probability ``1 - (1 - s**rows)**bands``: all but 5 in a million at 0.75.
 
-    Null, empty and blank texts have no shingles and are linked with nothing. A row with a null id is linked with
+    Sets are compared as 64-bit hashes of their shingles. Null, empty and blank texts have no shingles and are linked
+    with nothing. A row with a null id is linked with
     nothing, has a null ``component_id`` and is kept. Rows that share an id are one document for the links.
     Other columns of ``docs`` are ignored, whatever their names.
     """
@@ -165,18 +167,21 @@ def near_duplicates(
     links = links.union(more)
     found = components(links)
     named = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("bucket")
-    left = named.join(mixed, "bucket", "left_semi").join(reps.select("id", "bands", *(F.col(c) for c in marks.columns[2:]), F.col("n_shingles").alias("n")), "id")
-    left = materialise(left.select("id", "band", "bands", "bucket", "component", "n", "b0", "b1", "b2", "b3", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("components")).where("components > 1").select("bucket", "main")
+    left = named.join(mixed, "bucket").join(reps.select("id", "bands", *(F.col(c) for c in marks.columns[2:]), F.col("n_shingles").alias("n")), "id")
+    left = materialise(left.select("id", "band", "bands", "bucket", "component", "main", "n", "b0", "b1", "b2", "b3", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     near = left.select(F.col("id").alias("doc_id")).distinct().hint("merge")
     left = left.join(more_bits(texts.join(near, "doc_id", "left_semi"), k), "id")
-    x = left.select(*(F.col(c).alias(f"x{c}") for c in left.columns), F.pmod(F.hash("id"), F.col("blocks")).alias("xblock"))
+    x = left.where("component <> main").select(*(F.col(c).alias(f"x{c}") for c in left.columns), F.pmod(F.hash("id"), F.col("blocks")).alias("xblock"))
     x = x.withColumn("yblock", F.explode(F.sequence(F.lit(0), F.col("xblocks") - 1)))
     y = left.select(*(F.col(c).alias(f"y{c}") for c in left.columns), F.pmod(F.hash("id"), F.col("blocks")).alias("block"))
     meet = (F.col("xbucket") == F.col("ybucket")) & (F.col("yblock") == F.col("block"))
     earlier = lambda side: F.slice(f"{side}bands", F.lit(1), F.col(f"{side}band"))
     first_met = ~F.arrays_overlap(earlier("x"), earlier("y"))  # a pair comes out of the first of its common buckets
-    rest = x.join(y, meet & (F.col("xcomponent") < F.col("ycomponent")) & _alike("x", "y", percent) & _more_alike("x", "y", percent) & first_met)
+    differ = F.col("xcomponent") != F.col("ycomponent")
+    once = (F.col("ycomponent") == F.col("ymain")) | (F.col("xcomponent") < F.col("ycomponent"))
+    rest = x.join(y, meet & differ & once & _alike("x", "y", percent) & _more_alike("x", "y", percent) & first_met)
     rest = materialise(rest.select(F.greatest("xid", "yid").alias("a"), F.least("xid", "yid").alias("b")).distinct())
     last = materialise(verify_pairs(rest, texts, k, percent))
     found = components(found.where("node <> component").toDF("a", "b").union(last))
