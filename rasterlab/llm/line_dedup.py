@@ -138,7 +138,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chunks = materialise(_chunks(base))
     repeated = chunks.groupBy("chunk", "n").agg(F.count("*").alias("places")).where("places > 1").select("chunk", "n").hint("merge")
     chunks = materialise(chunks.join(repeated, ["chunk", "n"], "left_semi"))
-    kept = chunks.groupBy("chunk", "n").agg(F.min(F.struct("id", "k", "start", "prev", "next")).alias("keep"))
+    # written, so that the join below has two plain sides and Spark can split the places of a frequent chunk over tasks
+    kept = materialise(chunks.groupBy("chunk", "n").agg(F.min(F.struct("id", "k", "start", "prev", "next")).alias("keep")))
     marked = chunks.join(kept, ["chunk", "n"]).where(~(F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("k") == F.col("keep.k")) & (F.col("start") == F.col("keep.start"))))
     left = _alike(F.reverse("prev"), F.reverse("keep.prev"))
     marked = marked.withColumn("left", left).withColumn("right", _alike(F.col("next"), F.col("keep.next")))
