@@ -106,6 +106,35 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) and r.n_shingles == len(shingles(dict(rows)[r.doc_id])) for r in got)
 
 
+def test_near_duplicates_in_a_bucket_of_several_components(spark, prose, monkeypatch):
+    """A hot group of near copies with strays in the same buckets: all links are found, and the group isn't paired within itself."""
+    from rasterlab.llm import near_dedup as N
+
+    base = prose.words(200)
+    rows = []
+    for i in range(60):  # one large component
+        w = list(base)
+        w[i % 200] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    for i in range(6):  # further away, linked with each other but not with all of these
+        w = list(base)
+        for j in range(0, 200, 18):
+            w[j] = f"far{j}"
+        w[7 + i] = f"stray{i}"
+        rows.append((100 + i, " ".join(w)))
+    rows += [(200 + i, " ".join(prose.words(30))) for i in range(5)]
+    seen, original = [], N.verify_pairs
+
+    def watched(pairs, *a):
+        seen.append(pairs.count())
+        return original(pairs, *a)
+
+    monkeypatch.setattr(N, "verify_pairs", watched)
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bands=64, rows=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == near_by_force(rows)
+    assert seen[-1] < 60 * 12
+
+
 def test_near_duplicates_awkward(awkward, nothing):
     got = near_duplicates(awkward).collect()
     assert len(got) == len(awkward_rows())

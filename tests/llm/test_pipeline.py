@@ -9,6 +9,11 @@ from .conftest import Prose
 from .test_documents import check_pieces, near_by_force, shingles
 
 
+#: A clean text without an id, and two of one id.
+NO_ID = " ".join(f"lonely{i}" for i in range(50))
+TWICE = [" ".join(f"{x}{i}" for i in range(50)) for x in ("first", "second")]
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     p = Prose(21)
@@ -32,7 +37,8 @@ def corpus(spark, tmp_path_factory):
         texts[i] += "\n" + item
     copies = {1000 + k: " ".join([*texts[clean[50]].split(), f"tail{k}"]) for k in range(5)}  # one line each: line dedup leaves them
     texts |= copies | {2000: texts[clean[60]], 2001: None, 2002: ""}
-    spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in texts.items()], ", ".join(("doc_id long", "text string", "lang string", "source string", "n_chars long"))).write.parquet(f"{folder}/documents.parquet")
+    extra = [(None, " ".join(p.words(40)) + " " + item), (None, NO_ID), (3000, TWICE[0]), (3000, TWICE[1]), (3000, TWICE[1])]
+    spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in [*texts.items(), *extra]], ", ".join(("doc_id long", "text string", "lang string", "source string", "n_chars long"))).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return folder, texts, passage, item, clean, copies
@@ -47,9 +53,12 @@ def test_stages(spark, corpus):
         stage(spark, docs, folder).write.parquet(path)
         docs = spark.read.parquet(path)
         seen[name] = docs.collect()
+        extra = sorted((r.doc_id is None, r.text) for r in seen[name] if name != "packing" and r.doc_id in (None, 3000))
+        if name in ("near_dedup", "decontamination"):  # rows without an id are judged by their texts, as are texts of one id
+            assert [t for _, t in extra] == sorted(TWICE) + [NO_ID] + ([] if name == "decontamination" else [extra[-1][1]])
         if name != "packing":
             assert tuple(docs.columns) == C.COLUMNS
-    after = {n: {r.doc_id: r.text for r in rows} for n, rows in seen.items() if n != "packing"}
+    after = {n: {r.doc_id: r.text for r in rows if r.doc_id not in (None, 3000)} for n, rows in seen.items() if n != "packing"}
     toxic = {i for i in range(400) if i % 8 == 0}
     assert len(toxic & after["toxicity"].keys()) <= 1 and set(texts) - toxic == after["toxicity"].keys() - toxic
     holders = [i for i, t in after["line_dedup"].items() if any(x in (t or "") for x in passage.split("\n"))]
@@ -60,8 +69,8 @@ def test_stages(spark, corpus):
     assert len(copies.keys() & after["near_dedup"].keys()) == 0 and clean[50] in after["near_dedup"]
     wanted = {i for i, t in after["near_dedup"].items() if 100 * len(shingles(item) & shingles(t)) < 75 * len(shingles(item))}
     assert after["decontamination"].keys() == wanted and len(after["near_dedup"]) - len(wanted) == 3
-    check_pieces(seen["packing"], list(after["decontamination"].values()))
-    assert {r.doc_id for r in seen["packing"]} == after["decontamination"].keys()
+    check_pieces(seen["packing"], [*after["decontamination"].values(), *TWICE, NO_ID])
+    assert {r.doc_id for r in seen["packing"]} == after["decontamination"].keys() | {None, 3000}
 
 
 def test_run_and_queries(spark, corpus):
