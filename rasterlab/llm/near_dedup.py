@@ -23,9 +23,9 @@ BLOCK = 1000
 
 
 def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(doc_id, n_shingles, set_key, b0..b3, bands)``, one row per document.
+    """``(doc_id, text_key, n_shingles, set_key, b0..b3, bands)``, one row per document.
 
-    ``set_key`` is a digest of the whole set, ``bands`` one hash per band, ``b0..b3`` two bits of each sketch coordinate.
+    ``text_key`` is xxhash64 of the text, ``set_key`` is a digest of the whole set, ``bands`` one hash per band, ``b0..b3`` two bits of each sketch coordinate.
     """
     t = bands * rows
 
@@ -43,12 +43,13 @@ def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             keys = [hashlib.blake2b(value[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(offs[:-1], offs[1:], strict=True)]
             band_offs = np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))])
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(size), pa.array(keys, pa.binary()), *(pa.array(np.ascontiguousarray(word[:, i])) for i in range(4)), K.long_lists(band[size > 0].ravel(), band_offs)],
-                names=["doc_id", "n_shingles", "set_key", "b0", "b1", "b2", "b3", "bands"],
+                [batch["doc_id"], batch["text_key"], pa.array(size), pa.array(keys, pa.binary()), *(pa.array(np.ascontiguousarray(word[:, i])) for i in range(4)), K.long_lists(band[size > 0].ravel(), band_offs)],
+                names=["doc_id", "text_key", "n_shingles", "set_key", "b0", "b1", "b2", "b3", "bands"],
             )
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, b0 long, b1 long, b2 long, b3 long, bands array<long>")
+    text = F.col(f"`{text_col}`").cast("string")
+    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, b0 long, b1 long, b2 long, b3 long, bands array<long>")
 
 
 def _alike(x: str, y: str, percent: int) -> Column:
@@ -132,15 +133,25 @@ def near_duplicates(
 
     Sets are compared as 64-bit hashes of their shingles. Null, empty and blank texts have no shingles and are linked
     with nothing. A row with a null id is linked with
-    nothing, has a null ``component_id`` and is kept. Rows that share an id are one document for the links.
+    nothing, has a null ``component_id`` and is kept. Rows that share an id are one document: each of its texts is
+    compared, and links of any of them are its links.
     Other columns of ``docs`` are ignored, whatever their names.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(f"`{text_col}`").cast("string")
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     sketches = materialise(sketch_documents(docs, k=k, bands=bands, rows=rows))
     known = sketches.where("doc_id is not null and n_shingles > 0")
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
+    # ids with several texts, few as a rule: all but one of these get a node of their own, above all ids
+    several = materialise(sketches.where("doc_id is not null").groupBy("doc_id").agg(F.min("text_key").alias("first_key"), F.max("text_key").alias("last_key")).where("first_key < last_key").select("doc_id", "first_key"))
+    own = F.xxhash64("doc_id", "text_key").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+
+    def nodes(rows: DataFrame) -> DataFrame:
+        return rows.join(several, "doc_id", "left").withColumn("node", F.when(F.col("first_key") < F.col("text_key"), own).otherwise(F.col("doc_id"))).drop("first_key")
+
+    known = nodes(known)
+    classes = known.groupBy("set_key").agg(F.min("node").alias("class_id"))
     reps = materialise(
-        known.join(classes, (known.set_key == classes.set_key) & (known.doc_id == classes.class_id), "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")
+        known.join(classes, (known.set_key == classes.set_key) & (known.node == classes.class_id), "left_semi").dropDuplicates(["node"]).withColumnRenamed("node", "id").drop("doc_id", "text_key")
     )
     entries = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
     hubs = entries.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low < high")
@@ -151,7 +162,8 @@ def near_duplicates(
     star = star.join(marks.toDF("a", *(f"x{c}" for c in marks.columns[1:])), "a").join(marks.toDF("b", *(f"y{c}" for c in marks.columns[1:])), "b")
     star = materialise(star.where(_alike("x", "y", percent)).select("a", "b", "votes"))
     near = members.select(F.col("id").alias("doc_id")).distinct().hint("merge")  # grows with the documents: no broadcast
-    texts = materialise(docs.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = nodes(docs).select(F.col("node").alias("doc_id"), "text")
+    texts = materialise(texts.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     first = star.groupBy("a").agg(F.max_by("b", "votes").alias("b"))
     links = materialise(verify_pairs(first, texts, k, percent))
     found = components(links)
@@ -184,9 +196,14 @@ def near_duplicates(
     rest = x.join(y, meet & differ & once & _alike("x", "y", percent) & _more_alike("x", "y", percent) & first_met)
     rest = materialise(rest.select(F.greatest("xid", "yid").alias("a"), F.least("xid", "yid").alias("b")).distinct())
     last = materialise(verify_pairs(rest, texts, k, percent))
-    found = components(found.where("node <> component").toDF("a", "b").union(last))
+    named = nodes(sketches.join(several, "doc_id", "left_semi").where("n_shingles > 0")).join(classes, "set_key").select("doc_id", "class_id")
+    one = named.groupBy("doc_id").agg(F.min("class_id").alias("b"))
+    same = named.join(one, "doc_id").select(F.col("class_id").alias("a"), "b").where("a <> b").distinct()
+    found = components(found.where("node <> component").toDF("a", "b").union(last).union(same))
 
     named = classes.join(found, classes.class_id == found.node, "left").select("set_key", F.coalesce("component", "class_id").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    shared = out.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("shared"))
+    out = out.join(shared, "doc_id", "left").withColumn("component_id", F.coalesce("shared", "component_id")).drop("shared")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -106,6 +106,16 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) and r.n_shingles == len(shingles(dict(rows)[r.doc_id])) for r in got)
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark, prose):
+    """Each text of an id is compared; a document is linked by any of them, and joins what they are linked with."""
+    texts = [" ".join(prose.words(60)) for _ in range(5)]
+    rows = [(i, texts[i]) for i in range(4)] + [(10, texts[0] + " tail"), (10, texts[2] + " tail"), (10, "quite another text of few words"), (11, texts[4]), (11, "alone " * 9), (12, "quite another text of few words"), (13, None), (13, texts[3])]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    wanted = near_by_force(rows)
+    assert [r.component_id for r in got] == [wanted[r.doc_id] for r in got] and len(got) == len(rows)
+    assert wanted[10] == wanted[12] == wanted[2] == 0 and wanted[11] == 11 and wanted[13] == 3
+
+
 def test_near_duplicates_in_a_bucket_of_several_components(spark, prose, monkeypatch):
     """A hot group of near copies with strays in the same buckets: all links are found, and the group isn't paired within itself."""
     from rasterlab.llm import near_dedup as N
