@@ -136,9 +136,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     base = base.withColumn("k", F.xxhash64(F.col("text")))
     chunks = materialise(_chunks(base))
-    repeated = chunks.groupBy("chunk", "n").agg(F.count("*").alias("places")).where("places > 1").select("chunk", "n").hint("merge")
-    chunks = materialise(chunks.join(repeated, ["chunk", "n"], "left_semi"))
-    # written, so that the join below has two plain sides and Spark can split the places of a frequent chunk over tasks
+    # written, so that the joins have two plain sides each and Spark can split the places of a frequent chunk over tasks
+    repeated = materialise(chunks.groupBy("chunk", "n").agg(F.count("*").alias("places")).where("places > 1").select("chunk", "n"))
+    chunks = materialise(chunks.join(repeated.hint("merge"), ["chunk", "n"], "left_semi"))
     kept = materialise(chunks.groupBy("chunk", "n").agg(F.min(F.struct("id", "k", "start", "prev", "next")).alias("keep")))
     marked = chunks.join(kept, ["chunk", "n"]).where(~(F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("k") == F.col("keep.k")) & (F.col("start") == F.col("keep.start"))))
     left = _alike(F.reverse("prev"), F.reverse("keep.prev"))
