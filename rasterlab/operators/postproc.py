@@ -8,6 +8,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from rasterlab.config import LOOKALIKE, NUM_CLASSES, SHIP, EvalConfig
 from rasterlab.functions import kernels
+from rasterlab.sources.folders import written
 from rasterlab.sources.packed import map_rows, packed, unpack
 
 
@@ -101,7 +102,7 @@ def scene_components(tiles: DataFrame, scene_width: int) -> DataFrame:
 
     ``tiles`` has ``image_id, top, left, height, width, mask`` without halo. Each tile is labelled in its task; only
     pixels on tile borders meet in a join, which gives links between tile components; labels then fall to the
-    smallest by alternating large and small stars until nothing changes. A component's id is its smallest row-major
+    smallest by alternating large and small stars until nothing changes, each round written to the shared folder. A component's id is its smallest row-major
     index in the scene.
     """
     kind = tiles.schema["image_id"].dataType.simpleString()
@@ -122,24 +123,25 @@ def scene_components(tiles: DataFrame, scene_width: int) -> DataFrame:
         }
 
     found = map_rows(tiles.select("image_id", "top", "left", "height", "width", "mask"), one, f"image_id {kind}, parts array<struct<c:long,n:long>>, rim array<struct<y:int,x:int,c:long>>")
-    found = found.checkpoint() if tiles.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else found.cache()
+    found = written(found)
     parts = found.select("image_id", F.inline("parts"))
     rim = found.select("image_id", F.inline("rim"))
     near = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1))))
     reach = rim.withColumn("o", near).select("image_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.col("c").alias("b"))
     links = rim.join(reach, ["image_id", "y", "x"]).where("c > b").select("image_id", F.col("c").alias("a"), "b").distinct()
-    while True:
+    mark = lambda x: tuple(x.agg(F.count("*"), F.bit_xor(F.xxhash64("image_id", "a", "b")), F.sum(F.col("a") % 1_000_003)).first())
+    links = written(links)
+    seen = mark(links)
+    while seen[0]:
         both = links.union(links.select("image_id", F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("image_id", "a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(low, ["image_id", "a"]).where("b > a").select("image_id", F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("image_id", "a").agg(F.min("b").alias("m"))
         small = large.join(least, ["image_id", "a"])
         small = small.select("image_id", F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("image_id", "a", F.col("m").alias("b")))
-        new = small.where("a <> b").select("image_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        new = new.checkpoint() if tiles.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else new.cache()
-        same = new.exceptAll(links).isEmpty() and links.exceptAll(new).isEmpty()
-        links = new
-        if same:
+        links = written(small.where("a <> b").select("image_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        if (now := mark(links)) == seen:
             break
+        seen = now
     out = parts.join(links, (parts.image_id == links.image_id) & (parts.c == links.a), "left").select(parts.image_id, F.coalesce("b", "c").alias("comp_id"), "n")
     return out.groupBy("image_id", "comp_id").agg(F.sum("n").alias("area"))

@@ -102,7 +102,7 @@ def resize_nearest_long(pixels: DataFrame, size: int, height: int, width: int, k
     grid = spark.range(height * width).select(F.floor(F.col("id") / width).cast("int").alias("ny"), (F.col("id") % width).cast("int").alias("nx"))
     source = lambda c, n: F.least(F.floor((F.col(c) + 0.5) * size / n), F.lit(size - 1)).cast("int")
     grid = grid.select("ny", "nx", source("ny", height).alias("y"), source("nx", width).alias("x"))
-    return pixels.join(F.broadcast(grid), ["y", "x"]).drop("y", "x").withColumnsRenamed({"ny": "y", "nx": "x"})
+    return pixels.join(grid, ["y", "x"]).drop("y", "x").withColumnsRenamed({"ny": "y", "nx": "x"})
 
 
 def pad_to_patch(images: DataFrame, size: int, columns: dict[str, str]) -> DataFrame:

@@ -15,8 +15,8 @@ from rasterlab.operators import augment as AU, infer as IN, losses as L, metrics
 from rasterlab.plans import fixtures as X
 from rasterlab.plans.fixtures import CTES, SIDE, WEIGHTS, softmax_sql
 from rasterlab.sources import files as S
+from rasterlab.sources.folders import work_folder
 from rasterlab.sources.packed import explode_channels, explode_pixels, pack_pixels, tile_image
-from rasterlab.streaming.sinks import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -2,20 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def work_folder(spark: SparkSession) -> str:
-    """A new folder in the storage that driver and executors share. Where none is set, a local session gets a temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from rasterlab.sources.folders import work_folder
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
