@@ -521,3 +521,53 @@ def test_packing_of_many_rows_without_words_and_of_equal_ones(spark):
     rows = PK.pack(df).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("pieces")).collect()
     assert sum(r.pieces for r in rows) >= 60_000 and sum(r.n for r in rows) == 60_000 + 15_000 * 2
     assert all(r.n & (r.n - 1) == 0 and r.n <= 2048 for r in rows) and time.perf_counter() - began < 90
+
+
+def windows(text, min_words=50):
+    """Every shortest run of non-empty lines with ``min_words`` words, with its place."""
+    lines = [x for x in (text or "").split("\n") if x]
+    count = [len(x.split()) for x in lines]
+    end, total = 0, 0
+    for begin in range(len(lines)):
+        while end < len(lines) and total < min_words:
+            total += count[end]
+            end += 1
+        if total >= min_words:
+            yield begin, tuple(lines[begin:end])
+        total -= count[begin]
+
+
+def test_line_dedup_of_the_given_documents_by_brute_force(spark):
+    """What is cut stands earlier, byte by byte; what is left holds no passage that stands earlier; the rest is untouched."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = {r.doc_id: r for r in dedup_lines(docs).collect()}
+    first: dict = {}
+    for i in sorted(before):
+        for place, w in windows(before[i]):
+            first.setdefault(w, (i, place))
+    repeated = left = 0
+    for i in sorted(before):
+        old, new = (before[i] or "").split("\n"), (after[i].text or "").split("\n")
+        at = 0
+        for line in new if after[i].text else []:  # what is left is a subsequence of the lines
+            at = old.index(line, at) + 1
+        again = set()
+        lines = {j: [x for x in (before[j] or "").split("\n") if x] for j in {i} | {first[w][0] for _, w in windows(before[i])}}
+        for place, w in windows(before[i]):
+            j, q = first[w]
+            if (j, q) != (i, place):  # the passage goes on as far as both places agree
+                a, b = lines[i], lines[j]
+                low, high = 0, len(w)
+                while low < min(place, q) and a[place - low - 1] == b[q - low - 1]:
+                    low += 1
+                while place + high < len(a) and q + high < len(b) and a[place + high] == b[q + high]:
+                    high += 1
+                again |= set(a[place - low : place + high])
+        assert all(x in again for x in set(old) - set(new) if x), (i, [x for x in set(old) - set(new) - again])  # every line that went belongs to a repeated passage
+        repeated += any(first[w] != (i, place) for place, w in windows(before[i]))
+        known = {w for _, w in windows(before[i])}
+        left += any(w in known and first[w][0] != i for _, w in windows(after[i].text))
+        if not again:
+            assert after[i].text == before[i] and after[i].removed_lines == 0
+    assert repeated > 50 and left <= 0.01 * repeated, (repeated, left)
