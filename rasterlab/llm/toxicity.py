@@ -99,17 +99,19 @@ def train(examples: DataFrame, rows: int = TRAIN_ROWS, shard_rows: int = SHARD_R
     def fit(group: pa.Table) -> pa.Table:
         group = group.sort_by([("h", "ascending"), ("places", "ascending")])
         label = group["label"].to_numpy()
-        lists = [np.frombuffer(x, "<i4") for x in group["places"].to_pylist()]
-        place, row = np.concatenate(lists), np.repeat(np.arange(len(label)), [len(x) for x in lists])
-        common = np.bincount(place, minlength=size)[place] >= min(MIN_DOCS, len(label))
-        place, bounds = place[common].astype(np.int64), np.searchsorted(row[common], np.arange(len(label) + 1))
+        lists = group["places"].combine_chunks()
+        length = pc.binary_length(lists).to_numpy() // 4
+        place = np.frombuffer(b"".join(lists.to_pylist()), "<i4")
+        common = np.flatnonzero((np.bincount(place, minlength=size) >= min(MIN_DOCS, len(label)))[place])
+        place, bounds = place[common], np.searchsorted(common, np.concatenate([[0], np.cumsum(length)]))
+        del group, lists, common
         rare = max(1, int((label == 1).sum()))
         weight = RARE * math.sqrt(max(0.25, (len(label) - rare) / rare))
         model = Ftrl(size + 1, L1_SCALE * math.sqrt(len(label)))
         draw = np.random.Generator(np.random.PCG64(5))
         for _ in range(EPOCHS):
             for i in draw.permutation(len(label)):
-                model.learn(np.append(place[bounds[i] : bounds[i + 1]], size), int(label[i] == 1), weight if label[i] == 1 else 1.0)
+                model.learn(np.append(place[bounds[i] : bounds[i + 1]].astype(np.int64), size), int(label[i] == 1), weight if label[i] == 1 else 1.0)
         w = model.weights()
         on = np.flatnonzero(w)
         return pa.table({"place": on, "weight": w[on]})
