@@ -8,7 +8,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterlab.config import CLASS_NAMES, BASELINE_IOU, EvalConfig, LossConfig
+from rasterlab.config import CLASS_NAMES, BASELINE_IOU, AugmentConfig, EvalConfig, LossConfig
 from rasterlab.functions import arrays as A, keyed
 from rasterlab.functions.arrays import r6
 from rasterlab.operators import augment as AU, infer as IN, losses as L, metrics as M, postproc as PP, prep as P
@@ -363,6 +363,23 @@ def augment(spark, sf):
     return shown(AU.augment(X.packed_tiles(spark, sf).select("image_id", "height", "width", "pixels", "labels")))
 
 
+# flips, a quarter turn, then brightness, contrast and gamma, from the plan's own draws; the mask goes the same way
+_TURNED = f"""WITH plan AS (SELECT vec_id AS image_id, {_U("flip_h")} < 0.5 AS fh, {_U("flip_v")} < 0.3 AS fv, CASE WHEN {_U("quarter?")} < 0.8 THEN floor({_U("quarter")} * 3) + 1 ELSE 0 END AS k,
+        CASE WHEN {_U("brightness?")} < 0.4 THEN -0.2 + {_U("brightness")} * 0.4 ELSE 0.0 END AS delta, CASE WHEN {_U("contrast?")} < 0.4 THEN 0.8 + {_U("contrast")} * 0.4 ELSE 1.0 END AS factor,
+        CASE WHEN {_U("gamma?")} < 0.3 THEN 0.7 + {_U("gamma")} * 0.8 ELSE 1.0 END AS g FROM (SELECT vec_id, vec_id AS image_id FROM embeddings)),
+    flipped AS (SELECT s.image_id, CASE WHEN fv THEN 7 - y ELSE y END AS y, CASE WHEN fh THEN 7 - x ELSE x END AS x, v, true_class, avg(v) OVER (PARTITION BY s.image_id) + delta AS m, k, delta, factor, g FROM scored s JOIN plan USING (image_id)),
+    turned AS (SELECT image_id, CASE k WHEN 1 THEN 7 - x WHEN 2 THEN 7 - y WHEN 3 THEN x ELSE y END AS y, CASE k WHEN 1 THEN y WHEN 2 THEN 7 - x WHEN 3 THEN 7 - y ELSE x END AS x, true_class, {_CLIP.format("(v + delta - m) * factor + m")} AS v, g FROM flipped)
+    SELECT image_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, {R("least(1.0, CASE WHEN g = 1.0 THEN v ELSE pow(greatest(v, 1e-7), g) END)")} AS v, true_class AS label FROM turned"""
+
+
+@query(f"SELECT * FROM ({_TURNED})")
+def augment_without_noise(spark, sf):
+    cfg = AugmentConfig(max_rotation=0.0, p_rot90=0.8, p_speckle=0.0, p_blur=0.0, p_cutout=0.0)
+    out = AU.augment(X.packed_tiles(spark, sf).select("image_id", "height", "width", "pixels", "labels"), cfg)
+    both = explode_pixels(out.select("image_id", "height", "width", F.col("pixels").alias("v"), F.col("labels").alias("label")), {"v": "<f8", "label": "u1"})
+    return both.withColumn("v", r6(F.col("v")))
+
+
 @query()
 def apply_augmentation(spark, sf):
     out = AU.apply_augmentation(X.packed_tiles(spark, sf).select("image_id", "height", "width", "pixels", "labels"), 16)
