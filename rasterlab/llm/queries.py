@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
+from rasterlab.llm import vector_codes
+from rasterlab.llm.bpe import encode_decode
 from rasterlab.llm.chat import format_chat, read_chat
 from rasterlab.llm.decontaminate import contaminated
+from rasterlab.llm.divergence import audit
 from rasterlab.llm.fingerprint import compare_with_edits
 from rasterlab.llm.html_text import extract_text
 from rasterlab.llm.line_dedup import dedup_lines
@@ -72,11 +75,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, weights).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vector_codes.train(vectors)
+    rows = vector_codes.with_total(vector_codes.encode(vectors, books), "label", "error", "label_error")
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op13_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_document_fingerprints, op4_html_extraction, op5_benchmark_decontamination, op6_chat_formatting, op7_secret_scan, op8_warc, op9_packing, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_document_fingerprints, op4_html_extraction, op5_benchmark_decontamination, op6_chat_formatting, op7_secret_scan, op8_warc, op9_packing, op10_toxicity, op11_vector_codes, op12_source_divergence, op13_bpe_words, pipeline)}
 
 _SHINGLES = """
     {name}_w AS (
@@ -92,6 +111,41 @@ _SHINGLES = """
     ),
     {name}_n AS (SELECT {key}, count(*) AS n FROM {name}_s GROUP BY 1)"""
 
+
+def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """A round of assignments (``a``) and of entries (``c``) after the other."""
+    steps = [
+        f"""kept AS MATERIALIZED (
+        SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    q AS MATERIALIZED (SELECT r, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS q FROM kept, range({parts}) t(p)),
+    c0 AS MATERIALIZED (SELECT p, r - 1 AS k, q AS e FROM q WHERE r <= {entries})"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (
+        SELECT r, p, arg_min(k, (d, k)) AS k, min(d) AS d
+        FROM (SELECT r, q.p, k, list_sum(list_transform(range(1, len(q) + 1), lambda j: (q[j] - e[j]) * (q[j] - e[j])))::BIGINT AS d FROM q JOIN c{i} c ON q.p = c.p) GROUP BY r, p
+    )"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""c{i + 1} AS MATERIALIZED (
+        SELECT c.p, c.k, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN (
+            SELECT p, k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS e
+            FROM (SELECT p, k, j, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT a.p, a.k, unnest(q) AS x, unnest(range(len(q))) AS j FROM a{i} a JOIN q ON a.r = q.r AND a.p = q.p) GROUP BY p, k, j) GROUP BY p, k
+        ) m ON m.p = c.p AND m.k = c.k
+    )"""
+            )
+    return f"""
+    WITH {", ".join(steps)},
+    done AS (SELECT r, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+    book AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM c{rounds})
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN done USING (r), book
+    """
+
+
 ORACLES = {
     "op6_chat_formatting": """
     WITH t AS (
@@ -126,4 +180,33 @@ ORACLES = {
     SELECT doc_id, item_id, max(n) AS n_item, count(*) AS n_shared, count(*) / max(n) AS containment
     FROM documents_s JOIN benchmark_s USING (s) JOIN benchmark_n USING (item_id)
     GROUP BY 1, 2 HAVING 100 * count(*) >= 75 * max(n)""",
+    "op11_vector_codes": _vector_codes_sql(),
+    "op12_source_divergence": """
+    WITH d AS (SELECT coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r FROM documents),
+    t AS (
+        SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d
+    ),
+    kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+    langs AS (SELECT lang, count(*) AS v, sum(total)::HUGEINT AS n FROM kept GROUP BY 1),
+    used AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+    groups AS (
+        SELECT lang, source, coalesce(u.n, 0)::HUGEINT AS n, coalesce(l.v, 0) AS v, coalesce(l.n, 0)::HUGEINT AS everywhere FROM (SELECT DISTINCT lang, source FROM d)
+        LEFT JOIN (SELECT lang, source, sum(n) AS n FROM used GROUP BY ALL) u USING (lang, source) LEFT JOIN langs l USING (lang)
+    ),
+    p AS (
+        SELECT lang, source, term, coalesce(u.n, 0) AS n, 1 + (1000000000 * (coalesce(u.n, 0)::HUGEINT + 2)) // (g.n + 2 * v) AS p, 1 + (1000000000 * (total::HUGEINT + 2)) // (everywhere + 2 * v) AS q
+        FROM groups g JOIN kept USING (lang) LEFT JOIN used u USING (lang, source, term)
+    ),
+    found AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+        FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN (
+            SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+            FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+        ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+    )
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found) WHERE part = 'pair' OR rank <= 10
+    """,
 }
