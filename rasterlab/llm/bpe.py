@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tokenizers import Tokenizer
 
-from rasterlab.llm.shared import materialise
+from rasterlab.llm.shared import bucketed
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Bytes of text whose words are numbered together; a longer text comes alone.
@@ -129,20 +130,23 @@ def _tokenizer(path: str) -> Tokenizer:
 
 
 def encode_words(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """``(word)`` -> ``(word, ids)``; a word split off a text has the same ids alone as within it."""
+    """``(word, ...)`` -> the same with ``ids``, little-endian unsigned 32-bit. A word split off a text has the same
+    ids alone as within it."""
+    names = [*words.columns, "ids"]
+    at_word = words.columns.index("word")
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                ids = [e.ids for e in _tokenizer(path).encode_batch(part["word"].to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part["word"], pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+                ids = [np.array(e.ids, "<u4").tobytes() for e in _tokenizer(path).encode_batch(part.column(at_word).to_pylist(), add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], names=names)
 
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+    return words.mapInArrow(run, T.StructType([*words.schema.fields, T.StructField("ids", T.BinaryType())]))
 
 
-def piece_table(spark: SparkSession, path: str = VOCABULARY) -> DataFrame:
-    """``(id, piece)``: the bytes of each id of the vocabulary as hex digits. It has as many rows as the vocabulary.
+def pieces(path: str = VOCABULARY) -> dict[int, bytes]:
+    """The bytes of each id of the vocabulary.
 
     In a byte-level vocabulary each character of a token stands for a byte: printable Latin-1 characters for their
     own code, the other bytes in ascending order for the characters from 256 on.
@@ -150,57 +154,67 @@ def piece_table(spark: SparkSession, path: str = VOCABULARY) -> DataFrame:
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
     byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
     added = set(special_tokens(path))
-    rows = [(i, token.encode().hex() if token in added else bytes(byte[c] for c in token).hex()) for token, i in _tokenizer(path).get_vocab().items()]
-    return spark.createDataFrame(rows, "id int, piece string")
+    return {i: token.encode() if token in added else bytes(byte[c] for c in token) for token, i in _tokenizer(path).get_vocab().items()}
+
+
+@lru_cache
+def _piece_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pieces one after the other, with the start and size of each by id."""
+    table = pieces(path)
+    all_ids = [table.get(i, b"") for i in range(max(table) + 1)]
+    size = np.array([len(x) for x in all_ids])
+    return np.frombuffer(b"".join(all_ids), np.uint8), np.cumsum(size) - size, size
 
 
 def decode(rows: DataFrame, key: str, path: str = VOCABULARY) -> DataFrame:
     """``(key, ids)`` -> ``(key, bytes)``: every id is joined with its piece, pieces follow each other by position.
 
-    ``key`` is unique. An id outside the vocabulary has no piece and is skipped; null and empty lists give no bytes.
-    The pieces are broadcast: they are as many as the vocabulary has.
+    ``key`` is unique, ``ids`` an array. An id outside the vocabulary has no piece and is skipped; null and empty lists
+    give no bytes. The pieces are broadcast: they are as many as the vocabulary has.
     """
-    each = rows.select(key, F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(piece_table(rows.sparkSession, path)), "id", "left")
+    table = rows.sparkSession.createDataFrame([(i, x.hex()) for i, x in pieces(path).items()], "id int, piece string")
+    each = rows.select(key, F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(table), "id", "left")
     placed = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
     return placed.select(key, F.unhex(F.array_join(F.col("pieces.piece"), "")).alias("bytes"))
 
 
-def word_table(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """``(word)`` -> ``(word, ids, bytes)``, a row per distinct word: it is encoded once, and decoded from its ids."""
-    numbered = materialise(encode_words(words.select("word").distinct(), path).withColumn("key", F.monotonically_increasing_id()))
-    return numbered.join(decode(numbered.select("key", "ids"), "key", path), "key").drop("key")
-
-
-def _number(keep: str):
-    """Tasks number the words of a chunk of texts: one row per text with the numbers of its words, one per distinct word."""
-
-    def run(batches):
-        chunk = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            words = batch["words"]
-            offs = words.offsets.to_numpy().astype(np.int64)
-            flat = words.values.cast(pa.large_string())
-            size = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, flat.offset * 8)[offs]
-            at = 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(size, size[at] + CHUNK, "right")) - 1)
-                own = flat.slice(offs[at], offs[to] - offs[at]).dictionary_encode()
-                bounds = (4 * (offs[at : to + 1] - offs[at])).astype(np.int64)
-                numbers = pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(bounds), pa.py_buffer(own.indices.to_numpy().astype("<i4"))]).cast(pa.binary())
-                n, distinct = to - at, len(own.dictionary)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * n, pa.int64()), batch[keep].slice(at, n), numbers, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=["chunk", "row", "numbers", "number", "word"]
-                )
-                for a in range(0, distinct, 1 << 16):
-                    some = own.dictionary.slice(a, 1 << 16).cast(pa.string())
-                    m = len(some)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([chunk] * m, pa.int64()), pa.nulls(m, batch[keep].type), pa.nulls(m, pa.binary()), pa.array(np.arange(a, a + m, dtype=np.int32)), some], names=["chunk", "row", "numbers", "number", "word"]
-                    )
-                chunk += 1
-                at = to
-
-    return run
+def _packed(numbers: np.ndarray) -> bytes:
+    """Word numbers byte by byte of their size, compressed: frequent words have small numbers."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 6)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tasks number the distinct words of a chunk of texts, frequent ones first: a row for the chunk with its texts'
+    rows, their word counts and all word numbers in order, then a row for each distinct word."""
+    names = ["chunk", "rows", "counts", "numbers", "number", "word"]
+    chunk = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        words, row = batch["words"], batch["row"]
+        offs = words.offsets.to_numpy().astype(np.int64)
+        flat = words.values.cast(pa.large_string())
+        size = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, flat.offset * 8)[offs]
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, size[at] + CHUNK, "right")) - 1)
+            own = flat.slice(offs[at], offs[to] - offs[at]).dictionary_encode()
+            place = own.indices.to_numpy()
+            order = np.argsort(-np.bincount(place, minlength=len(own.dictionary)), kind="stable")
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            bounds = pa.array([0, to - at], pa.int32())
+            rows, counts = pa.ListArray.from_arrays(bounds, row.slice(at, to - at)), pa.ListArray.from_arrays(bounds, pa.array(np.diff(offs[at : to + 1]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), rows, counts, pa.array([_packed(number[place])], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string())], names=names)
+            for a in range(0, len(order), 1 << 16):
+                some = own.dictionary.take(pa.array(order[a : a + (1 << 16)])).cast(pa.string())
+                n = len(some)
+                empty = [pa.nulls(n, rows.type), pa.nulls(n, counts.type), pa.nulls(n, pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), *empty, pa.array(np.arange(a, a + n, dtype=np.int32)), some], names=names)
+            chunk += 1
+            at = to
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,42 +224,47 @@ def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pick: np.nd
     return data[np.repeat(starts[pick] - offs[:-1], size) + np.arange(offs[-1])], offs
 
 
-def _placed(texts: pa.Table, words: pa.Table) -> pa.Table:
-    """Ids and decoded bytes of a chunk's texts, a text at a time."""
-    words = words.sort_by("number")
-    ids, pieces = words["ids"].combine_chunks(), words["bytes"].combine_chunks().cast(pa.large_binary())
-    id_offs = ids.offsets.to_numpy().astype(np.int64)
-    id_data = ids.values.to_numpy()
-    offs = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, pieces.offset * 8)
-    data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)
-    n_tokens, id_bytes, decoded = [], [], []
-    for numbers in texts["numbers"]:
-        pick = np.frombuffer(numbers.as_buffer(), "<i4")
-        found, _ = _gather(id_data, id_offs[:-1], np.diff(id_offs), pick)
-        n_tokens.append(len(found))
-        id_bytes.append(found.astype("<u4").tobytes())
-        decoded.append(_gather(data, offs[:-1], np.diff(offs), pick)[0].tobytes().decode("utf-8", "replace"))
-    return pa.table({"row": texts["row"], "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(id_bytes, pa.binary()), "decoded": pa.array(decoded, pa.string())})
+def _placed(path: str):
+    """A function for the texts and words of a chunk. Ids of a chunk's texts by their words' positions, and their bytes by their ids' pieces; a text at a time."""
+
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        words = words.sort_by("number")
+        ids = words["ids"].combine_chunks().cast(pa.large_binary())
+        offs = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, ids.offset * 8) // 4
+        data = np.frombuffer(ids.buffers()[2] or b"", "<u4")
+        numbers = _unpacked(texts["numbers"][0].as_buffer())
+        n_tokens, id_bytes, decoded, at = [], [], [], 0
+        for n in texts["counts"][0].values.to_numpy():
+            found, _ = _gather(data, offs[:-1], np.diff(offs), numbers[at : at + n])
+            at += n
+            n_tokens.append(len(found))
+            id_bytes.append(found.tobytes())
+            decoded.append(_gather(*_piece_bytes(path), found)[0].tobytes().decode("utf-8", "replace"))
+        return pa.table({"row": texts["rows"][0].values, "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(id_bytes, pa.binary()), "decoded": pa.array(decoded, pa.string())})
+
+    return run
 
 
 def encode_decode(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
     """``docs`` without its text, with ``n_tokens``, ``ids`` (little-endian unsigned 32-bit) and ``decoded``.
 
     The ids are the tokenizer's for the whole text without special tokens added; a special token's string in a text
-    is that token. Chunks of texts number their words; the written table holds each text's word numbers and each
-    chunk's distinct words. All distinct words are encoded once and decoded through their ids' pieces, go back to
-    the chunks that hold them, and there to their positions. Only distinct words of chunks and word numbers are
-    shuffled. Null and empty texts have no ids and decode to an empty text. Other columns pass through, null ids and
-    repeated rows too; columns named as the new ones are replaced.
+    is that token. Chunks of texts number their distinct words; a table bucketed by chunk holds their word numbers
+    and distinct words. Every distinct word is encoded once, in the row that gathers the chunks which hold it, at most
+    one element for each chunk; its ids go back to these chunks, and there to its positions. Only distinct words of
+    chunks are shuffled, as the table's buckets are the partitions of the last step. Documents are decoded from their
+    ids, each joined with its piece; the pieces are as many as the vocabulary has. Null and empty texts have no ids and
+    decode to an empty text. Other columns pass through, null ids and repeated rows too; columns named as the new ones
+    are replaced.
     """
     added = ("n_tokens", "ids", "decoded")
     keep = [c for c in docs.columns if c != text_col and c not in added]
     row = F.struct(F.lit(0).alias("_0"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep, 1)))
     base = docs.select(row.alias("row"), split_words(F.col(text_col), path).alias("words"))
     kind = base.schema["row"].dataType.simpleString()
-    chunks = materialise(base.mapInArrow(_number("row"), f"chunk long, row {kind}, numbers binary, number int, word string"))
-    local = chunks.where("word is not null").select("chunk", "number", "word")
-    words = local.join(word_table(local, path), "word").select(F.col("chunk").alias("of"), "number", "ids", "bytes")
-    texts = chunks.where("numbers is not null").select("chunk", "row", "numbers")
-    done = texts.groupBy("chunk").cogroup(words.groupBy("of")).applyInArrow(_placed, f"row {kind}, n_tokens long, ids binary, decoded string")
+    chunks = bucketed(base.mapInArrow(_number, f"chunk long, rows array<{kind}>, counts array<int>, numbers binary, number int, word string"), "chunk")
+    places = chunks.where("word is not null").groupBy("word").agg(F.collect_list(F.struct("chunk", "number")).alias("places"))
+    words = encode_words(places, path).select("ids", F.explode("places").alias("place")).select(F.col("place.chunk").alias("of"), "place.number", "ids")
+    texts = chunks.where("numbers is not null").select("chunk", "rows", "counts", "numbers")
+    done = texts.groupBy("chunk").cogroup(words.groupBy("of")).applyInArrow(_placed(path), f"row {kind}, n_tokens long, ids binary, decoded string")
     return done.select(*(F.col("row")[f"_{i}"].alias(c) for i, c in enumerate(keep, 1)), *added)

@@ -26,3 +26,16 @@ def materialise(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, by: str) -> DataFrame:
+    """Write ``df`` to the shared folder in buckets of ``by``, as many as a shuffle has partitions, and read it back.
+
+    A join or grouping by that column then finds the rows where they lie and doesn't shuffle them. Nothing is shuffled
+    to write them either; each task adds a file to the buckets it has rows of.
+    """
+    spark = df.sparkSession
+    name = f"rasterlab_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, by).option("path", shared_dir(spark)).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
