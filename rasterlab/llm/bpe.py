@@ -12,7 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from rasterlab.llm.shared import bucketed
@@ -129,20 +129,9 @@ def _tokenizer(path: str) -> Tokenizer:
     return tokenizer
 
 
-def encode_words(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """``(word, ...)`` -> the same with ``ids``, little-endian unsigned 32-bit. A word split off a text has the same
-    ids alone as within it."""
-    names = [*words.columns, "ids"]
-    at_word = words.columns.index("word")
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                ids = [np.array(e.ids, "<u4").tobytes() for e in _tokenizer(path).encode_batch(part.column(at_word).to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], names=names)
-
-    return words.mapInArrow(run, T.StructType([*words.schema.fields, T.StructField("ids", T.BinaryType())]))
+def encode_words(words: list[str], path: str = VOCABULARY) -> list[list[int]]:
+    """The ids of words. A word split off a text has the same ids alone as within it."""
+    return [e.ids for e in _tokenizer(path).encode_batch(words, add_special_tokens=False)]
 
 
 def pieces(path: str = VOCABULARY) -> dict[int, bytes]:
@@ -217,6 +206,31 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = to
 
 
+def _encode(path: str):
+    """A function that encodes words, each once, and sorts their ids by the chunks that hold them: a row for each chunk
+    of a batch, with the numbers of its words, their id counts and their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids: list[list[int]] = []
+            for at in range(0, batch.num_rows, 1024):
+                ids += encode_words(batch["word"].slice(at, 1024).to_pylist(), path)
+            count = np.array([len(x) for x in ids])
+            flat = np.fromiter((i for x in ids for i in x), np.int64, count.sum())
+            places = batch["places"]
+            chunk, number = (places.flatten().field(n).to_numpy() for n in ("chunk", "number"))
+            word = np.repeat(np.arange(len(ids)), places.value_lengths().to_numpy())
+            order = np.lexsort([number, chunk])
+            own, begin = np.unique(chunk[order], return_index=True)
+            rows = []
+            for part in np.split(order, begin[1:]):
+                found, _ = _gather(flat, np.cumsum(count) - count, count, word[part])
+                rows.append([_packed(x) for x in (np.diff(number[part], prepend=0), count[word[part]], found)])
+            yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(x, pa.binary()) for x in zip(*rows, strict=True))], names=["of", "steps", "sizes", "ids"])
+
+    return run
+
+
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pieces of ``data`` named by ``pick``, one after the other, and the offset of each."""
     size = sizes[pick]
@@ -228,17 +242,21 @@ def _placed(path: str):
     """A function for the texts and words of a chunk. Ids of a chunk's texts by their words' positions, and their bytes by their ids' pieces; a text at a time."""
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        words = words.sort_by("number")
-        ids = words["ids"].combine_chunks().cast(pa.large_binary())
-        offs = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, ids.offset * 8) // 4
-        data = np.frombuffer(ids.buffers()[2] or b"", "<u4")
+        number, size, data = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+        for r in words.to_pylist():
+            number.append(np.cumsum(_unpacked(r["steps"])))
+            size.append(_unpacked(r["sizes"]))
+            data.append(_unpacked(r["ids"]))
+        number, size, data = (np.concatenate(x).astype(np.int64) for x in (number, size, data))
+        sizes, starts = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        sizes[number], starts[number] = size, np.cumsum(size) - size
         numbers = _unpacked(texts["numbers"][0].as_buffer())
         n_tokens, id_bytes, decoded, at = [], [], [], 0
         for n in texts["counts"][0].values.to_numpy():
-            found, _ = _gather(data, offs[:-1], np.diff(offs), numbers[at : at + n])
+            found, _ = _gather(data, starts, sizes, numbers[at : at + n])
             at += n
             n_tokens.append(len(found))
-            id_bytes.append(found.tobytes())
+            id_bytes.append(found.astype("<u4").tobytes())
             decoded.append(_gather(*_piece_bytes(path), found)[0].tobytes().decode("utf-8", "replace"))
         return pa.table({"row": texts["rows"][0].values, "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(id_bytes, pa.binary()), "decoded": pa.array(decoded, pa.string())})
 
@@ -251,7 +269,7 @@ def encode_decode(docs: DataFrame, text_col: str = "text", path: str = VOCABULAR
     The ids are the tokenizer's for the whole text without special tokens added; a special token's string in a text
     is that token. Chunks of texts number their distinct words; a table bucketed by chunk holds their word numbers
     and distinct words. Every distinct word is encoded once, in the row that gathers the chunks which hold it, at most
-    one element for each chunk; its ids go back to these chunks, and there to its positions. Only distinct words of
+    one element for each chunk; its ids go back to these chunks, packed, and there to its positions. Only distinct words of
     chunks are shuffled, as the table's buckets are the partitions of the last step. Documents are decoded from their
     ids, each joined with its piece; the pieces are as many as the vocabulary has. Null and empty texts have no ids and
     decode to an empty text. Other columns pass through, null ids and repeated rows too; columns named as the new ones
@@ -264,7 +282,7 @@ def encode_decode(docs: DataFrame, text_col: str = "text", path: str = VOCABULAR
     kind = base.schema["row"].dataType.simpleString()
     chunks = bucketed(base.mapInArrow(_number, f"chunk long, rows array<{kind}>, counts array<int>, numbers binary, number int, word string"), "chunk")
     places = chunks.where("word is not null").groupBy("word").agg(F.collect_list(F.struct("chunk", "number")).alias("places"))
-    words = encode_words(places, path).select("ids", F.explode("places").alias("place")).select(F.col("place.chunk").alias("of"), "place.number", "ids")
+    words = places.mapInArrow(_encode(path), "of long, steps binary, sizes binary, ids binary")
     texts = chunks.where("numbers is not null").select("chunk", "rows", "counts", "numbers")
     done = texts.groupBy("chunk").cogroup(words.groupBy("of")).applyInArrow(_placed(path), f"row {kind}, n_tokens long, ids binary, decoded string")
     return done.select(*(F.col("row")[f"_{i}"].alias(c) for i, c in enumerate(keep, 1)), *added)
