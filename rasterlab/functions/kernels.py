@@ -160,14 +160,21 @@ def components(mask: np.ndarray) -> np.ndarray:
     return label.reshape(h, w)
 
 
+def growth(area: np.ndarray, min_size: int) -> np.ndarray:
+    """How often each pixel of a component is to be dilated, plus one, by its component's area; 0 outside and below
+    ``min_size``: twice below 30 pixels, once below 100."""
+    return np.where(area < max(min_size, 1), 0, np.where(area < 30, 3, np.where(area < 100, 2, 1))).astype(np.uint8)
+
+
+def grown(growth: np.ndarray) -> np.ndarray:
+    """All components dilated by 5x5 as often as told, united."""
+    return (growth > 0) | dilate(growth == 2, 5) | dilate(growth == 3, 9)
+
+
 def grow_small(label: np.ndarray, min_size: int) -> np.ndarray:
     """Components of ``min_size`` pixels or more, dilated by 5x5 twice below 30 pixels and once below 100, united."""
     ids, inverse, area = np.unique(label, return_inverse=True, return_counts=True)
-    area = np.where(ids < 0, 0, area)[inverse].reshape(label.shape)
-    out = area >= max(min_size, 100)
-    once = (area >= max(min_size, 30)) & (area < 100)
-    twice = (area >= max(min_size, 1)) & (area < 30)
-    return out | dilate(once, 5) | dilate(twice, 9)
+    return grown(growth(np.where(ids < 0, 0, area)[inverse].reshape(label.shape), min_size))
 
 
 def softmax(scores: np.ndarray) -> np.ndarray:
@@ -175,13 +182,17 @@ def softmax(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def boosted(probs: np.ndarray, refined: np.ndarray, ship: int, lookalike: int, boost: float, factor: float) -> np.ndarray:
+    """Ships boosted and look-alikes suppressed where ``refined`` holds; every pixel is divided by its class sum."""
+    out = probs.copy()
+    out[..., ship] = np.clip(np.where(refined, out[..., ship] * boost, out[..., ship]), 0.0, 1.0)
+    out[..., lookalike] = np.where(refined, out[..., lookalike] * factor, out[..., lookalike])
+    return out / out.sum(axis=-1, keepdims=True)
+
+
 def ship_enhancement(probs: np.ndarray, ship: int, lookalike: int, threshold: float, min_size: int, boost: float, factor: float) -> np.ndarray:
     """Boost ships and suppress look-alikes where a refined ship mask holds; images without a ship pixel stay."""
     mask = probs[..., ship] > threshold
     if not mask.any():
         return probs
-    refined = grow_small(components(morph_close(morph_open(mask))), min_size)
-    out = probs.copy()
-    out[..., ship] = np.clip(np.where(refined, out[..., ship] * boost, out[..., ship]), 0.0, 1.0)
-    out[..., lookalike] = np.where(refined, out[..., lookalike] * factor, out[..., lookalike])
-    return out / out.sum(axis=-1, keepdims=True)
+    return boosted(probs, grow_small(components(morph_close(morph_open(mask))), min_size), ship, lookalike, boost, factor)

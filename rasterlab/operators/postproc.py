@@ -100,10 +100,18 @@ def ship_enhancement(scored: DataFrame, cfg: EvalConfig = EvalConfig(), column:
 def scene_components(tiles: DataFrame, scene_width: int) -> DataFrame:
     """Components of scenes cut into tiles: ``(image_id, comp_id, area)`` over the whole scene.
 
+    A component's id is its smallest row-major index in the scene.
+    """
+    return scene_labels(tiles, scene_width).groupBy("image_id", "comp_id").agg(F.sum("n").alias("area"))
+
+
+def scene_labels(tiles: DataFrame, scene_width: int) -> DataFrame:
+    """``(image_id, top, left, c, n, comp_id)``: each component of a tile, by its smallest row-major index in the scene
+    and its pixels, and the scene's component that it belongs to.
+
     ``tiles`` has ``image_id, top, left, height, width, mask`` without halo. Each tile is labelled in its task; only
     pixels on tile borders meet in a join, which gives links between tile components; labels then fall to the
-    smallest by alternating large and small stars until nothing changes, each round written to the shared folder. A component's id is its smallest row-major
-    index in the scene.
+    smallest by alternating large and small stars until nothing changes, each round written to the shared folder.
     """
     kind = tiles.schema["image_id"].dataType.simpleString()
 
@@ -118,13 +126,15 @@ def scene_components(tiles: DataFrame, scene_width: int) -> DataFrame:
         y, x = np.nonzero(inside & rim)
         return {
             "image_id": row["image_id"],
+            "top": row["top"],
+            "left": row["left"],
             "parts": [{"c": int(c), "n": int(n)} for c, n in zip(ids, counts, strict=True)],
             "rim": [{"y": int(a + row["top"]), "x": int(b + row["left"]), "c": int(scene[a, b])} for a, b in zip(y, x, strict=True)],
         }
 
-    found = map_rows(tiles.select("image_id", "top", "left", "height", "width", "mask"), one, f"image_id {kind}, parts array<struct<c:long,n:long>>, rim array<struct<y:int,x:int,c:long>>")
+    found = map_rows(tiles.select("image_id", "top", "left", "height", "width", "mask"), one, f"image_id {kind}, top int, left int, parts array<struct<c:long,n:long>>, rim array<struct<y:int,x:int,c:long>>")
     found = written(found)
-    parts = found.select("image_id", F.inline("parts"))
+    parts = found.select("image_id", "top", "left", F.inline("parts"))
     rim = found.select("image_id", F.inline("rim"))
     near = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1))))
     reach = rim.withColumn("o", near).select("image_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.col("c").alias("b"))
@@ -143,5 +153,4 @@ def scene_components(tiles: DataFrame, scene_width: int) -> DataFrame:
         if (now := mark(links)) == seen:
             break
         seen = now
-    out = parts.join(links, (parts.image_id == links.image_id) & (parts.c == links.a), "left").select(parts.image_id, F.coalesce("b", "c").alias("comp_id"), "n")
-    return out.groupBy("image_id", "comp_id").agg(F.sum("n").alias("area"))
+    return parts.join(links, (parts.image_id == links.image_id) & (parts.c == links.a), "left").select(parts.image_id, "top", "left", "c", "n", F.coalesce("b", "c").alias("comp_id"))

@@ -79,6 +79,13 @@ def packed_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "image_id long, height int, width int, pixels binary, labels binary, preds binary, mask binary, probs binary")
 
 
+def mosaic_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``packed_tiles`` as 4 x 4 tiles of scenes of 32 x 32 pixels, with their places in the scene."""
+    k = F.col("image_id") % 16
+    place = {"ty": F.floor(k / 4).cast("int"), "tx": (k % 4).cast("int"), "top": (F.floor(k / 4) * SIDE).cast("int"), "left": (k % 4 * SIDE).cast("int"), "image_id": F.floor(F.col("image_id") / 16)}
+    return packed_tiles(spark, sf_dir).withColumns(place)
+
+
 def line_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(image_id, true_class, pred_class)``: a row of the largest table for each pixel."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_discount").cast("double") > 0.07).cast("int").alias("off"))
@@ -122,6 +129,7 @@ scored AS (SELECT *, {_TRUE} AS true_class, {_PRED} AS pred_class FROM (SELECT *
 logit AS (SELECT *, {logits_sql("s")} AS logits, {logits_sql("v")} AS logits2 FROM scored),
 probs AS (SELECT image_id, y, x, v, s, true_class, pred_class, {softmax_sql("logits")} AS p FROM logit),
 mask AS (SELECT image_id, y, x, CAST(v >= 0.5 AS INTEGER) AS m FROM tiles),
+mosaic AS (SELECT image_id // 16 AS image_id, CAST(8 * (image_id % 16 // 4) + y AS INTEGER) AS y, CAST(8 * (image_id % 4) + x AS INTEGER) AS x, v, p FROM probs),
 line AS (SELECT l_orderkey AS image_id, CAST(l_partkey % 5 AS INTEGER) AS true_class, CAST((l_partkey + CASE WHEN CAST(l_discount AS DOUBLE) > 0.07 THEN 1 ELSE 0 END) % 5 AS INTEGER) AS pred_class FROM lineitem),
 confusion AS (SELECT true_class, pred_class, count(*) AS n FROM scored GROUP BY 1, 2),
 ids AS (SELECT unnest(range(5)) AS c),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rasterlab.config import CLASS_NAMES, BASELINE_IOU, AugmentConfig, EvalConfig, LossConfig
 from rasterlab.functions import arrays as A, keyed
 from rasterlab.functions.arrays import r6
-from rasterlab.operators import augment as AU, infer as IN, losses as L, metrics as M, postproc as PP, prep as P
+from rasterlab.operators import augment as AU, infer as IN, losses as L, metrics as M, postproc as PP, prep as P, scenes as SC
 from rasterlab.plans import fixtures as X
 from rasterlab.plans.fixtures import CTES, SIDE, WEIGHTS, softmax_sql
 from rasterlab.sources import files as S
@@ -546,17 +546,17 @@ def close_sql(name: str, source: str) -> str:
     return f"{name}_d AS {_stencil(source, 5, 'max')}, {name} AS {_stencil(f'{name}_d', 5, 'min')}"
 
 
-def components_sql(name: str, source: str) -> str:
-    return f"""{name}_on AS (SELECT image_id, y, x, 8 * y + x AS p FROM {source} WHERE m = 1),
+def components_sql(name: str, source: str, width: int = 8) -> str:
+    return f"""{name}_on AS (SELECT image_id, y, x, {width} * y + x AS p FROM {source} WHERE m = 1),
     {name}_near AS (SELECT a.image_id, a.p, b.p AS q FROM {name}_on a JOIN {name}_on b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
     {name}_r AS (SELECT image_id, p, p AS q FROM {name}_on UNION SELECT r.image_id, r.p, n.q FROM {name}_r r JOIN {name}_near n ON n.image_id = r.image_id AND n.p = r.q),
-    {name} AS (SELECT image_id, CAST(p // 8 AS INTEGER) AS y, CAST(p % 8 AS INTEGER) AS x, min(q) AS comp_id FROM {name}_r GROUP BY 1, 2, 3)"""
+    {name} AS (SELECT image_id, CAST(p // {width} AS INTEGER) AS y, CAST(p % {width} AS INTEGER) AS x, min(q) AS comp_id FROM {name}_r GROUP BY 1, 2, 3)"""
 
 
-def grown_sql(name: str, components: str) -> str:
+def grown_sql(name: str, components: str, pixels: str = "tiles") -> str:
     return f"""{name}_a AS (SELECT *, count(*) OVER (PARTITION BY image_id, comp_id) AS area FROM {components}),
     {name} AS (SELECT t.image_id, t.y, t.x, CAST(max(CASE WHEN c.y IS NOT NULL AND greatest(abs(c.y - t.y), abs(c.x - t.x)) <= CASE WHEN area < 30 THEN 4 WHEN area < 100 THEN 2 ELSE 0 END THEN 1 ELSE 0 END) AS INTEGER) AS m
-        FROM tiles t LEFT JOIN (SELECT * FROM {name}_a WHERE area >= 8) c ON c.image_id = t.image_id GROUP BY 1, 2, 3)"""
+        FROM {pixels} t LEFT JOIN (SELECT * FROM {name}_a WHERE area >= 8) c ON c.image_id = t.image_id GROUP BY 1, 2, 3)"""
 
 
 def _mask(spark, sf):
@@ -598,9 +598,9 @@ def dilate_small(spark, sf):
     return shown(PP.dilate_small(_mask(spark, sf)), "u1", "mask", "m")
 
 
-def _boost_sql(mask: str, touched: str) -> str:
+def _boost_sql(mask: str, touched: str, probs: str = "probs") -> str:
     new = "[CASE WHEN b.m = 1 AND k = 3 THEN least(greatest(p[k + 1] * 1.35, 0.0), 1.0) WHEN b.m = 1 AND k = 2 THEN p[k + 1] * 0.7 ELSE p[k + 1] END FOR k IN range(5)]"
-    return f"SELECT image_id, y, x, CAST(k AS INTEGER) AS class_id, {R('CASE WHEN touched THEN q[k + 1] / list_sum(q) ELSE p[k + 1] END')} AS p FROM (SELECT a.image_id, a.y, a.x, p, {new} AS q, a.image_id IN ({touched}) AS touched FROM probs a JOIN {mask} b USING (image_id, y, x)), range(5) t(k)"
+    return f"SELECT image_id, y, x, CAST(k AS INTEGER) AS class_id, {R('CASE WHEN touched THEN q[k + 1] / list_sum(q) ELSE p[k + 1] END')} AS p FROM (SELECT a.image_id, a.y, a.x, p, {new} AS q, a.image_id IN ({touched}) AS touched FROM {probs} a JOIN {mask} b USING (image_id, y, x)), range(5) t(k)"
 
 
 def _boost_all_sql(mask: str) -> str:
@@ -634,6 +634,54 @@ def scene_components(spark, sf):
     return PP.scene_components(scenes, 32)
 
 
+# ---- scenes of several tiles
+
+
+def scene_pixels(tiles: DataFrame, column: str, dtype: str = "<f8", name: str = "v") -> DataFrame:
+    """Tiles in the long form with the scene's coordinates; a column of five classes by class."""
+    keyed_tiles = tiles.select(F.struct("image_id", "top", "left").alias("image_id"), "height", "width", F.col(column).alias(name))
+    at = (F.col("image_id.image_id").alias("image_id"), (F.col("image_id.top") + F.col("y")).alias("y"), (F.col("image_id.left") + F.col("x")).alias("x"))
+    if name == "probs":
+        return by_class(explode_channels(keyed_tiles, name, 5).select(*at, "values"), "values")
+    long = explode_pixels(keyed_tiles, {name: dtype}).select(*at, name)
+    return long if dtype.endswith("u1") else long.withColumn(name, r6(F.col(name)))
+
+
+_G = [math.exp(-d * d / (2 * 0.9 * 0.9)) for d in range(-2, 3)]
+_GAUSS = "[" + ", ".join(repr(g / sum(_G)) for g in _G) + "]"
+
+
+@query(f""", down AS (SELECT a.image_id, a.y, a.x, sum({_GAUSS}[b.y - a.y + 3] * b.v) AS v FROM mosaic a JOIN mosaic b ON b.image_id = a.image_id AND b.x = a.x AND abs(b.y - a.y) <= 2 GROUP BY ALL)
+    SELECT a.image_id, a.y, a.x, {R(f'greatest(0.0, least(1.0, sum({_GAUSS}[b.x - a.x + 3] * b.v)))')} AS v FROM down a JOIN down b ON b.image_id = a.image_id AND b.y = a.y AND abs(b.x - a.x) <= 2 GROUP BY ALL""")
+def scene_blur(spark, sf):
+    tiles = SC.store_tiles(X.mosaic_tiles(spark, sf).select(*SC.PLACE, "pixels"))
+    return scene_pixels(SC.scene_blur(tiles, 0.9, SIDE), "pixels")
+
+
+@query(f""", pairs AS (SELECT a.image_id, a.y, a.x, b.v, b.y - a.y AS dy, b.x - a.x AS dx FROM mosaic a JOIN mosaic b ON b.image_id = a.image_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1)
+    SELECT image_id, y, x, {R('abs(sum(dx * (2 - abs(dy)) * v)) + abs(sum(dy * (2 - abs(dx)) * v))')} AS v FROM pairs GROUP BY ALL""")
+def scene_sobel(spark, sf):
+    tiles = SC.store_tiles(X.mosaic_tiles(spark, sf).select(*SC.PLACE, F.col("pixels").alias("plane")))
+    return scene_pixels(SC.scene_sobel(tiles, SIDE), "plane")
+
+
+@query(f", mask32 AS (SELECT image_id, y, x, CAST(v >= 0.62 AS INTEGER) AS m FROM mosaic), {components_sql('cc', 'mask32', 32)}, {grown_sql('grown', 'cc', 'mosaic')} SELECT image_id, y, x, m FROM grown")
+def scene_dilate_small(spark, sf):
+    rows = X.mosaic_tiles(spark, sf).select(*SC.PLACE, "pixels")
+    mask = lambda r: {c: r[c] for c in SC.PLACE} | {"mask": (np.frombuffer(r["pixels"], "<f8") >= 0.62).astype(np.uint8).tobytes()}
+    tiles = PP.map_rows(rows, mask, "image_id long, ty int, tx int, top int, left int, height int, width int, mask binary")
+    return scene_pixels(SC.scene_dilate_small(tiles, SIDE), "mask", "u1", "m")
+
+
+@query(
+    f", ship AS (SELECT image_id, y, x, CAST(p[4] > 0.25 AS INTEGER) AS m FROM mosaic), {open_sql('opened', 'ship')}, {close_sql('closed', 'opened')}, {components_sql('cc', 'closed', 32)}, {grown_sql('grown', 'cc', 'mosaic')} "
+    + _boost_sql("grown", "SELECT image_id FROM ship WHERE m = 1", "mosaic")
+)
+def scene_ship_enhancement(spark, sf):
+    tiles = SC.store_tiles(X.mosaic_tiles(spark, sf).select(*SC.PLACE, "probs"))
+    return scene_pixels(SC.scene_ship_enhancement(tiles, SIDE), "probs", name="probs")
+
+
 # ---- evaluation
 
 

@@ -23,3 +23,13 @@ def written(df: DataFrame) -> DataFrame:
     path = work_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` in buckets of ``by``, as many as a shuffle has partitions, and read it back: joins and groupings by
+    these columns then don't shuffle it again. It is shuffled once here, so that a bucket is one file."""
+    spark = df.sparkSession
+    name = f"rasterlab_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *by).write.bucketBy(n, *by).option("path", work_folder(spark)).saveAsTable(name)
+    return spark.table(name)

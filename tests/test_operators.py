@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterlab.config import CLASS_NAMES, AugmentConfig, EvalConfig, LossConfig
 from rasterlab.functions import arrays as A, keyed
-from rasterlab.operators import augment as AU, infer as IN, losses as L, metrics as M, postproc as PP, prep as P
+from rasterlab.operators import augment as AU, infer as IN, losses as L, metrics as M, postproc as PP, prep as P, scenes as SC
 from rasterlab.plans import queries as Q
 from rasterlab.sources import files as S
 from rasterlab.sources.packed import explode_pixels, pack_pixels, packed, tile_image
@@ -342,7 +342,7 @@ def test_every_inventory_group_has_queries():
         "preparation": "split_train_val clip_labels class_distribution class_distribution_long class_weights normalise_pixels auto_rescale fix_channels resize_bilinear resize_nearest pad_to_patch class_presence sample_target_pixel class_centred_crop random_crop patch_plan sample_patches assign_batches shuffle_epoch",
         "augmentation": "flip_h flip_v rotate_bilinear rotate_nearest speckle brightness contrast gamma gaussian_blur cutout augmentation_plan augment apply_augmentation map_samples",
         "inference": "tta_variants scale_variants augment_variant reverse_variant predict_images softmax fuse_tta fuse_scales argmax_class argmax_labels match_prediction_size multi_scale_predict",
-        "post-processing": "class_mask morph_open morph_close connected_components component_stats filter_components dilate_small boost_and_suppress ship_enhancement scene_components",
+        "post-processing": "class_mask morph_open morph_close connected_components component_stats filter_components dilate_small boost_and_suppress ship_enhancement scene_components scene_blur scene_sobel scene_dilate_small scene_ship_enhancement",
         "metrics": "confusion_matrix confusion_packed confusion_per_image class_iou mean_iou_truth mean_iou_union precision_recall_f1 pixel_accuracy frequency_weighted_iou cohens_kappa bootstrap_replicates bootstrap_ci evaluate class_report compare_to_baseline compare_runs",
         "losses": "one_hot smooth_labels pixel_weight weighted_cross_entropy focal_loss dice_loss sobel_edges boundary_loss hybrid_ce hybrid_focal hybrid_dice lovasz_softmax lovasz_softmax_global hybrid_loss",
         "streaming": "stream_confusion stream_windowed_iou stream_class_distribution",
@@ -360,3 +360,67 @@ def test_registered_bootstrap_has_the_production_size(spark, monkeypatch):
     values = [r.miou for r in Q.bootstrap_replicates(spark, "").collect()]
     ci = Q.bootstrap_ci(spark, "").first()
     assert np.allclose((ci.ci_low, ci.ci_high), np.percentile(values, (2.5, 97.5)), atol=2e-6)
+
+
+def scene_tiles(spark, images: dict, size: int, name: str, dtype: str):
+    rows = [(i, *x.shape[:2], packed(x, dtype)) for i, x in images.items()]
+    df = spark.createDataFrame(rows, f"image_id long, height int, width int, {name} binary")
+    return tile_image(df, size, 0, dtype, name).withColumnRenamed("pixels", name)
+
+
+def joined_scenes(tiles, name: str, dtype: str, shapes: dict) -> dict:
+    out = {i: np.zeros(s, dtype) for i, s in shapes.items()}
+    for r in tiles.collect():
+        part = np.frombuffer(r[name], dtype)
+        out[r.image_id][r.top : r.top + r.height, r.left : r.left + r.width] = part.reshape(r.height, r.width, *shapes[r.image_id][2:])
+    return out
+
+
+@pytest.mark.parametrize("size", [3, 8, 64])
+def test_scene_filters_equal_whole_images(spark, size):
+    """Tiles smaller than the halo, tiles cut off at the edges, a scene of one tile."""
+    from rasterlab.functions import kernels
+
+    images = {1: RNG.random((21, 30)), 2: RNG.random((9, 7)), 3: RNG.random((1, 2))}
+    shapes = {i: x.shape for i, x in images.items()}
+    tiles = SC.store_tiles(scene_tiles(spark, images, size, "pixels", "<f8"))
+    got = joined_scenes(SC.scene_blur(tiles, 0.9, size), "pixels", "<f8", shapes)
+    assert all(np.allclose(got[i], kernels.blur(x, 0.9), atol=1e-12) for i, x in images.items())
+    got = joined_scenes(SC.scene_sobel(tiles, size, "pixels"), "pixels", "<f8", shapes)
+    assert all(np.allclose(got[i], kernels.sobel(x), atol=1e-12) for i, x in images.items())
+    masks = {i: x > 0.45 for i, x in images.items()}
+    tiles = scene_tiles(spark, masks, size, "mask", "u1")
+    for made, kernel in ((SC.scene_open(tiles, size), kernels.morph_open), (SC.scene_close(tiles, size), kernels.morph_close), (SC.scene_open(tiles, size, 5), lambda m: kernels.morph_open(m, 5))):
+        got = joined_scenes(made, "mask", "u1", shapes)
+        assert all((got[i] == kernel(m)).all() for i, m in masks.items())
+
+
+def test_scene_ship_enhancement_equals_whole_images(spark):
+    """Ships of every size class over tile borders; a scene without a ship stays."""
+    images = {}
+    for i in range(4):
+        probs = RNG.dirichlet([8, 2, 2, 0.5, 2], (33, 26))
+        ship = np.zeros((33, 26), bool)
+        for top, left, h, w in ((2, 2, 3, 4), (12, 6, 6, 8), (20, 1, 11, 12), (5, 20, 2, 2))[: 4 - i]:
+            ship[top : top + h, left : left + w] = True
+        if i < 3:
+            probs[ship] = [0.1, 0.05, 0.15, 0.6, 0.1]
+        else:
+            probs[..., 3] = np.minimum(probs[..., 3], 0.2)
+        images[i] = probs
+    shapes = {i: x.shape for i, x in images.items()}
+    whole = spark.createDataFrame([(i, 33, 26, packed(x)) for i, x in images.items()], "image_id long, height int, width int, probs binary")
+    wanted = {r.image_id: np.frombuffer(r.probs).reshape(shapes[r.image_id]) for r in PP.ship_enhancement(whole).collect()}
+    got = joined_scenes(SC.scene_ship_enhancement(scene_tiles(spark, images, 8, "probs", "<f8"), 8), "probs", "<f8", shapes)
+    for i in images:
+        assert np.allclose(got[i], wanted[i], atol=1e-12)
+    assert (got[3] == images[3]).all() and not np.allclose(got[0], images[0], atol=1e-3)
+
+
+def test_stored_tiles_are_not_shuffled_and_holes_are_errors(spark):
+    tiles = SC.store_tiles(scene_tiles(spark, {1: RNG.random((16, 16))}, 8, "pixels", "<f8"))
+    plan = SC.scene_blur(tiles, 0.9, 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "ShuffledHashJoin" in plan  # the strips alone
+    assert SC.border_strips(tiles, {"pixels": "<f8"}, 8, 2).where("ty < 2 and tx < 2").selectExpr("sum(aggregate(strips, 0L, (a, s) -> a + length(s.pixels)))").first()[0] == 8 * 4 * (2 * 8 * 2 + 4)
+    with pytest.raises(Exception, match="full grid"):
+        SC.scene_blur(tiles.where("not (ty = 0 and tx = 1)"), 0.9, 8).collect()
