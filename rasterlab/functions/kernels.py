@@ -12,12 +12,17 @@ def _axis(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.maximum(low, 0).astype(int), np.minimum(np.ceil(at), n - 1).astype(int), at - low
 
 
+def _like(weights: np.ndarray, image: np.ndarray) -> np.ndarray:
+    """Weights in single precision for an image in single precision, which then stays so."""
+    return weights.astype(np.float32) if image.dtype == np.float32 else weights
+
+
 def resize_bilinear(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Separable linear interpolation, no antialiasing, edges clamped."""
     y0, y1, wy = _axis(image.shape[0], height)
     x0, x1, wx = _axis(image.shape[1], width)
     tail = (1,) * (image.ndim - 2)
-    wy, wx = wy.reshape(-1, 1, *tail), wx.reshape(1, -1, *tail)
+    wy, wx = _like(wy, image).reshape(-1, 1, *tail), _like(wx, image).reshape(1, -1, *tail)
     top = image[y0][:, x0] * (1 - wx) + image[y0][:, x1] * wx
     bottom = image[y1][:, x0] * (1 - wx) + image[y1][:, x1] * wx
     return top * (1 - wy) + bottom * wy
@@ -55,7 +60,7 @@ def rotate(image: np.ndarray, angle: float, nearest: bool = False) -> np.ndarray
         return image[np.floor(v + 0.5).astype(int).clip(0, h - 1), np.floor(u + 0.5).astype(int).clip(0, w - 1)]
     x0, y0 = np.floor(u).astype(int), np.floor(v).astype(int)
     x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
-    fx, fy = u - x0, v - y0
+    fx, fy = _like(u - x0, image), _like(v - y0, image)
     if image.ndim == 3:
         fx, fy = fx[..., None], fy[..., None]
     top = image[y0, x0] * (1 - fx) + image[y0, x1] * fx

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from rasterlab.config import NUM_CLASSES, EvalConfig
 from rasterlab.functions import kernels
 from rasterlab.functions.arrays import clip_all
-from rasterlab.sources.packed import STEP_BYTES, map_rows, packed, steps, unpack
+from rasterlab.sources.packed import map_rows, packed, steps, unpack
 
 #: The rotations of the variants, and the scales that are off unless asked for.
 ANGLES = (-math.pi / 12, math.pi / 12, -math.pi / 6, math.pi / 6)
@@ -99,35 +100,87 @@ def reverse_variant(scored: DataFrame, column: str = "logits") -> DataFrame:
     return map_rows(scored, one, scored.schema)
 
 
-def predict_images(images: DataFrame, make_predict: Callable[[], Predict], batch_size: int = 16) -> DataFrame:
-    """``images`` with ``logits``: the callable gets (N, H, W, 1) and gives (N, H, W, C). It is built once per task."""
+#: Bytes of all classes' scores that one call of the model makes, and of pixels that wait in a task for a call.
+SCORE_BYTES, QUEUE_BYTES = 128 << 20, 256 << 20
+
+
+class SizeQueue:
+    """Images of a task that wait for a call of the model, by their size.
+
+    ``add`` gives the groups that are ready: one that has as many images as a call takes, and the largest one where more
+    than QUEUE_BYTES wait in all, as many sizes may each have few images. Groups grow over the borders of Arrow
+    batches; ``rest`` gives what is left at the end. A call takes as many images as its scores fit SCORE_BYTES, at
+    most ``most``; ``classes`` is corrected once the model has answered.
+    """
+
+    def __init__(self, most: int, classes: int, itemsize: int = 8, least_pixels: int = 0):
+        self.most, self.classes, self.itemsize, self.least_pixels = most, classes, itemsize, least_pixels
+        self.groups: dict[tuple, list[dict]] = {}
+        self.waiting = 0
+
+    def room(self, size: tuple) -> int:
+        """Images of this (height, width, bytes) in a call."""
+        pixels = max(size[0] * size[1], self.least_pixels)
+        return max(1, min(self.most, SCORE_BYTES // max(1, pixels * self.classes * self.itemsize)))
+
+    def _take(self, size: tuple) -> list[dict]:
+        self.waiting -= size[2] * len(self.groups[size])
+        return self.groups.pop(size)
+
+    def add(self, row: dict) -> Iterator[list[dict]]:
+        size = (row["height"], row["width"], len(row["pixels"]))
+        self.groups.setdefault(size, []).append(row)
+        self.waiting += size[2]
+        if len(self.groups[size]) >= self.room(size):
+            yield self._take(size)
+        elif self.waiting > QUEUE_BYTES:
+            yield self._take(max(self.groups, key=lambda k: k[2] * len(self.groups[k])))
+
+    def rest(self) -> Iterator[list[dict]]:
+        for size in list(self.groups):
+            yield self._take(size)
+
+
+def _queued(batches: Iterator[pa.RecordBatch], queue: SizeQueue) -> Iterator[list[dict]]:
+    """The rows of all batches in groups for the model; few rows are Python objects besides those that wait."""
+    for batch in batches:
+        for part in steps(batch):
+            for row in part.to_pylist():
+                yield from queue.add(row)
+    yield from queue.rest()
+
+
+def predict_images(images: DataFrame, make_predict: Callable[[], Predict], batch_size: int = 64, num_classes: int = NUM_CLASSES) -> DataFrame:
+    """``images`` with ``logits``: the callable gets (N, H, W, 1) and gives (N, H, W, C). It is built once per task.
+
+    A call takes up to ``batch_size`` images of one size, from wherever in the task they come (``SizeQueue``).
+    """
     schema = StructType([*images.drop("logits").schema, StructField("logits", BinaryType())])
-    names = schema.names
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
-        predict = make_predict()
-        for batch in batches:
-            rows = batch.to_pylist()
-            for a in range(0, len(rows), batch_size):
-                part = rows[a : a + batch_size]
-                by_size: dict[tuple[int, int], list[dict]] = {}
-                for r in part:
-                    by_size.setdefault((r["height"], r["width"]), []).append(r)
-                for same in by_size.values():
-                    for r, scores in zip(same, predict(np.stack([unpack(r) for r in same])[..., None]), strict=True):
-                        r["logits"] = packed(scores)
-                columns = [batch.schema.field(n).type if n in batch.schema.names else pa.binary() for n in names]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in part], t) for n, t in zip(names, columns, strict=True)], names=names)
+        predict, queue = make_predict(), SizeQueue(batch_size, num_classes)
+        for rows in _queued(batches, queue):
+            scores = predict(np.stack([unpack(r) for r in rows])[..., None])
+            queue.classes = scores.shape[-1]
+            for a in range(0, len(rows), 16):
+                yield pa.RecordBatch.from_pylist([r | {"logits": packed(x)} for r, x in zip(rows[a : a + 16], scores[a : a + 16], strict=True)], arrow)
 
     return images.mapInArrow(run, schema)
 
 
-def fuse(scored: DataFrame, keys: list[str], values: str = "probs", num_classes: int = NUM_CLASSES) -> DataFrame:
+def fuse(scored: DataFrame, keys: list[str], values: str = "probs", num_classes: int | None = None) -> DataFrame:
     """Mean probabilities over all rows of ``keys`` (long form, arrays by class), clipped, as logarithms in ``fused``.
 
-    One shuffle, with a partial mean for each class in the tasks before it.
+    One shuffle, with a partial mean for each class in the tasks before it. Arrays have any number of classes, all the
+    same: it is read off the first row unless given, and another number in any row raises an error.
     """
-    means = scored.groupBy(*keys).agg(*(F.avg(F.col(values)[c]).alias(f"p{c}") for c in range(num_classes)))
+    if num_classes is None:
+        first = scored.where(F.col(values).isNotNull()).select(F.size(values)).first()
+        num_classes = first[0] if first else NUM_CLASSES
+    wrong = F.concat(F.lit(f"{values}: {num_classes} classes were expected, not "), F.size(values).cast("string"))
+    rows = scored.where(F.when(F.size(values) == num_classes, True).when(F.col(values).isNull(), True).otherwise(F.raise_error(wrong).cast("boolean")))
+    means = rows.groupBy(*keys).agg(*(F.avg(F.col(values)[c]).alias(f"p{c}") for c in range(num_classes)))
     out = means.select(*keys, F.array(*(F.col(f"p{c}") for c in range(num_classes))).alias("p"))
     return out.select(*keys, F.transform(clip_all(F.col("p"), LOW, HIGH), lambda v: F.log(v)).alias("fused"))
 
@@ -167,28 +220,29 @@ def model_input(images: np.ndarray, channels: int) -> np.ndarray:
     return np.where(top > 1.0, images / 255.0, images)
 
 
-def _scores(stack: np.ndarray, predict: Predict, on_error: str) -> tuple[np.ndarray | None, np.ndarray]:
+def _scores(stack: np.ndarray, predict: Predict, on_error: str, dtype: str, errors: list[str]) -> tuple[np.ndarray | None, np.ndarray]:
     """(H, W, N, C) predictions for (H, W, N, K) images in one call, and which succeeded.
 
-    Where the call fails and ``on_error`` isn't ``fail``, each image is tried alone, so one bad image costs no other.
+    Where the call fails and ``on_error`` isn't ``fail``, each image is tried alone, so one bad image costs no other;
+    ``errors`` keeps what was last said of each.
     """
     batch, n = np.ascontiguousarray(stack.transpose(2, 0, 1, 3)), stack.shape[2]
     try:
-        return np.moveaxis(np.asarray(predict(batch), np.float64), 0, 2), np.ones(n, bool)
+        return np.moveaxis(np.asarray(predict(batch), dtype), 0, 2), np.ones(n, bool)
     except Exception:
         if on_error == "fail":
             raise
     done: dict[int, np.ndarray] = {}
     for i in range(n):
         try:
-            done[i] = np.asarray(predict(batch[i : i + 1]), np.float64)[0]
-        except Exception:
-            continue
+            done[i] = np.asarray(predict(batch[i : i + 1]), dtype)[0]
+        except Exception as e:
+            errors[i] = f"{type(e).__name__}: {e}"
     good = np.isin(np.arange(n), list(done))
     return (np.stack([done.get(i, np.zeros_like(next(iter(done.values())))) for i in range(n)], axis=2), good) if done else (None, good)
 
 
-def _tta(images: np.ndarray, predict: Predict, variants: list, on_error: str) -> tuple[np.ndarray | None, np.ndarray]:
+def _tta(images: np.ndarray, predict: Predict, variants: list, on_error: str, dtype: str, errors: list[str]) -> tuple[np.ndarray | None, np.ndarray]:
     """Logarithms of the mean softmax over the variants for (H, W, N, K) images, and which have any prediction.
 
     Images of one size lie behind each other as channels, so flips, rotations and resizes run once for all of them.
@@ -197,13 +251,17 @@ def _tta(images: np.ndarray, predict: Predict, variants: list, on_error: str) ->
     total, count = None, np.zeros(n)
     flat = images.reshape(h, w, n * k)
     for kind, angle, scale in variants:
-        scores, good = _scores(forward(flat, kind, angle, scale, (h, w)).reshape(h, w, n, k), predict, on_error)
+        scores, good = _scores(forward(flat, kind, angle, scale, (h, w)).reshape(h, w, n, k), predict, on_error, dtype, errors)
         if scores is None:
             continue
         c = scores.shape[-1]
-        p = kernels.softmax(backward(scores.reshape(*scores.shape[:2], n * c), kind, angle, (h, w)).reshape(h, w, n, c)) * good[:, None]
-        total, count = (p if total is None else total + p), count + good
-    return (None if total is None else np.log(np.clip(total / np.maximum(count, 1)[:, None], LOW, HIGH))), count > 0
+        p = kernels.softmax(backward(scores.reshape(*scores.shape[:2], n * c), kind, angle, (h, w)).reshape(h, w, n, c))
+        p *= good[:, None]
+        total, count = (p if total is None else np.add(total, p, out=total)), count + good
+    if total is not None:
+        total /= np.maximum(count, 1)[:, None]
+        np.log(np.clip(total, LOW, HIGH, out=total), out=total)
+    return total, count > 0
 
 
 def multi_scale_predict(
@@ -216,54 +274,58 @@ def multi_scale_predict(
     finish: Callable[[np.ndarray], np.ndarray] | None = None,
     channels: int = 1,
     batch_size: int = 64,
+    num_classes: int = NUM_CLASSES,
+    dtype: str = "<f8",
 ) -> DataFrame:
     """``(image_id, height, width, probs)``: all scales and variants of an image in one task, without a shuffle.
 
     Images get the model's ``channels`` and are brought to [0, 1] (``model_input``), then resized to the scaled size
-    and on to the model's (their own if not given). Up to ``batch_size`` images of one size share a call of the model.
+    and on to the model's (their own if not given). Up to ``batch_size`` images of one size share a call of the model,
+    as many as the scores of ``num_classes`` fit SCORE_BYTES: 22 of 384 x 384 pixels with five classes, twice as many
+    with ``dtype="<f4"``, which also halves the memory (about eight times SCORE_BYTES at the peak).
     With ``on_error="quarantine"`` failed variants are left out of the mean, and an image without any prediction gets
-    null probabilities and a text in ``error``; class 0 is never invented. ``finish`` is applied to the probabilities.
+    null probabilities and what the model said in ``error``; class 0 is never invented. ``finish`` is applied to the
+    probabilities.
     """
     variants = variant_list() if tta else [("original", None, None)]
     kind = images.schema["image_id"].dataType.simpleString()
     schema = f"image_id {kind}, height int, width int, probs binary, error string"
 
-    def together(rows: list[dict], predict: Predict) -> list[np.ndarray | None]:
+    def together(rows: list[dict], predict: Predict, queue: SizeQueue, errors: list[str]) -> list[np.ndarray | None]:
         size, n = (rows[0]["height"], rows[0]["width"]), len(rows)
-        stack = model_input(np.stack([unpack(r).reshape(*size, -1) for r in rows], axis=2), channels)
+        stack = model_input(np.stack([unpack(r).reshape(*size, -1) for r in rows], axis=2), channels).astype(dtype, copy=False)
         flat = stack.reshape(*size, -1)
         total, count = 0.0, np.zeros(n)
         for s in scales:
             scaled = kernels.resize_bilinear(flat, scaled_size(size[0], s), scaled_size(size[1], s))
             scaled = kernels.resize_bilinear(scaled, *(model_size or size))
-            fused, good = _tta(scaled.reshape(*scaled.shape[:2], n, -1), predict, variants, on_error)
+            fused, good = _tta(scaled.reshape(*scaled.shape[:2], n, -1), predict, variants, on_error, dtype, errors)
             if fused is not None:
-                c = fused.shape[-1]
-                back = kernels.resize_bilinear(fused.reshape(*fused.shape[:2], n * c), *size).reshape(*size, n, c)
-                total, count = total + kernels.softmax(back) * good[:, None], count + good
+                queue.classes = c = fused.shape[-1]
+                back = kernels.softmax(kernels.resize_bilinear(fused.reshape(*fused.shape[:2], n * c), *size).reshape(*size, n, c))
+                back *= good[:, None]
+                total, count = np.add(total, back, out=back), count + good
         return [np.clip(total[:, :, i] / count[i], LOW, HIGH) if count[i] else None for i in range(n)]
 
     def run(batches):
         predict = make_predict()
-        for batch in batches:
-            for part in steps(batch, STEP_BYTES // 16):  # scores of all classes are held beside the pixels
-                groups: dict[tuple, list[dict]] = {}
-                for row in part.to_pylist():
-                    groups.setdefault((row["height"], row["width"], len(row["pixels"])), []).append(row)
-                for same in groups.values():
-                    for a in range(0, len(same), batch_size):
-                        rows = same[a : a + batch_size]
-                        made = [finish(p) if finish is not None and p is not None else p for p in together(rows, predict)]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([r["image_id"] for r in rows], batch["image_id"].type),
-                                *(pa.array([r[c] for r in rows], pa.int32()) for c in ("height", "width")),
-                                pa.array([None if p is None else packed(p) for p in made], pa.binary()),
-                                pa.array([None if p is not None else "no prediction" for p in made], pa.string()),
-                            ],
-                            names=["image_id", "height", "width", "probs", "error"],
-                        )
-
+        queue = SizeQueue(batch_size, num_classes, np.dtype(dtype).itemsize, math.prod(model_size or (0,)))
+        for rows in _queued(batches, queue):
+            errors = ["no prediction"] * len(rows)
+            made = together(rows, predict, queue, errors)
+            for a in range(0, len(rows), 16):
+                some = [finish(p) if finish is not None and p is not None else p for p in made[a : a + 16]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([r["image_id"] for r in rows[a : a + 16]], arrow_id),
+                        *(pa.array([r[c] for r in rows[a : a + 16]], pa.int32()) for c in ("height", "width")),
+                        pa.array([None if p is None else packed(p) for p in some], pa.binary()),
+                        pa.array([None if p is not None else e for p, e in zip(some, errors[a : a + 16], strict=True)], pa.string()),
+                    ],
+                    names=["image_id", "height", "width", "probs", "error"],
+                )
+
+    arrow_id = to_arrow_schema(images.select("image_id").schema).field(0).type
     return images.select("image_id", "height", "width", "pixels").mapInArrow(run, schema)
 
 

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rasterlab.functions.arrays import r6
+from rasterlab.sources.packed import map_rows, packed
 
 SIDE = 8
 #: Intensities at which the classes' scores peak.
@@ -86,6 +87,20 @@ def mosaic_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_tiles(spark, sf_dir).withColumns(place)
 
 
+def whole_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(image_id, height, width, pixels)`` of the scenes, put together from their 16 tiles; an unfinished last row of
+    tiles is left out."""
+    at = F.sort_array(F.collect_list(F.struct("top", "left", "pixels"))).alias("tiles")
+    rows = mosaic_tiles(spark, sf_dir).groupBy("image_id").agg(at).where(F.size("tiles") % 4 == 0)
+
+    def one(row: dict) -> dict:
+        grid = np.stack([np.frombuffer(t["pixels"], "<f8").reshape(SIDE, SIDE) for t in row["tiles"]]).reshape(-1, 4, SIDE, SIDE)
+        image = grid.transpose(0, 2, 1, 3).reshape(-1, 4 * SIDE)
+        return {"image_id": row["image_id"], "height": len(image), "width": 4 * SIDE, "pixels": packed(image)}
+
+    return map_rows(rows, one, "image_id long, height int, width int, pixels binary")
+
+
 def line_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(image_id, true_class, pred_class)``: a row of the largest table for each pixel."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_discount").cast("double") > 0.07).cast("int").alias("off"))

@@ -525,6 +525,31 @@ def multi_scale_predict(spark, sf):
     return by_class(explode_channels(out, "probs", 5), "values")
 
 
+#: Side of the images that the model gets in ``predict_large_images``.
+LARGE = 384
+_CENTRE = "[" + ", ".join(str(c) for c in X.CENTRES) + "]"
+
+
+def _from(axis: str, n: str) -> str:
+    """Source indices and weight of a half-pixel resize of ``n`` pixels to LARGE."""
+    at = f"((t.i + 0.5) * {n} / {LARGE} - 0.5)"
+    return f"{axis} AS (SELECT h, t.i AS {axis}, greatest(floor({at}), 0) AS a, least(ceil({at}), {n} - 1) AS b, {at} - floor({at}) AS w FROM (SELECT DISTINCT h FROM whole), range({LARGE}) t(i))"
+
+
+@query(f""", whole AS (SELECT m.*, h FROM mosaic m JOIN (SELECT image_id, max(y) + 1 AS h FROM mosaic GROUP BY 1 HAVING count(*) % 256 = 0) USING (image_id)), {_from('ys', 'h')}, {_from('xs', '32')},
+    rows AS (SELECT a.image_id, a.h, ys.ys, a.x, a.v * (1 - ys.w) + b.v * ys.w AS v FROM ys JOIN whole a ON a.h = ys.h AND a.y = ys.a JOIN whole b ON b.image_id = a.image_id AND b.y = ys.b AND b.x = a.x),
+    grid AS (SELECT a.image_id, a.v * (1 - xs.w) + b.v * xs.w AS v FROM xs JOIN rows a ON a.h = xs.h AND a.x = xs.a JOIN rows b ON b.image_id = a.image_id AND b.ys = a.ys AND b.x = xs.b)
+    e AS (SELECT image_id, list_transform({_CENTRE}, lambda m: exp(CAST(-40.0 AS DOUBLE) * (v - m) * (v - m))) AS e FROM grid)
+    SELECT image_id, CAST(k AS INTEGER) AS class_id, {R('avg(e[k + 1] / list_sum(e))')} AS p FROM e, range(5) t(k) GROUP BY 1, 2""")
+def predict_large_images(spark, sf):
+    """Scenes at the size of real images through the model, in calls of up to 22; the mean probability of each class."""
+    large = P.resize(X.whole_scenes(spark, sf), LARGE, LARGE)
+    found = IN.multi_scale_predict(large, toy_model, (1.0,), tta=False)
+    mean = lambda r: {"image_id": r["image_id"], "p": np.frombuffer(r["probs"], "<f8").reshape(-1, 5).mean(axis=0).tolist()}
+    means = PP.map_rows(found.select("image_id", "probs"), mean, "image_id long, p array<double>")
+    return means.select("image_id", F.posexplode("p").alias("class_id", "p")).withColumn("p", r6(F.col("p")))
+
+
 # ---- post-processing
 
 

@@ -424,3 +424,74 @@ def test_stored_tiles_are_not_shuffled_and_holes_are_errors(spark):
     assert SC.border_strips(tiles, {"pixels": "<f8"}, 8, 2).where("ty < 2 and tx < 2").selectExpr("sum(aggregate(strips, 0L, (a, s) -> a + length(s.pixels)))").first()[0] == 8 * 4 * (2 * 8 * 2 + 4)
     with pytest.raises(Exception, match="full grid"):
         SC.scene_blur(tiles.where("not (ty = 0 and tx = 1)"), 0.9, 8).collect()
+
+
+def test_model_calls_hold_many_images_of_real_size_over_batch_borders(spark, tmp_path):
+    """Sixteen or more images of 384 x 384 in a call, in a worker below 2 GB; Arrow batches have three images here."""
+    log = str(tmp_path / "calls")
+
+    def make():
+        def predict(batch):
+            import resource
+
+            with open(log, "a") as f:
+                print(batch.shape[0], batch.shape[1], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, file=f)
+            return -40.0 * (batch - np.array([0.5, 0.25, 0.35, 0.88, 0.68])) ** 2
+
+        return predict
+
+    sides = [384, 384, 384, 384, 64, 100] * 6
+    rows = [(i, s, s, packed(np.full((s, s), 0.01 * i))) for i, s in enumerate(sides)]
+    df = spark.createDataFrame(rows, "image_id long, height int, width int, pixels binary").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = IN.multi_scale_predict(df, make, (1.0,)).selectExpr("image_id", "height", "length(probs) as n").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.image_id: (r.height, r.n) for r in got} == {i: (s, 40 * s * s) for i, s in enumerate(sides)}
+    calls = [tuple(map(int, x.split())) for x in open(log)]
+    large = [n for n, side, _ in calls if side == 384]
+    assert max(large) >= 16 and sum(large) == 24 * 8 and max(m for *_, m in calls) < 2_000_000
+    assert [n for n, side, _ in calls if side == 64] == [6] * 8
+
+
+def test_queue_bounds_what_waits(monkeypatch):
+    monkeypatch.setattr(IN, "QUEUE_BYTES", 1000)
+    queue = IN.SizeQueue(4, 5)
+    image = lambda i, side: {"image_id": i, "height": side, "width": side, "pixels": b"x" * (8 * side * side)}
+    out = [g for i in range(30) for g in queue.add(image(i, 1 + i % 5))]
+    assert queue.waiting <= 1000
+    out += list(queue.rest())
+    assert queue.waiting == 0 and sorted(r["image_id"] for g in out for r in g) == list(range(30))
+    assert all(len(g) <= 4 and len({r["height"] for r in g}) == 1 for g in out) and max(map(len, out)) > 1
+    monkeypatch.setattr(IN, "SCORE_BYTES", 8 * 5 * 100)
+    assert queue.room((10, 10, 800)) == 1 and queue.room((5, 5, 200)) == 4 and queue.room((100, 100, 80_000)) == 1
+
+
+def test_single_precision_scores_are_close(spark):
+    df = samples(spark, 9, 24).select("image_id", "height", "width", "pixels")
+    model = lambda: lambda x: -40.0 * (x - np.array([0.5, 0.25, 0.35, 0.88, 0.68], x.dtype)) ** 2
+    one = {r.image_id: np.frombuffer(r.probs) for r in IN.multi_scale_predict(df, model, (0.5, 1.0)).collect()}
+    two = {r.image_id: np.frombuffer(r.probs) for r in IN.multi_scale_predict(df, model, (0.5, 1.0), dtype="<f4").collect()}
+    assert len(one) == 9 and all(np.allclose(one[i], two[i], atol=2e-5) for i in one)
+
+
+def test_fuse_takes_any_number_of_classes(spark):
+    p = RNG.dirichlet(np.ones(7), (4, 3))
+    rows = [(1, 0, x, v, p[v, x].tolist()) for v in range(4) for x in range(3)]
+    df = spark.createDataFrame(rows, "image_id long, y int, x int, variant int, probs array<double>")
+    got = {r.x: r.fused for r in IN.fuse_tta(df).collect()}
+    assert all(len(v) == 7 and np.allclose(v, np.log(p[:, x].mean(axis=0))) for x, v in got.items())
+    with pytest.raises(Exception, match="7 classes were expected, not 5"):
+        IN.fuse_tta(df.union(spark.createDataFrame([(1, 0, 0, 9, [0.2] * 5)], df.schema))).collect()
+
+
+def test_errors_keep_what_the_model_said(spark):
+    def make():
+        def predict(batch):
+            raise RuntimeError("out of tokens")
+
+        return predict
+
+    rows = IN.multi_scale_predict(samples(spark, 2), make, on_error="quarantine").collect()
+    assert {r.error for r in rows} == {"RuntimeError: out of tokens"}
