@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -124,45 +126,83 @@ def cohens_kappa(confusion: DataFrame, by: list[str] | None = None) -> DataFrame
     return rows.select(*(by or []), kappa.alias("kappa"))
 
 
+class SplitDraws:
+    """How often each of ``n`` images is drawn in ``n`` draws with replacement, for all replicates at once.
+
+    A range of images is halved: of the draws that fall into it, a binomial number falls into its first half. The draw of
+    a range is keyed by the range, so every task finds the counts of its own images by going down to them, and all find
+    the same. The way down to the last image is kept; ascending images share most of it.
+    """
+
+    def __init__(self, n: int, replicates: int, seed: int):
+        self.seed = seed
+        self.path = [(0, n, np.full(replicates, n, np.int64), None)]
+
+    def times(self, i: int) -> np.ndarray:
+        while not self.path[-1][0] <= i < self.path[-1][1]:
+            self.path.pop()
+        while (top := self.path[-1])[1] - top[0] > 1:
+            low, high, draws, first = top
+            middle = (low + high) // 2
+            if first is None:
+                first = keyed.generator("split", f"{low}_{high}", self.seed, 0).binomial(draws, (middle - low) / (high - low))
+                self.path[-1] = (low, high, draws, first)
+            self.path.append((low, middle, first, None) if i < middle else (middle, high, draws - first, None))
+        return self.path[-1][2]
+
+
+def _weighted_counts(per_image: DataFrame, key: str, replicates: int, make_times: Callable[[], Callable[[object], np.ndarray]]) -> DataFrame:
+    """``(replicate, true_class, pred_class, n)``: every image's counts times its weight in each replicate.
+
+    Added up in the tasks: a task sends one matrix of replicates by cells.
+    """
+
+    def run(batches):
+        times_of = make_times()
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            places: dict = {}
+            row = np.array([places.setdefault(x, len(places)) for x in batch[key].to_pylist()], np.int64)
+            cells, column = np.unique(batch["true_class"].to_numpy().astype(np.int64) * 4096 + batch["pred_class"].to_numpy(), return_inverse=True)
+            images = list(places)
+            for a in range(0, len(images), 1024):  # so many rows of draws at once
+                part = images[a : a + 1024]
+                on = (row >= a) & (row < a + len(part))
+                counts = np.zeros((len(part), len(cells)))
+                np.add.at(counts, (row[on] - a, column[on]), batch["n"].to_numpy()[on])
+                for c, n in zip(cells.tolist(), counts.T @ np.stack([times_of(x) for x in part]), strict=True):
+                    total[c] = total.get(c, 0) + n
+        for c, n in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates, dtype=np.int32)), pa.array(np.full(replicates, c // 4096, np.int32)), pa.array(np.full(replicates, c % 4096, np.int32)), pa.array(n.astype(np.int64))], names=["replicate", "true_class", "pred_class", "n"])
+
+    parts = per_image.select(key, "true_class", "pred_class", "n").mapInArrow(run, "replicate int, true_class int, pred_class int, n long")
+    return parts.groupBy("replicate", "true_class", "pred_class").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def bootstrap_replicates(per_image: DataFrame, replicates: int = EvalConfig.bootstrap, mode: str = "exact", seed: int = 42, key: str = "image_id") -> DataFrame:
     """``(replicate, miou)`` over resampled images; ``per_image`` is ``confusion_per_image``'s table.
 
     ``exact`` draws as many images as there are, with replacement, by keyed draws over their order by ``key``; it makes
-    replicates times images rows. ``poisson`` weighs every image by a Poisson(1) count for each replicate, keyed by
-    image: one pass whatever the number of images, and a task sends one matrix of replicates by cells.
+    replicates times images rows, for SQL and for small sets. ``split`` has the same distribution without a row per
+    draw: each task finds how often its own images are drawn (``SplitDraws``), whatever the partitioning. ``poisson``
+    weighs every image by a Poisson(1) count for each replicate, keyed by image, without an order of the images.
     """
     spark = per_image.sparkSession
-    if mode == "exact":
+    if mode in ("exact", "split"):
         from rasterlab.sources.files import position
 
         ids = position(per_image.select(F.format_string("%020d", F.col(key).cast("long")).alias("order"), key).distinct(), "order")
         n = ids.count()
+    if mode == "exact":
         draws = spark.range(replicates * n).select(F.floor(F.col("id") / n).cast("int").alias("replicate"), (F.col("id") % n).alias("i"))
         draws = draws.withColumn("position", F.floor(keyed.uniform("bootstrap", F.concat_ws("_", "replicate", "i"), seed) * n).cast("long"))
         weights = draws.groupBy("replicate", "position").agg(F.count("*").alias("times")).join(ids.select("position", key), "position")
         drawn = weights.join(per_image, key).groupBy("replicate", "true_class", "pred_class").agg(F.sum(F.col("times") * F.col("n")).alias("n"))
+    elif mode == "split":
+        placed = per_image.join(ids.select(key, "position"), key).repartitionByRange("position").sortWithinPartitions("position")
+        drawn = _weighted_counts(placed, "position", replicates, lambda: SplitDraws(n, replicates, seed).times)
     elif mode == "poisson":
-
-        def run(batches):
-            total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                places: dict = {}
-                row = np.array([places.setdefault(x, len(places)) for x in batch[key].to_pylist()], np.int64)
-                cells, column = np.unique(batch["true_class"].to_numpy().astype(np.int64) * 4096 + batch["pred_class"].to_numpy(), return_inverse=True)
-                images = list(places)
-                for a in range(0, len(images), 1024):  # so many rows of draws at once
-                    part = images[a : a + 1024]
-                    on = (row >= a) & (row < a + len(part))
-                    counts = np.zeros((len(part), len(cells)))
-                    np.add.at(counts, (row[on] - a, column[on]), batch["n"].to_numpy()[on])
-                    times = np.stack([keyed.generator("poisson", x, seed, 0).poisson(1.0, replicates) for x in part])
-                    for c, n in zip(cells.tolist(), counts.T @ times, strict=True):
-                        total[c] = total.get(c, 0) + n
-            for c, n in total.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates, dtype=np.int32)), pa.array(np.full(replicates, c // 4096, np.int32)), pa.array(np.full(replicates, c % 4096, np.int32)), pa.array(n.astype(np.int64))], names=["replicate", "true_class", "pred_class", "n"])
-
-        parts = per_image.select(key, "true_class", "pred_class", "n").mapInArrow(run, "replicate int, true_class int, pred_class int, n long")
-        drawn = parts.groupBy("replicate", "true_class", "pred_class").agg(F.sum("n").alias("n")).where("n > 0")
+        drawn = _weighted_counts(per_image, key, replicates, lambda: lambda x: keyed.generator("poisson", x, seed, 0).poisson(1.0, replicates))
     else:
         raise ValueError(f"mode: {mode}")
     return mean_iou(drawn, "truth", ["replicate"])
@@ -197,7 +237,7 @@ def summary(confusion: DataFrame) -> DataFrame:
     return out
 
 
-def evaluate(per_image: DataFrame, replicates: int = 0, mode: str = "exact", cfg: EvalConfig = EvalConfig()) -> tuple[DataFrame, DataFrame]:
+def evaluate(per_image: DataFrame, replicates: int = 0, mode: str = "split", cfg: EvalConfig = EvalConfig()) -> tuple[DataFrame, DataFrame]:
     """The summary (with the bootstrap interval if ``replicates``) and the class report of per-image counts.
 
     The counts are added up once, at the call.

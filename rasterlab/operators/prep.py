@@ -203,6 +203,21 @@ def shuffle_epoch(listing: DataFrame, seed: int = 42, epoch: int = 0, key: str =
     return listing.withColumn("u", keyed.uniform("shuffle", key, seed, epoch))
 
 
+def epoch_places(placed: DataFrame, n: int, seed: int = 42, epoch: int = 0) -> DataFrame:
+    """``placed``, which has the ``position`` of each of ``n`` rows, with ``place``: where the row comes in the epoch.
+
+    Positions are taken once, by ``files.position``; every epoch then is an expression on each row: no sort, no shuffle.
+    """
+    return placed.withColumn("place", keyed.permuted(F.col("position"), n, "epoch", seed, epoch))
+
+
+def epoch_batch(spark: SparkSession, n: int, size: int, batch: int, seed: int = 42, epoch: int = 0) -> DataFrame:
+    """``(position, place)`` of one batch of an epoch: its ``size`` places, taken back to positions. Nothing else of the
+    epoch is computed, so a job that stopped at a batch goes on there."""
+    places = spark.range(batch * size, min(n, (batch + 1) * size)).select(F.col("id").alias("place"))
+    return places.select(keyed.permuted(F.col("place"), n, "epoch", seed, epoch, inverse=True).alias("position"), "place")
+
+
 def parse_original(images: DataFrame, masks: DataFrame) -> DataFrame:
     """``(image_id, height, width, pixels, labels)`` in the files' own resolution."""
     return images.select("image_id", "height", "width", "pixels").join(masks.select("image_id", "labels"), "image_id")

@@ -248,6 +248,22 @@ def shuffle_epoch(spark, sf):
     return S.position(out, "u").select("path", "position")
 
 
+@query(f"SELECT path, new AS place, new // 16 AS batch_id FROM {keyed.permuted_sql('position', 'placed', 'n', 12, 'epoch', 42, 3)}")
+def epoch_places(spark, sf):
+    placed = S.position(X.listing(spark, sf))
+    out = P.epoch_places(placed, X.listing(spark, sf).count(), 42, 3)
+    return out.select("path", "place", F.floor(F.col("place") / 16).alias("batch_id"))
+
+
+@query(f"SELECT path, new AS place FROM {keyed.permuted_sql('position', 'placed', 'n', 12, 'epoch', 42, 3)} WHERE new // 16 IN (0, (n - 1) // 16)")
+def epoch_batch(spark, sf):
+    """The first and the last batch of an epoch, from their places."""
+    placed = S.position(X.listing(spark, sf))
+    n = X.listing(spark, sf).count()
+    both = P.epoch_batch(spark, n, 16, 0, 42, 3).union(P.epoch_batch(spark, n, 16, (n - 1) // 16, 42, 3)).distinct()
+    return placed.join(F.broadcast(both), "position").select("path", "place")  # two batches at most
+
+
 # ---- augmentation
 
 
@@ -538,7 +554,7 @@ def _from(axis: str, n: str) -> str:
 
 @query(f""", whole AS (SELECT m.*, h FROM mosaic m JOIN (SELECT image_id, max(y) + 1 AS h FROM mosaic GROUP BY 1 HAVING count(*) % 256 = 0) USING (image_id)), {_from('ys', 'h')}, {_from('xs', '32')},
     rows AS (SELECT a.image_id, a.h, ys.ys, a.x, a.v * (1 - ys.w) + b.v * ys.w AS v FROM ys JOIN whole a ON a.h = ys.h AND a.y = ys.a JOIN whole b ON b.image_id = a.image_id AND b.y = ys.b AND b.x = a.x),
-    grid AS (SELECT a.image_id, a.v * (1 - xs.w) + b.v * xs.w AS v FROM xs JOIN rows a ON a.h = xs.h AND a.x = xs.a JOIN rows b ON b.image_id = a.image_id AND b.ys = a.ys AND b.x = xs.b)
+    grid AS (SELECT a.image_id, a.v * (1 - xs.w) + b.v * xs.w AS v FROM xs JOIN rows a ON a.h = xs.h AND a.x = xs.a JOIN rows b ON b.image_id = a.image_id AND b.ys = a.ys AND b.x = xs.b),
     e AS (SELECT image_id, list_transform({_CENTRE}, lambda m: exp(CAST(-40.0 AS DOUBLE) * (v - m) * (v - m))) AS e FROM grid)
     SELECT image_id, CAST(k AS INTEGER) AS class_id, {R('avg(e[k + 1] / list_sum(e))')} AS p FROM e, range(5) t(k) GROUP BY 1, 2""")
 def predict_large_images(spark, sf):
@@ -806,6 +822,11 @@ def bootstrap_replicates_poisson(spark, sf):
     return M.bootstrap_replicates(_per_image(spark, sf), _REPLICATES, "poisson")
 
 
+@query()
+def bootstrap_replicates_split(spark, sf):
+    return M.bootstrap_replicates(_per_image(spark, sf), _REPLICATES, "split")
+
+
 @query(f"{_BOOT} SELECT {R('quantile_cont(miou, 0.025)')} AS ci_low, {R('quantile_cont(miou, 0.975)')} AS ci_high FROM boot")
 def bootstrap_ci(spark, sf):
     ci = M.bootstrap_ci(M.bootstrap_replicates(_per_image(spark, sf), _REPLICATES))
@@ -821,6 +842,11 @@ def evaluate(spark, sf):
     return M.evaluate(_per_image(spark, sf))[0].withColumn("value", r6(F.col("value")))
 
 
+@query(f"{_BOOT} {_SUMMARY} UNION ALL SELECT 'ci_low', {R('100 * quantile_cont(miou, 0.025)')} FROM boot UNION ALL SELECT 'ci_high', {R('100 * quantile_cont(miou, 0.975)')} FROM boot")
+def evaluate_with_interval(spark, sf):
+    return M.evaluate(_per_image(spark, sf), _REPLICATES, "exact")[0].withColumn("value", r6(F.col("value")))
+
+
 _NAMES = "(VALUES " + ", ".join(f"({i}, '{n}', CAST({v} AS DOUBLE))" for i, (n, v) in enumerate(zip(CLASS_NAMES, BASELINE_IOU, strict=True))) + ") b(class_id, class_name, base)"
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rasterlab.config import NUM_CLASSES
+from rasterlab.sources.folders import written
 from rasterlab.sources.packed import map_rows
 
 SPLITS = ("train", "val", "test")
@@ -61,9 +61,21 @@ def scan_masks(spark: SparkSession, folder: str, pattern: str = "*.png", num_cla
 
 
 def position(df: DataFrame, order: str = "path") -> DataFrame:
-    """``df`` with ``position``: the 0-based place in ascending byte order of ``order``, without a window over all rows."""
-    rows = df.sort(F.encode(F.col(order).cast("string"), "UTF-8")).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(rows, StructType([*df.schema, StructField("position", LongType())]))
+    """``df`` with ``position``: the 0-based place in ascending byte order of ``order``, nulls first.
+
+    Rows are dealt to ranges of the order and sorted there, which numbers them within their range; a range's first place
+    is the number of rows before it, added up over one row per range. No window holds all rows and nothing leaves the
+    JVM. The numbered rows are written in between, as ranges are drawn anew whenever a plan runs again. Rows equal in
+    ``order`` follow each other by their other columns.
+    """
+    key = F.encode(F.col(order).cast("string"), "UTF-8")
+    ranges = df.select("*", key.alias("_key"), F.xxhash64(*df.columns).alias("_tie")).repartitionByRange("_key", "_tie").sortWithinPartitions("_key", "_tie")
+    rows = written(ranges.drop("_key", "_tie").withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33).alias("_part")  # fixed by Spark: the range above 33 bits, the row in it below
+    sizes = rows.groupBy(part).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per range
+    placed = rows.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return placed.select(*df.columns, (F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).alias("position"))
 
 
 def pair_samples(images: DataFrame, masks: DataFrame, pair: str = "stem") -> DataFrame:

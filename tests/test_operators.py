@@ -339,11 +339,11 @@ def test_every_inventory_group_has_queries():
     assert set(Q.ORACLES) <= set(Q.QUERIES)
     groups = {
         "sources": "pair_samples_stem pair_samples_position orphans select_split explode_pixels pack_pixels tile_image write_class_iou_csv write_read_class_weights write_read_samples",
-        "preparation": "split_train_val clip_labels class_distribution class_distribution_long class_weights normalise_pixels auto_rescale fix_channels resize_bilinear resize_nearest pad_to_patch class_presence sample_target_pixel class_centred_crop random_crop patch_plan sample_patches assign_batches shuffle_epoch",
+        "preparation": "split_train_val clip_labels class_distribution class_distribution_long class_weights normalise_pixels auto_rescale fix_channels resize_bilinear resize_nearest pad_to_patch class_presence sample_target_pixel class_centred_crop random_crop patch_plan sample_patches assign_batches shuffle_epoch epoch_places epoch_batch",
         "augmentation": "flip_h flip_v rotate_bilinear rotate_nearest speckle brightness contrast gamma gaussian_blur cutout augmentation_plan augment apply_augmentation map_samples",
-        "inference": "tta_variants scale_variants augment_variant reverse_variant predict_images softmax fuse_tta fuse_scales argmax_class argmax_labels match_prediction_size multi_scale_predict",
+        "inference": "tta_variants scale_variants augment_variant reverse_variant predict_images softmax fuse_tta fuse_scales argmax_class argmax_labels match_prediction_size multi_scale_predict predict_large_images",
         "post-processing": "class_mask morph_open morph_close connected_components component_stats filter_components dilate_small boost_and_suppress ship_enhancement scene_components scene_blur scene_sobel scene_dilate_small scene_ship_enhancement",
-        "metrics": "confusion_matrix confusion_packed confusion_per_image class_iou mean_iou_truth mean_iou_union precision_recall_f1 pixel_accuracy frequency_weighted_iou cohens_kappa bootstrap_replicates bootstrap_ci evaluate class_report compare_to_baseline compare_runs",
+        "metrics": "confusion_matrix confusion_packed confusion_per_image class_iou mean_iou_truth mean_iou_union precision_recall_f1 pixel_accuracy frequency_weighted_iou cohens_kappa bootstrap_replicates bootstrap_replicates_split bootstrap_ci evaluate evaluate_with_interval class_report compare_to_baseline compare_runs",
         "losses": "one_hot smooth_labels pixel_weight weighted_cross_entropy focal_loss dice_loss sobel_edges boundary_loss hybrid_ce hybrid_focal hybrid_dice lovasz_softmax lovasz_softmax_global hybrid_loss",
         "streaming": "stream_confusion stream_windowed_iou stream_class_distribution",
     }
@@ -495,3 +495,65 @@ def test_errors_keep_what_the_model_said(spark):
 
     rows = IN.multi_scale_predict(samples(spark, 2), make, on_error="quarantine").collect()
     assert {r.error for r in rows} == {"RuntimeError: out of tokens"}
+
+
+def test_split_draws_have_the_distribution_of_draws():
+    """Counts of 6 images in 6 draws: binomial each, all of them together always 6, equal whatever the way to them."""
+    n, replicates = 6, 40_000
+    draws = M.SplitDraws(n, replicates, 1)
+    times = np.stack([draws.times(i) for i in range(n)])
+    assert (times.sum(axis=0) == n).all()
+    wanted = [np.prod([(n - j) / (j + 1) for j in range(k)]) * (1 / n) ** k * (1 - 1 / n) ** (n - k) for k in range(n + 1)]
+    for row in times:
+        assert np.allclose(np.bincount(row, minlength=n + 1) / replicates, wanted, atol=0.01)
+    covariance = np.cov(times)
+    assert np.allclose(np.diag(covariance), 1 - 1 / n, atol=0.03) and np.allclose(covariance[~np.eye(n, dtype=bool)], -1 / n, atol=0.03)
+    both = ((times[0] == 1) & (times[4] == 2)).mean()  # a joint probability of the multinomial
+    assert both == pytest.approx(60 * (1 / 6) ** 3 * (4 / 6) ** 3, abs=0.006)
+    other = M.SplitDraws(n, replicates, 1)
+    for i in (4, 0, 5, 2, 1, 3, 0):
+        assert (other.times(i) == times[i]).all()
+    assert (M.SplitDraws(1, 3, 1).times(0) == 1).all()
+
+
+def test_split_bootstrap_is_the_same_under_any_partitioning(spark):
+    rows = [(i, t, p, int(n)) for i in range(300) for t, p, n in zip((0, 0, 1, 1), (0, 1, 1, 0), RNG.integers(1, 50, 4), strict=True)]
+    per = spark.createDataFrame(rows, "image_id long, true_class int, pred_class int, n long")
+    a, b = ({r.replicate: r.miou for r in M.bootstrap_replicates(per.repartition(k), 50, "split").collect()} for k in (1, 13))
+    assert a == b and len(a) == 50
+    exact = [r.miou for r in M.bootstrap_replicates(per, 400).collect()]
+    split = [r.miou for r in M.bootstrap_replicates(per, 400, "split").collect()]
+    assert np.mean(split) == pytest.approx(np.mean(exact), abs=4 * np.std(exact) / 14) and np.std(split) == pytest.approx(np.std(exact), rel=0.2)
+    plan = M.bootstrap_replicates(per, 50, "split")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (" not in plan  # no row per draw
+
+
+def test_positions_without_rdd_or_window_over_all_rows(spark):
+    names = [f"{c}{i}" for i in range(200) for c in "aÄz"] + ["same"] * 50 + [None, ""]
+    df = spark.createDataFrame([(x, i % 5) for i, x in enumerate(names)], "path string, k int").repartition(7)
+    got = S.position(df).collect()
+    assert sorted(r.position for r in got) == list(range(len(names)))
+    order = sorted(names, key=lambda x: (x is not None, (x or "").encode()))
+    assert [r.path for r in sorted(got, key=lambda r: r.position)] == order
+    assert S.position(df.limit(0)).count() == 0 and S.position(df).columns == ["path", "k", "position"]
+    plan = S.position(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ExistingRDD" not in plan
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 97, 400, 401, 3001])
+def test_permutation_is_a_bijection_with_its_inverse(spark, n):
+    rows = spark.range(n).select("id", keyed.permuted(F.col("id"), n, seed=5, epoch=2).alias("p"))
+    rows = rows.select("id", "p", keyed.permuted(F.col("p"), n, seed=5, epoch=2, inverse=True).alias("back"), keyed.permuted(F.col("id"), n, seed=5, epoch=3).alias("other")).collect()
+    assert sorted(r.p for r in rows) == list(range(n)) and all(r.back == r.id for r in rows)
+    if n > 90:
+        p = np.array([r.p for r in rows])
+        assert sum(r.p == r.other for r in rows) < 10 and (p == np.arange(n)).sum() < 10
+        assert abs(np.corrcoef(np.arange(n), p)[0, 1]) < 0.3
+
+
+def test_epoch_batches_cover_the_epoch(spark):
+    placed = spark.range(50).withColumnRenamed("id", "position")
+    place = {r.position: r.place for r in P.epoch_places(placed, 50, 7, 1).collect()}
+    batches = [P.epoch_batch(spark, 50, 16, b, 7, 1).collect() for b in range(4)]
+    assert [len(b) for b in batches] == [16, 16, 16, 2]
+    assert {r.position: r.place for b in batches for r in b} == place
