@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rasterlab.llm import kernels as K
-from rasterlab.llm.shared import materialise, shared_dir
+from rasterlab.llm.shared import forget, materialise, shared_dir
 
 #: Tokens of a window; the id that ends a document; bytes and rows of a shard of the index, which bound a task's memory.
 WINDOW, END_ID, SHARD_BYTES, SHARD_ROWS = 2048, 1, 8 << 20, 1 << 14
@@ -544,9 +544,12 @@ def _rounds(table: DataFrame, folder: str, base: np.ndarray, idf, frequent: np.n
     placed = materialise(k.select("uid", (F.col("k") * WINDOW).alias("start"), F.lit(WINDOW).cast("long").alias("length"), (F.shiftleft("uid", 20) + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
     left = sizes.select("uid", (own * WINDOW).alias("start"), (F.col("size") - own * WINDOW).alias("size"), "words").where("size > 0")
     best = BEST
+    over: list[DataFrame] = []
     for number in range(1, 500):
-        # the state of a round is written, so that its lineage doesn't grow
+        # the state of a round is written, so that its lineage doesn't grow; the tables of the round before then go
         left = materialise(left)
+        forget(*over)
+        over = [left]
         tokens, docs, tails = left.where("words > 0").agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*"), F.count_if(F.col("start") > 0)).first()
         if 4 * tokens <= shard_bytes:
             return placed, left, True
@@ -557,6 +560,7 @@ def _rounds(table: DataFrame, folder: str, base: np.ndarray, idf, frequent: np.n
         now = left.withColumn("seed", (F.col("words") > 0) & (draw < F.when(F.col("start") > 0, from_tails).otherwise(others)))
         state = _bits(now, int(base[-1]))
         found = search(table, folder, state, base, idf, frequent, mean, best)
+        over.append(found)
         room = now.where("seed").select(F.col("uid").alias("seed"), (WINDOW - F.col("size")).alias("room"))
         size = now.where("not seed").select(F.col("uid").alias("doc"), "start", "size")
         free = found.join(size, "doc").join(room, "seed")
@@ -568,6 +572,7 @@ def _rounds(table: DataFrame, folder: str, base: np.ndarray, idf, frequent: np.n
             full = mine.withColumn("all", F.sum("size").over(Window.partitionBy("seed"))).where("all >= room")
             full = materialise(full.select("seed", "doc", "start", "size", "room", "before"))
             taken.append(full)
+            over.append(full)
             free = free.join(full.select("doc"), "doc", "left_anti").join(full.select("seed").distinct(), "seed", "left_anti")
         full = taken[0].union(taken[1]).union(taken[2])
         sequence = F.lit(number << 54) + F.col("seed")

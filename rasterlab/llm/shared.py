@@ -25,7 +25,17 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote of ``tables``, once nothing reads them any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bucketed(df: DataFrame, by: str) -> DataFrame:
