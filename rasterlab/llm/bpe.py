@@ -169,7 +169,7 @@ def decode(rows: DataFrame, key: str, path: str = VOCABULARY) -> DataFrame:
 
 def _packed(numbers: np.ndarray) -> bytes:
     """Word numbers byte by byte of their size, compressed: frequent words have small numbers."""
-    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 6)
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T).tobytes(), 6)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -184,15 +184,16 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words, row = batch["words"], batch["row"]
         offs = words.offsets.to_numpy().astype(np.int64)
-        flat = words.values.cast(pa.large_string())
-        size = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, flat.offset * 8)[offs]
+        flat = words.values
+        width = np.dtype(np.int64 if pa.types.is_large_string(flat.type) else np.int32)
+        size = np.frombuffer(flat.buffers()[1], width, len(flat) + 1, flat.offset * width.itemsize)[offs].astype(np.int64)
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(size, size[at] + CHUNK, "right")) - 1)
             own = flat.slice(offs[at], offs[to] - offs[at]).dictionary_encode()
             place = own.indices.to_numpy()
             order = np.argsort(-np.bincount(place, minlength=len(own.dictionary)), kind="stable")
-            number = np.empty(len(order), np.int64)
+            number = np.empty(len(order), "<u4")
             number[order] = np.arange(len(order))
             bounds = pa.array([0, to - at], pa.int32())
             rows, counts = pa.ListArray.from_arrays(bounds, row.slice(at, to - at)), pa.ListArray.from_arrays(bounds, pa.array(np.diff(offs[at : to + 1]).astype(np.int32)))
