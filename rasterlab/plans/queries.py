@@ -1062,3 +1062,20 @@ def stream_class_distribution(spark, sf):
     masks = landed(X.packed_tiles(spark, sf).select("image_id", "labels"))
     return _drained(distribution(masks), "complete").where("pixel_count > 0")
 
+
+
+@query("SELECT true_class, pred_class, count(*) AS n FROM scored WHERE image_id % 7 <> 0 GROUP BY 1, 2")
+def stream_joined_confusion(spark, sf):
+    """Masks and predictions as two streams; each seventh prediction comes three hours later, beyond the bound."""
+    from rasterlab.streaming.monitor import stream_joined_confusion as joined
+    from rasterlab.streaming.sinks import EpochSink, landed
+
+    rows = X.packed_tiles(spark, sf)
+    taken = 1_700_000_000 + F.col("image_id") % 40 * 60
+    done = taken + (F.col("image_id") % 11 - 5) * 300 + F.when(F.col("image_id") % 7 == 0, 3 * 3600).otherwise(0)
+    truth = landed(rows.select("image_id", F.timestamp_seconds(taken).alias("ts"), "labels"))
+    preds = landed(rows.select("image_id", F.timestamp_seconds(done).alias("ts"), "preds"))
+    folder = work_folder(spark)
+    sink = EpochSink(f"{folder}/epochs")
+    joined(truth, preds, sink, f"{folder}/state", watermark="6 hours").trigger(availableNow=True).start().awaitTermination()
+    return sink.totals(spark)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from rasterlab.operators.metrics import class_iou, mean_iou
+from rasterlab.operators.metrics import class_iou, confusion_per_image, mean_iou, total_confusion
 from rasterlab.operators.prep import class_counts
 
 
@@ -44,3 +44,28 @@ def stream_windowed_iou(scores: DataFrame, sink: Callable[[DataFrame, int], None
 def stream_class_distribution(masks: DataFrame) -> DataFrame:
     """Running pixel counts per class of arriving packed masks: counted in the tasks first."""
     return class_counts(masks).groupBy("class_id").agg(F.sum("pixel_count").alias("pixel_count"))
+
+
+def stream_pairs(truth: DataFrame, preds: DataFrame, within: str = "1 hour", watermark: str = "1 hour", key: str = "image_id", time: str = "ts") -> DataFrame:
+    """Masks and predictions that arrive apart, joined by ``key`` where their times differ by ``within`` at most.
+
+    ``truth`` has ``labels`` and ``preds`` has ``preds``, both packed, with the time of each. Either may come first: Spark
+    keeps a row until the other stream's watermark says that no partner in time can come any more, so the state holds
+    what arrives within both spans, however long the stream runs. Rows later than the watermark are dropped by Spark.
+    """
+    a = truth.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, watermark)
+    b = preds.select(F.col(key).alias("_key"), F.col(time).cast("timestamp").alias("pred_time"), "preds").withWatermark("pred_time", watermark)
+    near = (F.col("pred_time") >= F.col(time) - F.expr(f"interval {within}")) & (F.col("pred_time") <= F.col(time) + F.expr(f"interval {within}"))
+    return a.join(b, (F.col(key) == F.col("_key")) & near).drop("_key")
+
+
+def stream_joined_confusion(truth: DataFrame, preds: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, within: str = "1 hour", watermark: str = "1 hour", key: str = "image_id", time: str = "ts"):
+    """Start-ready writer: each micro-batch's new pairs are counted in their tasks and the counts given to
+    ``sink(counts, epoch)``. With a sink that keeps one table per epoch (``sinks.EpochSink``) a batch that runs again
+    after a failure changes nothing."""
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        sink(total_confusion(batch), epoch)
+
+    counts = confusion_per_image(stream_pairs(truth, preds, within, watermark, key, time), key=key)
+    return counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(each)

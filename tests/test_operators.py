@@ -345,7 +345,7 @@ def test_every_inventory_group_has_queries():
         "post-processing": "class_mask morph_open morph_close connected_components component_stats filter_components dilate_small boost_and_suppress ship_enhancement scene_components scene_blur scene_sobel scene_dilate_small scene_ship_enhancement",
         "metrics": "confusion_matrix confusion_packed confusion_per_image class_iou mean_iou_truth mean_iou_union precision_recall_f1 pixel_accuracy frequency_weighted_iou cohens_kappa bootstrap_replicates bootstrap_replicates_split bootstrap_ci evaluate evaluate_with_interval class_report compare_to_baseline compare_runs",
         "losses": "one_hot smooth_labels pixel_weight weighted_cross_entropy focal_loss dice_loss sobel_edges boundary_loss hybrid_ce hybrid_focal hybrid_dice lovasz_softmax lovasz_softmax_global hybrid_loss",
-        "streaming": "stream_confusion stream_windowed_iou stream_class_distribution",
+        "streaming": "stream_confusion stream_windowed_iou stream_class_distribution stream_joined_confusion",
     }
     for group, names in groups.items():
         assert not set(names.split()) - set(Q.QUERIES), group
@@ -557,3 +557,51 @@ def test_epoch_batches_cover_the_epoch(spark):
     batches = [P.epoch_batch(spark, 50, 16, b, 7, 1).collect() for b in range(4)]
     assert [len(b) for b in batches] == [16, 16, 16, 2]
     assert {r.position: r.place for b in batches for r in b} == place
+
+
+def test_joined_streams_restart_and_repeat_without_counting_twice(spark, tmp_path):
+    """Masks first, predictions after a restart; an epoch given to the sink again changes nothing; late pairs stay out."""
+    from rasterlab.streaming.monitor import stream_joined_confusion
+    from rasterlab.streaming.sinks import EpochSink
+
+    base = 1_700_000_000
+    masks, preds = RNG.integers(0, 5, (2, 12, 16), dtype=np.uint8)
+    for i in range(12):
+        late = 7200 if i in (3, 9) else 60
+        spark.createDataFrame([(i, base + i, masks[i].tobytes())], "image_id long, s long, labels binary").selectExpr("image_id", "timestamp_seconds(s) ts", "labels").coalesce(1).write.mode("append").parquet(str(tmp_path / f"masks{i // 6}"))
+        spark.createDataFrame([(i, base + i + late, preds[i].tobytes())], "image_id long, s long, preds binary").selectExpr("image_id", "timestamp_seconds(s) ts", "preds").coalesce(1).write.mode("append").parquet(str(tmp_path / f"preds{i // 6}"))
+    seen = []
+    sink = EpochSink(str(tmp_path / "epochs"))
+    assert sink.totals(spark).count() == 0
+
+    def run():
+        a = spark.readStream.schema("image_id long, ts timestamp, labels binary").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "a"))
+        b = spark.readStream.schema("image_id long, ts timestamp, preds binary").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "b"))
+
+        def each(batch, epoch):
+            batch.persist()
+            seen.append(epoch)
+            sink(batch, epoch)
+            sink(batch, epoch)  # as after a failure
+
+        stream_joined_confusion(a, b, each, str(tmp_path / "state"), watermark="3 hours").trigger(availableNow=True).start().awaitTermination()
+
+    def move(name, to):
+        import shutil
+
+        (tmp_path / to).mkdir(exist_ok=True)
+        for f in (tmp_path / name).glob("part-*.parquet"):
+            shutil.move(f, tmp_path / to / f.name)
+
+    def wanted(ids):
+        n = np.bincount(np.concatenate([masks[i].astype(int) * 5 + preds[i] for i in ids]), minlength=25)
+        return {(c // 5, c % 5): int(x) for c, x in enumerate(n) if x}
+
+    got = lambda: {(r.true_class, r.pred_class): r.n for r in sink.totals(spark).collect()}
+    move("masks0", "a"), move("masks1", "a"), move("preds0", "b")
+    run()
+    assert got() == wanted([0, 1, 2, 4, 5])
+    first = list(seen)
+    move("preds1", "b")
+    run()
+    assert got() == wanted([0, 1, 2, 4, 5, 6, 7, 8, 10, 11]) and min(seen[len(first) :]) > max(first)
