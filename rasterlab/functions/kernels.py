@@ -18,7 +18,9 @@ def _like(weights: np.ndarray, image: np.ndarray) -> np.ndarray:
 
 
 def resize_bilinear(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Separable linear interpolation, no antialiasing, edges clamped."""
+    """Separable linear interpolation, no antialiasing, edges clamped; an image of that size already is itself."""
+    if image.shape[:2] == (height, width):
+        return image.astype(np.result_type(image.dtype, np.float32 if image.dtype == np.float32 else np.float64), copy=False)
     y0, y1, wy = _axis(image.shape[0], height)
     x0, x1, wx = _axis(image.shape[1], width)
     tail = (1,) * (image.ndim - 2)
@@ -183,8 +185,10 @@ def grow_small(label: np.ndarray, min_size: int) -> np.ndarray:
 
 
 def softmax(scores: np.ndarray) -> np.ndarray:
-    e = np.exp(scores - scores.max(axis=-1, keepdims=True))
-    return e / e.sum(axis=-1, keepdims=True)
+    e = scores - scores.max(axis=-1, keepdims=True)
+    np.exp(e, out=e)
+    e /= e.sum(axis=-1, keepdims=True)
+    return e
 
 
 def boosted(probs: np.ndarray, refined: np.ndarray, ship: int, lookalike: int, boost: float, factor: float) -> np.ndarray:

@@ -101,7 +101,7 @@ def reverse_variant(scored: DataFrame, column: str = "logits") -> DataFrame:
 
 
 #: Bytes of all classes' scores that one call of the model makes, and of pixels that wait in a task for a call.
-SCORE_BYTES, QUEUE_BYTES = 128 << 20, 256 << 20
+SCORE_BYTES, QUEUE_BYTES = 96 << 20, 128 << 20
 
 
 class SizeQueue:
@@ -163,8 +163,8 @@ def predict_images(images: DataFrame, make_predict: Callable[[], Predict], batch
         for rows in _queued(batches, queue):
             scores = predict(np.stack([unpack(r) for r in rows])[..., None])
             queue.classes = scores.shape[-1]
-            for a in range(0, len(rows), 16):
-                yield pa.RecordBatch.from_pylist([r | {"logits": packed(x)} for r, x in zip(rows[a : a + 16], scores[a : a + 16], strict=True)], arrow)
+            for a in range(0, len(rows), 4):
+                yield pa.RecordBatch.from_pylist([r | {"logits": packed(x)} for r, x in zip(rows[a : a + 4], scores[a : a + 4], strict=True)], arrow)
 
     return images.mapInArrow(run, schema)
 
@@ -281,7 +281,7 @@ def multi_scale_predict(
 
     Images get the model's ``channels`` and are brought to [0, 1] (``model_input``), then resized to the scaled size
     and on to the model's (their own if not given). Up to ``batch_size`` images of one size share a call of the model,
-    as many as the scores of ``num_classes`` fit SCORE_BYTES: 22 of 384 x 384 pixels with five classes, twice as many
+    as many as the scores of ``num_classes`` fit SCORE_BYTES: 17 of 384 x 384 pixels with five classes, twice as many
     with ``dtype="<f4"``, which also halves the memory (about eight times SCORE_BYTES at the peak).
     With ``on_error="quarantine"`` failed variants are left out of the mean, and an image without any prediction gets
     null probabilities and what the model said in ``error``; class 0 is never invented. ``finish`` is applied to the
@@ -291,7 +291,7 @@ def multi_scale_predict(
     kind = images.schema["image_id"].dataType.simpleString()
     schema = f"image_id {kind}, height int, width int, probs binary, error string"
 
-    def together(rows: list[dict], predict: Predict, queue: SizeQueue, errors: list[str]) -> list[np.ndarray | None]:
+    def together(rows: list[dict], predict: Predict, queue: SizeQueue, errors: list[str]) -> tuple[np.ndarray, np.ndarray]:
         size, n = (rows[0]["height"], rows[0]["width"]), len(rows)
         stack = model_input(np.stack([unpack(r).reshape(*size, -1) for r in rows], axis=2), channels).astype(dtype, copy=False)
         flat = stack.reshape(*size, -1)
@@ -305,22 +305,24 @@ def multi_scale_predict(
                 back = kernels.softmax(kernels.resize_bilinear(fused.reshape(*fused.shape[:2], n * c), *size).reshape(*size, n, c))
                 back *= good[:, None]
                 total, count = np.add(total, back, out=back), count + good
-        return [np.clip(total[:, :, i] / count[i], LOW, HIGH) if count[i] else None for i in range(n)]
+        return total, count
 
     def run(batches):
         predict = make_predict()
         queue = SizeQueue(batch_size, num_classes, np.dtype(dtype).itemsize, math.prod(model_size or (0,)))
         for rows in _queued(batches, queue):
             errors = ["no prediction"] * len(rows)
-            made = together(rows, predict, queue, errors)
-            for a in range(0, len(rows), 16):
-                some = [finish(p) if finish is not None and p is not None else p for p in made[a : a + 16]]
+            total, count = together(rows, predict, queue, errors)
+            for a in range(0, len(rows), 4):
+                part = range(a, min(a + 4, len(rows)))
+                made = [np.clip(total[:, :, i] / count[i], LOW, HIGH) if count[i] else None for i in part]
+                made = [finish(p) if finish is not None and p is not None else p for p in made]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([r["image_id"] for r in rows[a : a + 16]], arrow_id),
-                        *(pa.array([r[c] for r in rows[a : a + 16]], pa.int32()) for c in ("height", "width")),
-                        pa.array([None if p is None else packed(p) for p in some], pa.binary()),
-                        pa.array([None if p is not None else e for p, e in zip(some, errors[a : a + 16], strict=True)], pa.string()),
+                        pa.array([rows[i]["image_id"] for i in part], arrow_id),
+                        *(pa.array([rows[i][c] for i in part], pa.int32()) for c in ("height", "width")),
+                        pa.array([None if p is None else packed(p) for p in made], pa.binary()),
+                        pa.array([None if p is not None else errors[i] for i, p in zip(part, made, strict=True)], pa.string()),
                     ],
                     names=["image_id", "height", "width", "probs", "error"],
                 )
