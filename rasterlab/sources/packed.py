@@ -24,7 +24,8 @@ def steps(batch: pa.RecordBatch, limit: int = STEP_BYTES) -> Iterator[pa.RecordB
 def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: str | T.StructType) -> DataFrame:
     """Apply ``fn`` to every row inside Arrow batches, without a shuffle.
 
-    About STEP_BYTES of a batch become Python objects at once. ``spark.sql.execution.arrow.maxRecordsPerBatch`` bounds
+    About STEP_BYTES of a batch become Python objects at once, and rows are handed on whenever about STEP_BYTES of packed
+    columns are made, as ``fn`` may make large images of small ones. ``spark.sql.execution.arrow.maxRecordsPerBatch`` bounds
     the batches that Spark sends; 16 to 64 suits large images.
     """
     types = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
@@ -33,7 +34,14 @@ def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: str | T.StructTy
     def run(batches):
         for batch in batches:
             for part in steps(batch):
-                yield pa.RecordBatch.from_pylist([fn(row) for row in part.to_pylist()], arrow)
+                out, made = [], 0
+                for row in part.to_pylist():
+                    out.append(fn(row))
+                    made += sum(len(v) for v in out[-1].values() if isinstance(v, bytes))
+                    if made >= STEP_BYTES:
+                        yield pa.RecordBatch.from_pylist(out, arrow)
+                        out, made = [], 0
+                yield pa.RecordBatch.from_pylist(out, arrow)
 
     return df.mapInArrow(run, types)
 
