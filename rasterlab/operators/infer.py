@@ -113,15 +113,16 @@ class SizeQueue:
     most ``most``; ``classes`` is corrected once the model has answered.
     """
 
-    def __init__(self, most: int, classes: int, itemsize: int = 8, least_pixels: int = 0):
+    def __init__(self, most: int, classes: int, itemsize: int = 8, least_pixels: int = 0, score_bytes: int | None = None):
         self.most, self.classes, self.itemsize, self.least_pixels = most, classes, itemsize, least_pixels
+        self.score_bytes = score_bytes or SCORE_BYTES
         self.groups: dict[tuple, list[dict]] = {}
         self.waiting = 0
 
     def room(self, size: tuple) -> int:
         """Images of this (height, width, bytes) in a call."""
         pixels = max(size[0] * size[1], self.least_pixels)
-        return max(1, min(self.most, SCORE_BYTES // max(1, pixels * self.classes * self.itemsize)))
+        return max(1, min(self.most, self.score_bytes // max(1, pixels * self.classes * self.itemsize)))
 
     def _take(self, size: tuple) -> list[dict]:
         self.waiting -= size[2] * len(self.groups[size])
@@ -276,13 +277,14 @@ def multi_scale_predict(
     batch_size: int = 64,
     num_classes: int = NUM_CLASSES,
     dtype: str = "<f8",
+    score_bytes: int = SCORE_BYTES,
 ) -> DataFrame:
     """``(image_id, height, width, probs)``: all scales and variants of an image in one task, without a shuffle.
 
     Images get the model's ``channels`` and are brought to [0, 1] (``model_input``), then resized to the scaled size
     and on to the model's (their own if not given). Up to ``batch_size`` images of one size share a call of the model,
-    as many as the scores of ``num_classes`` fit SCORE_BYTES: 17 of 384 x 384 pixels with five classes, twice as many
-    with ``dtype="<f4"``, which also halves the memory (about eight times SCORE_BYTES at the peak).
+    as many as the scores of ``num_classes`` fit ``score_bytes``: 17 of 384 x 384 pixels with five classes, twice as many
+    with ``dtype="<f4"``, which also halves the memory (about eight times ``score_bytes`` at the peak, of each task).
     With ``on_error="quarantine"`` failed variants are left out of the mean, and an image without any prediction gets
     null probabilities and what the model said in ``error``; class 0 is never invented. ``finish`` is applied to the
     probabilities.
@@ -309,7 +311,7 @@ def multi_scale_predict(
 
     def run(batches):
         predict = make_predict()
-        queue = SizeQueue(batch_size, num_classes, np.dtype(dtype).itemsize, math.prod(model_size or (0,)))
+        queue = SizeQueue(batch_size, num_classes, np.dtype(dtype).itemsize, math.prod(model_size or (0,)), score_bytes)
         for rows in _queued(batches, queue):
             errors = ["no prediction"] * len(rows)
             total, count = together(rows, predict, queue, errors)

@@ -558,9 +558,9 @@ def _from(axis: str, n: str) -> str:
     e AS (SELECT image_id, list_transform({_CENTRE}, lambda m: exp(CAST(-40.0 AS DOUBLE) * (v - m) * (v - m))) AS e FROM grid)
     SELECT image_id, CAST(k AS INTEGER) AS class_id, {R('avg(e[k + 1] / list_sum(e))')} AS p FROM e, range(5) t(k) GROUP BY 1, 2""")
 def predict_large_images(spark, sf):
-    """Scenes at the size of real images through the model, in calls of up to 17; the mean probability of each class."""
+    """Scenes at the size of real images through the model, in calls of up to 8; the mean probability of each class."""
     large = P.resize(X.whole_scenes(spark, sf), LARGE, LARGE)
-    found = IN.multi_scale_predict(large, toy_model, (1.0,), tta=False)
+    found = IN.multi_scale_predict(large, toy_model, (1.0,), tta=False, score_bytes=48 << 20)  # for 1.5 GB a task
     mean = lambda r: {"image_id": r["image_id"], "p": np.frombuffer(r["probs"], "<f8").reshape(-1, 5).mean(axis=0).tolist()}
     means = PP.map_rows(found.select("image_id", "probs"), mean, "image_id long, p array<double>")
     return means.select("image_id", F.posexplode("p").alias("class_id", "p")).withColumn("p", r6(F.col("p")))
