@@ -554,13 +554,14 @@ def _from(axis: str, n: str) -> str:
 
 @query(f""", whole AS (SELECT m.*, h FROM mosaic m JOIN (SELECT image_id, max(y) + 1 AS h FROM mosaic GROUP BY 1 HAVING count(*) % 256 = 0) USING (image_id)), {_from('ys', 'h')}, {_from('xs', '32')},
     rows AS (SELECT a.image_id, a.h, ys.ys, a.x, a.v * (1 - ys.w) + b.v * ys.w AS v FROM ys JOIN whole a ON a.h = ys.h AND a.y = ys.a JOIN whole b ON b.image_id = a.image_id AND b.y = ys.b AND b.x = a.x),
-    grid AS (SELECT a.image_id, a.v * (1 - xs.w) + b.v * xs.w AS v FROM xs JOIN rows a ON a.h = xs.h AND a.x = xs.a JOIN rows b ON b.image_id = a.image_id AND b.ys = a.ys AND b.x = xs.b),
-    e AS (SELECT image_id, list_transform({_CENTRE}, lambda m: exp(CAST(-40.0 AS DOUBLE) * (v - m) * (v - m))) AS e FROM grid)
-    SELECT image_id, CAST(k AS INTEGER) AS class_id, {R('avg(e[k + 1] / list_sum(e))')} AS p FROM e, range(5) t(k) GROUP BY 1, 2""")
+    grid AS (SELECT a.image_id, a.h, a.ys, xs.xs, a.v * (1 - xs.w) + b.v * xs.w AS v FROM xs JOIN rows a ON a.h = xs.h AND a.x = xs.a JOIN rows b ON b.image_id = a.image_id AND b.ys = a.ys AND b.x = xs.b
+        WHERE 2 * (a.ys % ({LARGE} // a.h)) - {LARGE} // a.h IN (-2, 0) AND xs.xs % {LARGE // 32} IN ({LARGE // 64 - 1}, {LARGE // 64})),
+    e AS (SELECT image_id, ys // ({LARGE} // h) AS y, xs // {LARGE // 32} AS x, list_transform({_CENTRE}, lambda m: exp(CAST(-40.0 AS DOUBLE) * (v - m) * (v - m))) AS e FROM grid),
+    l AS (SELECT image_id, y, x, k, exp(avg(ln(greatest(1e-7, least(1.0 - 1e-7, e[k + 1] / list_sum(e)))))) AS q FROM e, range(5) t(k) GROUP BY ALL)
+    SELECT image_id, CAST(k AS INTEGER) AS class_id, {R('avg(p)')} AS p FROM (SELECT image_id, k, greatest(1e-7, least(1.0 - 1e-7, q / sum(q) OVER (PARTITION BY image_id, y, x))) AS p FROM l) GROUP BY 1, 2""")
 def predict_large_images(spark, sf):
-    """Scenes at the size of real images through the model, in calls of up to 8; the mean probability of each class."""
-    large = P.resize(X.whole_scenes(spark, sf), LARGE, LARGE)
-    found = IN.multi_scale_predict(large, toy_model, (1.0,), tta=False, score_bytes=48 << 20)  # for 1.5 GB a task
+    """Scenes brought to the model's size of real images, in calls of up to 17; the mean probability of each class."""
+    found = IN.multi_scale_predict(X.whole_scenes(spark, sf), toy_model, (1.0,), tta=False, model_size=(LARGE, LARGE))
     mean = lambda r: {"image_id": r["image_id"], "p": np.frombuffer(r["probs"], "<f8").reshape(-1, 5).mean(axis=0).tolist()}
     means = PP.map_rows(found.select("image_id", "probs"), mean, "image_id long, p array<double>")
     return means.select("image_id", F.posexplode("p").alias("class_id", "p")).withColumn("p", r6(F.col("p")))

@@ -464,7 +464,7 @@ def test_queue_bounds_what_waits(monkeypatch):
     out += list(queue.rest())
     assert queue.waiting == 0 and sorted(r["image_id"] for g in out for r in g) == list(range(30))
     assert all(len(g) <= 4 and len({r["height"] for r in g}) == 1 for g in out) and max(map(len, out)) > 1
-    monkeypatch.setattr(IN, "SCORE_BYTES", 8 * 5 * 100)
+    queue = IN.SizeQueue(4, 5, score_bytes=8 * 5 * 100)
     assert queue.room((10, 10, 800)) == 1 and queue.room((5, 5, 200)) == 4 and queue.room((100, 100, 80_000)) == 1
 
 
