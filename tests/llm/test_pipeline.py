@@ -75,7 +75,7 @@ def test_stages(spark, corpus):
 
 def test_run_and_queries(spark, corpus):
     assert C.run(spark, corpus[0]).columns[:3] == ["doc_id", "start", "length"]
-    assert {n.split("_")[0] for n in queries.QUERIES if n != "pipeline"} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES if n != "pipeline"} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in queries.QUERIES and C.ORACLE_SQL is None
 
 
