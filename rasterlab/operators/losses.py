@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterlab.config import NUM_CLASSES, OIL, SHIP, LossConfig
 from rasterlab.functions import arrays as A, kernels
-from rasterlab.sources.packed import unpack
+from rasterlab.sources.packed import steps, unpack
 
 #: The clip of the stand-alone losses; the hybrid one has its own in the configuration.
 EPSILON = 1e-5
@@ -94,26 +94,26 @@ def sobel_edges(images: DataFrame, column: str = "plane") -> DataFrame:
     return apply_kernel(images, lambda plane, _: kernels.sobel(plane), column)
 
 
-def boundary_sums(scored: DataFrame, weights: list[float] | None, boost: float = 2.0, num_classes: int = NUM_CLASSES, layout: str = "planes") -> DataFrame:
-    """``(image_id, total, cells, weight, pixels)``: the sums that the boundary loss is made of, one row per image.
+def edges_of_classes(x: np.ndarray, layout: str = "planes") -> np.ndarray:
+    """Edges of each class of an (H, W, C) array. ``layout="reference"`` reshapes the interleaved classes into planes
+    without transposing them, as the original does."""
+    h, w, c = x.shape
+    if layout == "reference":
+        return np.stack([kernels.sobel(p) for p in x.reshape(c, h, w)]).reshape(h, w, c)
+    return np.stack([kernels.sobel(x[..., i]) for i in range(c)], axis=-1)
 
-    ``layout="reference"`` reshapes the interleaved classes into planes without transposing them, as the original does.
-    """
-    kind = scored.schema["image_id"].dataType.simpleString()
 
-    def edges(x: np.ndarray) -> np.ndarray:
-        h, w, c = x.shape
-        if layout == "reference":
-            return np.stack([kernels.sobel(p) for p in x.reshape(c, h, w)]).reshape(h, w, c)
-        return np.stack([kernels.sobel(x[..., i]) for i in range(c)], axis=-1)
+def boundary_sums(scored: DataFrame, weights: list[float] | None, boost: float = 2.0, num_classes: int = NUM_CLASSES, layout: str = "planes") -> DataFrame:
+    """``(image_id, total, cells, weight, pixels)``: the sums that the boundary loss is made of, one row per image."""
+    kind = scored.schema["image_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in steps(whole)):
             out = []
             for row in batch.to_pylist():
                 truth = unpack(row, "labels", "u1").astype(int)
                 y = np.eye(num_classes)[truth]
-                et, ep = edges(y), edges(unpack(row, "probs"))
+                et, ep = edges_of_classes(y, layout), edges_of_classes(unpack(row, "probs"), layout)
                 mask = np.clip(et.sum(axis=-1, keepdims=True), 0, 1) * (1.0 + np.isin(truth, RARE)[..., None] * (boost - 1.0))
                 w = np.ones(num_classes) if weights is None else np.array(weights)
                 out.append((row["image_id"], float((np.square(et - ep) * mask).sum()), et.size, float(w[truth].sum()), truth.size))

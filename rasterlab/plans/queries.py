@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rasterlab.config import CLASS_NAMES, BASELINE_IOU, AugmentConfig, EvalConfig, LossConfig
 from rasterlab.functions import arrays as A, keyed
 from rasterlab.functions.arrays import r6
-from rasterlab.operators import augment as AU, infer as IN, losses as L, metrics as M, postproc as PP, prep as P, scenes as SC
+from rasterlab.operators import augment as AU, infer as IN, losses as L, metrics as M, packed_losses as PL, postproc as PP, prep as P, scenes as SC
 from rasterlab.plans import fixtures as X
 from rasterlab.plans.fixtures import CTES, SIDE, WEIGHTS, softmax_sql
 from rasterlab.sources import files as S
@@ -1009,15 +1009,34 @@ def lovasz_softmax(spark, sf):
     return L.lovasz_softmax(probs_long(spark, sf), by=["image_id"]).select("image_id", r6(F.col("loss")).alias("loss"))
 
 
+@query(_lovasz_sql("image_id"))
+def lovasz_of_images(spark, sf):
+    return PL.lovasz_of_images(X.packed_tiles(spark, sf)).select("image_id", r6(F.col("loss")).alias("loss"))
+
+
 @query(_lovasz_sql(""))
 def lovasz_softmax_global(spark, sf):
+    return _loss(PL.lovasz_packed(X.packed_tiles(spark, sf)))
+
+
+@query(_lovasz_sql(""))
+def lovasz_softmax_global_long(spark, sf):
     return _loss(L.lovasz_softmax(probs_long(spark, sf)))
 
 
-@query(f"""{_boundary_sql(2.5)}, parts AS (SELECT (SELECT avg(({_CE7}) * {_WT}) FROM probs) AS ce, (SELECT avg(({_CE7}) * pow(1 - {_PT7}, 2) * {_WT}) FROM probs) AS focal,
+_HYBRID = f"""{_boundary_sql(2.5)}, parts AS (SELECT (SELECT avg(({_CE7}) * {_WT}) FROM probs) AS ce, (SELECT avg(({_CE7}) * pow(1 - {_PT7}, 2) * {_WT}) FROM probs) AS focal,
     (SELECT avg(l) FROM (SELECT image_id, 1 - sum(d * {_W}[k + 1]) / {sum(WEIGHTS)} AS l FROM {_DICE7} GROUP BY 1)) AS dice, (SELECT loss FROM bl) AS boundary)
-    SELECT {R("ce")} AS ce, {R("focal")} AS focal, {R("dice")} AS dice, {R("boundary")} AS boundary, 0.0 AS lovasz, {R("0.35 * ce + 0.25 * focal + 0.3 * dice + 0.1 * boundary")} AS total FROM parts""")
+    SELECT {R("ce")} AS ce, {R("focal")} AS focal, {R("dice")} AS dice, {R("boundary")} AS boundary, 0.0 AS lovasz, {R("0.35 * ce + 0.25 * focal + 0.3 * dice + 0.1 * boundary")} AS total FROM parts"""
+
+
+@query(_HYBRID)
 def hybrid_loss(spark, sf):
+    out = PL.hybrid_loss_packed(X.packed_tiles(spark, sf), WEIGHTS, LossConfig())
+    return out.select(*(r6(F.col(c)).alias(c) for c in ("ce", "focal", "dice", "boundary", "lovasz", "total")))
+
+
+@query(_HYBRID)
+def hybrid_loss_long(spark, sf):
     out = L.hybrid_loss(probs_long(spark, sf), X.packed_tiles(spark, sf), WEIGHTS, LossConfig())
     return out.select(*(r6(F.col(c)).alias(c) for c in ("ce", "focal", "dice", "boundary", "lovasz", "total")))
 

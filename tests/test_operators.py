@@ -10,7 +10,7 @@ from rasterlab.functions import arrays as A, keyed
 from rasterlab.operators import augment as AU, infer as IN, losses as L, metrics as M, postproc as PP, prep as P, scenes as SC
 from rasterlab.plans import queries as Q
 from rasterlab.sources import files as S
-from rasterlab.sources.packed import explode_pixels, pack_pixels, packed, tile_image
+from rasterlab.sources.packed import explode_channels, explode_pixels, pack_pixels, packed, tile_image
 
 RNG = np.random.default_rng(3)
 
@@ -335,6 +335,36 @@ def test_log_input_equals_probabilities(spark):
     assert np.allclose(a, b)
 
 
+def test_packed_losses_equal_the_long_form(spark):
+    """Images of different sizes; ranges cut into many parts and runs of one image each; layouts, reductions, weights."""
+    from rasterlab.operators import packed_losses as PL
+
+    rows = []
+    for i, (h, w) in enumerate([(8, 8), (5, 9), (8, 8), (1, 1), (12, 3), (8, 8)]):
+        truth = RNG.integers(0, 4, (h, w)).astype(np.uint8)  # class 4 doesn't occur
+        probs = RNG.dirichlet(np.ones(5), (h, w)).round(2)
+        rows.append((i, h, w, truth.tobytes(), probs.tobytes()))
+    rows.append((6, 8, 8, rows[0][3], rows[0][4]))  # a repeated image
+    df = spark.createDataFrame(rows, "image_id int, height int, width int, labels binary, probs binary").repartition(3).persist()
+    long = explode_pixels(df, {"labels": "u1"}).withColumnRenamed("labels", "true_class").join(explode_channels(df, "probs", 5).withColumnRenamed("values", "probs"), ["image_id", "y", "x"]).persist()
+    whole = L.lovasz_softmax(long).first().loss
+    for pixels in (1, 7, PL.RANGE_PIXELS):
+        assert PL.lovasz_packed(df, range_pixels=pixels).first().loss == pytest.approx(whole, abs=1e-12)
+    each = {r.image_id: r.loss for r in L.lovasz_softmax(long, by=["image_id"]).collect()}
+    got = {r.image_id: r.loss for r in PL.lovasz_of_images(df).collect()}
+    assert got == pytest.approx(each, abs=1e-12) and len(got) == 7
+    for weights, cfg, layout, reduction in (([0.05, 0.25, 0.2, 0.4, 0.1], LossConfig(lovasz=0.5), "planes", "mean"), (None, LossConfig(smoothing=0.0), "reference", "reference")):
+        a = PL.hybrid_loss_packed(df, weights, cfg, layout=layout, reduction=reduction).first().asDict()
+        b = L.hybrid_loss(long, df, weights, cfg, layout=layout, reduction=reduction).first().asDict()
+        assert a == pytest.approx(b, abs=1e-9)
+    nothing = df.limit(0)
+    assert PL.lovasz_packed(nothing).first().loss == 0.0 and PL.lovasz_of_images(nothing).count() == 0
+    assert PL.hybrid_loss_packed(nothing, None).first().ce is None
+    # no pixel becomes a row: a run for each task, class and range of errors
+    runs = PL.error_runs(df).persist()
+    assert runs.agg(F.sum("n")).first()[0] == 5 * long.count() and runs.select("class_id", "bucket", F.spark_partition_id()).distinct().count() == runs.count()
+
+
 def test_every_inventory_group_has_queries():
     assert set(Q.ORACLES) <= set(Q.QUERIES)
     groups = {
@@ -344,7 +374,7 @@ def test_every_inventory_group_has_queries():
         "inference": "tta_variants scale_variants augment_variant reverse_variant predict_images softmax fuse_tta fuse_scales argmax_class argmax_labels match_prediction_size multi_scale_predict predict_large_images",
         "post-processing": "class_mask morph_open morph_close connected_components component_stats filter_components dilate_small boost_and_suppress ship_enhancement scene_components scene_blur scene_sobel scene_dilate_small scene_ship_enhancement",
         "metrics": "confusion_matrix confusion_packed confusion_per_image class_iou mean_iou_truth mean_iou_union precision_recall_f1 pixel_accuracy frequency_weighted_iou cohens_kappa bootstrap_replicates bootstrap_replicates_split bootstrap_ci evaluate evaluate_with_interval class_report compare_to_baseline compare_runs",
-        "losses": "one_hot smooth_labels pixel_weight weighted_cross_entropy focal_loss dice_loss sobel_edges boundary_loss hybrid_ce hybrid_focal hybrid_dice lovasz_softmax lovasz_softmax_global hybrid_loss",
+        "losses": "one_hot smooth_labels pixel_weight weighted_cross_entropy focal_loss dice_loss sobel_edges boundary_loss hybrid_ce hybrid_focal hybrid_dice lovasz_softmax lovasz_of_images lovasz_softmax_global lovasz_softmax_global_long hybrid_loss hybrid_loss_long",
         "streaming": "stream_confusion stream_windowed_iou stream_class_distribution stream_joined_confusion",
     }
     for group, names in groups.items():
