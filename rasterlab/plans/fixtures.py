@@ -107,11 +107,11 @@ def line_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("l_orderkey").alias("image_id"), (F.col("l_partkey") % 5).cast("int").alias("true_class"), ((F.col("l_partkey") + F.col("off")) % 5).cast("int").alias("pred_class"))
 
 
-def event_scores(events: DataFrame) -> DataFrame:
-    """``(ts, true_class, pred_class)`` of a stream or table of events."""
+def event_scores(events: DataFrame, *more: Column | str) -> DataFrame:
+    """``(ts, true_class, pred_class)`` of a stream or table of events, with ``more`` of its columns."""
     kinds = F.array(*(F.lit(k) for k in ("click", "error", "purchase", "signup", "view")))
     true = (F.array_position(kinds, F.col("event_type")) - 1).cast("int")
-    return events.select(F.col("ts").cast("timestamp").alias("ts"), true.alias("true_class"), ((true + (F.col("value") > 80).cast("int")) % 5).alias("pred_class"))
+    return events.select(F.col("ts").cast("timestamp").alias("ts"), true.alias("true_class"), ((true + (F.col("value") > 80).cast("int")) % 5).alias("pred_class"), *more)
 
 
 def listing(spark: SparkSession, sf_dir: str, folder: str = "images", extension: str = "jpg", orphans: bool = False) -> DataFrame:

@@ -1099,3 +1099,22 @@ def stream_joined_confusion(spark, sf):
     sink = EpochSink(f"{folder}/epochs")
     joined(truth, preds, sink, f"{folder}/state", watermark="6 hours").trigger(availableNow=True).start().awaitTermination()
     return sink.totals(spark)
+
+
+@query("""SELECT CAST(user_id % 8 AS VARCHAR) AS source, r.at, r.kind, r.generation, s.true_class, s.pred_class, count(*) AS n FROM
+    (SELECT *, CAST(count(*) FILTER (WHERE kind = 'reset') OVER (PARTITION BY monitor ORDER BY ts, kind ROWS UNBOUNDED PRECEDING) - (kind = 'reset')::INT AS BIGINT) AS generation,
+        max(CASE WHEN kind = 'reset' THEN ts END) OVER (PARTITION BY monitor ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS since FROM
+        (SELECT DISTINCT user_id % 8 AS monitor, ts, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, kind FROM events, LATERAL (SELECT CASE WHEN event_type = 'signup' AND value > 60 THEN 'reset' WHEN event_type = 'purchase' AND value > 60 THEN 'read' END AS kind) WHERE kind IS NOT NULL)) r
+    JOIN (SELECT user_id, scores.ts, CAST(true_class AS INTEGER) AS true_class, CAST(pred_class AS INTEGER) AS pred_class FROM scores) s
+    ON s.user_id % 8 = r.monitor AND s.ts <= r.ts AND (r.since IS NULL OR s.ts > r.since) WHERE r.ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""")
+def stream_accumulator(spark, sf):
+    """Scores of eight monitors; large signups reset a monitor after they are counted, large purchases read it."""
+    from rasterlab.streaming.accumulate import accumulated, stream_accumulator as accumulator
+
+    events = _stream(spark, sf, "events")
+    kind = F.when((F.col("event_type") == "signup") & (F.col("value") > 60), "reset").when((F.col("event_type") == "purchase") & (F.col("value") > 60), "read")
+    scores = X.event_scores(events, "user_id", kind.alias("also"))
+    each = F.explode(F.when(F.col("also").isNull(), F.array(F.lit("count"))).otherwise(F.array(F.lit("count"), "also"))).alias("kind")
+    rows = scores.select((F.col("user_id") % 8).alias("source"), "ts", "true_class", "pred_class", each)
+    done = accumulated(_drained(accumulator(rows), "append"))
+    return done.select("source", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "kind", "generation", "true_class", "pred_class", "n")

@@ -335,6 +335,46 @@ def test_log_input_equals_probabilities(spark):
     assert np.allclose(a, b)
 
 
+def test_accumulator_reads_resets_and_restarts(spark, tmp_path):
+    """Events out of order over three runs of the query, against a loop; nulls and foreign classes count nowhere; a row
+    that the watermark has passed is dropped."""
+    from rasterlab.streaming.accumulate import accumulated, stream_accumulator
+
+    schema = "source string, s long, kind string, true_class int, pred_class int"
+    base, rows = 1_700_000_000, []
+    for i in range(400):
+        kind = RNG.choice(["count", "read", "reset"], p=[0.9, 0.06, 0.04])
+        rows.append((["hot", "hot", "a", "b"][i % 4], base + 10 * (i + int(RNG.integers(0, 20))), str(kind), int(RNG.integers(0, 5)), int(RNG.integers(0, 5))))
+    rows = [("hot", base + 500, "reset", None, None), ("hot", base + 500, "read", None, None), ("hot", base + 500, "count", 1, 2)] * 2 + rows  # equal times
+    odd = [(None, base + 5, "count", 1, 1), ("hot", None, "count", 1, 1), ("hot", base + 5, None, 1, 1), ("hot", base + 5, "count", None, 1), ("hot", base + 5, "count", 7, 1), ("hot", base + 5, "other", 1, 1)]
+    late = [("hot", base, "count", 0, 0)]
+    last = [("end", base + 20_000, "count", 0, 0)]
+    source = str(tmp_path / "in")
+
+    def run(part):
+        spark.createDataFrame(part, schema).selectExpr("source", "timestamp_seconds(s) ts", "kind", "true_class", "pred_class").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("source string, ts timestamp, kind string, true_class int, pred_class int").parquet(source)
+        out = stream_accumulator(stream, "300 seconds", salts=3)
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+
+    run(rows[:200] + odd)
+    run(rows[200:])
+    run(late + last)
+    got = {(r.source, r.s, r.kind, r.generation, r.true_class, r.pred_class): r.n for r in accumulated(spark.read.parquet(str(tmp_path / "out"))).selectExpr("*", "unix_seconds(ts) s").collect()}
+    wanted = {}
+    for name in ("hot", "a", "b"):
+        counts, generation = {}, 0
+        for _, s, kind, t, p in sorted((r for r in rows if r[0] == name), key=lambda r: (r[1], ["count", "read", "reset"].index(r[2]))):
+            if kind == "count":
+                counts[t, p] = counts.get((t, p), 0) + 1
+                continue
+            for cell, n in counts.items():
+                at = (name, s, kind, generation, *cell)
+                wanted[at] = wanted.get(at, 0) + n
+            counts, generation = ({}, generation + 1) if kind == "reset" else (counts, generation)
+    assert got == wanted and len(got) > 100
+
+
 def test_packed_losses_equal_the_long_form(spark):
     """Images of different sizes; ranges cut into many parts and runs of one image each; layouts, reductions, weights."""
     from rasterlab.operators import packed_losses as PL
@@ -375,7 +415,7 @@ def test_every_inventory_group_has_queries():
         "post-processing": "class_mask morph_open morph_close connected_components component_stats filter_components dilate_small boost_and_suppress ship_enhancement scene_components scene_blur scene_sobel scene_dilate_small scene_ship_enhancement",
         "metrics": "confusion_matrix confusion_packed confusion_per_image class_iou mean_iou_truth mean_iou_union precision_recall_f1 pixel_accuracy frequency_weighted_iou cohens_kappa bootstrap_replicates bootstrap_replicates_split bootstrap_ci evaluate evaluate_with_interval class_report compare_to_baseline compare_runs",
         "losses": "one_hot smooth_labels pixel_weight weighted_cross_entropy focal_loss dice_loss sobel_edges boundary_loss hybrid_ce hybrid_focal hybrid_dice lovasz_softmax lovasz_of_images lovasz_softmax_global lovasz_softmax_global_long hybrid_loss hybrid_loss_long",
-        "streaming": "stream_confusion stream_windowed_iou stream_class_distribution stream_joined_confusion",
+        "streaming": "stream_confusion stream_windowed_iou stream_class_distribution stream_joined_confusion stream_accumulator",
     }
     for group, names in groups.items():
         assert not set(names.split()) - set(Q.QUERIES), group
