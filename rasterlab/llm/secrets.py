@@ -20,8 +20,9 @@ DICTIONARY_WORDS, PAIRS = 8000, 200
 #: Values of at least 6 characters assigned to a word that speaks for a secret, and strings of at least 16 with a digit.
 #: A candidate is the end of a match, behind the word and sign that PREFIX finds. No lookbehind is longer than one
 #: character, so a text is searched in time proportional to its length.
-PREFIX = rf"(?i:{FOR})[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?"
-CANDIDATE = rf"{PREFIX}[^\s\"',;<>]{{6,}}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{{16}})(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{{16,}}={{0,2}}"
+#: The name of a scheme behind the sign belongs to the prefix. Long parts joined by dots are one candidate.
+PREFIX = rf"(?i:{FOR})[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?(?:(?i:bearer|basic)\s{{1,3}})?(?!(?i:bearer|basic)\s)"
+CANDIDATE = rf"{PREFIX}[^\s\"',;<>]{{6,}}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{{16}})(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{{16,}}(?:\.[A-Za-z0-9+/_-]{{16,}}){{0,8}}={{0,2}}"
 #: Characters of context on each side; labelled findings that are learnt from; findings that are planted.
 CONTEXT, TRAIN_ROWS, PLANTED_ROWS = 60, 20_000, 6_000
 FEATURES = ("length", "digits", "upper", "lower", "others", "turns", "cases", "distinct", "vowels", "hexadecimal", "pairs", "words", "path", "before_for", "assigned", "quoted", "near_against", "near_words")
@@ -134,13 +135,23 @@ _PLANTED = (
     (1, "Authorization: Bearer ", "concat('eyJ', mixed, '_', substring(mixed, 3, 30))", ""),
     (1, "private_key=", "concat(mixed, substring(mixed, 1, 20), '1')", ""),
     (1, "pwd: ", "substring(mixed, 2, 12)", ""),
+    (1, "STRIPE_KEY=", "concat('sk_live_', substring(mixed, 1, 24))", ""),
+    (1, "GITHUB=", "concat('ghp_', substring(mixed, 1, 36))", ""),
+    (1, "/get?sig=", "substring(mixed, 1, 43)", ""),
+    (1, "Bearer ", "concat('eyJhbGciOiJIUzI1NiJ9.eyJ', substring(mixed, 1, 30), '.', mixed)", ""),
+    (1, "password: ", "concat(word, word2, word3)", ""),
+    (1, "passwd=", "concat(word, word2, word3, word)", ""),
     (0, "", "substring(digits, 1, 16)", ""),
     (0, "order ", "substring(digits, 1, 18)", ""),
     (0, "card: ", "substring(digits, 1, 16)", ""),
     (0, "sha256 checksum ", "hex", ""),
     (0, "commit ", "substring(hex, 1, 40)", ""),
     (0, "id=", "concat(substring(hex, 1, 8), '-', substring(hex, 9, 4), '-4', substring(hex, 13, 3), '-a', substring(hex, 16, 3), '-', substring(hex, 19, 12))", ""),
-    (0, "password: ", "concat(word, word2)", ""),
+    (0, "password: ", "concat(word, ' ', word2)", ""),
+    (0, "password for the ", "concat(word, '_', word2, '_', substring(digits, 1, 6))", ""),
+    (0, "/view?page=", "concat(word, '-', word2, '-', word3, '-', substring(digits, 1, 4))", ""),
+    (0, "etag=", "substring(hex, 1, 32)", ""),
+    (0, "uuid=", "concat(substring(hex, 1, 8), '-', substring(hex, 9, 4), '-4', substring(hex, 13, 3), '-a', substring(hex, 16, 3), '-', substring(hex, 19, 12))", ""),
     (0, "token = \"", "concat('your_', word, '_here')", "\""),
     (0, "secret: ", "'changeme_example'", ""),
     (0, "", "concat(word, '_', word2, '_', substring(digits, 1, 4), '_', word3)", ""),
@@ -150,7 +161,7 @@ _PLANTED = (
 
 
 def planted_findings(docs: DataFrame, text_col: str = "text", path_col: str | None = None, rows: int = PLANTED_ROWS) -> DataFrame:
-    """``(candidate, before, after, path, label)``: findings planted into passages of the corpus, secrets and look-alikes.
+    """``(candidate, before, after, path, label, template)``: findings planted into passages of the corpus, secrets and look-alikes.
 
     Passages come from ``rows`` different texts at most, drawn by hash; each gets one generated value with the words
     that go with it, and one in eight a path of tests, in which even a secret's form is none (label 0). Candidates are
@@ -167,14 +178,14 @@ def planted_findings(docs: DataFrame, text_col: str = "text", path_col: str | No
     kind = f"pmod(xxhash64(h, 3), {len(_PLANTED)})"
     pick = lambda j: "CASE kind " + " ".join(f"WHEN {i} THEN {x[j] if j in (0, 2) else quoted(x[j])}" for i, x in enumerate(_PLANTED)) + " END"
     quoted = lambda x: "'" + x.replace("'", "\\'") + "'"
-    made = drawn.withColumn("kind", F.expr(kind)).select("h", "around", "path", F.expr(pick(0)).alias("label"), F.expr(pick(1)).alias("left"), F.expr(pick(2)).alias("value"), F.expr(pick(3)).alias("right"))
+    made = drawn.withColumn("kind", F.expr(kind)).select("h", "around", "path", "kind", F.expr(pick(0)).alias("label"), F.expr(pick(1)).alias("left"), F.expr(pick(2)).alias("value"), F.expr(pick(3)).alias("right"))
     tests = F.expr("pmod(xxhash64(h, 4), 8) = 0")
     made = made.withColumn("path", F.when(tests, F.concat(F.lit("tests/fixtures/"), "path")).otherwise(F.col("path"))).withColumn("label", F.when(tests, 0).otherwise(F.col("label")))
     half = f"int(length(around) / 2)"
     text = F.expr(f"concat(left(around, {half}), ' ', left, value, right, ' ', substring(around, {half} + 1))")
     found = candidates(made.select("h", text.alias("text"), "path"), "h", "text", "path")
-    labels = made.select(F.col("h").alias("doc_id"), "value", "label")
-    return found.join(labels, "doc_id").where("contains(candidate, value) or contains(value, candidate)").select("candidate", "before", "after", "path", "label")
+    labels = made.select(F.col("h").alias("doc_id"), "value", "label", F.col("kind").cast("int").alias("template"))
+    return found.join(labels, "doc_id").where("contains(candidate, value) or contains(value, candidate)").select("candidate", "before", "after", "path", "label", "template")
 
 
 def train(findings: DataFrame, words: list[str], rows: int = TRAIN_ROWS, trees: int = 30, depth: int = 8):

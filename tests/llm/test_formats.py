@@ -268,6 +268,27 @@ def test_secrets_on_held_out_planted_findings(spark):
     assert sum(r.is_secret == bool(r.label) for r in judged) >= len(others) - 1, judged
 
 
+def test_secrets_in_whole_texts_written_by_hand(spark):
+    """Values after any sign of equality, schemes, dotted tokens and pass phrases: found in the texts, and judged."""
+    jwt = "eyJ0eXAiOiJKV1QiLCJhbGci1.eyJzdWIiOiIxMjM0NTY3ODkwIn0x.dBjftJeZ4CVPmB92K27uhbUJU1p1r"
+    cases = [
+        ("export STRIPE_KEY=sk_live_51HxKqP2eZvKYlo2C9dQ", "sk_live_51HxKqP2eZvKYlo2C9dQ", 1), ("GITHUB=ghp_Zx81kQpL0vRt37NmYw52HsBc94Gd61Jf08Ae", "ghp_Zx81kQpL0vRt37NmYw52HsBc94Gd61Jf08Ae", 1),
+        ("https://files.host/get?sig=b2XvQ9pL4mZk8RtY1wNc7HsD3fGj6aEe5uKo0iT", "b2XvQ9pL4mZk8RtY1wNc7HsD3fGj6aEe5uKo0iT", 1), (f"Authorization: Bearer {jwt} sent", jwt, 1), (f"curl -H Bearer {jwt} sent", jwt, 1),
+        ("password: correcthorsebatterystaple", "correcthorsebatterystaple", 1), ("it has id=3f2a9c1e-7b64-4d1a-a8f0-5c2e9b7d1f34 in the log", "3f2a9c1e-7b64-4d1a-a8f0-5c2e9b7d1f34", 0),
+        ("password: please ask the team for it", "please", 0), ("see /view?page=summer-holiday-offers-2023 for more", "/view?page=summer-holiday-offers-2023".split("=")[1], 0),
+    ]
+    texts = spark.createDataFrame([(i, f"We wrote this down in the notes of the day. {t}") for i, (t, _, _) in enumerate(cases)], "doc_id long, text string")
+    found = SC.candidates(texts).persist()
+    got = {(r.doc_id, r.candidate): r.start for r in found.collect()}
+    assert set(got) == {(i, value) for i, (_, value, _) in enumerate(cases)}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = SC.dictionary(docs)
+    forest = SC.train(SC.planted_findings(docs, path_col="source"), words)
+    judged = {r.doc_id: r for r in SC.score(found, forest, words).collect()}
+    wrong = [(cases[i], r.score) for i, r in judged.items() if r.is_secret != bool(cases[i][2])]
+    assert len(wrong) <= 1, wrong
+
+
 def test_secret_scan_over_a_table(spark, tmp_path):
     from rasterlab.llm import queries
 
