@@ -23,15 +23,16 @@ def _step(num_classes: int):
     what the watermark hasn't passed yet."""
     cells = num_classes**2
 
-    def events_of(key, times: np.ndarray, codes: np.ndarray, generation: int, counts: np.ndarray) -> tuple[list[pd.DataFrame], int]:
-        """Let settled events take effect, in order, on ``counts``; what is given out, and the generation after them."""
+    def events_of(times: np.ndarray, codes: np.ndarray, generation: int, counts: np.ndarray) -> tuple[list[tuple], int]:
+        """Let settled events take effect, in order, on ``counts``; what is given out (time, reset, generation, cells and
+        their counts), and the generation after them."""
         order = np.lexsort((codes, times))
         times, codes = times[order], codes[order]
         out, begin = [], 0
         for at in np.flatnonzero(codes >= _READ_CODE):
             counts += np.bincount(codes[begin:at], minlength=cells)
             found, reset = np.flatnonzero(counts), codes[at] == _RESET_CODE
-            out.append(pd.DataFrame({"source": str(key[0]), "time": times[at], "kind": RESET if reset else READ, "generation": generation, "true_class": found // num_classes, "pred_class": found % num_classes, "n": counts[found]}))
+            out.append((times[at], reset, generation, found, counts[found]))
             if reset:
                 counts[:], generation = 0, generation + 1
             begin = at + 1
@@ -46,12 +47,16 @@ def _step(num_classes: int):
         codes = np.concatenate([np.frombuffer(codes, np.int64), *(c for _, c in arrived)])
         watermark = state.getCurrentWatermarkMs()
         settled = times <= watermark * 1000
-        out, generation = events_of(key, times[settled], codes[settled], generation, counts)
+        out, generation = events_of(times[settled], codes[settled], generation, counts)
         times, codes = times[~settled], codes[~settled]
         state.update((generation, counts.tobytes(), times.tobytes(), codes.tobytes()))
         if len(times):  # Spark calls again when the watermark is beyond this
             state.setTimeoutTimestamp(max(watermark + 1, int(times.min() // 1000) - 1))
-        yield from out
+        if out:
+            at, reset, generations, found, n = zip(*out, strict=True)
+            sizes, found = [len(x) for x in found], np.concatenate(found)
+            repeated = lambda x: np.repeat(np.array(x), sizes)
+            yield pd.DataFrame({"source": str(key[0]), "time": repeated(at), "kind": np.where(repeated(reset), RESET, READ), "generation": repeated(generations), "true_class": found // num_classes, "pred_class": found % num_classes, "n": np.concatenate(n)})
 
     return step
 
