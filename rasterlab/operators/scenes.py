@@ -1,7 +1,9 @@
 """Filters and ship refinement of scenes larger than a row, kept as tiles.
 
 A tile is ``image_id, ty, tx, top, left, height, width`` and packed columns, without halo; ``top`` and ``left`` are its
-first pixel in the scene. Tiles of a scene are a full grid of squares of one size, smaller only at the bottom and right.
+first pixel in the scene. Tiles of a scene are a full grid of squares of one size, smaller only at the bottom and right;
+with ``holes`` some may be missing (an unfinished scene), and their pixels count as outside of it. Without, a missing
+tile is an error.
 A filter that looks ``halo`` pixels around gets them by one exchange: each tile sends the strips along its borders to
 its neighbours, keyed by the neighbour's place. Tiles stored by ``store_tiles`` lie in buckets of that key, so that the
 strips come to them and their own pixels aren't shuffled, whatever filters follow.
@@ -25,7 +27,8 @@ from rasterlab.sources.packed import map_rows, packed, steps, unpack
 
 KEY = ["image_id", "ty", "tx"]
 PLACE = [*KEY, "top", "left", "height", "width"]
-#: Filters, by name, get the extended arrays of a tile and give arrays of the same size.
+#: Filters get the extended arrays of a tile, by name, and ``inside`` (where the scene has pixels), and give arrays of the
+#: same size.
 Filter = Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]
 
 
@@ -68,14 +71,17 @@ def border_strips(tiles: DataFrame, columns: dict[str, str], size: int, halo: in
     return sent.groupBy(*KEY).agg(F.collect_list(strip).alias("strips"))
 
 
-def _extended(row: dict, columns: dict[str, str]) -> tuple[dict[str, np.ndarray], tuple[slice, slice]]:
+def _extended(row: dict, columns: dict[str, str], holes: bool) -> tuple[dict[str, np.ndarray], tuple[slice, slice]]:
     """The tile with what its neighbours sent, and where it lies therein. At the scene's edges there is no more."""
     pieces = [{"y": row["top"], "x": row["left"], **{c: row[c] for c in ("height", "width", *columns)}}, *(row["strips"] or [])]
     y0, x0 = min(p["y"] for p in pieces), min(p["x"] for p in pieces)
     h, w = max(p["y"] + p["height"] for p in pieces) - y0, max(p["x"] + p["width"] for p in pieces) - x0
-    if sum(p["height"] * p["width"] for p in pieces) != h * w:
+    if not holes and sum(p["height"] * p["width"] for p in pieces) != h * w:
         raise ValueError(f"scene {row['image_id']} isn't a full grid of tiles around row {row['ty']}, column {row['tx']}")
-    out = {}
+    inside = np.zeros((h, w), bool)
+    for p in pieces:
+        inside[p["y"] - y0 : p["y"] - y0 + p["height"], p["x"] - x0 : p["x"] - x0 + p["width"]] = True
+    out = {"inside": inside}
     for c, dtype in columns.items():
         for p in pieces:
             part = unpack(p, c, dtype)
@@ -85,46 +91,47 @@ def _extended(row: dict, columns: dict[str, str]) -> tuple[dict[str, np.ndarray]
     return out, np.s_[row["top"] - y0 : row["top"] - y0 + row["height"], row["left"] - x0 : row["left"] - x0 + row["width"]]
 
 
-def map_tiles(tiles: DataFrame, fn: Filter, columns: dict[str, str], out: dict[str, str], size: int, halo: int) -> DataFrame:
+def map_tiles(tiles: DataFrame, fn: Filter, columns: dict[str, str], out: dict[str, str], size: int, halo: int, holes: bool = False) -> DataFrame:
     """``tiles`` with the packed columns ``out`` (name to dtype) that ``fn`` makes of ``columns`` and ``halo`` pixels
-    around them; pixels further than that must not matter. Other columns stay, columns of these names are replaced."""
+    around them; pixels further than that must not matter. Other columns stay, columns of these names are replaced.
+    Pixels of missing tiles are zero, or an error without ``holes``."""
     schema = StructType([*tiles.drop(*out).schema, *(StructField(c, BinaryType()) for c in out)])
     joined = tiles.join(border_strips(tiles, columns, size, halo).hint("shuffle_hash"), KEY, "left")
 
     def one(row: dict) -> dict:
-        arrays, own = _extended(row, columns)
+        arrays, own = _extended(row, columns, holes)
         made = fn(arrays)
         return {f: row[f] for f in schema.names if f not in out} | {c: packed(made[c][own], d) for c, d in out.items()}
 
     return map_rows(joined, one, schema)
 
 
-def scene_blur(tiles: DataFrame, sigma: float, size: int, column: str = "pixels") -> DataFrame:
+def scene_blur(tiles: DataFrame, sigma: float, size: int, column: str = "pixels", holes: bool = False) -> DataFrame:
     """The 5x5 Gaussian over whole scenes; only the scene's own edges darken."""
-    return map_tiles(tiles, lambda a: {column: kernels.blur(a[column], sigma)}, {column: "<f8"}, {column: "<f8"}, size, 2)
+    return map_tiles(tiles, lambda a: {column: kernels.blur(a[column], sigma, a["inside"])}, {column: "<f8"}, {column: "<f8"}, size, 2, holes)
 
 
-def scene_sobel(tiles: DataFrame, size: int, column: str = "plane") -> DataFrame:
-    return map_tiles(tiles, lambda a: {column: kernels.sobel(a[column])}, {column: "<f8"}, {column: "<f8"}, size, 1)
+def scene_sobel(tiles: DataFrame, size: int, column: str = "plane", holes: bool = False) -> DataFrame:
+    return map_tiles(tiles, lambda a: {column: kernels.sobel(a[column])}, {column: "<f8"}, {column: "<f8"}, size, 1, holes)
 
 
-def _on_masks(tiles: DataFrame, fn: Callable[[np.ndarray], np.ndarray], size: int, halo: int) -> DataFrame:
-    return map_tiles(tiles, lambda a: {"mask": fn(a["mask"].astype(bool))}, {"mask": "u1"}, {"mask": "u1"}, size, halo)
+def _on_masks(tiles: DataFrame, fn: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int, halo: int, holes: bool) -> DataFrame:
+    return map_tiles(tiles, lambda a: {"mask": fn(a["mask"].astype(bool), a["inside"])}, {"mask": "u1"}, {"mask": "u1"}, size, halo, holes)
 
 
-def scene_open(tiles: DataFrame, size: int, k: int = 2) -> DataFrame:
-    return _on_masks(tiles, lambda m: kernels.morph_open(m, k), size, 2 * (k // 2))
+def scene_open(tiles: DataFrame, size: int, k: int = 2, holes: bool = False) -> DataFrame:
+    return _on_masks(tiles, lambda m, inside: kernels.morph_open(m, k, inside), size, 2 * (k // 2), holes)
 
 
-def scene_close(tiles: DataFrame, size: int, k: int = 5) -> DataFrame:
-    return _on_masks(tiles, lambda m: kernels.morph_close(m, k), size, 2 * (k // 2))
+def scene_close(tiles: DataFrame, size: int, k: int = 5, holes: bool = False) -> DataFrame:
+    return _on_masks(tiles, lambda m, inside: kernels.morph_close(m, k, inside), size, 2 * (k // 2), holes)
 
 
 #: Names of the components' places: no scene has so many columns.
 STRIDE = 1 << 31
 
 
-def scene_dilate_small(tiles: DataFrame, size: int, min_size: int = EvalConfig.ship_min_size) -> DataFrame:
+def scene_dilate_small(tiles: DataFrame, size: int, min_size: int = EvalConfig.ship_min_size, holes: bool = False) -> DataFrame:
     """``tiles`` with ``mask``: components of the whole scene with at least ``min_size`` pixels, small ones dilated.
 
     The areas of the components, however many tiles they reach over, come back to the tiles that hold a part, one row
@@ -144,10 +151,10 @@ def scene_dilate_small(tiles: DataFrame, size: int, min_size: int = EvalConfig.s
         return row | {"mask": packed(kernels.growth(of, min_size), "u1")}
 
     steps_of = written(map_rows(tiles.join(known, ["image_id", "top", "left"], "left").select(*tiles.columns, "areas"), sized, tiles.schema))
-    return map_tiles(steps_of, lambda a: {"mask": kernels.grown(a["mask"])}, {"mask": "u1"}, {"mask": "u1"}, size, 4)
+    return map_tiles(steps_of, lambda a: {"mask": kernels.grown(a["mask"])}, {"mask": "u1"}, {"mask": "u1"}, size, 4, holes)
 
 
-def scene_ship_enhancement(tiles: DataFrame, size: int, cfg: EvalConfig = EvalConfig(), column: str = "probs") -> DataFrame:
+def scene_ship_enhancement(tiles: DataFrame, size: int, cfg: EvalConfig = EvalConfig(), column: str = "probs", holes: bool = False) -> DataFrame:
     """The ship refinement of whole scenes of probabilities, as ``postproc.ship_enhancement`` does for a row.
 
     Probabilities are read twice, for the mask and at the end, and shuffled only if ``tiles`` aren't stored. What moves
@@ -160,8 +167,8 @@ def scene_ship_enhancement(tiles: DataFrame, size: int, cfg: EvalConfig = EvalCo
 
     kinds = StructType([*tiles.select(*PLACE).schema, *StructType.fromDDL("any boolean, mask binary")])
     found = written(map_rows(tiles.select(*PLACE, column), ships, kinds))
-    clean = _on_masks(found.drop("any"), lambda m: kernels.morph_close(kernels.morph_open(m)), size, 6)
-    refined = scene_dilate_small(clean, size, cfg.ship_min_size).select(*KEY, F.col("mask").alias("refined"))
+    clean = _on_masks(found.drop("any"), lambda m, inside: kernels.morph_close(kernels.morph_open(m, inside=inside), inside=inside), size, 6, holes)
+    refined = scene_dilate_small(clean, size, cfg.ship_min_size, holes).select(*KEY, F.col("mask").alias("refined"))
     touched = found.groupBy("image_id").agg(F.max("any").alias("touched"))
     refined = refined.join(touched, "image_id")
 
