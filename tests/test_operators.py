@@ -677,7 +677,7 @@ def test_joined_streams_restart_and_repeat_without_counting_twice(spark, tmp_pat
     assert got() == wanted([0, 1, 2, 4, 5, 6, 7, 8, 10, 11]) and min(seen[len(first) :]) > max(first)
 
 
-UNFINISHED = ["scene_blur", "scene_dilate_small", "scene_ship_enhancement"]
+UNFINISHED = ["scene_blur", "scene_dilate_small", "scene_ship_enhancement", "scene_sobel"]
 
 
 @pytest.fixture(scope="module")
