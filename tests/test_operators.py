@@ -684,10 +684,11 @@ UNFINISHED = ["scene_blur", "scene_dilate_small", "scene_ship_enhancement", "sce
 def unfinished(tmp_path_factory):
     """Tiles whose scenes lack some: at the end, at the start and in the middle."""
     import duckdb
+    import pandas as pd
 
     root = tmp_path_factory.mktemp("unfinished")
-    ids = [i for i in range(75) if i != 21] + list(range(1103, 1179))
-    duckdb.sql(f"COPY (SELECT vec_id, list_transform(range(64), i -> CAST(0.5 * sin(vec_id + i * i * 0.05) AS FLOAT)) AS embedding FROM (SELECT unnest({ids}) AS vec_id)) TO '{root}/embeddings.parquet' (FORMAT parquet)")
+    ids = pd.DataFrame({"vec_id": [i for i in range(75) if i != 21] + list(range(1103, 1179))})  # noqa: F841
+    duckdb.sql(f"COPY (SELECT vec_id, [CAST(0.5 * sin(vec_id + i * i * 0.05) AS FLOAT) FOR i IN range(64)] AS embedding FROM ids) TO '{root}/embeddings.parquet' (FORMAT parquet)")
     return str(root)
 
 
