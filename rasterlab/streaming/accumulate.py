@@ -18,7 +18,7 @@ SALTS = 8
 _READ_CODE, _RESET_CODE = 1 << 30, (1 << 30) + 1  # above the codes of cells, so that an order by time and code puts them last
 
 
-def _step(num_classes: int):
+def _step(num_classes: int, once: bool):
     """What happens to one part of one source: its state is the counts since the last reset, and the times and codes of
     what the watermark hasn't passed yet."""
     cells = num_classes**2
@@ -28,6 +28,10 @@ def _step(num_classes: int):
         their counts), and the generation after them."""
         order = np.lexsort((codes, times))
         times, codes = times[order], codes[order]
+        if once:  # equal reads and resets of a time are neighbours now
+            again = (codes[1:] >= _READ_CODE) & (codes[1:] == codes[:-1]) & (times[1:] == times[:-1])
+            first = np.append(True, ~again)[: len(codes)]
+            times, codes = times[first], codes[first]
         out, begin = [], 0
         for at in np.flatnonzero(codes >= _READ_CODE):
             counts += np.bincount(codes[begin:at], minlength=cells)
@@ -61,7 +65,7 @@ def _step(num_classes: int):
     return step
 
 
-def stream_accumulator(events: DataFrame, watermark: str = "1 hour", source: str = "source", time: str = "ts", salts: int = SALTS, num_classes: int = NUM_CLASSES) -> DataFrame:
+def stream_accumulator(events: DataFrame, watermark: str = "1 hour", source: str = "source", time: str = "ts", salts: int = SALTS, num_classes: int = NUM_CLASSES, once: bool = False) -> DataFrame:
     """``(source, ts, kind, generation, true_class, pred_class, n)``: parts of a source's counts at each ``read`` and ``reset``.
 
     ``events`` has ``source``, ``ts``, ``kind`` (``count``, ``read`` or ``reset``) and, for counts, ``true_class`` and
@@ -71,6 +75,9 @@ def stream_accumulator(events: DataFrame, watermark: str = "1 hour", source: str
     reads and resets: add the parts up with ``accumulated``. The state of a part is its matrix and what arrived within the
     watermark's delay; it is in the checkpoint and survives a restart. Rows with a null time, source, kind or class, or a
     class outside the table, count nowhere.
+
+    Each row is an event: two reads of one time both give the counts, two resets start two generations. With ``once``
+    reads of a source at one time are one read and resets one reset, however many rows say so.
     """
     cell = F.col("true_class").cast("int") * num_classes + F.col("pred_class").cast("int")
     valid = F.col("true_class").between(0, num_classes - 1) & F.col("pred_class").between(0, num_classes - 1)
@@ -81,7 +88,7 @@ def stream_accumulator(events: DataFrame, watermark: str = "1 hour", source: str
     part = F.pmod(F.xxhash64("source", "ts", "code"), F.lit(salts)).cast("int")
     rows = rows.select("source", "ts", "code", F.unix_micros("ts").alias("time"), F.explode(F.when(F.col("code") >= _READ_CODE, every).otherwise(F.array(part))).alias("part"))
     out = rows.groupBy("source", "part").applyInPandasWithState(
-        _step(num_classes),
+        _step(num_classes, once),
         "source string, time long, kind string, generation long, true_class int, pred_class int, n long",
         "generation long, counts binary, times binary, codes binary",
         "append",

@@ -702,3 +702,18 @@ def test_unfinished_scenes_equal_sql(spark, unfinished, name):
     columns = [c[0] for c in wanted.description]
     wanted = sorted(wanted.fetchall())
     assert sorted(tuple(r) for r in Q.QUERIES[name](spark, unfinished).select(*columns).collect()) == wanted and len(wanted) >= 150 * 64
+
+
+def test_accumulator_with_equal_times_equals_sql(spark, tmp_path):
+    """Reads and resets of a monitor at the same time, and reads in the same second."""
+    import duckdb
+
+    duckdb.sql(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i // 6 * 400) MILLISECOND + INTERVAL (CASE WHEN i > 5900 THEN 6 ELSE 0 END) HOUR AS ts, CAST(8 * (i % 3) + i // 6 % 2 AS BIGINT) AS user_id,
+        ['click', 'error', 'purchase', 'signup', 'view', 'purchase', 'signup'][CAST(hash(i // 3) % 7 + 1 AS INTEGER)] AS event_type, CAST(hash(i) % 100 AS DOUBLE) AS value FROM range(6000) t(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    wanted = con.execute(Q.ORACLES["stream_accumulator"])
+    columns = [c[0] for c in wanted.description]
+    wanted = sorted(wanted.fetchall())
+    got = sorted(tuple(r) for r in Q.stream_accumulator(spark, str(tmp_path)).select(*columns).collect())
+    assert got == wanted and len(wanted) > 1000
