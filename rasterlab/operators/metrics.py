@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rasterlab.config import NUM_CLASSES, EvalConfig, baseline, classes
 from rasterlab.functions import keyed
+from rasterlab.sources.packed import steps
 
 
 def confusion_matrix(pixels: DataFrame, by: list[str] | None = None, true: str = "true_class", pred: str = "pred_class") -> DataFrame:
@@ -23,7 +24,7 @@ def confusion_per_image(scored: DataFrame, num_classes: int = NUM_CLASSES, key:
     kind = scored.schema[key].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in steps(whole)):
             owner, cells, counts = [], [], []
             for i in range(batch.num_rows):
                 t, p = (np.frombuffer(batch[c][i].as_py(), np.uint8).astype(np.int64) for c in ("labels", "preds"))

@@ -15,19 +15,19 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from rasterlab.config import NUM_CLASSES, LossConfig
 from rasterlab.operators.losses import RARE, edges_of_classes
-from rasterlab.sources.packed import steps, unpack
+from rasterlab.sources.packed import STEP_BYTES, STEP_ROWS, steps, unpack
 
 #: Ranges of errors for each halving, and pixels in a range from which it is cut further.
 BUCKETS, RANGE_PIXELS = 8, 1 << 22
-#: Bytes of predictions whose errors are sorted at once.
-RUN_BYTES = 16 << 20
+#: Bytes and images of predictions whose errors are sorted at once.
+RUN_BYTES, RUN_ROWS = 16 << 20, 1 << 20
 
 _SUMS = "pixels long, ce double, unweighted double, focal double, dice double, boundary double, cells long, weight double"
 
 
-def _images(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[dict]]:
+def _images(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES, most: int = STEP_ROWS) -> Iterator[list[dict]]:
     for batch in batches:
-        for part in steps(batch, limit):
+        for part in steps(batch, limit, most):
             if rows := [r for r in part.to_pylist() if r["height"] * r["width"]]:
                 yield rows
 
@@ -58,7 +58,7 @@ def hybrid_sums(scored: DataFrame, weights: list[float] | None, cfg: LossConfig
         return (row["image_id"], truth.size, (ce * of_pixel).sum(), ce.sum(), (ce * (1.0 - own) ** cfg.gamma * of_pixel).sum(), 1.0 - (dice * w).sum() / w.sum(), (np.square(et - ep) * near).sum(), et.size, of_pixel.sum())
 
     def run(batches):
-        for rows in _images(batches, RUN_BYTES):
+        for rows in _images(batches):
             ids, *columns = zip(*map(one, rows), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids, to_arrow_type(kind)), *(pa.array(np.array(c)) for c in columns)], names=["image_id", *(x.split()[0] for x in _SUMS.split(", "))])
 
@@ -111,7 +111,7 @@ def lovasz_of_images(scored: DataFrame, num_classes: int = NUM_CLASSES, clip: fl
         return sum(parts) / len(parts)
 
     def run(batches):
-        for rows in _images(batches, RUN_BYTES):
+        for rows in _images(batches):
             yield pa.RecordBatch.from_arrays([pa.array([r["image_id"] for r in rows], to_arrow_type(kind)), pa.array([one(r) for r in rows])], names=["image_id", "loss"])
 
     return _columns(scored).mapInArrow(run, f"image_id {kind.simpleString()}, loss double")
@@ -126,7 +126,7 @@ def error_histogram(scored: DataFrame, num_classes: int = NUM_CLASSES, clip: flo
     """``(class_id, bucket, n)``: pixels in each range of errors, counted in the tasks; at most 100 * BUCKETS rows a class."""
 
     def run(batches):
-        for rows in _images(batches, RUN_BYTES):
+        for rows in _images(batches):
             for c in range(num_classes):
                 place = np.concatenate([_place(_errors(r, num_classes, clip)[0][c]) for r in rows]).astype(np.int32)
                 bucket, n = np.unique(place, return_counts=True)
@@ -145,7 +145,7 @@ def error_runs(scored: DataFrame, num_classes: int = NUM_CLASSES, clip: float =
     hot = {(r.class_id, r.bucket): -(-r.n // range_pixels) for r in error_histogram(scored, num_classes, clip).where(F.col("n") > range_pixels).collect()}
 
     def run(batches):
-        for rows in _images(batches, RUN_BYTES):
+        for rows in _images(batches, RUN_BYTES, RUN_ROWS):
             both = [_errors(r, num_classes, clip) for r in rows]
             for c in range(num_classes):
                 err, n, fg = _merged(np.concatenate([e[c] for e, _ in both]), np.ones(sum(e.shape[1] for e, _ in both)), np.concatenate([h[c] for _, h in both]))

@@ -717,3 +717,27 @@ def test_accumulator_with_equal_times_equals_sql(spark, tmp_path):
     wanted = sorted(wanted.fetchall())
     got = sorted(tuple(r) for r in Q.stream_accumulator(spark, str(tmp_path)).select(*columns).collect())
     assert got == wanted and len(wanted) > 1000
+
+
+def test_small_images_are_handled_in_bounded_steps(spark, monkeypatch):
+    """A batch of many small rows is never turned into arrays or objects as a whole."""
+    import pyarrow as pa
+
+    from rasterlab.plans import fixtures
+    from rasterlab.sources.packed import STEP_ROWS, steps
+
+    class Caught:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    monkeypatch.setattr(fixtures, "table", lambda *_: Caught())
+    n = 3000
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 64), pa.array(RNG.normal(0, 0.2, n * 64).astype(np.float32)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), vectors], names=["vec_id", "embedding"])
+    assert max(p.num_rows for p in steps(batch)) <= STEP_ROWS
+    made = list(fixtures.packed_tiles(spark, "")(iter([batch])))
+    assert max(b.num_rows for b in made) <= STEP_ROWS and [i for b in made for i in b["image_id"].to_pylist()] == list(range(n))
+    images = {i: RNG.random((1 + i % 5, 1 + i % 3)) for i in range(700)} | {700: RNG.random((300, 301))}
+    rows = spark.createDataFrame([(i, *x.shape, packed(x)) for i, x in images.items()], "image_id long, height int, width int, pixels binary").coalesce(1)
+    got = {(r.image_id, r.y, r.x): r.pixels for r in explode_pixels(rows, {"pixels": "<f8"}).collect()}
+    assert got == {(i, y, x): v for i, a in images.items() for (y, x), v in np.ndenumerate(a)}
