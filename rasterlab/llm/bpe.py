@@ -169,7 +169,7 @@ def decode(rows: DataFrame, key: str, path: str = VOCABULARY) -> DataFrame:
 
 def _packed(numbers: np.ndarray) -> bytes:
     """Word numbers byte by byte of their size, compressed: frequent words have small numbers."""
-    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T).tobytes(), 6)
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T), 6)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -239,6 +239,11 @@ def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pick: np.nd
     return data[np.repeat(starts[pick] - offs[:-1], size) + np.arange(offs[-1])], offs
 
 
+def _joined(data: bytearray, ends: list[int], kind: pa.DataType) -> pa.Array:
+    """The values that lie one after the other in ``data``, which isn't copied."""
+    return pa.Array.from_buffers(kind, len(ends), [None, pa.py_buffer(np.array([0, *ends], np.int32)), pa.py_buffer(data)])
+
+
 def _placed(path: str):
     """A function for the texts and words of a chunk. Ids of a chunk's texts by their words' positions, and their bytes by their ids' pieces; a text at a time."""
 
@@ -252,14 +257,16 @@ def _placed(path: str):
         sizes, starts = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         sizes[number], starts[number] = size, np.cumsum(size) - size
         numbers = _unpacked(texts["numbers"][0].as_buffer())
-        n_tokens, id_bytes, decoded, at = [], [], [], 0
+        n_tokens, id_bytes, id_ends, decoded, ends, at = [], bytearray(), [], bytearray(), [], 0
         for n in texts["counts"][0].values.to_numpy():
             found, _ = _gather(data, starts, sizes, numbers[at : at + n])
             at += n
             n_tokens.append(len(found))
-            id_bytes.append(found.astype("<u4").tobytes())
-            decoded.append(_gather(*_piece_bytes(path), found)[0].tobytes().decode("utf-8", "replace"))
-        return pa.table({"row": texts["rows"][0].values, "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(id_bytes, pa.binary()), "decoded": pa.array(decoded, pa.string())})
+            id_bytes += found.astype("<u4").tobytes()
+            id_ends.append(len(id_bytes))
+            decoded += _gather(*_piece_bytes(path), found)[0].tobytes().decode("utf-8", "replace").encode()
+            ends.append(len(decoded))
+        return pa.table({"row": texts["rows"][0].values, "n_tokens": pa.array(n_tokens, pa.int64()), "ids": _joined(id_bytes, id_ends, pa.binary()), "decoded": _joined(decoded, ends, pa.string())})
 
     return run
 
