@@ -20,6 +20,8 @@ from rasterlab.llm.shared import bucketed
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Bytes of text whose words are numbered together; a longer text comes alone.
 CHUNK = 32 << 20
+#: Bytes of decoded texts in a batch that goes back to Spark.
+OUT_BYTES = 4 << 20
 #: Last code point of Unicode, and those that texts can't hold.
 LAST, SURROGATES = 0x110000, range(0xD800, 0xE000)
 
@@ -257,8 +259,10 @@ def _placed(path: str):
         sizes, starts = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         sizes[number], starts[number] = size, np.cumsum(size) - size
         numbers = _unpacked(texts["numbers"][0].as_buffer())
-        n_tokens, id_bytes, id_ends, decoded, ends, at = [], bytearray(), [], bytearray(), [], 0
-        for n in texts["counts"][0].values.to_numpy():
+        row, out, at = texts["rows"][0].values, [], 0
+        n_tokens, id_bytes, id_ends, decoded, ends = [], bytearray(), [], bytearray(), []
+        counts = texts["counts"][0].values.to_numpy()
+        for i, n in enumerate(counts, 1):
             found, _ = _gather(data, starts, sizes, numbers[at : at + n])
             at += n
             n_tokens.append(len(found))
@@ -266,7 +270,12 @@ def _placed(path: str):
             id_ends.append(len(id_bytes))
             decoded += _gather(*_piece_bytes(path), found)[0].tobytes().decode("utf-8", "replace").encode()
             ends.append(len(decoded))
-        return pa.table({"row": texts["rows"][0].values, "n_tokens": pa.array(n_tokens, pa.int64()), "ids": _joined(id_bytes, id_ends, pa.binary()), "decoded": _joined(decoded, ends, pa.string())})
+            if len(decoded) >= OUT_BYTES or i == len(counts):
+                part = [row.slice(i - len(ends), len(ends)), pa.array(n_tokens, pa.int64()), _joined(id_bytes, id_ends, pa.binary()), _joined(decoded, ends, pa.string())]
+                out.append(pa.RecordBatch.from_arrays(part, names=["row", "n_tokens", "ids", "decoded"]))
+                n_tokens, id_bytes, id_ends, decoded, ends = [], bytearray(), [], bytearray(), []
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_batches(out)
 
     return run
 

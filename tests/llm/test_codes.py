@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -207,3 +208,23 @@ def test_decode_skips_unknown_ids(spark):
     rows = [(1, [15496, 995, 50256]), (2, []), (3, None), (4, [99999, 0])]
     got = {r.k: bytes(r.bytes) for r in bpe.decode(spark.createDataFrame(rows, "k int, ids array<int>"), "k").collect()}
     assert got == {1: b"Hello world<|endoftext|>", 2: b"", 3: b"", 4: b"!"}
+
+
+def test_bpe_gives_a_chunk_back_in_bounded_batches():
+    """Ids and texts of a chunk go back in several batches, in the order of its texts."""
+    texts = ["word " * (i % 7) + "é\U0001f600" * (i % 3) for i in range(400)]
+    words = [bpe._tokenizer(bpe.VOCABULARY).pre_tokenizer.pre_tokenize_str(t) for t in texts]
+    words = [[t[a:b] for _, (a, b) in w] for t, w in zip(texts, words, strict=True)]
+    names = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
+    ids = bpe.encode_words(list(names))
+    pack = lambda x: bpe._packed(np.array(x, np.uint32))
+    table = pa.table({"steps": [pack(np.diff(np.arange(len(names)), prepend=0))], "sizes": [pack([len(x) for x in ids])], "ids": [pack([i for x in ids for i in x])]})
+    rows = pa.table({"rows": [list(range(400))], "counts": pa.array([[len(w) for w in words]], pa.list_(pa.int32())), "numbers": [pack([names[w] for ws in words for w in ws])]})
+    whole = bpe._placed(bpe.VOCABULARY)(rows, table)
+    bpe.OUT_BYTES, before = 1000, bpe.OUT_BYTES
+    try:
+        parts = bpe._placed(bpe.VOCABULARY)(rows, table)
+    finally:
+        bpe.OUT_BYTES = before
+    assert len(parts.to_batches()) > 3 and parts.combine_chunks().equals(whole.combine_chunks())
+    assert parts["decoded"].to_pylist() == texts and parts["row"].to_pylist() == list(range(400))
