@@ -17,6 +17,8 @@ BITS = 20
 #: Fitting takes about TRAIN_ROWS labelled documents and TRAIN_BYTES of their texts at most, in shards of about SHARD_ROWS
 #: and SHARD_BYTES at most.
 TRAIN_ROWS, TRAIN_BYTES, SHARD_ROWS, SHARD_BYTES = 40_000, 256 << 20, 10_000, 32 << 20
+#: Bytes of text that become features at once, which take about a hundred times as much.
+STEP_BYTES = 1 << 20
 #: Bytes of the beginnings of words that are features too, as languages that join words put an insult's stem there.
 STEMS = (3, 5, 7)
 #: A feature is learnt once MIN_DOCS examples of a shard have it. The L1 strength is L1_SCALE times the square root of
@@ -48,6 +50,14 @@ def features(text: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) >> K.U(64 - bits)).astype(np.int64), np.concatenate(rows)
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The 32-bit words of each row of a binary column, without a copy."""
+    _, offsets, data = column.buffers()
+    offs = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4) // 4
+    words = np.frombuffer(data, "<i4") if data is not None and data.size else np.zeros(0, "<i4")
+    return [words[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)]
+
+
 class Ftrl:
     """Per-coordinate learning rates; a weight is zero until its summed gradient leaves the L1 band."""
 
@@ -89,7 +99,7 @@ def train(examples: DataFrame, rows: int = TRAIN_ROWS, shard_rows: int = SHARD_R
     size = 1 << bits
 
     def encode(batches):
-        for batch in K.parts(batches, "text", 1 << 20):
+        for batch in K.parts(batches, "text", STEP_BYTES):
             place, row = features(batch["text"], bits)
             pairs = np.unique((row << bits) | place)
             bounds = np.searchsorted(pairs >> bits, np.arange(batch.num_rows + 1))
@@ -97,21 +107,23 @@ def train(examples: DataFrame, rows: int = TRAIN_ROWS, shard_rows: int = SHARD_R
             yield pa.RecordBatch.from_arrays([batch["h"], batch["label"], blobs], names=["h", "label", "places"])
 
     def fit(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("h", "ascending"), ("places", "ascending")])
-        label = group["label"].to_numpy()
-        lists = group["places"].combine_chunks()
-        length = pc.binary_length(lists).to_numpy() // 4
-        place = np.frombuffer(b"".join(lists.to_pylist()), "<i4")
-        common = np.flatnonzero((np.bincount(place, minlength=size) >= min(MIN_DOCS, len(label)))[place])
-        place, bounds = place[common], np.searchsorted(common, np.concatenate([[0], np.cumsum(length)]))
-        del group, lists, common
+        # the lists stay where they arrived: one shard's are read in place, list by list, and are never put together
+        order = pc.sort_indices(group, sort_keys=[("h", "ascending"), ("places", "ascending")]).to_numpy()
+        label = group["label"].to_numpy()[order]
+        lists = [x for chunk in group["places"].chunks for x in _lists(chunk)]
+        lists = [lists[i] for i in order]
+        count = np.zeros(size, np.int32)
+        for x in lists:
+            count[x] += 1  # a text's places are distinct
+        common = count >= min(MIN_DOCS, len(label))
         rare = max(1, int((label == 1).sum()))
         weight = RARE * math.sqrt(max(0.25, (len(label) - rare) / rare))
         model = Ftrl(size + 1, L1_SCALE * math.sqrt(len(label)))
         draw = np.random.Generator(np.random.PCG64(5))
         for _ in range(EPOCHS):
             for i in draw.permutation(len(label)):
-                model.learn(np.append(place[bounds[i] : bounds[i + 1]].astype(np.int64), size), int(label[i] == 1), weight if label[i] == 1 else 1.0)
+                place = lists[i][common[lists[i]]].astype(np.int64)
+                model.learn(np.append(place, size), int(label[i] == 1), weight if label[i] == 1 else 1.0)
         w = model.weights()
         on = np.flatnonzero(w)
         return pa.table({"place": on, "weight": w[on]})
@@ -132,17 +144,23 @@ def score(docs: DataFrame, weights: DataFrame, text_col: str = "text", threshold
     table = [r for r in table if r.place < 1 << bits]
     model = docs.sparkSession.sparkContext.broadcast((np.array([r.place for r in table], np.int64), np.array([r.weight for r in table], np.float64)))
     base = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    inside = next((i for i, f in enumerate(docs.schema) if f.name == text_col and isinstance(f.dataType, T.StringType)), None)
+    if inside is not None:  # the text is sent once, with its row
+        base = base.select("row")
     schema = T.StructType([base.schema["row"], T.StructField("score", T.DoubleType())])
 
     def run(batches):
         dense = np.zeros(1 << bits)
         dense[model.value[0]] = model.value[1]
-        for batch in K.parts(batches, "text"):
+        if inside is not None:
+            batches = (pa.RecordBatch.from_arrays([b["row"], b["row"].field(inside)], names=["row", "text"]) for b in batches)
+        for batch in K.parts(batches, "text", STEP_BYTES):
             place, row = features(batch["text"], bits)
             on = dense[place] != 0
             pairs = np.unique((row[on] << bits) | place[on])
             logit = bias + np.bincount(pairs >> bits, dense[pairs & ((1 << bits) - 1)], batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(1 / (1 + np.exp(-np.clip(logit, -35, 35))))], names=["row", "score"])
+            pa.default_memory_pool().release_unused()
 
     done = base.mapInArrow(run, schema)
     done = done.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ("score", "predicted")), "score")

@@ -571,3 +571,35 @@ def test_line_dedup_of_the_given_documents_by_brute_force(spark):
         if not again:
             assert after[i].text == before[i] and after[i].removed_lines == 0
     assert repeated > 50 and left <= 0.01 * repeated, (repeated, left)
+
+
+def peak_mb(run) -> float:
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def test_toxicity_steps_are_small(spark, monkeypatch):
+    """What a task holds is bounded by a step of the texts, and a shard's features aren't copied."""
+    caught = {}
+    frame, grouped = type(spark.range(1)), type(spark.range(1).groupBy("id"))
+    for kind, name in ((frame, "mapInArrow"), (grouped, "applyInArrow")):
+        original = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda self, f, *a, original=original: (caught.__setitem__(f.__name__, f), original(self, f, *a))[1])
+    rows = [(i, f"words {i}", i % 2) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    TX.score(df, TX.train(df))
+    texts = pa.array([" ".join(f"w{(i * 31 + j) % 9973}" for j in range(1000)) for i in range(1200)])
+    row = pa.StructArray.from_arrays([pa.array(np.arange(1200)), texts], names=["doc_id", "text"])
+    batch = pa.RecordBatch.from_arrays([row, texts], names=["row", "text"])
+    assert peak_mb(lambda: [None for _ in caught["run"](iter([batch]))]) < 80
+    blob = np.arange(2000, dtype="<i4").tobytes()
+    n = 2000
+    group = pa.table({"h": np.arange(n), "label": pa.array(np.arange(n) % 2, pa.int32()), "places": pa.array([blob] * n)})
+    monkeypatch.setattr(TX, "EPOCHS", 1)
+    assert peak_mb(lambda: caught["fit"](group)) < 60  # eight arrays of 2**20 weights take 50; the places are 15 and were copied five times
