@@ -21,9 +21,11 @@ WINDOW, END_ID, SHARD_BYTES, SHARD_ROWS = 2048, 1, 8 << 20, 1 << 14
 #: Terms are hashed into 2**TERM_BITS places, so the document frequencies have a fixed size (1 MB).
 TERM_BITS, K1, B = 18, 1.2, 0.75
 #: Seeds of a search task, documents of its step, terms that it multiplies as a matrix; neighbours a lookup asks for, and at most.
-SEEDS, DOCS, FREQUENT, BEST, MOST = 1024, 2048, 512, 64, 4096
-#: Pieces whose ids are remembered in a worker.
-REMEMBERED = 1 << 20
+SEEDS, DOCS, FREQUENT, BEST, MOST = 1024, 512, 512, 64, 4096
+#: Neighbours that a search holds (twice as many while it sorts them), and products that it adds up at once.
+HELD, PRODUCTS = 1 << 20, 1 << 19
+#: Bytes of text that are encoded or split into terms at once; pieces whose ids are remembered in a worker.
+STEP_BYTES, REMEMBERED = 1 << 20, 1 << 17
 
 _LETTER, _NUMBER, _SPACE, _OTHER, _UNSURE = 1, 2, 3, 4, 9
 _TABLE = 0x530
@@ -141,7 +143,7 @@ class Encoder:
             sure = ~np.isin(row, whole)
             starts, ends, h, row = starts[sure], ends[sure], h[sure], row[sure]
         distinct, example, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.slot) + len(distinct) > REMEMBERED:
+        if self.slot and len(self.slot) + len(distinct) > REMEMBERED:
             self.forget()
         keys = distinct.tolist()
         new = [i for i, x in enumerate(keys) if x not in self.slot]
@@ -187,7 +189,7 @@ def term_statistics(docs: DataFrame) -> tuple[np.ndarray, int, float]:
 
     def run(batches):
         total = np.zeros((1 << TERM_BITS) + 2, np.int64)
-        for batch in K.parts(batches, "text"):
+        for batch in K.parts(batches, "text", STEP_BYTES):
             _, first, place = _terms(batch["text"])
             total[:-2] += np.bincount(_grouped(place, first)[1], minlength=1 << TERM_BITS)
             total[-2:] += [batch.num_rows, len(place)]
@@ -290,7 +292,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     idf = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32))
 
     def keys(batches):
-        for batch in K.parts(batches, "text"):
+        for batch in K.parts(batches, "text", STEP_BYTES):
             word, first, _ = _terms(batch["text"])
             out = []
             for salt in (3, 5):
@@ -301,7 +303,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     def encode(batches):
         encoder, part, at = _encoder(path), TaskContext.get().partitionId(), 0
-        for batch in K.parts(batches, "text", 1 << 20):
+        for batch in K.parts(batches, "text", STEP_BYTES):
             tokens, bounds = encoder.encode(batch["text"].to_pylist())
             _, first, place = _terms(batch["text"])
             row, term, tf = _grouped(place, first)
@@ -312,6 +314,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 names=["part", "at", "doc_id", "size", "words", "terms", "tf", "ids"],
             )
             at += m
+            del tokens, place, row, term, tf
+            pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batches took
 
     rows = docs.mapInArrow(keys, "doc_id long, text string, m1 long, m2 long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -440,10 +444,12 @@ def search(table: DataFrame, folder: str, state: np.ndarray, base: np.ndarray, i
             on = pa.array(np.flatnonzero(shared.value[u] == 2))
             yield pa.RecordBatch.from_arrays([pa.array(u).take(on), batch["terms"].take(on)], names=["uid", "terms"])
 
+    step = max(1, min(SEEDS, HELD // best))
+
     def run(batches):
         for block in batches:
-            for at in range(0, block.num_rows, SEEDS):
-                x = block.slice(at, SEEDS)
+            for at in range(0, block.num_rows, step):
+                x = block.slice(at, step)
                 yield from _best(x["uid"].to_numpy(), x["terms"], folder, shared.value, base, idf.value, columns.value, mean, best)
 
     blocks = max(1, -(-int((state == 2).sum()) // SEEDS))
@@ -505,7 +511,7 @@ def _best(uids: np.ndarray, terms: pa.Array, folder: str, state: np.ndarray, bas
                 total = np.cumsum(count[t])
                 a = 0
                 while a < len(t):  # in steps of bounded size
-                    z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + (1 << 21), "right")))
+                    z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PRODUCTS, "right")))
                     n = count[t[a:z]]
                     at = np.arange(n.sum()) + np.repeat(begin[t[a:z]] - (np.cumsum(n) - n), n)
                     flat = row[at] * m + np.repeat(doc[a:z], n)

@@ -603,3 +603,36 @@ def test_toxicity_steps_are_small(spark, monkeypatch):
     group = pa.table({"h": np.arange(n), "label": pa.array(np.arange(n) % 2, pa.int32()), "places": pa.array([blob] * n)})
     monkeypatch.setattr(TX, "EPOCHS", 1)
     assert peak_mb(lambda: caught["fit"](group)) < 60  # eight arrays of 2**20 weights take 50; the places are 15 and were copied five times
+
+
+def test_packing_search_and_encoder_are_bounded(tmp_path):
+    import pyarrow.parquet as pq
+
+    draw = np.random.Generator(np.random.PCG64(1))
+    n, each = 2048, 150
+    row, term = np.repeat(np.arange(n), each), draw.integers(0, 4000, n * each)
+    bounds = np.arange(n + 1) * each
+    terms, tf = PK._blobs(term, bounds), PK._blobs(np.ones_like(term), bounds)
+    pq.write_table(pa.table({"part": np.zeros(n, np.int64), "at": np.arange(n), "words": np.full(n, each), "terms": terms, "tf": tf}), tmp_path / "a.parquet")
+    df = np.bincount(term, minlength=1 << PK.TERM_BITS).astype(np.float32)
+    idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    column = np.full(1 << PK.TERM_BITS, -1, np.int64)
+    column[:100] = np.arange(100)
+    found = []
+    run = lambda: found.extend(PK._best(np.arange(1024), terms.slice(0, 1024), f"file://{tmp_path}", np.ones(n, np.int64), np.zeros(2, np.int64), idf, column, float(each), 8))
+    assert peak_mb(run) < 80
+    out = pa.Table.from_batches(found)
+    assert out.num_rows == 1024 * 8 and {0, 1023} <= set(out["seed"].to_pylist())
+    dense = np.zeros((n, 4000))
+    np.add.at(dense, (row, term), 1)
+    weight = np.zeros_like(dense)
+    np.add.at(weight, (row, term), idf[term] * (PK.K1 + 1) / (1 + PK.K1))
+    for seed in (0, 500, 1023):
+        scores = weight @ dense[seed]
+        mine = [d for s, d in zip(out["seed"].to_pylist(), out["doc"].to_pylist(), strict=True) if s == seed]
+        assert min(scores[mine]) >= 0.999 * np.sort(scores)[-8]
+    encoder = PK.Encoder(PK.default_tokenizer())
+    for a in range(0, 400_000, 40_000):
+        ids, bounds = encoder.encode([" ".join(f"{a + i}x" for i in range(40_000))])
+        assert len(encoder.slot) <= 1 << 18
+    assert ids[:-1].tolist() == encoder.model.encode(" ".join(f"{a + i}x" for i in range(40_000)), add_special_tokens=False).ids
