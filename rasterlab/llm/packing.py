@@ -25,7 +25,9 @@ SEEDS, DOCS, FREQUENT, BEST, MOST = 1024, 512, 512, 64, 4096
 #: Neighbours that a search holds (twice as many while it sorts them), and products that it adds up at once.
 HELD, PRODUCTS = 1 << 20, 1 << 19
 #: Bytes of text that are encoded or split into terms at once; pieces whose ids are remembered in a worker.
-STEP_BYTES, REMEMBERED = 1 << 20, 1 << 17
+STEP_BYTES, REMEMBERED = 1 << 20, 1 << 18
+#: Bytes and rows of a block of documents that fixed queries stream past, queries of its step and of a file; tokens that a task cuts.
+BLOCK_BYTES, BLOCK_ROWS, QUERIES, FILE_ROWS, TASK_TOKENS = 4 << 20, 2048, 512, 4096, 4 << 20
 
 _LETTER, _NUMBER, _SPACE, _OTHER, _UNSURE = 1, 2, 3, 4, 9
 _TABLE = 0x530
@@ -93,7 +95,8 @@ def piece_starts(cp: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndar
 class Encoder:
     """Token ids of many texts. Distinct pieces are encoded once by the tokenizer and remembered.
 
-    Texts with a code point whose class is unsure go to the tokenizer whole.
+    Where more than ``REMEMBERED`` would be, the half that the fewest steps needed goes. Texts with a code point whose
+    class is unsure go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -102,27 +105,25 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.forget()
-
-    def forget(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.start = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        found = self.model.encode(texts, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, np.int32)
-        size = np.bincount(np.array(found.word_ids, np.int64), minlength=len(texts))
-        known = len(self.slot)
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids)), np.int32)])
-        if known + len(texts) + 1 > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros(max(len(texts), len(self.start)) + 1, np.int64)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.start[known + 1 : known + 1 + len(texts)] = self.used + np.cumsum(size)
-        self.used += len(ids)
-        self.slot.update(zip(hashes, range(known, known + len(texts)), strict=True))
+        #: Sorted hashes of the remembered pieces; where their ids begin, how many they are, how often steps needed them.
+        self.slot = np.zeros(0, K.U)
+        self.begin, self.size, self.uses = np.zeros((3, 0), np.int64)
+        self.ids = np.zeros(0, np.int32)
+
+    def _learn(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces one after another, and how many each has."""
+        found = [self.model.encode(texts[a : a + 4096], is_pretokenized=True, add_special_tokens=False) for a in range(0, len(texts), 4096)]
+        size = [np.bincount(np.array(x.word_ids, np.int64), minlength=min(4096, len(texts) - 4096 * i)) for i, x in enumerate(found)]
+        return np.concatenate([np.array(x.ids, np.int32) for x in found]), np.concatenate(size)
+
+    def _forget(self) -> None:
+        if len(self.slot) <= REMEMBERED:
+            return
+        on = np.sort(np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2])
+        begin, size = self.begin[on], self.size[on]
+        self.slot, self.size, self.uses = self.slot[on], size, self.uses[on] // 2
+        self.begin = np.cumsum(size) - size
+        self.ids = self.ids[np.repeat(begin - self.begin, size) + np.arange(size.sum())]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, each text's followed by END_ID, and the texts' offsets in them."""
@@ -143,15 +144,19 @@ class Encoder:
             sure = ~np.isin(row, whole)
             starts, ends, h, row = starts[sure], ends[sure], h[sure], row[sure]
         distinct, example, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if self.slot and len(self.slot) + len(distinct) > REMEMBERED:
-            self.forget()
-        keys = distinct.tolist()
-        new = [i for i, x in enumerate(keys) if x not in self.slot]
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            self._learn([keys[i] for i in part], [joined[starts[example[i]] : ends[example[i]]] for i in part])
-        slots = np.fromiter((self.slot[x] for x in keys), np.int64, len(keys))[inverse]
-        begin, size = self.start[slots], self.start[slots + 1] - self.start[slots]
+        at = np.searchsorted(self.slot, distinct)
+        known = np.append(self.slot, K.U(0))[at] == distinct
+        known &= at < len(self.slot)
+        new = np.flatnonzero(~known)
+        if len(new):
+            ids, size = self._learn([joined[a:b] for a, b in zip(starts[example[new]].tolist(), ends[example[new]].tolist(), strict=True)])
+            values = (distinct[new], len(self.ids) + np.cumsum(size) - size, size, np.zeros(len(new), np.int64))
+            self.slot, self.begin, self.size, self.uses = (np.insert(x, at[new], y) for x, y in zip((self.slot, self.begin, self.size, self.uses), values, strict=True))
+            self.ids = np.concatenate([self.ids, ids])
+            at = np.searchsorted(self.slot, distinct)
+        self.uses[at] += 1
+        slots = at[inverse]
+        begin, size = self.begin[slots], self.size[slots]
         count = np.bincount(row, size, len(texts)).astype(np.int64)
         extra = {int(i): x.ids for i, x in zip(whole, self.model.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True)} if len(whole) else {}
         for i, x in extra.items():
@@ -165,6 +170,7 @@ class Encoder:
         out[np.repeat(bounds[sure_rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = flat
         for i, x in extra.items():
             out[bounds[i] : bounds[i] + len(x)] = x
+        self._forget()
         return out, bounds
 
 
@@ -268,7 +274,7 @@ def _windows(shard: Shard, bounds: np.ndarray, room: int) -> Iterator[tuple[int,
             queue = shard.neighbours(doc, unused)[::-1].tolist() if room < WINDOW else []
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, shard_bytes: int = SHARD_BYTES, every: int | None = None) -> DataFrame:
     """``(doc_id, start, length, ids, doc_tokens, sequence_id, offset)``: the pieces of all documents in windows.
 
     ``ids`` are the piece's token ids as little-endian 32-bit words. Documents are ordered by MinHashes of their words,
@@ -284,12 +290,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     largest down, which need no padding: every sequence holds 2048 tokens or a smaller power of two. Each id is in
     exactly one piece, and a document's pieces come in order. Null and empty texts are the end id alone. Repeated rows
     are packed as often as they occur; a null id stays null. Other columns are ignored.
+
+    With ``every``, the documents whose id is divisible by it are the queries (``_pack_by_queries``): all rows are scored
+    against all of them, in one search instead of rounds.
     """
     spark = docs.sparkSession
     path = tokenizer or default_tokenizer()
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     df, n, mean = term_statistics(docs)
     idf = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32))
+    frequent = np.sort(np.argsort(-df, kind="stable")[:FREQUENT])
+    if every:
+        return _pack_by_queries(docs, every, n, idf, frequent, mean, path)
 
     def keys(batches):
         for batch in K.parts(batches, "text", STEP_BYTES):
@@ -330,7 +342,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     base = np.cumsum(base)
     uid = F.element_at(F.lit(base.tolist()), (F.col("part") + 1).cast("int")) + F.col("at")
     table = table.withColumn("uid", uid)
-    frequent = np.sort(np.argsort(-df, kind="stable")[:FREQUENT])
     placed, left, alone = _rounds(table, folder, base, idf, frequent, mean, shard_bytes)
 
     def rest(kind):
@@ -394,6 +405,149 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     return whole.mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
+def _pack_by_queries(docs: DataFrame, every: int, n: int, idf, frequent: np.ndarray, mean: float, path: str) -> DataFrame:
+    """Pieces of documents in the order of their queries.
+
+    The documents with words whose id is divisible by ``every`` are the queries. Each of the others is scored by BM25
+    against all of them and follows the one it is most alike to (``nearest``), best first. Range partitions of that
+    order are cut into windows, so that no task gets a group whole; the last window of a task is cut at powers of two.
+    Documents that share no term with a query come by id, in front.
+    """
+    spark = docs.sparkSession
+    column = np.full(1 << TERM_BITS, -1, np.int32)
+    column[frequent] = np.arange(len(frequent))
+    columns = spark.sparkContext.broadcast(column)
+
+    def terms(batches):
+        for batch in K.parts(batches, "text", STEP_BYTES):
+            _, first, place = _terms(batch["text"])
+            row, term, _ = _grouped(place, first)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], _blobs(term, np.searchsorted(row, np.arange(batch.num_rows + 1)))], names=["doc_id", "terms"])
+
+    queries = docs.where(F.col("doc_id") % every == 0).mapInArrow(terms, "doc_id long, terms binary").where("length(terms) > 0")
+    folder = materialise(queries.repartition(max(1, n // (every * FILE_ROWS)))).written_to
+
+    def follow(batches):
+        encoder = _encoder(path)
+        for block in K.parts(batches, "text", BLOCK_BYTES):
+            for at in range(0, block.num_rows, BLOCK_ROWS):
+                part = block.slice(at, BLOCK_ROWS)
+                query, score = _followed(part, every, folder, idf.value, columns.value, mean)
+                done = 0
+                for x in K.parts(iter([part]), "text", STEP_BYTES):
+                    tokens, bounds = encoder.encode(x["text"].to_pylist())
+                    m, kind = x.num_rows, "<u2" if tokens.max() < 1 << 16 else "<u4"
+                    yield pa.RecordBatch.from_arrays(
+                        [x["doc_id"], pa.array(np.diff(bounds)), _blobs(tokens, bounds, kind), query.slice(done, m), score.slice(done, m)], names=["doc_id", "size", "ids", "query", "score"]
+                    )
+                    done += m
+            pa.default_memory_pool().release_unused()
+
+    rows = materialise(docs.mapInArrow(follow, "doc_id long, size long, ids binary, query long, score float"))
+    tokens = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    order = ["query", F.desc("score"), "doc_id"]
+    rows = rows.repartitionByRange(max(1, -(-tokens // TASK_TOKENS)), *order).sortWithinPartitions(*order)
+
+    def cut(batches):
+        origin, room, out = TaskContext.get().partitionId() << 32, WINDOW, []
+        held: list[list] = []  # pieces of the window that is being filled
+        for batch in K.parts(batches, "ids"):
+            for doc, size, blob in zip(batch["doc_id"].to_pylist(), batch["size"].to_pylist(), batch["ids"], strict=True):
+                ids = np.frombuffer(blob.as_buffer(), "<u2" if len(blob.as_buffer()) == 2 * size else "<u4")
+                at = 0
+                while at < size:
+                    take = min(size - at, room)
+                    held.append([doc, at, take, ids[at : at + take].astype("<u4").tobytes(), size, origin, WINDOW - room])
+                    at, room = at + take, room - take
+                    if not room:
+                        out += held
+                        held, room, origin = [], WINDOW, origin + 1
+                    if len(out) >= 2000:
+                        yield _pieces(out)
+                        out = []
+        for i, at, take, sequence, offset in _cut_last([[i, 0, x[2]] for i, x in enumerate(held)], origin) if held else []:
+            doc, start, _, ids, size, *_ = held[i]
+            out.append([doc, start + at, take, ids[4 * at : 4 * (at + take)], size, sequence, offset])
+        if out:
+            yield _pieces(out)
+
+    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+
+
+def _followed(block: pa.RecordBatch, every: int, folder: str, idf: np.ndarray, column: np.ndarray, mean: float) -> tuple[pa.Array, pa.Array]:
+    """The query that each document follows, and the likeness; a query follows itself, a document like no query none."""
+    _, first, place = _terms(block["text"])
+    words = np.diff(first)
+    doc_id = block["doc_id"].fill_null(0).to_numpy()
+    own = (words > 0) & (doc_id % every == 0) & block["doc_id"].is_valid().to_numpy(zero_copy_only=False)
+    other = np.flatnonzero((words > 0) & ~own)
+    row, term, tf = _grouped(place, first)
+    on = ~own[row]
+    score = np.where(own, np.float32(np.inf), np.float32(0))
+    follows = np.where(own, doc_id, 0)
+    follows[other], score[other] = nearest(words[other], np.searchsorted(other, row[on]), term[on], tf[on], folder, idf, column, mean)
+    return pa.array(follows, mask=score <= 0), pa.array(score)
+
+
+def nearest(words: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray, folder: str, idf: np.ndarray, column: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each document of a block the query in ``folder`` with the best score, and the score; 0 where no term is shared.
+
+    The score is BM25 over the root of the query's number of terms, else long queries would get most documents; among
+    the documents of one query this leaves BM25's order. All queries stream past, so the memory is bounded and the
+    work is queries times documents. The most frequent terms are multiplied as a matrix, the others through an index
+    of the block; all of them count. Of equal scores the first stored query's counts.
+    """
+    m = len(words)
+    best, who = np.zeros(m, np.float32), np.zeros(m, np.int64)
+    if not m:
+        return who, best
+    weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[row] / max(mean, 1e-9)))).astype(np.float32)
+    c = column[term]
+    dense = c >= 0
+    matrix = np.zeros((int(column.max()) + 1, m), np.float32)
+    matrix[c[dense], row[dense]] = weight[dense]
+    row, term, weight = row[~dense], term[~dense], weight[~dense]
+    order = np.argsort(term, kind="stable")
+    row, weight, count = row[order], weight[order], np.bincount(term, minlength=1 << TERM_BITS)
+    begin = np.cumsum(count) - count
+    for batch in _stored(folder, QUERIES, ["doc_id", "terms"]):
+        q, t = _unblob(batch["terms"])
+        ids = batch["doc_id"].to_numpy()
+        root = np.sqrt(np.bincount(q, minlength=len(ids))).astype(np.float32)
+        c = column[t]
+        dense = c >= 0
+        query = np.zeros((len(ids), len(matrix)), np.float32)
+        query[q[dense], c[dense]] = 1
+        score = query @ matrix
+        flat = score.reshape(-1)
+        n = count[t]
+        on = ~dense & (n > 0)
+        q, t, n = q[on] * m, t[on], n[on]
+        total, at, done = np.cumsum(n), begin[t], 0
+        at -= total - n
+        for a in _steps(total, PRODUCTS):
+            now = n[a]
+            stop = int(total[a][-1])
+            entry = np.arange(done, stop) + np.repeat(at[a], now)
+            np.add.at(flat, np.repeat(q[a], now) + row[entry], weight[entry])
+            done = stop
+        score /= root[:, None]
+        top = score.argmax(axis=0)
+        value = score[top, np.arange(m)]
+        better = value > best
+        best[better], who[better] = value[better], ids[top[better]]
+    return who, best
+
+
+def _steps(total: np.ndarray, limit: int) -> Iterator[slice]:
+    """Slices whose part of the running ``total`` is at most ``limit``; a larger entry comes alone."""
+    a = 0
+    while a < len(total):
+        z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + limit, "right")))
+        yield slice(a, z)
+        a = z
+
+
 _PLACED = "uid long, start long, length long, sequence_id long, offset long"
 
 
@@ -401,9 +555,9 @@ def _placements(rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*rows, strict=True)], names=["uid", "start", "length", "sequence_id", "offset"])
 
 
-def _blobs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Each row's values as little-endian 32-bit words."""
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(values.astype("<i4"))])
+def _blobs(values: np.ndarray, bounds: np.ndarray, kind: str = "<i4") -> pa.Array:
+    """Each row's values as little-endian words, of 32 bits if not said otherwise."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((np.dtype(kind).itemsize * bounds).astype(np.int32)), pa.py_buffer(values.astype(kind))])
 
 
 def _unblob(*columns: pa.Array) -> tuple[np.ndarray, ...]:
@@ -459,8 +613,6 @@ def search(table: DataFrame, folder: str, state: np.ndarray, base: np.ndarray, i
 
 
 def _best(uids: np.ndarray, terms: pa.Array, folder: str, state: np.ndarray, base: np.ndarray, idf: np.ndarray, column: np.ndarray, mean: float, best: int) -> Iterator[pa.RecordBatch]:
-    import pyarrow.parquet as pq
-
     b = len(uids)
     row, term = _unblob(terms)
     dense = column[term] >= 0
@@ -487,49 +639,44 @@ def _best(uids: np.ndarray, terms: pa.Array, folder: str, state: np.ndarray, bas
         kept = [(s[on], d[on], v[on])]
         waiting = 0
 
-    fs, root = pafs.FileSystem.from_uri(folder)
-    for info in fs.get_file_info(pafs.FileSelector(root)):
-        if not info.path.endswith(".parquet"):
+    for batch in _stored(folder, DOCS, ["part", "at", "words", "terms", "tf"]):
+        u = base[batch["part"].to_numpy()] + batch["at"].to_numpy()
+        on = pa.array(np.flatnonzero(state[u] == 1))
+        if not len(on):
             continue
-        with fs.open_input_file(info.path) as f:
-            for batch in pq.ParquetFile(f).iter_batches(DOCS, columns=["part", "at", "words", "terms", "tf"]):
-                u = base[batch["part"].to_numpy()] + batch["at"].to_numpy()
-                on = pa.array(np.flatnonzero(state[u] == 1))
-                if not len(on):
-                    continue
-                u, m = u[on.to_numpy()], len(on)
-                doc, t, tf = _unblob(batch["terms"].take(on), batch["tf"].take(on))
-                length = batch["words"].take(on).to_numpy()[doc]
-                w = (idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-9)))).astype(np.float32)
-                c = column[t]
-                d = c >= 0
-                matrix = np.zeros((wide, m), np.float32)
-                matrix[c[d], doc[d]] = w[d]
-                score = query @ matrix
-                on = ~d & (count[t] > 0)
-                doc, t, w = doc[on], t[on], w[on]
-                total = np.cumsum(count[t])
-                a = 0
-                while a < len(t):  # in steps of bounded size
-                    z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PRODUCTS, "right")))
-                    n = count[t[a:z]]
-                    at = np.arange(n.sum()) + np.repeat(begin[t[a:z]] - (np.cumsum(n) - n), n)
-                    flat = row[at] * m + np.repeat(doc[a:z], n)
-                    score += np.bincount(flat, np.repeat(w[a:z], n), b * m).reshape(b, m).astype(np.float32)
-                    a = z
-                score *= noise[:, :m]
-                if best < m and (score > limit[:, None]).sum() > 2 * b * best:
-                    top = np.argpartition(-score, best, axis=1)[:, :best]
-                    s = np.repeat(np.arange(b), best)
-                    hit = top.ravel()
-                    on = score[s, hit] > limit[s]
-                    s, hit = s[on], hit[on]
-                else:
-                    s, hit = np.nonzero(score > limit[:, None])
-                kept.append((s, u[hit], score[s, hit]))
-                waiting += len(s)
-                if waiting > b * best:
-                    trim()
+        u, m = u[on.to_numpy()], len(on)
+        doc, t, tf = _unblob(batch["terms"].take(on), batch["tf"].take(on))
+        length = batch["words"].take(on).to_numpy()[doc]
+        w = (idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-9)))).astype(np.float32)
+        c = column[t]
+        d = c >= 0
+        matrix = np.zeros((wide, m), np.float32)
+        matrix[c[d], doc[d]] = w[d]
+        score = query @ matrix
+        on = ~d & (count[t] > 0)
+        doc, t, w = doc[on], t[on], w[on]
+        total = np.cumsum(count[t])
+        a = 0
+        while a < len(t):  # in steps of bounded size
+            z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PRODUCTS, "right")))
+            n = count[t[a:z]]
+            at = np.arange(n.sum()) + np.repeat(begin[t[a:z]] - (np.cumsum(n) - n), n)
+            flat = row[at] * m + np.repeat(doc[a:z], n)
+            score += np.bincount(flat, np.repeat(w[a:z], n), b * m).reshape(b, m).astype(np.float32)
+            a = z
+        score *= noise[:, :m]
+        if best < m and (score > limit[:, None]).sum() > 2 * b * best:
+            top = np.argpartition(-score, best, axis=1)[:, :best]
+            s = np.repeat(np.arange(b), best)
+            hit = top.ravel()
+            on = score[s, hit] > limit[s]
+            s, hit = s[on], hit[on]
+        else:
+            s, hit = np.nonzero(score > limit[:, None])
+        kept.append((s, u[hit], score[s, hit]))
+        waiting += len(s)
+        if waiting > b * best:
+            trim()
     if kept:
         trim()
         s, d, v = kept[0]
@@ -537,6 +684,17 @@ def _best(uids: np.ndarray, terms: pa.Array, folder: str, state: np.ndarray, bas
             yield pa.RecordBatch.from_arrays([pa.array(uids[s[a : a + (1 << 16)]]), pa.array(d[a : a + (1 << 16)]), pa.array(v[a : a + (1 << 16)])], names=["seed", "doc", "score"])
 
 
+def _stored(folder: str, rows: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of a shared folder, read inside a task some at a time."""
+    import pyarrow.parquet as pq
+
+    fs, root = pafs.FileSystem.from_uri(folder)
+    for path in sorted(x.path for x in fs.get_file_info(pafs.FileSelector(root))):
+        if path.endswith(".parquet"):
+            with fs.open_input_file(path) as f:
+                yield from pq.ParquetFile(f).iter_batches(rows, columns=columns)
+
+
 def _rounds(table: DataFrame, folder: str, base: np.ndarray, idf, frequent: np.ndarray, mean: float, shard_bytes: int) -> tuple[DataFrame, DataFrame, bool]:
     """Full windows' pieces, what is left ``(uid, start, size, words)``, and whether that fits one shard.
 

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -636,3 +637,76 @@ def test_packing_search_and_encoder_are_bounded(tmp_path):
         ids, bounds = encoder.encode([" ".join(f"{a + i}x" for i in range(40_000))])
         assert len(encoder.slot) <= 1 << 18
     assert ids[:-1].tolist() == encoder.model.encode(" ".join(f"{a + i}x" for i in range(40_000)), add_special_tokens=False).ids
+
+
+def by_force(rows, every):
+    """For each document with words its BM25 over the root of the query's terms, by query, in plain Python."""
+    terms = {i: Counter(int(x) for x in PK._terms(pa.array([t or ""]))[2]) for i, t in rows}
+    mean, n = sum(sum(x.values()) for x in terms.values()) / len(rows), len(rows)
+    df = Counter(t for x in terms.values() for t in x)
+    out = {}
+    for i, x in terms.items():
+        size = sum(x.values())
+        weight = {t: np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c * (PK.K1 + 1) / (c + PK.K1 * (1 - PK.B + PK.B * size / mean)) for t, c in x.items()}
+        out[i] = {q: sum(weight[t] for t in terms[q] if t in weight) / len(terms[q]) ** 0.5 for q in terms if q % every == 0 and terms[q]}
+    return terms, out
+
+
+@pytest.mark.parametrize("steps", [(7, 5, 3, 20, 64), (2048, 512, 4096, 512, 1 << 19)])
+def test_packing_by_queries_equals_brute_force(spark, prose, monkeypatch, steps):
+    for name, value in zip(("BLOCK_ROWS", "QUERIES", "FILE_ROWS", "FREQUENT", "PRODUCTS"), steps, strict=True):
+        monkeypatch.setattr(PK, name, value)
+    rows = [(i, " ".join(prose.words(prose.random.randrange(5, 120)))) for i in range(200)] + [(200, None), (201, "\n"), (202, "like nothing else"), (203, prose.text(6000)), (220, "")]
+    out = PK.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), every=20).collect()
+    check_pieces(out, [t for _, t in rows])
+    terms, wanted = by_force(rows, 20)
+    order = [r.doc_id for r in sorted((r for r in out if r.start == 0), key=lambda r: (r.sequence_id, r.offset))]
+    assert order[:5] == [200, 201, 202, 220, 0]
+    group, last = 0, np.inf
+    for i in order[4:]:
+        if i % 20 == 0:
+            assert i > group or i == 0
+            group, last = i, np.inf
+        else:
+            assert wanted[i][group] >= max(wanted[i].values()) * (1 - 1e-4) and wanted[i][group] <= last * (1 + 1e-4)
+            last = wanted[i][group]
+    assert {i for i in order[4:] if i % 20 == 0} == set(range(0, 200, 20))
+
+
+def test_packing_by_queries_makes_one_row_a_document(spark, awkward, nothing, monkeypatch):
+    """One search, whose rows don't grow with queries times documents; a group of copies is cut by several tasks."""
+    written, original = [], PK.materialise
+
+    def watched(df):
+        written.append(original(df))
+        return written[-1]
+
+    monkeypatch.setattr(PK, "materialise", watched)
+    monkeypatch.setattr(PK, "TASK_TOKENS", 20_000)
+    rows = [(i, "one two three four five six " * 20) for i in range(1000)]
+    out = PK.pack(spark.createDataFrame(rows, "doc_id long, text string"), every=20).collect()
+    check_pieces(out, [t for _, t in rows])
+    assert [x.count() for x in written] == [50, 1000] and len({r.sequence_id >> 32 for r in out}) > 3
+    check_pieces(PK.pack(awkward, every=20).collect(), [t for _, t in awkward_rows()])
+    made = PK.pack(awkward, every=3).collect()
+    check_pieces(made, [t for _, t in awkward_rows()])
+    assert sorted((str(r.doc_id), r.doc_tokens) for r in made if r.start == 0) == sorted((str(r.doc_id), r.doc_tokens) for r in PK.pack(awkward).where("start = 0").collect())
+    assert PK.pack(nothing, every=20).count() == 0
+
+
+def test_encoder_remembers_the_pieces_that_come_again(monkeypatch):
+    monkeypatch.setattr(PK, "REMEMBERED", 400)
+    encoder = PK.Encoder(PK.default_tokenizer())
+    often, learnt, original = " ".join(f"word{i}" for i in range(50)), [], encoder.model.encode
+
+    class Watched:
+        def encode(self, texts, **k):
+            learnt.extend(texts)
+            return original(texts, **k)
+
+    model, encoder.model = encoder.model, Watched()
+    for a in range(0, 3000, 150):
+        text = often + " " + " ".join(f"{a + i}x" for i in range(150))
+        ids, bounds = encoder.encode([text])
+        assert ids[:-1].tolist() == model.encode(text, add_special_tokens=False).ids and len(encoder.slot) <= 400
+    assert learnt.count(" word") == 1
