@@ -27,7 +27,13 @@ HELD, PRODUCTS = 1 << 20, 1 << 19
 #: Bytes of text that are encoded or split into terms at once; pieces whose ids are remembered in a worker.
 STEP_BYTES, REMEMBERED = 1 << 20, 1 << 18
 #: Bytes and rows of a block of documents that fixed queries stream past, queries of its step and of a file; tokens that a task cuts.
-BLOCK_BYTES, BLOCK_ROWS, QUERIES, FILE_ROWS, TASK_TOKENS = 4 << 20, 2048, 512, 4096, 4 << 20
+BLOCK_BYTES, BLOCK_ROWS, QUERIES, FILE_ROWS, TASK_TOKENS = 32 << 20, 8192, 1024, 1 << 14, 4 << 20
+#: Documents of a block that are scored together, and terms of theirs or of a step's queries that may be multiplied as a matrix.
+TOGETHER, WIDE = 2048, 2048
+#: Groups of like queries, and queries that they are found from; they order the work and change no score.
+GROUPS, GROUP_SAMPLE = 8, 1024
+#: Seconds of a matrix product for one pair and term over those of a single product: denser terms are multiplied as a matrix.
+DENSE = 1 / 500
 
 _LETTER, _NUMBER, _SPACE, _OTHER, _UNSURE = 1, 2, 3, 4, 9
 _TABLE = 0x530
@@ -418,21 +424,33 @@ def _pack_by_queries(docs: DataFrame, every: int, n: int, idf, frequent: np.ndar
     column[frequent] = np.arange(len(frequent))
     columns = spark.sparkContext.broadcast(column)
 
+    def drawn(batches):
+        for batch in K.parts(batches, "text", STEP_BYTES):
+            _, first, place = _terms(batch["text"])
+            row, term, _ = _grouped(place, first)
+            c = columns.value[term]
+            row, c = row[c >= 0], c[c >= 0]
+            yield pa.RecordBatch.from_arrays([_blobs(c, np.searchsorted(row, np.arange(batch.num_rows + 1)))], names=["columns"])
+
     def terms(batches):
         for batch in K.parts(batches, "text", STEP_BYTES):
             _, first, place = _terms(batch["text"])
             row, term, _ = _grouped(place, first)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], _blobs(term, np.searchsorted(row, np.arange(batch.num_rows + 1)))], names=["doc_id", "terms"])
+            kind = _kinds(row, columns.value[term], batch.num_rows, centres)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(kind), _blobs(term, np.searchsorted(row, np.arange(batch.num_rows + 1)))], names=["doc_id", "kind", "terms"])
 
-    queries = docs.where(F.col("doc_id") % every == 0).mapInArrow(terms, "doc_id long, terms binary").where("length(terms) > 0")
-    folder = materialise(queries.repartition(max(1, n // (every * FILE_ROWS)))).written_to
+    queries = docs.where(F.col("doc_id") % every == 0)
+    some = queries.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 + n // (every * GROUP_SAMPLE))) == 0).mapInArrow(drawn, "columns binary").limit(2 * GROUP_SAMPLE)
+    centres = _centres([np.frombuffer(r.columns, "<i4") for r in some.collect()], len(frequent))
+    queries = queries.mapInArrow(terms, "doc_id long, kind long, terms binary").where("length(terms) > 0")
+    folder = materialise(queries.repartition(max(1, n // (every * FILE_ROWS))).sortWithinPartitions("kind", F.length("terms"), "doc_id")).written_to
 
     def follow(batches):
         encoder = _encoder(path)
         for block in K.parts(batches, "text", BLOCK_BYTES):
             for at in range(0, block.num_rows, BLOCK_ROWS):
                 part = block.slice(at, BLOCK_ROWS)
-                query, score = _followed(part, every, folder, idf.value, columns.value, mean)
+                query, score = _followed(part, every, folder, idf.value, columns.value, centres, mean)
                 done = 0
                 for x in K.parts(iter([part]), "text", STEP_BYTES):
                     tokens, bounds = encoder.encode(x["text"].to_pylist())
@@ -474,68 +492,133 @@ def _pack_by_queries(docs: DataFrame, every: int, n: int, idf, frequent: np.ndar
     return rows.mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
-def _followed(block: pa.RecordBatch, every: int, folder: str, idf: np.ndarray, column: np.ndarray, mean: float) -> tuple[pa.Array, pa.Array]:
+def _followed(block: pa.RecordBatch, every: int, folder: str, idf: np.ndarray, column: np.ndarray, centres: np.ndarray, mean: float) -> tuple[pa.Array, pa.Array]:
     """The query that each document follows, and the likeness; a query follows itself, a document like no query none."""
-    _, first, place = _terms(block["text"])
-    words = np.diff(first)
+    found, done = [], 0
+    for x in K.parts(iter([block]), "text", STEP_BYTES):
+        _, first, place = _terms(x["text"])
+        row, term, tf = _grouped(place, first)
+        found.append([np.diff(first), *(y.astype(np.int32) for y in (row + done, term, tf))])
+        done += x.num_rows
+    words, row, term, tf = (np.concatenate(x) for x in zip(*found, strict=True))
     doc_id = block["doc_id"].fill_null(0).to_numpy()
     own = (words > 0) & (doc_id % every == 0) & block["doc_id"].is_valid().to_numpy(zero_copy_only=False)
     other = np.flatnonzero((words > 0) & ~own)
-    row, term, tf = _grouped(place, first)
     on = ~own[row]
     score = np.where(own, np.float32(np.inf), np.float32(0))
     follows = np.where(own, doc_id, 0)
-    follows[other], score[other] = nearest(words[other], np.searchsorted(other, row[on]), term[on], tf[on], folder, idf, column, mean)
+    at = np.cumsum((words > 0) & ~own, dtype=np.int32) - 1
+    follows[other], score[other] = nearest(words[other], at[row[on]], term[on], tf[on], folder, idf, column, centres, mean)
     return pa.array(follows, mask=score <= 0), pa.array(score)
 
 
-def nearest(words: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray, folder: str, idf: np.ndarray, column: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+def _centres(found: list[np.ndarray], wide: int) -> np.ndarray:
+    """Directions that documents, given by their frequent terms, gather around (k-means of unit vectors, such as languages)."""
+    x = np.zeros((len(found), wide), np.float32)
+    for i, c in enumerate(found):
+        x[i, c] = max(1, len(c)) ** -0.5
+    x = x[x.any(axis=1)]
+    draw = np.random.Generator(np.random.PCG64(9))
+    centres = x[:1]
+    for _ in range(GROUPS - 1):
+        far = np.maximum(0, 1 - (x @ centres.T).max(axis=1, initial=0)).astype(np.float64)
+        if far.sum() < 1e-3:
+            break
+        centres = np.concatenate([centres, x[[draw.choice(len(x), p=far / far.sum())]]])
+    for _ in range(10):
+        near = (x @ centres.T).argmax(axis=1) if len(centres) else np.zeros(0, np.int64)
+        for g in np.unique(near):
+            centre = x[near == g].sum(axis=0)
+            centres[g] = centre / np.linalg.norm(centre)
+    return centres
+
+
+def _kinds(row: np.ndarray, c: np.ndarray, n: int, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each document, by the columns of its frequent terms."""
+    if not len(centres):
+        return np.zeros(n, np.int64)
+    x = np.zeros((n, centres.shape[1]), np.float32)
+    x[row[c >= 0], c[c >= 0]] = 1
+    return (x @ centres.T).argmax(axis=1)
+
+
+class _Together:
+    """Documents or queries as lists by term, and the terms that most of them have as the rows of a matrix."""
+
+    def __init__(self, n: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray | None = None):
+        self.n, self.count = n, np.bincount(term, minlength=1 << TERM_BITS)
+        often = np.flatnonzero(self.count * 64 >= n)
+        often = often[self.count[often] > 0]
+        self.often = np.sort(often[np.argsort(-self.count[often], kind="stable")[:WIDE]])
+        self.column = np.full(1 << TERM_BITS, -1, np.int32)
+        self.column[self.often] = np.arange(len(self.often))
+        self.matrix = np.zeros((len(self.often), n), np.float32)
+        c = self.column[term]
+        on = c >= 0
+        self.matrix[c[on], row[on]] = 1 if weight is None else weight[on]
+
+
+def nearest(
+    words: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray, folder: str, idf: np.ndarray, column: np.ndarray, centres: np.ndarray, mean: float
+) -> tuple[np.ndarray, np.ndarray]:
     """For each document of a block the query in ``folder`` with the best score, and the score; 0 where no term is shared.
 
     The score is BM25 over the root of the query's number of terms, else long queries would get most documents; among
     the documents of one query this leaves BM25's order. All queries stream past, so the memory is bounded and the
-    work is queries times documents. The most frequent terms are multiplied as a matrix, the others through an index
-    of the block; all of them count. Of equal scores the first stored query's counts.
+    work is queries times documents. Both lie by group and number of terms, so that those scored together share many
+    terms or few: terms that are dense among them are multiplied as a matrix, the others through lists; all of them
+    count. Only queries so long that a document's whole weight over their root is no better are passed over. Of equal
+    scores the first stored query's counts.
     """
     m = len(words)
     best, who = np.zeros(m, np.float32), np.zeros(m, np.int64)
     if not m:
         return who, best
     weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[row] / max(mean, 1e-9)))).astype(np.float32)
-    c = column[term]
-    dense = c >= 0
-    matrix = np.zeros((int(column.max()) + 1, m), np.float32)
-    matrix[c[dense], row[dense]] = weight[dense]
-    row, term, weight = row[~dense], term[~dense], weight[~dense]
-    order = np.argsort(term, kind="stable")
-    row, weight, count = row[order], weight[order], np.bincount(term, minlength=1 << TERM_BITS)
-    begin = np.cumsum(count) - count
+    whole = np.bincount(row, weight, m) * (1 + 1e-4)  # no score is more than this over the query's root
+    place = np.empty(m, np.int64)
+    order = np.lexsort((np.bincount(row, minlength=m), _kinds(row, column[term], m, centres)))
+    place[order] = np.arange(m)
+    block, row = np.divmod(place[row], TOGETHER)
+    blocks = []
+    for i in range(-(-m // TOGETHER)):
+        docs, on = order[i * TOGETHER : (i + 1) * TOGETHER], np.flatnonzero(block == i)
+        on = on[np.argsort(term[on], kind="stable")]
+        x = _Together(len(docs), row[on], term[on], weight[on])
+        blocks.append((docs, x, np.cumsum(x.count) - x.count, row[on], weight[on]))
+    del block, row, term, weight
     for batch in _stored(folder, QUERIES, ["doc_id", "terms"]):
         q, t = _unblob(batch["terms"])
         ids = batch["doc_id"].to_numpy()
-        root = np.sqrt(np.bincount(q, minlength=len(ids))).astype(np.float32)
-        c = column[t]
-        dense = c >= 0
-        query = np.zeros((len(ids), len(matrix)), np.float32)
-        query[q[dense], c[dense]] = 1
-        score = query @ matrix
-        flat = score.reshape(-1)
-        n = count[t]
-        on = ~dense & (n > 0)
-        q, t, n = q[on] * m, t[on], n[on]
-        total, at, done = np.cumsum(n), begin[t], 0
-        at -= total - n
-        for a in _steps(total, PRODUCTS):
-            now = n[a]
-            stop = int(total[a][-1])
-            entry = np.arange(done, stop) + np.repeat(at[a], now)
-            np.add.at(flat, np.repeat(q[a], now) + row[entry], weight[entry])
-            done = stop
-        score /= root[:, None]
-        top = score.argmax(axis=0)
-        value = score[top, np.arange(m)]
-        better = value > best
-        best[better], who[better] = value[better], ids[top[better]]
+        size = np.bincount(q, minlength=len(ids))
+        root = np.sqrt(size).astype(np.float32)
+        query = _Together(len(ids), q, t)
+        for docs, x, begin, rows, weights in blocks:
+            if (whole[docs] <= best[docs] * root.min()).all():
+                continue
+            c = query.column[x.often]
+            c = np.where(query.count[x.often] * x.count[x.often] > DENSE * query.n * x.n, c, -1)
+            on = c >= 0
+            score = query.matrix[c[on]].T @ x.matrix[on]
+            n = x.count.copy()
+            n[x.often[on]] = 0
+            n = n.take(t)
+            on = np.flatnonzero(n > 0)
+            n, at, to = n.take(on), begin.take(t.take(on)), q.take(on) * x.n
+            flat, total, done = score.reshape(-1), np.cumsum(n), 0
+            at -= total - n
+            for a in _steps(total, PRODUCTS // 8):
+                now, stop = n[a], int(total[a][-1])
+                entry = np.repeat(at[a], now)
+                entry += np.arange(done, stop)
+                cell = np.repeat(to[a], now)
+                cell += rows.take(entry)
+                np.add.at(flat, cell, weights.take(entry))
+                done = stop
+            score /= root[:, None]
+            value = score.max(axis=0)
+            better = np.flatnonzero(value > best[docs])
+            best[docs[better]], who[docs[better]] = value[better], ids[score[:, better].argmax(axis=0)]
     return who, best
 
 

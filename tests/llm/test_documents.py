@@ -694,6 +694,34 @@ def test_packing_by_queries_makes_one_row_a_document(spark, awkward, nothing, mo
     assert PK.pack(nothing, every=20).count() == 0
 
 
+@pytest.mark.parametrize("steps", [(2048, 2048, 1 / 500, 1024), (7, 5, 0.1, 3), (16, 40, 0, 9)])
+def test_packing_search_by_groups_and_lengths_equals_brute_force(tmp_path, monkeypatch, steps):
+    import pyarrow.parquet as pq
+
+    for name, value in zip(("TOGETHER", "WIDE", "DENSE", "QUERIES"), steps, strict=True):
+        monkeypatch.setattr(PK, name, value)
+    draw = np.random.Generator(np.random.PCG64(5))
+    language = np.arange(160) % 2
+    terms = [np.unique(300 * g + (300 * draw.random(size) ** 3).astype(np.int64)) for g, size in zip(language, draw.integers(2, 120, 160), strict=True)]
+    column = np.full(1 << PK.TERM_BITS, -1, np.int32)
+    column[np.r_[:20, 300:320]] = np.arange(40)
+    centres = PK._centres([c[c >= 0] for c in (column[t] for t in terms)] + [np.zeros(0, np.int32)], 40)
+    size = np.array([len(t) for t in terms])
+    row, term = np.repeat(np.arange(160), size), np.concatenate(terms)
+    kind = PK._kinds(row, column[term], 160, centres)
+    assert not set(kind[language == 0]) & set(kind[language == 1])
+    queries = [i for i in np.lexsort((size, kind)) if i < 60]
+    pq.write_table(pa.table({"doc_id": queries, "terms": pa.array([terms[i].astype("<i4").tobytes() for i in queries])}), tmp_path / "a.parquet")
+    df = np.bincount(term, minlength=1 << PK.TERM_BITS).astype(np.float32)
+    idf = np.log1p((160 - df + 0.5) / (df + 0.5)).astype(np.float32)
+    tf = draw.integers(1, 5, len(term))
+    who, best = PK.nearest(size, row, term, tf, f"file://{tmp_path}", idf, column, centres, float(size.mean()))
+    weight = np.zeros((160, 600))
+    weight[row, term] = idf[term] * tf * (PK.K1 + 1) / (tf + PK.K1 * (1 - PK.B + PK.B * size[row] / size.mean()))
+    score = np.array([weight[:, terms[i]].sum(axis=1) / len(terms[i]) ** 0.5 for i in range(60)])
+    assert np.allclose(best, score.max(axis=0), rtol=1e-4) and np.allclose(score[who, np.arange(160)], best, rtol=1e-4)
+
+
 def test_encoder_remembers_the_pieces_that_come_again(monkeypatch):
     monkeypatch.setattr(PK, "REMEMBERED", 400)
     encoder = PK.Encoder(PK.default_tokenizer())
