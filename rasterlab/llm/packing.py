@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import importlib
+import json
 import os
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +65,17 @@ _CLASS = _classes()
 _RANDOM = np.random.Generator(np.random.PCG64(9)).integers(1, 1 << 63, _TABLE + 1, dtype=K.U) * K.U(2) + K.U(1)
 
 
+def _byte_signs() -> np.ndarray:
+    """The code points that stand for the bytes in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    out = np.arange(256, dtype="<u4")
+    other = np.r_[:33, 127:161, 173]
+    out[other] = 256 + np.arange(len(other))
+    return out
+
+
+_SIGN = _byte_signs()
+
+
 def piece_starts(cp: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Whether a piece of the byte-level pre-tokenizer starts at each code point.
 
@@ -111,6 +124,10 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        said = json.loads(self.model.to_str())
+        before = said["pre_tokenizer"] or {}
+        #: Whether a piece's ids are those of the BPE model alone, without the steps around it.
+        self.plain = said["normalizer"] is None and said["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and all(x["special"] for x in said["added_tokens"])
         #: Sorted hashes of the remembered pieces; where their ids begin, how many they are, how often steps needed them.
         self.slot = np.zeros(0, K.U)
         self.begin, self.size, self.uses = np.zeros((3, 0), np.int64)
@@ -118,6 +135,13 @@ class Encoder:
 
     def _learn(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the pieces one after another, and how many each has."""
+        bpe = getattr(self.model, "model", None) if self.plain else None
+        if bpe is not None:
+            signs = _SIGN[np.frombuffer("".join(texts).encode(), np.uint8)].tobytes().decode("utf-32-le")
+            end = np.cumsum([len(x.encode()) for x in texts]).tolist()
+            ids = [[x.id for x in bpe.tokenize(signs[a:b])] for a, b in zip([0, *end[:-1]], end, strict=True)]
+            size = np.array([len(x) for x in ids], np.int64)
+            return np.fromiter(chain.from_iterable(ids), np.int32, size.sum()), size
         found = [self.model.encode(texts[a : a + 4096], is_pretokenized=True, add_special_tokens=False) for a in range(0, len(texts), 4096)]
         size = [np.bincount(np.array(x.word_ids, np.int64), minlength=min(4096, len(texts) - 4096 * i)) for i, x in enumerate(found)]
         return np.concatenate([np.array(x.ids, np.int32) for x in found]), np.concatenate(size)
