@@ -11,6 +11,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
@@ -29,13 +30,15 @@ HELD, PRODUCTS = 1 << 20, 1 << 19
 #: Bytes of text that are encoded or split into terms at once; pieces whose ids are remembered in a worker.
 STEP_BYTES, REMEMBERED = 1 << 20, 1 << 18
 #: Bytes and rows of a block of documents that fixed queries stream past, queries of its step and of a file; tokens that a task cuts.
-BLOCK_BYTES, BLOCK_ROWS, QUERIES, FILE_ROWS, TASK_TOKENS = 32 << 20, 8192, 1024, 1 << 14, 4 << 20
+BLOCK_BYTES, BLOCK_ROWS, QUERIES, FILE_ROWS, TASK_TOKENS = 48 << 20, 1 << 14, 8192, 1 << 15, 4 << 20
 #: Documents of a block that are scored together, and terms of theirs or of a step's queries that may be multiplied as a matrix.
-TOGETHER, WIDE = 2048, 2048
+TOGETHER, WIDE = 512, 1024
+#: Terms of a step's queries at most; queries in a row of the lists by term, of which the last is filled up with places that no query has.
+STEP_TERMS, LISTED = 1 << 21, 8
 #: Groups of like queries, and queries that they are found from; they order the work and change no score.
 GROUPS, GROUP_SAMPLE = 8, 1024
 #: Seconds of a matrix product for one pair and term over those of a single product: denser terms are multiplied as a matrix.
-DENSE = 1 / 500
+DENSE = 1 / 150
 
 _LETTER, _NUMBER, _SPACE, _OTHER, _UNSURE = 1, 2, 3, 4, 9
 _TABLE = 0x530
@@ -466,23 +469,24 @@ def _pack_by_queries(docs: DataFrame, every: int, n: int, idf, frequent: np.ndar
     queries = docs.where(F.col("doc_id") % every == 0)
     some = queries.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 + n // (every * GROUP_SAMPLE))) == 0).mapInArrow(drawn, "columns binary").limit(2 * GROUP_SAMPLE)
     centres = _centres([np.frombuffer(r.columns, "<i4") for r in some.collect()], len(frequent))
-    queries = queries.mapInArrow(terms, "doc_id long, kind long, terms binary").where("length(terms) > 0")
-    folder = materialise(queries.repartition(max(1, n // (every * FILE_ROWS))).sortWithinPartitions("kind", F.length("terms"), "doc_id")).written_to
+    queries = materialise(queries.mapInArrow(terms, "doc_id long, kind long, terms binary").where("length(terms) > 0"))
+    folder = shared_dir(spark)  # queries with the same terms have the same scores: the smallest id stands for them
+    distinct = queries.groupBy("kind", "terms").agg(F.min("doc_id").alias("doc_id")).repartition(max(1, n // (every * FILE_ROWS)))
+    distinct.sortWithinPartitions("kind", F.length("terms"), "doc_id").write.parquet(folder)
 
     def follow(batches):
         encoder = _encoder(path)
-        for block in K.parts(batches, "text", BLOCK_BYTES):
-            for at in range(0, block.num_rows, BLOCK_ROWS):
-                part = block.slice(at, BLOCK_ROWS)
-                query, score = _followed(part, every, folder, idf.value, columns.value, centres, mean)
-                done = 0
-                for x in K.parts(iter([part]), "text", STEP_BYTES):
-                    tokens, bounds = encoder.encode(x["text"].to_pylist())
-                    m, kind = x.num_rows, "<u2" if tokens.max() < 1 << 16 else "<u4"
-                    yield pa.RecordBatch.from_arrays(
-                        [x["doc_id"], pa.array(np.diff(bounds)), _blobs(tokens, bounds, kind), query.slice(done, m), score.slice(done, m)], names=["doc_id", "size", "ids", "query", "score"]
-                    )
-                    done += m
+        for block in _blocks(batches):
+            query, score = _followed(block, every, folder, idf.value, columns.value, centres, mean)
+            done = 0
+            for x in K.parts(iter([block]), "text", STEP_BYTES):
+                tokens, bounds = encoder.encode(x["text"].to_pylist())
+                m, kind = x.num_rows, "<u2" if tokens.max() < 1 << 16 else "<u4"
+                yield pa.RecordBatch.from_arrays(
+                    [x["doc_id"], pa.array(np.diff(bounds)), _blobs(tokens, bounds, kind), query.slice(done, m), score.slice(done, m)], names=["doc_id", "size", "ids", "query", "score"]
+                )
+                done += m
+            del block, x
             pa.default_memory_pool().release_unused()
 
     rows = materialise(docs.mapInArrow(follow, "doc_id long, size long, ids binary, query long, score float"))
@@ -516,6 +520,25 @@ def _pack_by_queries(docs: DataFrame, every: int, n: int, idf, frequent: np.ndar
     return rows.mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in blocks of ``BLOCK_BYTES`` and ``BLOCK_ROWS`` at most, full ones but for the last: all queries stream past each."""
+    joined = lambda x: pa.Table.from_batches(x).combine_chunks().to_batches()[0]
+    held: list[pa.RecordBatch] = []
+    size = rows = 0
+    for part in K.parts(batches, "text", BLOCK_BYTES // 16):
+        for at in range(0, part.num_rows, max(1, BLOCK_ROWS // 16)):
+            x = part.slice(at, max(1, BLOCK_ROWS // 16))
+            if held and (size + x["text"].nbytes > BLOCK_BYTES or rows + x.num_rows > BLOCK_ROWS):
+                held, block = [], joined(held)
+                yield block
+                del block
+                size = rows = 0
+            held.append(x)
+            size, rows = size + x["text"].nbytes, rows + x.num_rows
+    if held:
+        yield joined(held)
+
+
 def _followed(block: pa.RecordBatch, every: int, folder: str, idf: np.ndarray, column: np.ndarray, centres: np.ndarray, mean: float) -> tuple[pa.Array, pa.Array]:
     """The query that each document follows, and the likeness; a query follows itself, a document like no query none."""
     found, done = [], 0
@@ -598,54 +621,77 @@ def nearest(
     best, who = np.zeros(m, np.float32), np.zeros(m, np.int64)
     if not m:
         return who, best
-    weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[row] / max(mean, 1e-9)))).astype(np.float32)
+    weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[row] / max(mean, 1e-9)))).astype(np.float32)  # of a type that came with a broadcast, np.add.at is slow
     whole = np.bincount(row, weight, m) * (1 + 1e-4)  # no score is more than this over the query's root
-    place = np.empty(m, np.int64)
-    order = np.lexsort((np.bincount(row, minlength=m), _kinds(row, column[term], m, centres)))
-    place[order] = np.arange(m)
-    block, row = np.divmod(place[row], TOGETHER)
-    blocks = []
-    for i in range(-(-m // TOGETHER)):
-        docs, on = order[i * TOGETHER : (i + 1) * TOGETHER], np.flatnonzero(block == i)
-        on = on[np.argsort(term[on], kind="stable")]
-        x = _Together(len(docs), row[on], term[on], weight[on])
-        blocks.append((docs, x, np.cumsum(x.count) - x.count, row[on], weight[on]))
-    del block, row, term, weight
-    for batch in _stored(folder, QUERIES, ["doc_id", "terms"]):
-        q, t = _unblob(batch["terms"])
-        ids = batch["doc_id"].to_numpy()
-        size = np.bincount(q, minlength=len(ids))
-        root = np.sqrt(size).astype(np.float32)
+    size = np.bincount(row, minlength=m)
+    order = np.lexsort((size, _kinds(row, column[term], m, centres)))
+    begin, size = (np.cumsum(size) - size)[order], size[order]
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    at = np.repeat(begin - bounds[:-1], size) + np.arange(len(row))
+    term, weight = term[at], weight[at]
+    tiles = []
+    for a in range(0, m, TOGETHER):
+        docs, on = order[a : a + TOGETHER], slice(bounds[a], bounds[min(a + TOGETHER, m)])
+        row = np.repeat(np.arange(len(docs), dtype=np.int32), size[a : a + TOGETHER])
+        x = _Together(len(docs), row, term[on], weight[on])
+        tiles.append((docs, x.often, x.count[x.often], x.matrix, row, term[on], weight[on]))
+    del at, row, term, tf, weight, x
+    for ids, q, t in _stored_queries(folder):
+        root = np.sqrt(np.bincount(q, minlength=len(ids))).astype(np.float32)
         query = _Together(len(ids), q, t)
-        for docs, x, begin, rows, weights in blocks:
+        lists, first, lines = _lists(len(ids), q, t, query.count)
+        wide = len(ids) + LISTED  # the last places are those that fill lists up
+        for docs, often, count, matrix, row, term, weight in tiles:
             if (whole[docs] <= best[docs] * root.min()).all():
                 continue
-            c = query.column[x.often]
-            c = np.where(query.count[x.often] * x.count[x.often] > DENSE * query.n * x.n, c, -1)
-            on = c >= 0
-            score = query.matrix[c[on]].T @ x.matrix[on]
-            n = x.count.copy()
-            n[x.often[on]] = 0
-            n = n.take(t)
-            on = np.flatnonzero(n > 0)
-            n, at, to = n.take(on), begin.take(t.take(on)), q.take(on) * x.n
+            c = query.column[often]
+            on = (c >= 0) & (query.count[often] * count > DENSE * query.n * len(docs))
+            score = np.zeros((len(docs), wide), np.float32)
+            np.matmul(matrix[on].T, query.matrix[c[on]], out=score[:, :-LISTED])
+            n = lines.copy()
+            n[often[on]] = 0
+            n = n.take(term)
+            on = np.flatnonzero(n)
+            n, at, to, w = n.take(on), first.take(term.take(on)), row.take(on) * np.int32(wide), weight.take(on)
             flat, total, done = score.reshape(-1), np.cumsum(n), 0
             at -= total - n
-            for a in _steps(total, PRODUCTS // 8):
+            for a in _steps(total, PRODUCTS // LISTED):
                 now, stop = n[a], int(total[a][-1])
-                entry = np.repeat(at[a], now)
-                entry += np.arange(done, stop)
-                cell = np.repeat(to[a], now)
-                cell += rows.take(entry)
-                np.add.at(flat, cell, weights.take(entry))
+                line = np.repeat(at[a], now)
+                line += np.arange(done, stop)
+                cell = lists.take(line, axis=0).reshape(-1)
+                cell += np.repeat(np.repeat(to[a], now), LISTED)
+                np.add.at(flat, cell, np.repeat(np.repeat(w[a], now), LISTED))
                 done = stop
-            score /= root[:, None]
-            value = score.max(axis=0)
+            score = score[:, :-LISTED]
+            score /= root
+            value = score.max(axis=1)
             better = np.flatnonzero(value > best[docs])
-            best[docs[better]], who[docs[better]] = value[better], ids[score[:, better].argmax(axis=0)]
+            best[docs[better]], who[docs[better]] = value[better], ids[score[better].argmax(axis=1)]
     return who, best
 
 
+def _stored_queries(folder: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The queries some at a time: their ids, and the number of the query and the place of each of their terms."""
+    for batch in _stored(folder, QUERIES, ["doc_id", "terms"]):
+        total = np.cumsum(pc.binary_length(batch["terms"]).to_numpy(), dtype=np.int64) // 4
+        for on in _steps(total, STEP_TERMS):
+            part = batch.slice(on.start, on.stop - on.start)
+            yield part["doc_id"].to_numpy(), *_unblob(part["terms"])
+
+
+def _lists(n: int, q: np.ndarray, t: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The queries of each term in rows of ``LISTED``, each term's first row, and how many rows it has."""
+    bits = max(1, n.bit_length())
+    key = np.sort((t << bits) | q)
+    t, q = key >> bits, key & ((1 << bits) - 1)
+    lines = -(-count // LISTED)
+    first = np.cumsum(lines) - lines
+    lists = np.tile(np.arange(n, n + LISTED, dtype=np.int32), (int(lines.sum()), 1))
+    lists.reshape(-1)[np.arange(len(t)) + (first * LISTED - (np.cumsum(count) - count)).take(t)] = q
+    return lists, first, lines.astype(np.int32)
+
+
 def _steps(total: np.ndarray, limit: int) -> Iterator[slice]:
     """Slices whose part of the running ``total`` is at most ``limit``; a larger entry comes alone."""
     a = 0

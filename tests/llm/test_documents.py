@@ -12,7 +12,7 @@ import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from rasterlab.llm import fingerprint as FP, kernels as K, packing as PK, toxicity as TX
+from rasterlab.llm import fingerprint as FP, kernels as K, packing as PK, shared as SH, toxicity as TX
 from rasterlab.llm.decontaminate import contaminated
 from rasterlab.llm.graph import components
 from rasterlab.llm.line_dedup import dedup_lines
@@ -723,6 +723,46 @@ def test_packing_search_by_groups_and_lengths_equals_brute_force(tmp_path, monke
     assert np.allclose(best, score.max(axis=0), rtol=1e-4) and np.allclose(score[who, np.arange(160)], best, rtol=1e-4)
 
 
+def test_packing_scores_equal_queries_once(spark, monkeypatch):
+    folders = []
+
+    def watched(spark):
+        folders.append(SH.shared_dir(spark))
+        return folders[-1]
+
+    monkeypatch.setattr(PK, "shared_dir", watched)
+    rows = [(i, f"one two three {'four five' if i % 40 else 'six seven eight'}") for i in range(1, 1000)]
+    out = PK.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), every=20).collect()
+    check_pieces(out, [t for _, t in rows])
+    assert sorted(r.doc_id for r in spark.read.parquet(folders[0]).collect()) == [20, 40]
+
+
+def test_packing_fills_the_blocks_that_queries_stream_past(monkeypatch):
+    """A rest of a batch as a block of its own had all queries read for a few rows."""
+    monkeypatch.setattr(PK, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(PK, "BLOCK_BYTES", 4000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 50)), pa.array([None if i % 7 == 0 else "x" * (i % 90) for i in range(a, a + 50)])], names=["doc_id", "text"]) for a in range(0, 500, 50)]
+    blocks = list(PK._blocks(iter([*batches, batches[0].slice(0, 0)])))
+    assert pa.Table.from_batches(blocks).equals(pa.Table.from_batches(batches))
+    assert all(x.num_rows <= 64 for x in blocks)
+    assert all(x.num_rows > 48 or x["text"].nbytes > 3000 for x in blocks[:-1]) and len(blocks) <= 10
+
+
+def test_packing_search_takes_queries_in_steps_bounded_by_their_terms(tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    steps, original = [], PK._lists
+    monkeypatch.setattr(PK, "_lists", lambda n, *rest: steps.append(n) or original(n, *rest))
+    monkeypatch.setattr(PK, "STEP_TERMS", 100)
+    terms = pa.array([np.arange(i, i + 30, dtype="<i4").tobytes() for i in range(20)])
+    pq.write_table(pa.table({"doc_id": range(20), "terms": terms}), tmp_path / "a.parquet")
+    row, term = np.repeat(np.arange(20), 30), np.concatenate([np.arange(i, i + 30) for i in range(20)])
+    ones, column = np.ones(1 << PK.TERM_BITS, np.float32), np.full(1 << PK.TERM_BITS, -1, np.int32)
+    who, best = PK.nearest(np.full(20, 30), row, term, np.ones(600, np.int32), f"file://{tmp_path}", ones, column, np.zeros((0, 1), np.float32), 30.0)
+    assert who.tolist() == list(range(20)) and best.dtype == np.float32
+    assert max(steps) == 3 and sum(steps) == 20
+
+
 def test_encoder_remembers_the_pieces_that_come_again(monkeypatch):
     monkeypatch.setattr(PK, "REMEMBERED", 400)
     encoder = PK.Encoder(PK.default_tokenizer())
